@@ -12,6 +12,16 @@ def col(x) -> Column:
     return x if isinstance(x, Column) else F.col(x)
 
 
+def pin(df: DataFrame, **cols: Column) -> DataFrame:
+    """Add columns that later filters refer to by value.
+
+    A filter moved below a projection repeats the projected expression, and a stack of array functions then
+    repeats itself inside its own lambdas; a generator over a one-element array stops that."""
+    one = F.explode_outer(F.array(F.struct(*[c.alias(n) for n, c in cols.items()])))
+    keep = [c for c in df.columns if c not in cols]
+    return df.select(*keep, one.alias("pin_")).select(*keep, *[f"pin_.{n}" for n in cols])
+
+
 # --- identities -------------------------------------------------------------------------------
 
 def identity_index(i, j, n_samples) -> Column:

@@ -21,10 +21,30 @@ def site_calls(genotypes: DataFrame) -> DataFrame:
         F.sort_array(F.collect_list(F.struct("sample", "nalt"))).alias("calls"))
 
 
-def cell_patterns(cell_site: DataFrame, genotypes: DataFrame) -> DataFrame:
+def cell_patterns(cell_site: DataFrame, genotypes: DataFrame, more: dict[str, Column] | None = None) -> DataFrame:
     """Counts per (barcode, genotype pattern): sites with one pattern are alike to every later step."""
     return (cell_site.join(site_calls(genotypes), "site_id").groupBy("barcode", "calls")
-            .agg(F.sum("ref_w").alias("ref_w"), F.sum("alt_w").alias("alt_w")))
+            .agg(F.sum("ref_w").alias("ref_w"), F.sum("alt_w").alias("alt_w"),
+                 *[c.alias(n) for n, c in (more or {}).items()]))
+
+
+def pair_sites(genotypes: DataFrame) -> DataFrame:
+    """Number of sites per (i, j, ni, nj), i < j. Sites collapse to patterns first, so the pairs are
+    expanded once per distinct pattern."""
+    pat = site_calls(genotypes).groupBy("calls").agg(F.count(F.lit(1)).alias("n"))
+    return (pat.select("n", F.explode(_classes(F.col("calls"))).alias("c")).filter("c.j >= 0")
+            .groupBy("c.i", "c.j", "c.ni", "c.nj").agg(F.sum("n").alias("sites")))
+
+
+def assigned_het_variance(cell_site: DataFrame, genotypes: DataFrame, calls: DataFrame) -> DataFrame:
+    """Mean and variance of the alt fraction over het sites of the cell's own members."""
+    f = cell_site.select("barcode", "site_id", (F.col("alt_w") / (F.col("ref_w") + F.col("alt_w"))).alias("f"))
+    het = genotypes.filter("nalt = 1").groupBy("site_id").agg(F.collect_list("sample").alias("hets"))  # at most the pool
+    own = F.array_distinct(F.array("i", "j"))
+    hits = f.join(calls.select("barcode", "i", "j"), "barcode").join(het, "site_id").select(
+        "barcode", "i", "j", "f", F.explode(F.array_intersect(own, "hets")))
+    return hits.groupBy("barcode", "i", "j").agg(
+        F.count(F.lit(1)).alias("n"), F.avg("f").alias("mean"), F.var_samp("f").alias("var"))
 
 
 def _classes(calls: Column) -> Column:

@@ -103,9 +103,14 @@ DEPENDS: dict[str, list[str]] = {
 }
 
 
-def add_view(name: str, text: str) -> None:
-    """Add a view used by one family of queries."""
+BUILDERS: dict = {}  # Spark forms of added views: fn(fixtures) -> DataFrame
+
+
+def add_view(name: str, text: str, spark=None) -> None:
+    """Add a view used by one family of queries; ``spark`` builds it with operators instead of the SQL."""
     VIEWS[name] = text
+    if spark is not None:
+        BUILDERS[name] = spark
     DEPENDS[name] = [v for v in re.findall(r"\bfx_\w+", text) if v != name]
 
 
@@ -163,8 +168,8 @@ class Fixtures:
 
     def view(self, name: str) -> DataFrame:
         if name not in self._seen:
-            own = getattr(self, f"_{name}", None)
-            self._seen[name] = own() if own else self.sql(VIEWS[name])
+            own = getattr(type(self), f"_{name}", None) or BUILDERS.get(name)
+            self._seen[name] = own(self) if own else self.sql(VIEWS[name])
         return self._seen[name]
 
     def sql(self, text: str) -> DataFrame:

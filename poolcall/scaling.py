@@ -16,8 +16,9 @@ def hot_keys(df: DataFrame, keys: list[str], share: float = HOT_SHARE, floor: in
     """Keys holding at least ``share`` of the rows (and ``floor`` rows). No more than 1/share exist,
     so the list is bounded whatever the data. Counting combines on the map side."""
     counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_"))
-    # the total is folded into the same small job by a second, one-row aggregate
-    total = df.count()
+    top, total = counts.agg(F.max("n_"), F.sum("n_")).first()
+    if top is None or top < max(floor, total * share):
+        return []
     return collect_bounded(counts.filter(F.col("n_") >= max(floor, total * share)).select(*keys), int(1 / share) + 1)
 
 
@@ -65,3 +66,35 @@ def running_totals(df: DataFrame, order: list[Column], sums: dict[str, Column])
     for n in sums:
         out = out.withColumn(n, F.col(n) + F.col(f"{n}_o"))
     return out.drop("blk_", *[f"{n}_o" for n in sums])
+
+
+def rank_in_groups(df: DataFrame, group: list[str], order: list[Column], out: str = "rank_") -> DataFrame:
+    """1-based rank by ``order`` inside each group, also where one group holds most of the rows.
+
+    Rows are range-partitioned by (group, order), numbered inside their block, and shifted by the rows of the
+    same group in earlier blocks; that table has at most (groups + blocks) rows. ``order`` must be unique."""
+    blocks = ordered_blocks(df, *[F.col(g) for g in group], *order)
+    sizes = blocks.groupBy(*group, "blk_").agg(F.count(F.lit(1)).alias("n_"))
+    before = W.partitionBy(*group).orderBy("blk_").rowsBetween(W.unboundedPreceding, -1)
+    offsets = sizes.select(*group, "blk_", F.coalesce(F.sum("n_").over(before), F.lit(0)).alias("o_"))
+    inside = W.partitionBy("blk_", *group).orderBy(*order)
+    return (blocks.withColumn("r_", F.row_number().over(inside)).join(offsets, [*group, "blk_"])
+            .withColumn(out, F.col("r_") + F.col("o_")).drop("blk_", "r_", "o_"))
+
+
+def grouped_totals(df: DataFrame, group: list[str], order: list[Column], sums: dict[str, Column]) -> DataFrame:
+    """Inclusive running totals by ``order`` inside each group, safe for a group holding most of the rows.
+
+    The grouped form of :func:`running_totals`; ``order`` must be unique inside a group."""
+    blocks = ordered_blocks(df, *[F.col(g) for g in group], *order)
+    per = blocks.groupBy(*group, "blk_").agg(*[F.sum(c).alias(f"{n}_t") for n, c in sums.items()])
+    before = W.partitionBy(*group).orderBy("blk_").rowsBetween(W.unboundedPreceding, -1)
+    offsets = per.select(*group, "blk_", *[F.coalesce(F.sum(f"{n}_t").over(before), F.lit(0)).alias(f"{n}_o") for n in sums])
+    inside = W.partitionBy("blk_", *group).orderBy(*order).rowsBetween(W.unboundedPreceding, 0)
+    out = blocks
+    for n, c in sums.items():
+        out = out.withColumn(n, F.sum(c).over(inside))
+    out = out.join(offsets, [*group, "blk_"])
+    for n in sums:
+        out = out.withColumn(n, F.col(n) + F.col(f"{n}_o"))
+    return out.drop("blk_", *[f"{n}_o" for n in sums])
