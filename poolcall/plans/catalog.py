@@ -6,7 +6,7 @@ from importlib import import_module
 
 from poolcall.plans.registry import ORACLES, QUERIES
 
-FAMILIES = ["genotype_calls"]
+FAMILIES = ["genotype_calls", "label_reports"]
 
 
 def _load() -> None:

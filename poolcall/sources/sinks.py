@@ -9,3 +9,19 @@ from poolcall.session import cut, fresh_path
 
 def write_diagnostics(winner: DataFrame, runner_up: DataFrame) -> dict[str, DataFrame]:
     return {"winner": cut(winner), "runner_up": cut(runner_up)}
+
+
+def write_assignments(labels: DataFrame, path: str, lib: str = "", style: str = "plain") -> None:
+    """Four tab-separated columns without a header, the barcode decorated with its library."""
+    from poolcall.functions.expr import format_barcode
+    bc = format_barcode(F.col("barcode").cast("string"), F.lit(lib), style)
+    labels.select(bc.alias("barcode"), "id", "type", "llr").write.csv(path, sep="\t")
+
+
+def split_by_identity(reads: DataFrame, path: str) -> None:
+    """One folder per identity, '+' written as 'x'. Rows of a large identity go to many files."""
+    reads.withColumn("identity", F.translate("identity", "+", "x")).write.partitionBy("identity").parquet(path)
+
+
+def write_pair_counts(pair_counts: DataFrame, lib: str, path: str) -> None:
+    pair_counts.withColumn("library", F.lit(lib)).write.partitionBy("library").parquet(path)
