@@ -6,7 +6,7 @@ from importlib import import_module
 
 from poolcall.plans.registry import ORACLES, QUERIES
 
-FAMILIES = ["genotype_calls", "label_reports"]
+FAMILIES = ["genotype_calls", "label_reports", "tag_calls", "species_calls"]
 
 
 def _load() -> None:

@@ -98,3 +98,10 @@ def grouped_totals(df: DataFrame, group: list[str], order: list[Column], sums: d
     for n in sums:
         out = out.withColumn(n, F.col(n) + F.col(f"{n}_o"))
     return out.drop("blk_", *[f"{n}_o" for n in sums])
+
+
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """Give every core work when a scan has fewer splits than the cluster has cores, before a step that multiplies
+    rows. A large input has enough splits and is left as it is."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores, *keys)

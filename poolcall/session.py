@@ -64,3 +64,13 @@ def collect_bounded(df: DataFrame, limit: int) -> list:
     if len(rows) > limit:
         raise ValueError(f"parameter table holds more than {limit} rows")
     return rows
+
+
+def local_table(spark: SparkSession, rows: list, ddl: str) -> DataFrame:
+    """A parameter table from driver values, planned as a local relation of known size (so joins broadcast it)."""
+    import pyarrow as pa
+    from pyspark.sql.pandas.types import to_arrow_schema
+    from pyspark.sql.types import StructType
+    schema = to_arrow_schema(StructType.fromDDL(ddl))
+    cols = list(zip(*[tuple(x) for x in rows])) if rows else [[] for _ in schema]
+    return spark.createDataFrame(pa.table([pa.array(list(c), f.type) for c, f in zip(cols, schema)], schema=schema))

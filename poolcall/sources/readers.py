@@ -13,3 +13,36 @@ def read_pair_counts(spark: SparkSession, path: str, allowed: DataFrame | None =
     a = allowed.select(F.col("sample").alias("i"))
     b = allowed.select(F.col("sample").alias("j")).union(spark.range(1).select(F.lit(-1)))
     return p.join(a, "i", "left_semi").join(b, "j", "left_semi")
+
+
+def read_counts_wide(spark: SparkSession, path: str) -> DataFrame:
+    """Header-named count table to long rows; a repeated column name is an error, zeros are dropped.
+
+    The header is read as text, since the csv reader would rename repeats."""
+    head = spark.read.text(path).limit(1).first()
+    names = head.value.split("\t")
+    if len(set(names)) != len(names):
+        raise ValueError(f"repeated column names in {path}")
+    schema = ", ".join(f"`{n}` {'STRING' if k == 0 else 'BIGINT'}" for k, n in enumerate(names))
+    wide = spark.read.schema(schema).csv(path, sep="\t", header=True)
+    return wide.unpivot([names[0]], names[1:], "tag", "cnt").filter("cnt > 0").withColumnRenamed(names[0], "barcode")
+
+
+def line_index(df: DataFrame, out: str = "idx") -> DataFrame:
+    """Number the rows of one text file from 1 in file order.
+
+    The generated id holds (task, row in task); the table of rows per task is small, so no global sort is needed."""
+    d = df.withColumn("m_", F.monotonically_increasing_id())
+    part, row = F.shiftright("m_", 33), F.col("m_").bitwiseAND(F.lit((1 << 33) - 1))
+    d = d.withColumn("p_", part).withColumn("r_", row)
+    per = d.groupBy("p_").agg(F.count(F.lit(1)).alias("n_"))
+    before = W.orderBy("p_").rowsBetween(W.unboundedPreceding, -1)  # one row per input split
+    off = per.select("p_", F.coalesce(F.sum("n_").over(before), F.lit(0)).alias("o_"))
+    return d.join(F.broadcast(off), "p_").withColumn(out, F.col("r_") + F.col("o_") + 1).drop("m_", "p_", "r_", "o_")
+
+
+def paired_lists(a: DataFrame, b: DataFrame) -> DataFrame:
+    """Barcode conversion between two allow-lists of which line n belongs to line n."""
+    x = line_index(a.select(F.col("value").alias("from_")))
+    y = line_index(b.select(F.col("value").alias("to_")))
+    return x.join(y, "idx").select(F.col("from_").alias("barcode"), F.col("to_").alias("converted"))

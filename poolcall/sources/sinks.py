@@ -25,3 +25,20 @@ def split_by_identity(reads: DataFrame, path: str) -> None:
 
 def write_pair_counts(pair_counts: DataFrame, lib: str, path: str) -> None:
     pair_counts.withColumn("library", F.lit(lib)).write.partitionBy("library").parquet(path)
+
+
+def route_reads(reads: DataFrame, calls: DataFrame, path: str, kind: str = "rna", corrected: bool = True) -> None:
+    """Reads of singlet cells into one folder per (species, kind, mate); '+' cells and unknown ones are left out.
+
+    ``reads`` holds (read_id, barcode as read, corrected, mate, seq, qual)."""
+    from poolcall.scaling import salted_join
+    one = calls.filter("type = 'S'").select(F.col("barcode").alias("corrected"), F.col("id").alias("species"))
+    r = salted_join(reads, one, ["corrected"], ["read_id"])
+    if corrected:
+        r = r.withColumn("barcode", F.col("corrected"))
+    r.withColumn("kind", F.lit(kind)).write.partitionBy("species", "kind", "mate").parquet(path)
+
+
+def preprocess_triplets(reads: DataFrame) -> DataFrame:
+    """Read names carrying the corrected barcode as a comment, mates renumbered; barcode reads are gone."""
+    return reads.select(F.concat(F.col("read_id").cast("string"), F.lit(" CB:Z:"), F.col("corrected")).alias("name"), "mate", "seq", "qual")
