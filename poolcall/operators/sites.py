@@ -36,3 +36,203 @@ def unrepeated(sites: DataFrame) -> DataFrame:
     with very many records is never one task's window."""
     many = sites.groupBy("chrom", "pos").agg(F.count(F.lit(1)).alias("n_")).filter("n_ > 1").select("chrom", "pos")
     return sites.join(many, ["chrom", "pos"], "left_anti")
+
+
+# --- scores ---------------------------------------------------------------------------------------
+
+def site_scores(genotypes: DataFrame, sites: DataFrame, samples: DataFrame, bin_size: int = 100_000) -> DataFrame:
+    """Het and missing frequency, counts, bin and annotate score of every site (sites without calls included)."""
+    from poolcall.functions.expr import bin_id
+    g = genotypes.groupBy("site_id").agg(F.count(F.lit(1)).alias("n_called"), F.count_if(F.col("nalt") == 1).alias("n_het"))
+    n = samples.agg(F.count(F.lit(1)).alias("s_"))  # one row
+    d = sites.join(g, "site_id", "left").fillna(0, ["n_called", "n_het"]).join(F.broadcast(n))
+    het = F.when(F.col("n_called") > 0, F.col("n_het") / F.col("n_called")).otherwise(0.0)
+    miss = (F.col("s_") - F.col("n_called")) / F.col("s_")
+    return (d.withColumn("het_freq", het).withColumn("missing_freq", miss)
+            .withColumn("het_score", F.col("het_freq") * (1 - 0.5 * F.col("missing_freq")))
+            .withColumn("bin_id", bin_id("chrom", "pos", bin_size)).drop("s_"))
+
+
+def coverage_score(cov: Column, genic: Column) -> Column:
+    return F.log2(cov + 1) + 0.1 * genic
+
+
+def selection_score(het: Column, cov: Column, genic: Column) -> Column:
+    return het * coverage_score(cov, genic)
+
+
+def distinguishing_pairs(genotypes: DataFrame) -> DataFrame:
+    """Called and distinguishing sites per pair of members, with ranks from both ends."""
+    from poolcall.operators.counts import pair_sites
+    p = pair_sites(genotypes).groupBy("i", "j").agg(
+        F.sum("sites").alias("sites"), F.sum(F.when(F.col("ni") != F.col("nj"), F.col("sites")).otherwise(0)).alias("differ"))
+    return p.withColumn("from_top", F.row_number().over(W.orderBy(F.desc("differ"), "i", "j"))) \
+            .withColumn("from_bottom", F.row_number().over(W.orderBy("differ", "i", "j")))  # one row per pair of members
+
+
+def top_sites(scored: DataFrame, score: str, n: int, even_bins: bool = False) -> DataFrame:
+    """The n best sites; ``even_bins`` takes the best of every bin first, then the second best, and so on."""
+    if not even_bins:
+        return scored.orderBy(F.desc(score), "site_id").limit(n)
+    d = rank_in_groups(scored, ["bin_id"], [F.desc(score), F.col("site_id")], "in_bin")
+    return d.orderBy("in_bin", F.desc(score), "site_id").limit(n)
+
+
+# --- patterns -------------------------------------------------------------------------------------
+
+def site_patterns(genotypes: DataFrame, members: list[int]) -> DataFrame:
+    """Folded carrier pattern of each polymorphic site: 1 carries alt, 0 does not, - is missing.
+
+    Folded to the smaller side, ties to the smaller text; ``called`` marks complete sites."""
+    calls = genotypes.groupBy("site_id").agg(F.map_from_entries(F.collect_list(F.struct("sample", "nalt"))).alias("m"))  # at most the pool
+    alt = F.concat(*[F.when(F.col("m")[m].isNull(), "-").when(F.col("m")[m] > 0, "1").otherwise("0") for m in members])
+    d = calls.select("site_id", alt.alias("alt")).withColumn("flip", F.translate("alt", "01", "10"))
+    ones, zeros = F.length(F.translate("alt", "0-", "")), F.length(F.translate("alt", "1-", ""))
+    keep = (ones < zeros) | ((ones == zeros) & (F.col("alt") < F.col("flip")))
+    return d.filter((ones > 0) & (zeros > 0)).select(
+        "site_id", F.when(keep, F.col("alt")).otherwise(F.col("flip")).alias("pattern"), (~F.col("alt").contains("-")).alias("called"))
+
+
+def pattern_counts(patterns: DataFrame) -> DataFrame:
+    return patterns.groupBy("pattern", "called").agg(F.count(F.lit(1)).alias("cnt"))
+
+
+def compatible_patterns(counts: DataFrame, n_members: int, blocks: int = 4) -> DataFrame:
+    """Every complete pattern a partial one may stand for, with its share by count; either orientation fits.
+
+    Patterns are cut into blocks and a partial one meets only complete ones equal on its first block without
+    missing calls; only partial patterns missing something in every block are compared with all."""
+    step = max(1, -(-n_members // blocks))
+    cuts = [(k, s) for k, s in enumerate(range(0, n_members, step))]
+    part = F.array(*[F.struct(F.lit(k).alias("b"), F.substring("partial", s + 1, step).alias("t")) for k, s in cuts])
+    whole = counts.filter("called").select(F.col("pattern").alias("full"), F.col("cnt").alias("full_cnt"))
+    both = whole.withColumn("seen", F.explode(F.array("full", F.translate("full", "01", "10"))))
+    keys = F.array(F.struct(F.lit(-1).alias("b"), F.lit("").alias("t")), *[F.struct(F.lit(k).alias("b"), F.substring("seen", s + 1, step).alias("t")) for k, s in cuts])
+    a = counts.filter("NOT called").select(F.col("pattern").alias("partial"), "cnt").withColumn(
+        "k_", F.coalesce(F.get(F.filter(part, lambda x: ~x["t"].contains("-")), F.lit(0)), F.struct(F.lit(-1).alias("b"), F.lit("").alias("t"))))
+    b = both.withColumn("k_", F.explode(keys))
+    j = a.join(b, "k_").filter(F.forall(F.zip_with(F.split("partial", ""), F.split("seen", ""), lambda x, y: (x == "-") | (x == y)), lambda v: v))
+    j = j.groupBy("partial", "cnt", "full").agg(F.max("full_cnt").alias("full_cnt"))
+    tot = j.groupBy("partial").agg(F.sum("full_cnt").alias("t_"))
+    return j.join(tot, "partial").withColumn("share", F.col("full_cnt") / F.col("t_")).drop("t_")
+
+
+def with_partial(counts: DataFrame, compat: DataFrame) -> DataFrame:
+    """Complete pattern counts with the partial sites spread over them."""
+    add = compat.groupBy(F.col("full").alias("pattern")).agg(F.sum(F.col("share") * F.col("cnt")).alias("extra"))
+    return counts.filter("called").join(add, "pattern", "left").select(
+        "pattern", (F.col("cnt") + F.coalesce("extra", F.lit(0.0))).alias("cnt"))
+
+
+def sampling_exponent(counts: DataFrame, target: int) -> tuple[float, float]:
+    """(exponent, cut-off): patterns with at least cut-off sites keep count^exponent of them so that ``target`` are kept.
+
+    Only the histogram of counts comes to the driver: the distinct counts of N sites number at most sqrt(2 N)."""
+    import numpy as np
+    rows = collect_bounded(counts.groupBy(F.round("cnt", 6).alias("c")).agg(F.count(F.lit(1)).alias("n")), 1_000_000)
+    rows = sorted(((float(x.c), int(x.n)) for x in rows), reverse=True)
+    c, n = np.array([x[0] for x in rows]), np.array([x[1] for x in rows])
+    total = float((c * n).sum())
+    if total <= target:
+        return 1.0, float("inf")
+    for k in range(1, len(c) + 1):
+        low = total - float((c[:k] * n[:k]).sum())
+        if k < len(c) and low >= target:
+            continue
+        lo, hi = 0.0, 1.0
+        for _ in range(60):
+            x = (lo + hi) / 2
+            lo, hi = (x, hi) if float((n[:k] * c[:k] ** x).sum()) < round(target - low) else (lo, x)
+        x = (lo + hi) / 2
+        if x < 1 and (k == len(c) or c[k - 1] ** x > c[k]):
+            return x, float(c[k - 1])
+    return x, float(c[-1])
+
+
+def keep_probability(cnt: Column, exponent: float, cutoff: float) -> Column:
+    return F.when(cnt >= cutoff, F.pow(cnt, F.lit(exponent - 1.0))).otherwise(1.0)
+
+
+def site_probability(patterns: DataFrame, counts: DataFrame, compat: DataFrame, exponent: float, cutoff: float) -> DataFrame:
+    """Keep probability (and rarity score) of every site: its pattern's, or the expected one over what it may stand for."""
+    whole = counts.filter("called").select("pattern", keep_probability(F.col("cnt"), exponent, cutoff).alias("p"))
+    part = compat.groupBy(F.col("partial").alias("pattern")).agg(
+        F.sum(F.col("share") * keep_probability(F.col("full_cnt"), exponent, cutoff)).alias("p"))
+    probs = whole.unionByName(part)
+    return patterns.join(probs, "pattern", "left").withColumn("p", F.least(F.coalesce("p", F.lit(1.0)), F.lit(1.0)))
+
+
+def sample_sites(prob: DataFrame, seed: str = "s") -> DataFrame:
+    """Bernoulli sampling at each site's probability; the draw is a hash of the site."""
+    return prob.filter((F.col("p") >= 1) | (uniform(F.lit(seed), "site_id") < F.col("p")))
+
+
+def slot_selection(scored: DataFrame, counts: DataFrame, exponent: float, cutoff: float) -> DataFrame:
+    """Best sites of each pattern up to floor(count^exponent) slots, unused slots shared out by spare capacity.
+
+    ``scored`` holds (site_id, pattern, score) of usable sites; patterns below the cut-off pass whole."""
+    avail = scored.groupBy("pattern").agg(F.count(F.lit(1)).alias("avail"))
+    s = counts.filter("called").join(avail, "pattern", "left").fillna(0, ["avail"])
+    slots = F.when(F.col("cnt") >= cutoff, F.greatest(F.floor(F.round(F.pow("cnt", F.lit(exponent)), 9)), F.lit(1))).otherwise(F.col("cnt"))
+    s = s.withColumn("slots", slots.cast("bigint"))
+    tot = s.agg(F.sum(F.greatest(F.col("slots") - F.col("avail"), F.lit(0))).alias("short"),
+                F.sum(F.greatest(F.col("avail") - F.col("slots"), F.lit(0))).alias("spare"))  # one row
+    spare = F.greatest(F.col("avail") - F.col("slots"), F.lit(0))
+    extra = F.when(F.col("spare") > 0, F.least(F.round(F.col("short") * spare / F.col("spare")), spare)).otherwise(0)
+    s = s.join(F.broadcast(tot)).withColumn("take", (F.col("slots") + extra).cast("bigint"))
+    ranked = rank_in_groups(scored, ["pattern"], [F.desc("score"), F.col("site_id")], "rank")
+    return ranked.join(s.select("pattern", "slots", "take"), "pattern").filter("rank <= take")
+
+
+# --- regenotyping ---------------------------------------------------------------------------------
+
+def member_allocation(identity_site: DataFrame, passes: int = 5) -> DataFrame:
+    """Alt rate of each member at each site from singlet counts and shared doublet counts.
+
+    A doublet's expected rate is the mean of its members; each pass splits its alt and ref reads in proportion to the
+    members' current rates. ``identity_site`` holds (i, j, site_id, ref_w, alt_w)."""
+    base = identity_site.select("i", "j", "site_id", (F.col("ref_w") / 1e6).alias("ref"), (F.col("alt_w") / 1e6).alias("alt"))
+    own = base.filter("i = j").select("site_id", F.col("i").alias("m"), F.col("ref").alias("r0"), F.col("alt").alias("a0"))
+    # one row per site holds all its identities: at most the pool's pairs, and nothing is shuffled in the passes
+    rows = base.groupBy("site_id").agg(F.collect_list(F.struct("i", "j", "ref", "alt")).alias("ids"))
+    mem = F.array_sort(F.array_distinct(F.flatten(F.transform("ids", lambda x: F.array(x["i"], x["j"])))))
+    d = rows.withColumn("mem", mem)
+
+    def rate(m):
+        return F.get(F.filter("f", lambda z: z["m"] == m), F.lit(0))["f"]
+
+    d = d.withColumn("f", F.transform("mem", lambda m: F.struct(m.alias("m"), F.lit(0.5).alias("f"), F.lit(0.0).alias("n"))))
+    from poolcall.functions.expr import pin
+
+    def share(m, x):
+        own_ = F.when(x["i"] == m, x["i"]).otherwise(x["j"])
+        oth = F.when(x["i"] == m, x["j"]).otherwise(x["i"])
+        p, q = rate(own_), rate(oth)
+        single = x["i"] == x["j"]
+        ka = F.when(single, 1.0).otherwise(F.when(p + q > 0, p / (p + q)).otherwise(0.5))
+        kr = F.when(single, 1.0).otherwise(F.when(2 - p - q > 0, (1 - p) / (2 - p - q)).otherwise(0.5))
+        return F.struct((x["alt"] * ka).alias("a"), (x["ref"] * kr).alias("r"))
+
+    def update(m):
+        mine = F.filter("ids", lambda x: (x["i"] == m) | (x["j"] == m))
+        s = F.aggregate(F.transform(mine, lambda x: share(m, x)), F.struct(F.lit(0.0).alias("a"), F.lit(0.0).alias("r")),
+                        lambda t, z: F.struct((t["a"] + z["a"]).alias("a"), (t["r"] + z["r"]).alias("r")))
+        return F.struct(m.alias("m"), F.when(s["a"] + s["r"] > 0, F.round(s["a"] / (s["a"] + s["r"]), 9)).otherwise(F.lit(0.5)).alias("f"), (s["a"] + s["r"]).alias("n"))
+
+    for _ in range(passes):
+        d = pin(d, f=F.transform("mem", update))
+    return d.select("site_id", F.explode("f").alias("z")).select("site_id", F.col("z.m").alias("sample"), F.col("z.f").alias("rate"), F.col("z.n").alias("depth"))
+
+
+def regenotype(rates: DataFrame, e_ref: float = 0.01, e_alt: float = 0.01) -> DataFrame:
+    """Nearest genotype of each member at each site, with a two-sided binomial p of the counts under it; sites
+    where everyone agrees on one homozygote are dropped."""
+    from poolcall.functions.cdf import binomial_cdf
+    nalt = F.when(F.col("rate") < 0.25, 0).when(F.col("rate") < 0.75, 1).otherwise(2)
+    d = rates.filter("depth > 0").withColumn("nalt", nalt)
+    k, n = F.round(F.col("rate") * F.col("depth")), F.round("depth")
+    p = F.col("nalt") / 2 - F.col("nalt") / 2 * e_alt + (1 - F.col("nalt") / 2) * e_ref
+    low, high = binomial_cdf(k, n, p), 1 - binomial_cdf(k - 1, n, p)
+    d = d.withColumn("p", F.least(2 * F.least(low, F.when(k < 1, 1.0).otherwise(high)), F.lit(1.0)))
+    poly = d.groupBy("site_id").agg(F.min("nalt").alias("a"), F.max("nalt").alias("b")).filter("a <> b OR a = 1").select("site_id")
+    return d.join(poly, "site_id", "left_semi")

@@ -42,3 +42,10 @@ def route_reads(reads: DataFrame, calls: DataFrame, path: str, kind: str = "rna"
 def preprocess_triplets(reads: DataFrame) -> DataFrame:
     """Read names carrying the corrected barcode as a comment, mates renumbered; barcode reads are gone."""
     return reads.select(F.concat(F.col("read_id").cast("string"), F.lit(" CB:Z:"), F.col("corrected")).alias("name"), "mate", "seq", "qual")
+
+
+def write_variants(sites: DataFrame, path: str) -> None:
+    """Tab-separated variant rows in (chrom, pos) order over range partitions, so the files follow one another."""
+    line = F.concat_ws("\t", "chrom", F.col("pos").cast("string"), F.lit("."), "ref", "alt", F.col("qual").cast("string"), F.lit("PASS"), "info")
+    d = sites.repartitionByRange("chrom", "pos").sortWithinPartitions("chrom", "pos")
+    d.select(line.alias("value")).write.text(path)
