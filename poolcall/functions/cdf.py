@@ -14,7 +14,7 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])  # executors need no
 
 _lgamma = np.vectorize(math.lgamma, otypes=[float])
 _erfc = np.vectorize(math.erfc, otypes=[float])
-TINY, TERMS = 1e-300, 400
+TINY, TERMS, CLOSE = 1e-300, 2000, 1e-14
 
 
 def _gamma_lower(a: np.ndarray, x: np.ndarray) -> np.ndarray:
@@ -27,6 +27,8 @@ def _gamma_lower(a: np.ndarray, x: np.ndarray) -> np.ndarray:
     for k in range(1, TERMS):
         term = term * x / (a + k)
         total = total + term
+        if np.all(term <= total * CLOSE):
+            break
     low = front * total
     b = x + 1 - a
     c = np.full_like(x, 1 / TINY)
@@ -40,6 +42,8 @@ def _gamma_lower(a: np.ndarray, x: np.ndarray) -> np.ndarray:
         c = b + an / c
         c = np.where(np.abs(c) < TINY, TINY, c)
         h = h * d * c
+        if np.all(np.abs(d * c - 1) < CLOSE):
+            break
     return np.where(x == 0, 0.0, np.where(x < a + 1, low, 1 - front * h))
 
 
@@ -62,6 +66,8 @@ def _beta_inc(a, b, x):
             c = 1 + num / c
             c = np.where(np.abs(c) < TINY, TINY, c)
             h = h * d * c
+        if np.all(np.abs(d * c - 1) < CLOSE):
+            break
     v = front * h
     v = np.where(y <= 0, 0.0, np.where(y >= 1, 1.0, v))
     return np.where(flip, 1 - v, v)

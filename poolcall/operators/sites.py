@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from poolcall.functions.expr import uniform
 from poolcall.scaling import rank_in_groups
-from poolcall.session import collect_bounded
+from poolcall.session import collect_bounded, cut
 
 MAX_PATTERN_ROWS = 100_000
 
@@ -229,7 +229,7 @@ def regenotype(rates: DataFrame, e_ref: float = 0.01, e_alt: float = 0.01) -> Da
     where everyone agrees on one homozygote are dropped."""
     from poolcall.functions.cdf import binomial_cdf
     nalt = F.when(F.col("rate") < 0.25, 0).when(F.col("rate") < 0.75, 1).otherwise(2)
-    d = rates.filter("depth > 0").withColumn("nalt", nalt)
+    d = cut(rates.filter("depth > 0").withColumn("nalt", nalt))  # read for the polymorphism test and for the rows
     k, n = F.round(F.col("rate") * F.col("depth")), F.round("depth")
     p = F.col("nalt") / 2 - F.col("nalt") / 2 * e_alt + (1 - F.col("nalt") / 2) * e_ref
     low, high = binomial_cdf(k, n, p), 1 - binomial_cdf(k - 1, n, p)

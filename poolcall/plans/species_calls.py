@@ -285,4 +285,4 @@ def d14(fx):
     both = cut(fx.fx_allow.select("barcode").coalesce(1))  # one file fixes the order both lists are written in
     both.select("barcode").coalesce(1).write.text(pa)
     both.select(F.concat(F.lit("X"), "barcode")).coalesce(1).write.text(pb)
-    return readers.paired_lists(fx.spark.read.text(pa), fx.spark.read.text(pb))
+    return readers.paired_lists(fx.spark, pa, pb)

@@ -28,21 +28,177 @@ def read_counts_wide(spark: SparkSession, path: str) -> DataFrame:
     return wide.unpivot([names[0]], names[1:], "tag", "cnt").filter("cnt > 0").withColumnRenamed(names[0], "barcode")
 
 
-def line_index(df: DataFrame, out: str = "idx") -> DataFrame:
-    """Number the rows of one text file from 1 in file order.
-
-    The generated id holds (task, row in task); the table of rows per task is small, so no global sort is needed."""
-    d = df.withColumn("m_", F.monotonically_increasing_id())
-    part, row = F.shiftright("m_", 33), F.col("m_").bitwiseAND(F.lit((1 << 33) - 1))
-    d = d.withColumn("p_", part).withColumn("r_", row)
-    per = d.groupBy("p_").agg(F.count(F.lit(1)).alias("n_"))
-    before = W.orderBy("p_").rowsBetween(W.unboundedPreceding, -1)  # one row per input split
-    off = per.select("p_", F.coalesce(F.sum("n_").over(before), F.lit(0)).alias("o_"))
-    return d.join(F.broadcast(off), "p_").withColumn(out, F.col("r_") + F.col("o_") + 1).drop("m_", "p_", "r_", "o_")
-
-
-def paired_lists(a: DataFrame, b: DataFrame) -> DataFrame:
-    """Barcode conversion between two allow-lists of which line n belongs to line n."""
-    x = line_index(a.select(F.col("value").alias("from_")))
-    y = line_index(b.select(F.col("value").alias("to_")))
-    return x.join(y, "idx").select(F.col("from_").alias("barcode"), F.col("to_").alias("converted"))
+def text_lines(spark: SparkSession, path: str) -> DataFrame:
+    """Lines with their 1-based number inside their file: (file, idx, value).
+
+    A task numbers the lines of each split it reads; the table of lines per split (small) gives the number
+    of lines before it in the file. Nothing is sorted and files are read in parallel splits."""
+    d = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("b_"),
+                                     F.monotonically_increasing_id().alias("m_"))
+    per = d.groupBy("file", "b_").agg(F.count(F.lit(1)).alias("n_"), F.min("m_").alias("f_"))
+    before = W.partitionBy("file").orderBy("b_").rowsBetween(W.unboundedPreceding, -1)
+    off = per.select("file", "b_", "f_", F.coalesce(F.sum("n_").over(before), F.lit(0)).alias("o_"))
+    return d.join(off, ["file", "b_"]).select("file", (F.col("m_") - F.col("f_") + F.col("o_") + 1).alias("idx"), "value")
+
+
+def paired_lists(spark: SparkSession, path_a: str, path_b: str) -> DataFrame:
+    """Barcode conversion between two allow-lists (one file each) of which line n belongs to line n."""
+    x = text_lines(spark, path_a).select("idx", F.col("value").alias("barcode"))
+    y = text_lines(spark, path_b).select("idx", F.col("value").alias("converted"))
+    return x.join(y, "idx").select("barcode", "converted")
+
+
+# --- sparse matrices --------------------------------------------------------------------------------
+
+def read_mex(spark: SparkSession, path: str, feature_type: str | None = None) -> DataFrame:
+    """(barcode, feature, cnt) from a barcodes/features/matrix triple; orientation comes from the size line."""
+    bc = text_lines(spark, f"{path}/barcodes").select("idx", F.col("value").alias("barcode"))
+    f = F.split("value", "\t")
+    ft = text_lines(spark, f"{path}/features").select("idx", f[0].alias("feature"), F.get(f, F.lit(2)).alias("feature_type"))
+    lines = text_lines(spark, f"{path}/matrix")
+    head = lines.filter(F.col("value").startswith("%")).agg(F.max_by("file", "idx").alias("file"), F.max("idx").alias("idx")).first()
+    sizes = (F.col("file") == head.file) & (F.col("idx") == head.idx + 1)
+    n_rows = int(lines.filter(sizes).first().value.split()[0])
+    rows_are_features = n_rows == ft.count()
+    p = F.split("value", " ")
+    body = lines.filter(~F.col("value").startswith("%") & ~sizes).select(F.get(p, F.lit(0)).cast("bigint").alias("a"), F.get(p, F.lit(1)).cast("bigint").alias("b"), F.get(p, F.lit(2)).cast("bigint").alias("cnt"))
+    r, c = ("feature_idx", "barcode_idx") if rows_are_features else ("barcode_idx", "feature_idx")
+    body = body.withColumnsRenamed({"a": r, "b": c})
+    if feature_type is not None:
+        ft = ft.filter(F.col("feature_type") == feature_type)
+    return (body.join(ft.withColumnRenamed("idx", "feature_idx"), "feature_idx").join(bc.withColumnRenamed("idx", "barcode_idx"), "barcode_idx")
+            .select("barcode", "feature", "feature_type", "cnt"))
+
+
+def split_libraries(mtx: DataFrame) -> DataFrame:
+    """Library and plain barcode from decorated barcodes, prefix or suffix form."""
+    pre, suf = F.regexp_extract("barcode", "^([^_-]+)_[ACGT]+", 1), F.regexp_extract("barcode", "^[ACGT]+(?:-1)?[-_]([^-_]+)$", 1)
+    lib = F.when(pre != "", pre).when(suf != "", suf).otherwise("")
+    return mtx.withColumn("library", lib).withColumn("barcode", F.regexp_extract("barcode", "[ACGT]+", 0))
+
+
+# --- variants, alignments, reads ---------------------------------------------------------------------
+
+def read_vcf(spark: SparkSession, path: str, min_qual: float = 50, allow_missing: bool = True) -> tuple[DataFrame, DataFrame]:
+    """(sites, genotypes) of unrepeated biallelic SNPs. A missing call is an absent row; samples are numbered as listed."""
+    from poolcall.operators.sites import biallelic, unrepeated
+    text = spark.read.text(path)
+    names = text.filter(F.col("value").startswith("#CHROM")).first().value.split("\t")[9:]
+    p = F.split("value", "\t")
+    rec = text.filter(~F.col("value").startswith("#")).select(
+        F.get(p, F.lit(0)).alias("chrom"), F.get(p, F.lit(1)).cast("bigint").alias("pos"), F.get(p, F.lit(3)).alias("ref"), F.get(p, F.lit(4)).alias("alt"), F.get(p, F.lit(5)).cast("float").alias("qual"),
+        F.slice(p, 10, len(names)).alias("calls"))
+    rec = unrepeated(rec).filter(biallelic(min_qual))  # every record at a repeated position goes, whatever its kind
+    gt = F.transform("calls", lambda c: F.split(F.get(F.split(c, ":"), F.lit(0)), "[/|]"))
+    nalt = F.transform(gt, lambda a: F.when(F.array_contains(a, "."), None).otherwise(F.size(F.filter(a, lambda x: x == "1"))))
+    rec = rec.withColumn("nalt", nalt)
+    if not allow_missing:
+        rec = rec.filter(F.forall("nalt", lambda x: x.isNotNull()))
+    geno = rec.select("chrom", "pos", F.posexplode("nalt").alias("sample", "nalt")).filter("nalt IS NOT NULL")
+    return rec.select("chrom", "pos", "ref", "alt", "qual"), geno
+
+
+def number_sites(sites: DataFrame) -> DataFrame:
+    """A dense site_id in (chrom, pos) order, counted over range partitions."""
+    from poolcall.scaling import running_totals
+    return running_totals(sites, [F.col("chrom"), F.col("pos")], {"site_id": F.lit(1)})
+
+
+def _tag(name: str) -> Column:
+    v = F.regexp_extract("value", f"\t{name}:Z:([^\t]+)", 1)
+    return F.when(v != "", v)
+
+
+def read_sam(spark: SparkSession, path: str) -> DataFrame:
+    """Alignments with cell, UMI and gene tags; the end comes from the reference-consuming CIGAR parts."""
+    p = F.split("value", "\t")
+    d = spark.read.text(path).filter(~F.col("value").startswith("@")).select(
+        F.get(p, F.lit(0)).alias("name"), F.get(p, F.lit(1)).cast("int").alias("flag"), F.get(p, F.lit(2)).alias("chrom"), F.get(p, F.lit(3)).cast("bigint").alias("rstart"), F.get(p, F.lit(4)).cast("int").alias("mapq"),
+        F.get(p, F.lit(5)).alias("cigar"), F.get(p, F.lit(9)).alias("seq"), _tag("CB").alias("barcode"), _tag("UB").alias("umi"),
+        F.split(_tag("GX"), ";").alias("gene_ids"))
+    span = F.aggregate(F.regexp_extract_all("cigar", F.lit("(\\d+)[MDN=X]"), F.lit(1)), F.lit(0).cast("bigint"), lambda a, x: a + x.cast("bigint"))
+    return d.withColumn("rend", F.col("rstart") + span - 1)
+
+
+def aligned_bases(alignments: DataFrame, key: str = "name") -> DataFrame:
+    """(key, pos, base) for every read base placed on the reference."""
+    from poolcall.functions.expr import pin
+    ops = F.regexp_extract_all("cigar", F.lit("(\\d+[MIDNSHP=X])"), F.lit(1))
+    state = F.struct(F.col("rstart").alias("r"), F.lit(0).cast("bigint").alias("q"),
+                     F.array().cast("array<struct<r:bigint,q:bigint,n:bigint>>").alias("out"))
+
+    def step(s, o):
+        n, kind = F.expr("bigint(1)") * F.regexp_extract(o, "\\d+", 0).cast("bigint"), F.right(o, F.lit(1))
+        both = kind.isin("M", "=", "X")
+        return F.struct((s["r"] + F.when(both | kind.isin("D", "N"), n).otherwise(0)).alias("r"),
+                        (s["q"] + F.when(both | kind.isin("I", "S"), n).otherwise(0)).alias("q"),
+                        F.when(both, F.array_append(s["out"], F.struct(s["r"].alias("r"), s["q"].alias("q"), n.alias("n")))).otherwise(s["out"]).alias("out"))
+
+    d = pin(alignments, blocks=F.aggregate(ops, state, step)["out"], bases=F.split("seq", ""))
+    rows = F.flatten(F.transform("blocks", lambda b: F.transform(
+        F.sequence(F.lit(0).cast("bigint"), b["n"] - 1), lambda i: F.struct((b["r"] + i).alias("pos"), F.get("bases", (b["q"] + i).cast("int")).alias("base")))))
+    return d.select(key, F.explode(rows).alias("x")).select(key, "x.pos", "x.base")
+
+
+def read_fastq(spark: SparkSession, path: str, mate: str) -> DataFrame:
+    """Four-line records of every file under ``path``: (chunk, record, mate, read_id, seq, qual)."""
+    d = text_lines(spark, path).withColumn("record", F.floor((F.col("idx") - 1) / 4)).withColumn("k", (F.col("idx") - 1) % 4)
+    name = F.regexp_extract("head", "^@(\\S+?)(?:/[12])?(?:\\s|$)", 1)
+    g = d.groupBy("file", "record").agg(*[F.max(F.when(F.col("k") == k, F.col("value"))).alias(c) for k, c in ((0, "head"), (1, "seq"), (3, "qual"))])
+    return g.select(F.regexp_extract("file", "([^/]+)$", 1).alias("chunk"), "record", F.lit(mate).alias("mate"), name.alias("read_id"), "seq", "qual")
+
+
+def pair_mates(first: DataFrame, second: DataFrame, files: list[tuple[str, str]] | None = None) -> DataFrame:
+    """Record n of a chunk with record n of its mate; different names are an error."""
+    a = first.select("record", *[F.col(c).alias(f"{c}1") for c in ("read_id", "seq", "qual")])
+    b = second.select("record", *[F.col(c).alias(f"{c}2") for c in ("read_id", "seq", "qual")])
+    j = a.join(b, "record", "full")
+    bad = ~F.col("read_id1").eqNullSafe(F.col("read_id2"))
+    rid = F.when(bad, F.raise_error(F.concat(F.lit("mates out of order at record "), F.col("record")))).otherwise(F.col("read_id1"))
+    return j.select(rid.alias("read_id"), "seq1", "qual1", "seq2", "qual2")
+
+
+# --- small text tables --------------------------------------------------------------------------------
+
+ASSIGNMENTS = "barcode STRING, id STRING, type STRING, llr DOUBLE"
+
+
+def read_assignments(spark: SparkSession, path: str, min_llr: float = 0.0, keep_doublets: bool = True) -> DataFrame:
+    d = spark.read.schema(ASSIGNMENTS).csv(path, sep="\t").filter(F.col("llr") > min_llr)
+    d = d.withColumn("barcode", F.regexp_replace("barcode", "-1$", ""))
+    return d if keep_doublets else d.filter("type = 'S'")
+
+
+def read_gtf(spark: SparkSession, path: str) -> DataFrame:
+    """Half-open intervals of genes and exons."""
+    p = F.split("value", "\t")
+    return spark.read.text(path).filter(~F.col("value").startswith("#")).select(
+        F.get(p, F.lit(0)).alias("chrom"), F.get(p, F.lit(2)).alias("feature"), (F.get(p, F.lit(3)).cast("bigint") - 1).alias("start"), F.get(p, F.lit(4)).cast("bigint").alias("end")).filter(
+        F.col("feature").isin("gene", "exon"))
+
+
+def read_bedgraph(spark: SparkSession, path: str) -> DataFrame:
+    d = spark.read.schema("chrom STRING, start BIGINT, end BIGINT, score DOUBLE").csv(path, sep="\t")
+    return d.filter("start IS NOT NULL AND NOT chrom LIKE 'track%' AND NOT chrom LIKE '#%'")
+
+
+def read_map(spark: SparkSession, path: str, key: str = "key", value: str = "value") -> DataFrame:
+    """Two-column name map; a key given twice with different values is an error."""
+    d = spark.read.schema(f"{key} STRING, {value} STRING").csv(path, sep="\t").distinct()
+    n = d.groupBy(key).agg(F.count(F.lit(1)).alias("n_"), F.min(value).alias(value))
+    return n.select(key, F.when(F.col("n_") > 1, F.raise_error(F.concat(F.lit("two values for "), F.col(key)))).otherwise(F.col(value)).alias(value))
+
+
+def read_haps(spark: SparkSession, path: str) -> DataFrame:
+    """(cluster, site, allele) from one 0/1/- text per line; a dash is an absent row."""
+    d = text_lines(spark, path).select((F.col("idx") - 1).alias("cluster"), F.posexplode(F.split("value", "")).alias("site", "c"))
+    return d.filter(F.col("c").isin("0", "1")).select("cluster", "site", F.col("c").cast("int").alias("allele"))
+
+
+def read_props(spark: SparkSession, path: str) -> DataFrame:
+    """(member, share) from a two- or three-column composition file or, with four columns, from an assignment file."""
+    from poolcall.operators.labels import composition
+    width = len(spark.read.text(path).first().value.split("\t"))
+    if width >= 4:
+        return composition(read_assignments(spark, path)).select("member", "share")
+    return spark.read.schema("member STRING, share DOUBLE, conc DOUBLE").csv(path, sep="\t").select("member", "share")

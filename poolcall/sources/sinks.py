@@ -49,3 +49,23 @@ def write_variants(sites: DataFrame, path: str) -> None:
     line = F.concat_ws("\t", "chrom", F.col("pos").cast("string"), F.lit("."), "ref", "alt", F.col("qual").cast("string"), F.lit("PASS"), "info")
     d = sites.repartitionByRange("chrom", "pos").sortWithinPartitions("chrom", "pos")
     d.select(line.alias("value")).write.text(path)
+
+
+def dense_index(df: DataFrame, col: str, out: str) -> DataFrame:
+    """Number the distinct values of a column from 1 in order, over range partitions."""
+    from poolcall.scaling import running_totals
+    return running_totals(df.select(col).distinct(), [F.col(col)], {out: F.lit(1)})
+
+
+def write_mex(mtx: DataFrame, path: str) -> None:
+    """(barcode, feature, feature_type, cnt) as a barcodes/features/matrix triple, surviving rows renumbered densely."""
+    rows = mtx.filter("cnt > 0")
+    bc, ft = cut(dense_index(rows, "barcode", "bi")), cut(dense_index(rows, "feature", "fi"))
+    types = rows.groupBy("feature").agg(F.max("feature_type").alias("feature_type"))
+    bc.coalesce(1).sortWithinPartitions("bi").select("barcode").write.text(f"{path}/barcodes")  # axis lists are single files by format
+    ft.join(types, "feature").coalesce(1).sortWithinPartitions("fi").select(
+        F.concat_ws("\t", "feature", "feature", "feature_type")).write.text(f"{path}/features")
+    body = rows.join(bc, "barcode").join(ft, "feature").select(F.concat_ws(" ", "fi", "bi", "cnt").alias("value"))
+    n = rows.agg(F.count(F.lit(1)).alias("n")).join(F.broadcast(bc.agg(F.count(F.lit(1)).alias("b")))).join(F.broadcast(ft.agg(F.count(F.lit(1)).alias("f"))))
+    head = n.select(F.explode(F.array(F.lit("%%MatrixMarket matrix coordinate integer general"), F.concat_ws(" ", "f", "b", "n"))).alias("value"))
+    head.coalesce(1).union(body).write.text(f"{path}/matrix")
