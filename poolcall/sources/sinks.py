@@ -69,3 +69,9 @@ def write_mex(mtx: DataFrame, path: str) -> None:
     n = rows.agg(F.count(F.lit(1)).alias("n")).join(F.broadcast(bc.agg(F.count(F.lit(1)).alias("b")))).join(F.broadcast(ft.agg(F.count(F.lit(1)).alias("f"))))
     head = n.select(F.explode(F.array(F.lit("%%MatrixMarket matrix coordinate integer general"), F.concat_ws(" ", "f", "b", "n"))).alias("value"))
     head.coalesce(1).union(body).write.text(f"{path}/matrix")
+
+
+def write_contamination(rates: DataFrame, profile: DataFrame, path: str) -> None:
+    """Rate table by barcode over range partitions, and the profile (one row per member)."""
+    rates.repartitionByRange("barcode").sortWithinPartitions("barcode").select("barcode", "c", "se").write.csv(f"{path}/contam_rate", sep="\t")
+    profile.orderBy(F.desc("share")).select("sample", "share").write.csv(f"{path}/contam_prof", sep="\t")
