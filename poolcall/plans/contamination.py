@@ -192,9 +192,9 @@ def _ambient(fx):
     return g.join(F.broadcast(t)).select("gene", (F.col("n") / F.col("t")).alias("a"))
 
 
-@register("i23_remove_ambient", f"""SELECT barcode, gene, cnt, {rq('remaining', 4)} AS remaining FROM fx_clean""")
+@register("i23_remove_ambient", f"""SELECT barcode, gene, cnt, {rq('remaining', 6)} AS remaining FROM fx_clean""")
 def i23(fx):
-    return fx.fx_clean.select("barcode", "gene", "cnt", r(remaining, 4).alias("remaining"))
+    return fx.fx_clean.select("barcode", "gene", "cnt", r("remaining", 6).alias("remaining"))
 
 
 @register("h15_rounded_counts", """

@@ -75,3 +75,15 @@ def write_contamination(rates: DataFrame, profile: DataFrame, path: str) -> None
     """Rate table by barcode over range partitions, and the profile (one row per member)."""
     rates.repartitionByRange("barcode").sortWithinPartitions("barcode").select("barcode", "c", "se").write.csv(f"{path}/contam_rate", sep="\t")
     profile.orderBy(F.desc("share")).select("sample", "share").write.csv(f"{path}/contam_prof", sep="\t")
+
+
+def haplotype_texts(cons: DataFrame) -> DataFrame:
+    """One 0/1/- text per cluster over its sites in order (a cluster has at most one row per site)."""
+    g = cons.groupBy("cluster").agg(F.array_sort(F.collect_list(F.struct("pos", "allele"))).alias("a"))
+    return g.select("cluster", F.array_join(F.transform("a", lambda x: F.coalesce(x["allele"].cast("string"), F.lit("-"))), "").alias("hap"))
+
+
+def haplotype_table(haps: DataFrame, sites: list[int]) -> DataFrame:
+    """One column per site with 0, 1 or NA."""
+    m = haps.groupBy("barcode").agg(F.map_from_entries(F.collect_list(F.struct("pos", "allele"))).alias("m"))
+    return m.select("barcode", *[F.coalesce(F.col("m")[F.lit(s).cast("bigint")].cast("string"), F.lit("NA")).alias(f"s{s}") for s in sites])
