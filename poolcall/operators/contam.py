@@ -258,7 +258,9 @@ def remove_ambient(counts: DataFrame, ambient: DataFrame) -> DataFrame:
     d = (d.withColumn("rm", F.sum("cnt").over(cell) * F.col("c")).withColumn("at_", F.sum("a").over(cell))
          .withColumn("c0", F.coalesce(F.sum("cnt").over(before), F.lit(0))).withColumn("a0", F.coalesce(F.sum("a").over(before), F.lit(0.0))))
     lam = (F.col("rm") - F.col("c0")) / F.greatest(F.col("at_") - F.col("a0"), F.lit(1e-300))
-    d = d.withColumn("lam_", lam).withColumn("lam", F.min(F.when(F.round("lam_", 6) <= F.col("ratio"), F.col("lam_"))).over(cell))
+    # the first gene that the multiplier leaves above zero fixes it
+    d = d.withColumn("lam_", lam).withColumn(
+        "lam", F.min(F.when(F.round("lam_", 6) <= F.col("ratio"), F.struct("ratio", "gene", "lam_"))).over(cell)["lam_"])
     left = F.when(F.col("lam").isNull(), 0.0).otherwise(F.greatest(F.col("cnt") - F.col("lam") * F.col("a"), F.lit(0.0)))
     return d.select("barcode", "gene", "cnt", left.alias("remaining"))
 

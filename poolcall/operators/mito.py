@@ -136,6 +136,7 @@ def discover(group_calls: DataFrame, keys: list[str] | None = None, max_len: int
 
     All lengths are counted in one job; only when a key has not stopped within ``max_len`` groups is it doubled."""
     keys = keys or []
+    group_calls = cut(group_calls)  # read for the number of groups and for every length tried
     n_groups = group_calls.agg(F.max("ord").alias("m")).first().m
     while True:
         sizes = cut(prefix_sizes(group_calls, keys, max_len))

@@ -132,7 +132,7 @@ def i21(fx):
     return rates.select("barcode", r("c").alias("c"), r("se").alias("se"))
 
 
-add_view("fx_rates", "SELECT barcode, CAST(0.02 + (barcode % 11) / 100.0 AS DOUBLE) AS c FROM fx_truth")
+add_view("fx_rates", "SELECT barcode, CAST(0.02 + (barcode % 11) / 97.0 AS DOUBLE) AS c FROM fx_truth")
 
 
 @register("e30_rates_by_member", f"""
@@ -181,7 +181,7 @@ add_view("fx_clean", """
                  coalesce(sum(cnt) OVER o, 0) AS c0, coalesce(sum(a) OVER o, 0) AS a0 FROM d
           WINDOW o AS (PARTITION BY barcode ORDER BY ratio, gene ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
     l AS (SELECT *, (rm - c0) / greatest(at_all - a0, 1e-300) AS lam0 FROM w),
-    m AS (SELECT *, min(CASE WHEN round(lam0, 6) <= ratio THEN lam0 END) OVER (PARTITION BY barcode) AS lam FROM l)
+    m AS (SELECT *, (min(CASE WHEN round(lam0, 6) <= ratio THEN {'r': ratio, 'g': gene, 'l': lam0} END) OVER (PARTITION BY barcode)).l AS lam FROM l)
     SELECT barcode, gene, cnt, CASE WHEN lam IS NULL THEN 0.0 ELSE greatest(cnt - lam * a, 0.0) END AS remaining FROM m""",
          lambda fx: A.remove_ambient(fx.fx_expr, _ambient(fx)))
 
