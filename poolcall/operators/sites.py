@@ -192,35 +192,40 @@ def member_allocation(identity_site: DataFrame, passes: int = 5) -> DataFrame:
     A doublet's expected rate is the mean of its members; each pass splits its alt and ref reads in proportion to the
     members' current rates. ``identity_site`` holds (i, j, site_id, ref_w, alt_w)."""
     base = identity_site.select("i", "j", "site_id", (F.col("ref_w") / 1e6).alias("ref"), (F.col("alt_w") / 1e6).alias("alt"))
-    own = base.filter("i = j").select("site_id", F.col("i").alias("m"), F.col("ref").alias("r0"), F.col("alt").alias("a0"))
     # one row per site holds all its identities: at most the pool's pairs, and nothing is shuffled in the passes
     rows = base.groupBy("site_id").agg(F.collect_list(F.struct("i", "j", "ref", "alt")).alias("ids"))
     mem = F.array_sort(F.array_distinct(F.flatten(F.transform("ids", lambda x: F.array(x["i"], x["j"])))))
     d = rows.withColumn("mem", mem)
+    d = d.withColumn("f", F.transform("mem", lambda m: F.struct(m.alias("m"), F.lit(0.5).alias("f"), F.lit(0.0).alias("n"))))
+
+    from poolcall.functions.expr import pin
 
     def rate(m):
         return F.get(F.filter("f", lambda z: z["m"] == m), F.lit(0))["f"]
 
-    d = d.withColumn("f", F.transform("mem", lambda m: F.struct(m.alias("m"), F.lit(0.5).alias("f"), F.lit(0.0).alias("n"))))
-    from poolcall.functions.expr import pin
-
-    def share(m, x):
-        own_ = F.when(x["i"] == m, x["i"]).otherwise(x["j"])
-        oth = F.when(x["i"] == m, x["j"]).otherwise(x["i"])
-        p, q = rate(own_), rate(oth)
-        single = x["i"] == x["j"]
+    def split(x):  # shares of i and j in the alt and in the ref reads of one identity
+        p, q, single = x["p"], x["q"], x["i"] == x["j"]
         ka = F.when(single, 1.0).otherwise(F.when(p + q > 0, p / (p + q)).otherwise(0.5))
         kr = F.when(single, 1.0).otherwise(F.when(2 - p - q > 0, (1 - p) / (2 - p - q)).otherwise(0.5))
-        return F.struct((x["alt"] * ka).alias("a"), (x["ref"] * kr).alias("r"))
+        return F.struct(x["i"].alias("i"), x["j"].alias("j"), (x["alt"] * ka).alias("ai"), (x["ref"] * kr).alias("ri"),
+                        (x["alt"] * (1 - ka)).alias("aj"), (x["ref"] * (1 - kr)).alias("rj"))
 
     def update(m):
-        mine = F.filter("ids", lambda x: (x["i"] == m) | (x["j"] == m))
-        s = F.aggregate(F.transform(mine, lambda x: share(m, x)), F.struct(F.lit(0.0).alias("a"), F.lit(0.0).alias("r")),
-                        lambda t, z: F.struct((t["a"] + z["a"]).alias("a"), (t["r"] + z["r"]).alias("r")))
-        return F.struct(m.alias("m"), F.when(s["a"] + s["r"] > 0, F.round(s["a"] / (s["a"] + s["r"]), 9)).otherwise(F.lit(0.5)).alias("f"), (s["a"] + s["r"]).alias("n"))
+        s = F.aggregate("parts", F.struct(F.lit(0.0).alias("a"), F.lit(0.0).alias("r")), lambda t, x: F.when(
+            x["i"] == m, F.struct((t["a"] + x["ai"]).alias("a"), (t["r"] + x["ri"]).alias("r"))).when(
+            x["j"] == m, F.struct((t["a"] + x["aj"]).alias("a"), (t["r"] + x["rj"]).alias("r"))).otherwise(t))
+        return F.struct(m.alias("m"), s.alias("s"))
+
+    def settle(z):
+        n = z["s"]["a"] + z["s"]["r"]
+        return F.struct(z["m"].alias("m"), F.when(n > 0, F.round(z["s"]["a"] / n, 9)).otherwise(F.lit(0.5)).alias("f"), n.alias("n"))
 
     for _ in range(passes):
-        d = pin(d, f=F.transform("mem", update))
+        d = pin(d, seen=F.transform("ids", lambda x: F.struct(
+            x["i"].alias("i"), x["j"].alias("j"), x["ref"].alias("ref"), x["alt"].alias("alt"), rate(x["i"]).alias("p"), rate(x["j"]).alias("q"))))
+        d = pin(d, parts=F.transform("seen", split))
+        d = pin(d, sums=F.transform("mem", update))
+        d = pin(d, f=F.transform("sums", settle))
     return d.select("site_id", F.explode("f").alias("z")).select("site_id", F.col("z.m").alias("sample"), F.col("z.f").alias("rate"), F.col("z.n").alias("depth"))
 
 

@@ -132,7 +132,7 @@ def i21(fx):
     return rates.select("barcode", r("c").alias("c"), r("se").alias("se"))
 
 
-add_view("fx_rates", "SELECT barcode, CAST(0.02 + (barcode % 11) / 97.0 AS DOUBLE) AS c FROM fx_truth")
+add_view("fx_rates", "SELECT barcode, CAST(2 + barcode % 11 AS DOUBLE) / CAST(97 AS DOUBLE) AS c FROM fx_truth")
 
 
 @register("e30_rates_by_member", f"""

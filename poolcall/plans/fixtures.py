@@ -172,17 +172,26 @@ class Fixtures:
             self._seen[name] = own(self) if own else self.sql(VIEWS[name])
         return self._seen[name]
 
-    def sql(self, text: str) -> DataFrame:
+    def spread_sql(self, text: str, table: str, *keys: str) -> DataFrame:
+        """As :meth:`sql`, with a scan of few splits spread over the cores first (the steps after it multiply rows)."""
+        from poolcall.scaling import spread
+        return self.sql(text, {table: spread(self.table(table), *keys)})
+
+    def sql(self, text: str, given: dict[str, DataFrame] | None = None) -> DataFrame:
         """Run SQL over base tables and fixture views."""
         names = sorted({w for w in re.findall(r"\b[a-z_]+\b", text) if w in BASE_TABLES or w in VIEWS})
         marked = text.replace("{", "{{").replace("}", "}}")
         for n in names:
             marked = re.sub(rf"(?i)\b(FROM|JOIN)\s+{n}\b", rf"\1 {{{n}}}", marked)
         used = [n for n in names if f"{{{n}}}" in marked]
-        return self.spark.sql(marked, **{n: (self.table(n) if n in BASE_TABLES else self.view(n)) for n in used})
+        given = given or {}
+        return self.spark.sql(marked, **{n: given[n] if n in given else (self.table(n) if n in BASE_TABLES else self.view(n)) for n in used})
 
     # Spark forms that use an operator or avoid a join
 
+    def _fx_reads(self) -> DataFrame:
+        return self.spread_sql(VIEWS["fx_reads"], "lineitem", "l_orderkey", "l_linenumber")
+
     def _fx_genotypes(self) -> DataFrame:
         from poolcall.session import collect_bounded
         members = sorted(x.sample for x in collect_bounded(self.fx_samples.select("sample"), 2048))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from poolcall.operators import homology as H, mito as M
-from poolcall.plans.fixtures import add_view
+from poolcall.plans.fixtures import VIEWS, add_view
 from poolcall.plans.registry import r, register, rq
 from poolcall.session import cut, fresh_path
 from poolcall.sources import readers, sinks
@@ -18,7 +18,7 @@ add_view("fx_mt_bases", f"""
       SELECT l_orderkey AS fragment, l_suppkey AS barcode, l_partkey % {SITES} AS pos, l_linenumber AS qual,
              (l_orderkey * 61 + l_linenumber * 17) % 1000 < 10 AS wrong, (l_orderkey * 31 + l_linenumber * 7) % 700 = 3 AS third,
              {CARRY.format(s=f'(l_partkey % {SITES})', h='(CASE WHEN l_suppkey % 9 = 0 AND l_orderkey % 2 = 0 THEN (l_suppkey + 1) % 5 ELSE l_suppkey % 5 END)')} AS carry
-      FROM lineitem) q""")
+      FROM lineitem) q""", lambda fx: fx.spread_sql(VIEWS["fx_mt_bases"], "lineitem", "l_orderkey", "l_linenumber"))
 add_view("fx_spectrum", """
     SELECT pos, arg_max(base, (n, base)) FILTER (WHERE rk = 1) AS major, arg_max(base, (n, base)) FILTER (WHERE rk = 2) AS minor,
            max(n) FILTER (WHERE rk = 1) / sum(n) AS freq1, max(n) FILTER (WHERE rk = 2) / sum(n) AS freq2, CAST(sum(n) AS BIGINT) AS cov FROM (

@@ -10,9 +10,10 @@ from poolcall.session import collect_bounded, cut
 
 HOT_SHARE = 1 / 200  # a key with this share of the rows is split; at most 200 keys can be
 SALTS = 64
+FLOOR = 100_000
 
 
-def hot_keys(df: DataFrame, keys: list[str], share: float = HOT_SHARE, floor: int = 100_000) -> list:
+def hot_keys(df: DataFrame, keys: list[str], share: float = HOT_SHARE, floor: int = FLOOR) -> list:
     """Keys holding at least ``share`` of the rows (and ``floor`` rows). No more than 1/share exist,
     so the list is bounded whatever the data. Counting combines on the map side."""
     counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_"))
@@ -22,12 +23,21 @@ def hot_keys(df: DataFrame, keys: list[str], share: float = HOT_SHARE, floor: in
     return collect_bounded(counts.filter(F.col("n_") >= max(floor, total * share)).select(*keys), int(1 / share) + 1)
 
 
+def fits_broadcast(df: DataFrame) -> bool:
+    """Whether Spark's own estimate lets it broadcast ``df`` (the same figure its planner compares)."""
+    limit = df.sparkSession._jsparkSession.sessionState().conf().autoBroadcastJoinThreshold()
+    size = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
+    return int(str(size)) <= int(limit)
+
+
 def salted_join(big: DataFrame, small: DataFrame, keys: list[str], salt_by: list[str],
-                how: str = "inner", share: float = HOT_SHARE, floor: int = 100_000) -> DataFrame:
+                how: str = "inner", share: float = HOT_SHARE, floor: int = FLOOR) -> DataFrame:
     """Equi join in which the hot keys of ``big`` are spread over SALTS sub-keys.
 
     Rows of ``small`` are repeated only for hot keys, so the result is exactly that of the plain join.
     ``how`` is inner or left (``big`` on the left)."""
+    if floor >= FLOOR and fits_broadcast(small):
+        return big.join(small, keys, how)  # planned as a broadcast join: no key is ever shuffled
     hot = hot_keys(big, keys, share, floor)
     if not hot:
         return big.join(small, keys, how)
