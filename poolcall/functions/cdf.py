@@ -12,11 +12,18 @@ from pyspark.sql import functions as F, types as T
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])  # executors need not have this package
 
-_lgamma = np.vectorize(math.lgamma, otypes=[float])
-_erfc = np.vectorize(math.erfc, otypes=[float])
 TINY, TERMS, CLOSE = 1e-300, 2000, 1e-14
 
 
+def _lgamma(x):
+    # made anew each time: a vectorised function that has run once cannot be shipped to executors
+    return np.vectorize(math.lgamma, otypes=[float])(x)
+
+
+def _erfc(x):
+    return np.vectorize(math.erfc, otypes=[float])(x)
+
+
 def _gamma_lower(a: np.ndarray, x: np.ndarray) -> np.ndarray:
     """Regularised lower incomplete gamma: series below a + 1, continued fraction above."""
     a, x = np.broadcast_arrays(np.asarray(a, float), np.asarray(x, float))
