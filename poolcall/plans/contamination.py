@@ -105,7 +105,7 @@ def _share_sql(rows: str, c: float, passes: int, start: str) -> str:
     return sql
 
 
-CLASS_ROWS = f"""SELECT row_number() OVER () * 0 + dense_rank() OVER (ORDER BY i, ni, j, nj) AS id, n, k, pe, m,
+CLASS_ROWS = f"""SELECT dense_rank() OVER (ORDER BY i, ni, j, nj) AS id, n, k, pe, m,
     (f - f * {L.E_ALT} + (1 - f) * {L.E_REF}) AS f FROM (
       SELECT g.*, a.j AS m, coalesce((a.frac + b.frac) / 2, a.frac) AS f FROM (SELECT i, ni, j, nj, pe, sum(n) AS n, sum(k) AS k FROM fx_ev GROUP BY i, ni, j, nj, pe) g
       JOIN fx_cond a ON a.i = g.i AND a.ni = g.ni LEFT JOIN fx_cond b ON b.i = g.j AND b.ni = g.nj AND b.j = a.j) q"""

@@ -204,7 +204,7 @@ def b14t(fx):
 
 
 @register("a12_read_haps", f"""
-    SELECT CAST(row_number() OVER (ORDER BY cluster) - 1 AS BIGINT) * 0 + cluster AS cluster, CAST(rn - 1 AS INT) AS site, CAST(allele AS INT) AS allele FROM (
+    SELECT cluster, CAST(rn - 1 AS INT) AS site, CAST(allele AS INT) AS allele FROM (
       SELECT *, row_number() OVER (PARTITION BY cluster ORDER BY pos) AS rn FROM fx_consensus) q WHERE allele IS NOT NULL""")
 def a12(fx):
     path = fresh_path(fx.spark, "haps")
