@@ -259,8 +259,9 @@ def voted_offset(reads: DataFrame, tags: DataFrame, length: int) -> int:
     """The commonest place at which a tag occurs unchanged; reads with equal text are looked at once."""
     d = reads.groupBy("seq").agg(F.count(F.lit(1)).alias("n"))
     last = F.length("seq") - (length - 1)
-    w = d.filter(last >= 1).select("n", F.explode(F.transform(F.sequence(F.lit(1), last), lambda p: F.struct(
-        p.alias("pos"), F.substring(F.col("seq"), p, F.lit(length)).alias("text")))).alias("w")).select("n", "w.pos", "w.text")
+    # an outer explode adds no filter that would be evaluated on every read below the grouping
+    w = d.select("n", F.explode_outer(F.when(last >= 1, F.transform(F.sequence(F.lit(1), last), lambda p: F.struct(
+        p.alias("pos"), F.substring(F.col("seq"), p, F.lit(length)).alias("text"))))).alias("w")).select("n", "w.pos", "w.text")
     votes = w.join(tags.select(F.col("seq").alias("text")), "text").groupBy("pos").agg(F.sum("n").alias("votes"))
     top = votes.agg(F.max_by("pos", F.struct("votes", (-F.col("pos")).alias("p"))).alias("pos")).first()
     return top.pos
