@@ -6,9 +6,26 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from poolcall.llm.common import table
+from poolcall.llm.common import table, word_count
+from poolcall.llm.language import identify_held_out
+from poolcall.llm.line_quality import line_quality
+from poolcall.llm.mixing import mix
+from poolcall.llm.packing import pack_documents
 from poolcall.llm.simhash import near_duplicates
 from poolcall.llm.substrings import dedup_substrings
+from poolcall.llm.tokens import count_tokens, read_vocabulary
+
+
+def op2_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return identify_held_out(table(spark, sf_dir, "documents"))
+
+
+def op3_line_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return count_tokens(table(spark, sf_dir, "documents"), read_vocabulary())
 
 
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -21,5 +38,52 @@ def op7_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cut.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op6_simhash, op7_substrings)}
-ORACLES: dict[str, str] = {}
+def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack_documents(table(spark, sf_dir, "documents").select("doc_id", word_count("text").alias("n_tokens")))
+
+
+def source_tree() -> dict:
+    """Domain, language and source of a document; the tables name no domains, so sources are grouped by their last digit."""
+    return {"domain": F.concat(F.lit("d"), F.substring("source", -1, 1)), "language": F.col("lang"), "leaf": F.col("source")}
+
+
+def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix(table(spark, sf_dir, "documents"), source_tree(), share=MIX_SHARE, epochs=MIX_EPOCHS, seed=MIX_SEED)
+
+
+MIX_SHARE, MIX_EPOCHS, MIX_SEED = 0.8, 2, 7
+
+
+def _level(path: list[str], parent: str) -> str:
+    """DuckDB form of one level of the budget tree."""
+    keys, up, name = ", ".join(path), ", ".join(path[:-1]), f"n{len(path)}"
+    part = f"PARTITION BY {up}" if up else ""
+    join = f"JOIN {parent} USING ({up})" if up else f"CROSS JOIN {parent}"
+    order = f"cap / weight, {path[-1]}"
+    return f"""
+{name}a AS (SELECT {keys}, sum(supply) * {MIX_EPOCHS} AS cap, greatest(floor(sqrt(CAST(sum(supply) AS DOUBLE))), 1)::DOUBLE AS weight FROM leaves GROUP BY {keys}),
+{name}b AS (SELECT {keys}, cap, weight, alloc,
+  (alloc - coalesce(sum(cap) OVER ({part} ORDER BY {order} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
+  / (sum(weight) OVER ({part}) - coalesce(sum(weight) OVER ({part} ORDER BY {order} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) AS lvl
+  FROM {name}a {join}),
+{name}c AS (SELECT *, first_value(CASE WHEN cap > lvl * weight THEN lvl END IGNORE NULLS) OVER ({part} ORDER BY {order} ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS mark FROM {name}b),
+{name} AS (SELECT {keys}, CASE WHEN mark IS NULL THEN cap::DOUBLE ELSE least(cap::DOUBLE, mark * weight) END AS alloc FROM {name}c)"""
+
+
+OP10_SQL = f"""
+WITH t AS (SELECT doc_id, coalesce('d' || right(source, 1), '(none)') AS domain, coalesce(lang, '(none)') AS language, coalesce(source, '(none)') AS leaf,
+  coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS n_tokens FROM documents),
+leaves AS (SELECT domain, language, leaf, sum(n_tokens)::BIGINT AS supply FROM t GROUP BY ALL),
+n0 AS (SELECT least(floor(sum(supply) * CAST({MIX_SHARE} AS DOUBLE)), sum(supply) * {MIX_EPOCHS})::DOUBLE AS alloc FROM leaves),
+{_level(["domain"], "n0")}, {_level(["domain", "language"], "n1")}, {_level(["domain", "language", "leaf"], "n2")},
+plan AS (SELECT domain, language, leaf, supply, floor(alloc)::BIGINT AS target FROM leaves JOIN n3 USING (domain, language, leaf)),
+p2 AS (SELECT *, CASE WHEN supply > 0 THEN target // supply ELSE 0 END AS full_epochs FROM plan),
+drawn AS (SELECT t.*, p2.target, p2.full_epochs, p2.target - p2.full_epochs * p2.supply AS rest,
+  md5('{MIX_SEED}:' || p2.full_epochs || ':' || coalesce(doc_id::VARCHAR, '')) AS key FROM t JOIN p2 USING (domain, language, leaf)),
+ran AS (SELECT *, sum(n_tokens) OVER (PARTITION BY domain, language, leaf ORDER BY key, doc_id, n_tokens ROWS UNBOUNDED PRECEDING) - n_tokens AS before FROM drawn)
+SELECT doc_id, domain, language, leaf, n_tokens,
+  (CASE WHEN n_tokens > 0 THEN full_epochs ELSE 0 END + CASE WHEN n_tokens > 0 AND before < rest THEN 1 ELSE 0 END)::BIGINT AS copies, target FROM ran
+"""
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_language, op3_line_quality, op4_token_counts, op6_simhash, op7_substrings, op8_packing, op10_mixing)}
+ORACLES: dict[str, str] = {"op10_mixing": OP10_SQL}
