@@ -10,10 +10,17 @@ from poolcall.llm.common import table, word_count
 from poolcall.llm.language import identify_held_out
 from poolcall.llm.line_quality import line_quality
 from poolcall.llm.mixing import mix
+from poolcall.llm.neighbours import nearest
 from poolcall.llm.packing import pack_documents
 from poolcall.llm.simhash import near_duplicates
 from poolcall.llm.substrings import dedup_substrings
 from poolcall.llm.tokens import count_tokens, read_vocabulary
+from poolcall.llm.tool_calls import link_tool_calls
+from poolcall.llm.weak_quality import weak_quality
+
+
+def op1_weak_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return weak_quality(table(spark, sf_dir, "documents"))
 
 
 def op2_language(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -28,6 +35,29 @@ def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(table(spark, sf_dir, "documents"), read_vocabulary())
 
 
+TOOLS = [("answer", "question", "string", True), ("answer", "turn", "integer", True), ("answer", "after", "string", False),
+         ("search", "question", "string", True), ("search", "turn", "integer", True)]
+
+
+def op5_tool_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The conversations hold no tool calls, so each user turn is taken as one and the assistant's next turn as its result.
+
+    Long questions call ``search``, others ``answer``. A call depends on the conversation's call two turns before; in each
+    third conversation on the one two turns later, so the order of turns must be turned round. ``search`` knows no
+    ``after``, so calls of that kind that name one are invalid."""
+    turns = table(spark, sf_dir, "conversations").filter("conv_id IS NOT NULL AND turn IS NOT NULL")
+    call_id = lambda turn: F.concat_ws("-", F.lit("call"), F.col("conv_id").cast("string"), turn.cast("string"))
+    asked = turns.filter("role = 'user'").withColumn("step", F.when(F.col("conv_id") % 3 == 0, F.lit(2)).otherwise(F.lit(-2)))
+    named = asked.select("conv_id", "turn", "text", call_id(F.col("turn")).alias("call_id"), call_id(F.col("turn") + F.col("step")).alias("on"),
+                         F.when(F.length("text") > 200, "search").otherwise("answer").alias("name"))
+    ids = named.select("conv_id", F.col("call_id").alias("on")).distinct()
+    depends = named.select("conv_id", "call_id", "on").join(ids, ["conv_id", "on"], "left_semi")
+    after = F.when(F.col("conv_id") % 7 == 1, F.col("on"))
+    calls = named.select("conv_id", "turn", "call_id", "name", F.to_json(F.struct(F.col("turn"), F.col("text").alias("question"), after.alias("after"))).alias("arguments"))
+    results = turns.filter("role = 'assistant'").select("conv_id", call_id(F.col("turn") - 1).alias("call_id"), F.col("text").alias("content"))
+    return link_tool_calls(calls, results, spark.createDataFrame(TOOLS, "name string, param string, type string, required boolean"), depends)
+
+
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = near_duplicates(table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
@@ -47,6 +77,10 @@ def source_tree() -> dict:
     return {"domain": F.concat(F.lit("d"), F.substring("source", -1, 1)), "language": F.col("lang"), "leaf": F.col("source")}
 
 
+def op9_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest(table(spark, sf_dir, "embeddings"))
+
+
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents"), source_tree(), share=MIX_SHARE, epochs=MIX_EPOCHS, seed=MIX_SEED)
 
@@ -85,5 +119,6 @@ SELECT doc_id, domain, language, leaf, n_tokens,
   (CASE WHEN n_tokens > 0 THEN full_epochs ELSE 0 END + CASE WHEN n_tokens > 0 AND before < rest THEN 1 ELSE 0 END)::BIGINT AS copies, target FROM ran
 """
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_language, op3_line_quality, op4_token_counts, op6_simhash, op7_substrings, op8_packing, op10_mixing)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (
+    op1_weak_quality, op2_language, op3_line_quality, op4_token_counts, op5_tool_calls, op6_simhash, op7_substrings, op8_packing, op9_neighbours, op10_mixing)}
 ORACLES: dict[str, str] = {"op10_mixing": OP10_SQL}
