@@ -62,6 +62,8 @@ def repeated_words(x: np.ndarray, window: int = REPEAT_WINDOW) -> np.ndarray:
 
 def line_features(text: str) -> tuple[np.ndarray, np.ndarray]:
     """Of each line with a word: the active feature of every group, and its words."""
+    if not text.strip(" \t\n\x0b\x0c\r"):
+        return np.empty((0, len(EDGES)), np.int64), np.empty(0, np.int64)
     cp = np.frombuffer(text.encode("utf-32-le"), np.uint32)
     cls = np.where(cp < 256, CLASSES[np.minimum(cp, 255)], LETTER).astype(np.uint8)
     ends = np.r_[np.flatnonzero(cp == 10), len(cp)]

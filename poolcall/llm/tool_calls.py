@@ -20,8 +20,8 @@ def order_calls(calls: DataFrame, depends: DataFrame, max_rounds: int = MAX_ROUN
     ``seq`` numbers the calls of a conversation from 1 so that each comes after those it depends on, otherwise by turn and
     call_id. A call's place is the larger of its own turn and the places it depends on, one step after a place taken over. Where
     every call follows what it depends on, turns are such an order already, so only links that point forward in the
-    conversation move anything, and a round of joins is needed only for each step of such a chain. Calls
-    still moving after ``max_rounds`` stand in a cycle (or a longer chain) and are marked ``late``."""
+    conversation move anything, and a round of joins is needed only for each step of such a chain. A conversation
+    with calls still moving after ``max_rounds`` holds a cycle (or a longer chain); its calls are marked ``late``."""
     links = cut(depends.filter("call_id <> on").join(calls.select("conv_id", F.col("call_id").alias("on")), ["conv_id", "on"], "left_semi").distinct())
     place = cut(calls.select("conv_id", "call_id", F.col("turn").alias("at"), F.lit(0).alias("step"), F.lit(False).alias("late")))
     for _ in range(0 if links.isEmpty() else max_rounds):
@@ -34,6 +34,8 @@ def order_calls(calls: DataFrame, depends: DataFrame, max_rounds: int = MAX_ROUN
         if place.filter("late").isEmpty():
             break
     turns = calls.select("conv_id", "call_id", "turn")
+    moving = place.filter("late").select("conv_id").distinct().withColumn("late", F.lit(True))
+    place = place.drop("late").join(moving, "conv_id", "left").withColumn("late", F.coalesce("late", F.lit(False)))
     return rank_in_groups(place.join(turns, ["conv_id", "call_id"]), ["conv_id"], [F.col("at"), F.col("step"), F.col("turn"), F.col("call_id")], "seq").select(
         "conv_id", "call_id", F.col("seq").cast("bigint").alias("seq"), "late")
 

@@ -13,7 +13,7 @@ ABSTAIN, BAD, GOOD = 0, 1, 2
 BUCKETS = 1 << 15  # hashed features: words in the lower half, word shapes in the upper
 FIT_DOCS = 12_000  # documents that the scorer is fitted on, about
 FIT_WORDS = 20_000  # longer documents are left out of the fit (never out of the scores)
-SHARDS = 12
+SHARD_DOCS = 1_000  # documents that one shard of the fit trains on, about
 EPOCHS = 4
 
 CAPITAL, SYMBOL = frozenset(range(65, 91)), frozenset(b"#*$%&|<>")
@@ -128,11 +128,12 @@ def _train(posterior: dict[int, float], epochs: int):
     return run
 
 
-def fit_scorer(docs: DataFrame, posterior: dict[int, float], total: int, fit_docs: int = FIT_DOCS, shards: int = SHARDS, epochs: int = EPOCHS) -> np.ndarray:
+def fit_scorer(docs: DataFrame, posterior: dict[int, float], total: int, fit_docs: int = FIT_DOCS, epochs: int = EPOCHS) -> np.ndarray:
     """Weights and bias: each shard of a bounded sample trains on its own, their weights are averaged by documents."""
     span = 1 << 20
     part = min(span, -(-span * fit_docs // max(1, total)))
     few = docs.select("doc_id", "text").filter((F.pmod(F.xxhash64(F.lit(5), "doc_id"), F.lit(span)) < part) & (F.length("text") <= 10 * FIT_WORDS))
+    shards = max(1, min(total, fit_docs) // SHARD_DOCS)
     dealt = few.withColumn("shard", F.pmod(F.xxhash64(F.lit(9), "doc_id"), F.lit(shards)))
     made = dealt.groupBy("shard").applyInPandas(_train(posterior, epochs), "w binary, n long").collect()  # one row a shard
     n = sum(r["n"] for r in made)
