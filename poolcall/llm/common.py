@@ -72,6 +72,17 @@ def record_batch(columns, schema: pa.Schema) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema)], schema=schema)
 
 
+SLICE = 1_000  # rows of a batch that are Python objects at one time
+
+
+def slices(batches, rows: int = SLICE):
+    """The batches in short slices, so a worker's memory stays that of a slice; freed buffers go back to the system."""
+    for b in batches:
+        for k in range(0, b.num_rows, rows):
+            yield b.slice(k, rows)
+        pa.default_memory_pool().release_unused()
+
+
 def map_batches(df: DataFrame, fn: Callable, ddl: str) -> DataFrame:
     """``fn`` gets the columns of one Arrow batch as lists and returns the output columns."""
     schema = arrow_schema(ddl)
@@ -91,7 +102,7 @@ def map_texts(df: DataFrame, fn: Callable, ddl: str, *keep: str, text: str = "te
     schema = arrow_schema(full)
 
     def run(batches):
-        for b in batches:
+        for b in slices(batches):
             if b.num_rows:
                 made = list(zip(*[fn(t) for t in b.column(len(keep)).to_pylist()]))
                 kept = [b.column(i) for i in range(len(keep))]

@@ -7,7 +7,7 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame, functions as F
 
-from poolcall.llm.common import arrow_schema, mixed, partitions_of, record_batch, window_hashes, word_hashes
+from poolcall.llm.common import arrow_schema, mixed, partitions_of, record_batch, slices, window_hashes, word_hashes, words_of
 
 WINDOW = 20
 PERIOD = 13
@@ -16,6 +16,7 @@ BUCKETS_PER_PARTITION = 4
 
 ENTRY = "bucket int, kind int, hashes binary, docs binary"
 OPEN, SETTLED, KNOWN = 0, 1, 2
+ENTRY_ROWS = 2_500  # documents whose hashes are combined before they are sent
 
 
 def check_cover(window: int, period: int, cover: tuple) -> int:
@@ -69,10 +70,10 @@ def _anchor_entries(window, period, cover, buckets):
     schema = arrow_schema(ENTRY)
 
     def run(batches):
-        for b in batches:
+        for b in slices(batches, ENTRY_ROWS):
             hashes, docs, twice = [], [], []
-            for doc, packed in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                x = word_hashes(unpack(packed))
+            for doc, text in zip(b.column(0).to_pylist(), b.column(1)):
+                x = word_hashes(words_of(text.as_py()))
                 if len(x) < window:
                     continue
                 h, n = np.unique(window_hashes(x, size)[anchor_places(len(x), size, period, cover)], return_counts=True)
@@ -113,11 +114,9 @@ def _window_entries(window, period, cover, buckets):
     schema = arrow_schema(ENTRY)
 
     def run(batches):
-        for b in batches:
+        for b in slices(batches, ENTRY_ROWS):
             hashes, docs = [], []
             for doc, packed, shared in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), list_values(b.column(2))):
-                if shared is None:
-                    continue
                 x = word_hashes(unpack(packed))
                 at = anchor_places(len(x), size, period, cover)
                 hit = at[np.isin(window_hashes(x, size)[at], shared)]
@@ -134,7 +133,6 @@ def _window_entries(window, period, cover, buckets):
             order = np.lexsort((docs, hashes))
             hashes, docs = hashes[order], docs[order]
             later = np.r_[False, hashes[1:] == hashes[:-1]][:len(hashes)]
-            again = later & np.r_[False, docs[1:] != docs[:-1]][:len(hashes)]
             first_doc = docs[np.maximum.accumulate(np.where(later, 0, np.arange(len(docs))))]
             again = later & (docs != first_doc)
             lead_h, lead_d = _by_doc(hashes[~later], docs[~later])
@@ -176,7 +174,7 @@ def _packed(docs: DataFrame, carry: list[str]) -> DataFrame:
 
     def run(batches):
         press = zstandard.ZstdCompressor(level=1)
-        for b in batches:
+        for b in slices(batches):
             packed = [press.compress(t.encode()) if t else None for t in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0).cast(pa.int64()), pa.array(packed, pa.binary()), *(b.column(2 + i).cast(schema.field(2 + i).type) for i in range(len(carry)))], schema=schema)
 
@@ -212,7 +210,7 @@ def _cut_texts(window, carry_ddl: list[str]):
         return n, int(gone.sum()), spans, b" ".join([w for w, g in zip(words, gone.tolist()) if not g]).decode()
 
     def run(batches):
-        for b in batches:
+        for b in slices(batches):
             if b.num_rows:
                 made = list(zip(*[one(p, f) for p, f in zip(b.column(1).to_pylist(), list_values(b.column(2)))]))
                 rest = [b.column(3 + i).cast(schema.field(5 + i).type) for i in range(len(carry_ddl))]
@@ -240,8 +238,7 @@ def dedup_substrings(docs: DataFrame, carry: tuple = (), window: int = WINDOW, p
     buckets = BUCKETS_PER_PARTITION * partitions_of(docs.sparkSession)
     packed = _packed(docs.filter("doc_id IS NOT NULL"), carry)
     kinds = {f.name: f.dataType.simpleString() for f in docs.schema}
-    bare = packed.select("doc_id", "packed")
-    shared = (bare.mapInArrow(_anchor_entries(window, period, cover, buckets), ENTRY).groupBy("bucket")
+    shared = (docs.filter("doc_id IS NOT NULL").select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(_anchor_entries(window, period, cover, buckets), ENTRY).groupBy("bucket")
               .applyInArrow(_shared_anchors, "doc_id bigint, hash bigint").groupBy("doc_id").agg(F.collect_set("hash").alias("shared")))
     extended = packed.join(shared, "doc_id").select("doc_id", "packed", "shared")
     flagged = (extended.mapInArrow(_window_entries(window, period, cover, buckets), ENTRY).groupBy("bucket")
