@@ -7,36 +7,67 @@ from pyspark.sql import Column, DataFrame, functions as F
 from poolcall.scaling import rank_in_groups
 from poolcall.session import cut
 
-MAX_ROUNDS = 50
+SALTS = 16  # a conversation's calls meet its flags under so many keys
 FITS = {  # JSON schema type to the start of the type names of a value
     "integer": ["BIGINT"], "number": ["BIGINT", "DECIMAL", "DOUBLE", "FLOAT"], "string": ["STRING"],
     "boolean": ["BOOLEAN"], "array": ["ARRAY"], "object": ["OBJECT"], "null": ["VOID"],
 }
 
 
-def order_calls(calls: DataFrame, depends: DataFrame, max_rounds: int = MAX_ROUNDS) -> DataFrame:
+def in_flagged(calls: DataFrame, conversations: DataFrame, how: str) -> DataFrame:
+    """``calls`` joined with ``conversations(conv_id, ...)``, one row each; a very long conversation meets it in several tasks."""
+    salt = F.pmod(F.xxhash64("call_id"), F.lit(SALTS)).cast("int")
+    spread = conversations.withColumn("salt_", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return calls.withColumn("salt_", salt).join(spread, ["conv_id", "salt_"], how).drop("salt_")
+
+
+def shorten(waits: DataFrame, longest: int) -> DataFrame:
+    """One round over ``waits(conv_id, call_id, at, step, on, k)``: a call's place is at least ``(at, step)`` and ``k`` steps after ``on``.
+
+    A link to a call that waits for at most one other is replaced by a link to what that one waits for, with both step
+    counts added, so a chain halves with each round and no round has more links than the last. ``turned`` marks a link
+    that came back to its own call or is longer than any order allows: a cycle, which is dropped."""
+    held = waits.groupBy("conv_id", F.col("call_id").alias("on")).agg(
+        F.max(F.struct("at", "step")).alias("p"), F.count("on").alias("links"), F.max("on").alias("next"), F.max("k").alias("more"))
+    met = waits.join(held, ["conv_id", "on"], "left")
+    free = F.coalesce(F.col("links") <= 1, F.lit(False))
+    own = F.struct("at", "step")
+    place = F.when(free, F.greatest(own, F.struct(F.col("p.at").alias("at"), (F.col("p.step") + F.col("k")).alias("step")))).otherwise(own)
+    moved = met.select("conv_id", "call_id", place.alias("p"), F.when(free, F.col("next")).otherwise(F.col("on")).alias("on"),
+                       F.when(free, F.col("k") + F.col("more")).otherwise(F.col("k")).alias("k"), free.alias("moved"), "turned")
+    turned = F.coalesce((F.col("on") == F.col("call_id")) | (F.col("k") >= longest), F.lit(False))
+    ended = moved.withColumn("turned", F.col("turned") | turned).withColumn("on", F.when(~turned, F.col("on")))
+    return (ended.groupBy("conv_id", "call_id", "on").agg(F.max("p").alias("p"), F.max("k").alias("k"), F.max("moved").alias("moved"), F.max("turned").alias("turned"))
+            .select("conv_id", "call_id", "p.at", "p.step", "on", F.when(F.col("on").isNotNull(), F.col("k")).alias("k"), "moved", "turned"))
+
+
+def order_calls(calls: DataFrame, depends: DataFrame) -> DataFrame:
     """``calls(conv_id, call_id, turn)`` with ``depends(conv_id, call_id, on)`` to ``(conv_id, call_id, seq, late)``.
 
     ``seq`` numbers the calls of a conversation from 1 so that each comes after those it depends on, otherwise by turn and
-    call_id. A call's place is the larger of its own turn and the places it depends on, one step after a place taken over. Where
-    every call follows what it depends on, turns are such an order already, so only links that point forward in the
-    conversation move anything, and a round of joins is needed only for each step of such a chain. A conversation
-    with calls still moving after ``max_rounds`` holds a cycle (or a longer chain); its calls are marked ``late``."""
-    links = cut(depends.filter("call_id <> on").join(calls.select("conv_id", F.col("call_id").alias("on")), ["conv_id", "on"], "left_semi").distinct())
-    place = cut(calls.select("conv_id", "call_id", F.col("turn").alias("at"), F.lit(0).alias("step"), F.lit(False).alias("late")))
-    for _ in range(0 if links.isEmpty() else max_rounds):
-        before = place.select("conv_id", F.col("call_id").alias("on"), F.struct("at", (F.col("step") + 1).alias("step")).alias("p"))
-        need = links.join(before, ["conv_id", "on"]).groupBy("conv_id", "call_id").agg(F.max("p").alias("need"))
-        behind = F.coalesce(F.col("need") > F.struct("at", "step"), F.lit(False))
-        place = cut(place.join(need, ["conv_id", "call_id"], "left").select(
-            "conv_id", "call_id", F.when(behind, F.col("need.at")).otherwise(F.col("at")).alias("at"), F.when(behind, F.col("need.step")).otherwise(F.col("step")).alias("step"),
-            behind.alias("late")))
-        if place.filter("late").isEmpty():
-            break
+    call_id. A call's place is the larger of its own turn and the places it depends on, one step after a place taken over.
+    Where every link points to an earlier turn, turns are such an order already, so only conversations with a link to
+    the same or a later turn are worked on, by :func:`shorten` until no link is left: about the logarithm of the longest chain in rounds, more
+    only where calls with several links each follow one another. A round that moves nothing leaves only cycles. In a conversation
+    with a cycle all calls are ``late`` and ordered by turn and call_id. Links to unknown calls or to the call itself do not count."""
     turns = calls.select("conv_id", "call_id", "turn")
-    moving = place.filter("late").select("conv_id").distinct().withColumn("late", F.lit(True))
-    place = place.drop("late").join(moving, "conv_id", "left").withColumn("late", F.coalesce("late", F.lit(False)))
-    return rank_in_groups(place.join(turns, ["conv_id", "call_id"]), ["conv_id"], [F.col("at"), F.col("step"), F.col("turn"), F.col("call_id")], "seq").select(
+    links = (depends.select("conv_id", "call_id", "on").filter("call_id <> on").distinct().join(turns, ["conv_id", "call_id"])
+             .join(turns.select("conv_id", F.col("call_id").alias("on"), F.col("turn").alias("turn_on")), ["conv_id", "on"]))
+    links = cut(links)
+    worked = cut(links.filter("turn_on >= turn").select("conv_id").distinct())
+    longest = turns.groupBy("conv_id").count().agg(F.max("count")).first()[0] or 0
+    mine = in_flagged(links, worked, "left_semi")
+    waits = cut(in_flagged(turns, worked, "left_semi").join(mine.select("conv_id", "call_id", "on"), ["conv_id", "call_id"], "left").select(
+        "conv_id", "call_id", F.col("turn").alias("at"), F.lit(0).alias("step"), "on", F.when(F.col("on").isNotNull(), F.lit(1)).alias("k"), F.lit(False).alias("moved"), F.lit(False).alias("turned")))
+    while not waits.filter("on IS NOT NULL").isEmpty():
+        waits = cut(shorten(waits, longest))
+        if waits.filter("moved").isEmpty():
+            break
+    late = waits.filter("turned OR on IS NOT NULL").select("conv_id").distinct().withColumn("late", F.lit(True))
+    places = waits.groupBy("conv_id", "call_id").agg(F.max(F.struct("at", "step")).alias("p"))
+    placed = in_flagged(turns.join(places, ["conv_id", "call_id"], "left"), late, "left").withColumn("late", F.coalesce("late", F.lit(False)))
+    at = F.when(F.col("late") | F.col("p").isNull(), F.struct(F.col("turn").alias("at"), F.lit(0).alias("step"))).otherwise(F.col("p"))
+    return rank_in_groups(placed.select("conv_id", "call_id", "turn", "late", at.alias("p")), ["conv_id"], [F.col("p.at"), F.col("p.step"), F.col("turn"), F.col("call_id")], "seq").select(
         "conv_id", "call_id", F.col("seq").cast("bigint").alias("seq"), "late")
 
 

@@ -22,7 +22,7 @@ from poolcall.llm.packing import pack, pack_documents
 from poolcall.llm.simhash import block_masks, fingerprint, linked_groups, near_duplicates, near_links, one_of_each, signed
 from poolcall.llm.substrings import dedup_substrings
 from poolcall.llm.tokens import Counting, count_tokens, read_vocabulary
-from poolcall.llm.tool_calls import link_tool_calls
+from poolcall.llm.tool_calls import link_tool_calls, order_calls
 from poolcall.llm.weak_quality import fit_labellers, pattern, weak_quality
 
 SF = "/root/testdata/sf0.001"
@@ -265,6 +265,38 @@ def test_tool_calls(spark):
     assert link_tool_calls(calls.limit(0), results, tools, depends).count() == 0
 
 
+def order_plainly(turn, links):
+    """Places by repeated passes; None where they never settle."""
+    place = {c: (t, 0) for c, t in turn.items()}
+    for _ in range(len(turn) + 1):
+        new = {c: max([place[c], *[(place[d][0], place[d][1] + 1) for a, d in links if a == c]]) for c in turn}
+        if new == place:
+            return sorted(turn, key=lambda c: (place[c], turn[c], c))
+        place = new
+    return None
+
+
+def test_order_of_long_chains_and_cycles(spark):
+    """A chain of 300, random links without and with cycles, and links with one call as a hub."""
+    rng = random.Random(11)
+    turn, links = {0: {k: k for k in range(300)}}, {0: {(k, k + 1) for k in range(299)}}
+    for v in range(1, 40):
+        n = rng.randrange(2, 12)
+        turn[v] = {k: rng.randrange(n) for k in range(n)}
+        rank = rng.sample(range(n), n)
+        pairs = {(rng.randrange(n), rng.randrange(n)) for _ in range(rng.randrange(2 * n))}
+        links[v] = {(a, b) for a, b in pairs if a != b and (rank[a] > rank[b] or v % 5 == 0)}
+    name = lambda k: f"c{k:03d}"
+    calls = spark.createDataFrame([(v, name(k), t) for v in turn for k, t in turn[v].items()], "conv_id bigint, call_id string, turn bigint")
+    depends = spark.createDataFrame([(v, name(a), name(b)) for v in links for a, b in links[v]], "conv_id bigint, call_id string, on string")
+    got = order_calls(calls, depends).collect()
+    for v in turn:
+        want = order_plainly(turn[v], links[v])
+        mine = [r["call_id"] for r in sorted((r for r in got if r["conv_id"] == v), key=lambda r: r["seq"])]
+        assert {r["late"] for r in got if r["conv_id"] == v} == {want is None}, v
+        assert mine == [name(k) for k in (want or sorted(turn[v], key=lambda k: (turn[v][k], k)))], v
+
+
 def test_pipeline(spark):
     import corpus_pipeline
     docs = spark.read.parquet(f"{SF}/documents.parquet")
