@@ -3,14 +3,15 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql.types import ArrayType
 
 from poolcall.functions.expr import micro, phred_weight
 
 
 def cell_site_counts(pileup: DataFrame) -> DataFrame:
-    """Weighted ref and alt per (barcode, site) in integer millionths."""
+    """Weighted ref and alt per (barcode, site) in integer millionths; other alleles do not count."""
     w = micro(phred_weight("mapq"))
-    return pileup.groupBy("barcode", "site_id").agg(
+    return pileup.filter("is_alt < 2").groupBy("barcode", "site_id").agg(
         F.sum(F.when(F.col("is_alt") == 0, w).otherwise(0)).alias("ref_w"),
         F.sum(F.when(F.col("is_alt") == 1, w).otherwise(0)).alias("alt_w"))
 
@@ -85,15 +86,19 @@ def conditional_fractions(genotypes: DataFrame) -> DataFrame:
     return others.unionByName(own)
 
 
-def bulk_site_counts(pileup: DataFrame) -> DataFrame:
-    """Ref and alt per site over all cells, and the genes of the reads there.
+def bulk_site_counts(pileup: DataFrame, genes: str = "gene") -> DataFrame:
+    """Ref, alt and other alleles per site over all cells, and the genes of the reads there (a column of one gene or of lists).
 
     Genes are first made distinct per site, so the set is no longer than the gene list."""
     w = micro(phred_weight("mapq"))
+    found = F.collect_set(genes)
+    if isinstance(pileup.schema[genes].dataType, ArrayType):
+        found = F.array_distinct(F.flatten(found))
     return pileup.groupBy("site_id").agg(
         F.sum(F.when(F.col("is_alt") == 0, w).otherwise(0)).alias("ref_w"),
         F.sum(F.when(F.col("is_alt") == 1, w).otherwise(0)).alias("alt_w"),
-        F.array_sort(F.collect_set("gene")).alias("genes"))
+        F.sum(F.when(F.col("is_alt") == 2, w).otherwise(0)).alias("other_w"),
+        F.array_sort(found).alias("genes"))
 
 
 def identity_site_counts(cell_site: DataFrame, assigned: DataFrame) -> DataFrame:

@@ -6,7 +6,7 @@ from importlib import import_module
 
 from poolcall.plans.registry import ORACLES, QUERIES
 
-FAMILIES = ["genotype_calls", "label_reports", "tag_calls", "species_calls", "site_selection", "text_ingest", "contamination", "pool_reports", "haplotypes", "scalars"]
+FAMILIES = ["genotype_calls", "label_reports", "tag_calls", "species_calls", "site_selection", "text_ingest", "pileups", "contamination", "pool_reports", "haplotypes", "scalars"]
 
 
 def _load() -> None:

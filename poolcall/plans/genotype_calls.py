@@ -252,7 +252,7 @@ def e1(fx):
     FROM fx_pileup GROUP BY site_id""")
 def e2(fx):
     b = C.bulk_site_counts(fx.fx_pileup)
-    return b.withColumn("genes", F.array_join(F.transform("genes", lambda g: g.cast("string")), ","))
+    return b.withColumn("genes", F.array_join(F.transform("genes", lambda g: g.cast("string")), ",")).drop("other_w")
 
 
 @register("e3_identity_site_counts", """

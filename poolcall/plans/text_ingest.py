@@ -88,16 +88,25 @@ def a3(fx):
     return b.groupBy("key.chrom", "pos", "base").agg(F.count(F.lit(1)).alias("n"))
 
 
+READS_PER_CHUNK = 50_000
+
+
 @register("a4_read_fastq", """
-    SELECT name AS read_id, seq AS seq1, repeat('F', length(seq)) AS qual1, reverse(seq) AS seq2, repeat('#', length(seq)) AS qual2 FROM fx_aln""")
+    SELECT name AS read_id, seq AS seq1, repeat('F', length(seq)) AS qual1, reverse(seq) AS seq2, repeat('#', length(seq)) AS qual2,
+           substr(seq, 1, 8) AS seq3, repeat(':', 8) AS qual3 FROM fx_aln""")
 def a4(fx):
-    """Mates written to two files in one order, read back and paired by record."""
-    from poolcall.session import cut
-    base = cut(fx.fx_aln.select("name", "seq").coalesce(1))
-    def rec(mate, seq, q):
-        return base.select(F.explode(F.array(F.concat(F.lit("@"), "name", F.lit(mate)), seq, F.lit("+"), F.repeat(F.lit(q), F.length("seq")))).alias("value")).coalesce(1)
-    a, b = put(rec("/1", F.col("seq"), "F"), "fq1"), put(rec("/2", F.reverse("seq"), "#"), "fq2")
-    return R.pair_mates(R.read_fastq(fx.spark, a, "R1"), R.read_fastq(fx.spark, b, "R2"))
+    """Three mates written to three or more chunk files each, in one order, read back and paired by chunk and record."""
+    chunks = max(3, fx.lineitem.count() // READS_PER_CHUNK)
+    base = fx.fx_aln.select(F.pmod(F.col("read_id"), F.lit(chunks)).alias("chunk"), "name", "seq")
+
+    def written(mate, seq, q):
+        record = F.concat(F.lit("@"), "name", F.lit(f"/{mate}\n"), seq, F.lit("\n+\n"), F.repeat(F.lit(q), F.length(seq)))
+        path = fresh_path(fx.spark, f"fq{mate}")
+        rows = base.select("chunk", "name", record.alias("value")).repartition("chunk").sortWithinPartitions("chunk", "name")
+        rows.select("chunk", "value").write.partitionBy("chunk").text(path)
+        return R.read_fastq(fx.spark, path, f"R{mate}")
+
+    return R.pair_mates(written(1, F.col("seq"), "F"), written(2, F.reverse("seq"), "#"), written(3, F.substring("seq", 1, 8), ":"))
 
 
 # --- matrices ----------------------------------------------------------------------------------------

@@ -114,14 +114,14 @@ def read_sam(spark: SparkSession, path: str) -> DataFrame:
     p = F.split("value", "\t")
     d = spark.read.text(path).filter(~F.col("value").startswith("@")).select(
         F.get(p, F.lit(0)).alias("name"), F.get(p, F.lit(1)).cast("int").alias("flag"), F.get(p, F.lit(2)).alias("chrom"), F.get(p, F.lit(3)).cast("bigint").alias("rstart"), F.get(p, F.lit(4)).cast("int").alias("mapq"),
-        F.get(p, F.lit(5)).alias("cigar"), F.get(p, F.lit(9)).alias("seq"), _tag("CB").alias("barcode"), _tag("UB").alias("umi"),
+        F.get(p, F.lit(5)).alias("cigar"), F.get(p, F.lit(9)).alias("seq"), F.get(p, F.lit(10)).alias("qual"), _tag("CB").alias("barcode"), _tag("UB").alias("umi"),
         F.split(_tag("GX"), ";").alias("gene_ids"))
     span = F.aggregate(F.regexp_extract_all("cigar", F.lit("(\\d+)[MDN=X]"), F.lit(1)), F.lit(0).cast("bigint"), lambda a, x: a + x.cast("bigint"))
     return d.withColumn("rend", F.col("rstart") + span - 1)
 
 
-def aligned_bases(alignments: DataFrame, key: str = "name") -> DataFrame:
-    """(key, pos, base) for every read base placed on the reference."""
+def placed_blocks(alignments: DataFrame) -> DataFrame:
+    """Adds ``blocks``: runs of read bases placed on the reference, each with reference start r, read offset q and length n."""
     from poolcall.functions.expr import pin
     ops = F.regexp_extract_all("cigar", F.lit("(\\d+[MIDNSHP=X])"), F.lit(1))
     state = F.struct(F.col("rstart").alias("r"), F.lit(0).cast("bigint").alias("q"),
@@ -134,28 +134,47 @@ def aligned_bases(alignments: DataFrame, key: str = "name") -> DataFrame:
                         (s["q"] + F.when(both | kind.isin("I", "S"), n).otherwise(0)).alias("q"),
                         F.when(both, F.array_append(s["out"], F.struct(s["r"].alias("r"), s["q"].alias("q"), n.alias("n")))).otherwise(s["out"]).alias("out"))
 
-    d = pin(alignments, blocks=F.aggregate(ops, state, step)["out"], bases=F.split("seq", ""))
+    return pin(alignments, blocks=F.aggregate(ops, state, step)["out"])
+
+
+def aligned_bases(alignments: DataFrame, key: str = "name") -> DataFrame:
+    """(key, pos, base) for every read base placed on the reference."""
+    from poolcall.functions.expr import pin
+    d = pin(placed_blocks(alignments), bases=F.split("seq", ""))
     rows = F.flatten(F.transform("blocks", lambda b: F.transform(
         F.sequence(F.lit(0).cast("bigint"), b["n"] - 1), lambda i: F.struct((b["r"] + i).alias("pos"), F.get("bases", (b["q"] + i).cast("int")).alias("base")))))
     return d.select(key, F.explode(rows).alias("x")).select(key, "x.pos", "x.base")
 
 
 def read_fastq(spark: SparkSession, path: str, mate: str) -> DataFrame:
-    """Four-line records of every file under ``path``: (chunk, record, mate, read_id, seq, qual)."""
+    """Four-line records of every file under ``path``: (chunk, record, mate, read_id, seq, qual); ``chunk`` is the file's path under ``path``."""
     d = text_lines(spark, path).withColumn("record", F.floor((F.col("idx") - 1) / 4)).withColumn("k", (F.col("idx") - 1) % 4)
-    name = F.regexp_extract("head", "^@(\\S+?)(?:/[12])?(?:\\s|$)", 1)
+    name = F.regexp_extract("head", "^@(\\S+?)(?:/[123])?(?:\\s|$)", 1)
     g = d.groupBy("file", "record").agg(*[F.max(F.when(F.col("k") == k, F.col("value"))).alias(c) for k, c in ((0, "head"), (1, "seq"), (3, "qual"))])
-    return g.select(F.regexp_extract("file", "([^/]+)$", 1).alias("chunk"), "record", F.lit(mate).alias("mate"), name.alias("read_id"), "seq", "qual")
-
-
-def pair_mates(first: DataFrame, second: DataFrame, files: list[tuple[str, str]] | None = None) -> DataFrame:
-    """Record n of a chunk with record n of its mate; different names are an error."""
-    a = first.select("record", *[F.col(c).alias(f"{c}1") for c in ("read_id", "seq", "qual")])
-    b = second.select("record", *[F.col(c).alias(f"{c}2") for c in ("read_id", "seq", "qual")])
-    j = a.join(b, "record", "full")
-    bad = ~F.col("read_id1").eqNullSafe(F.col("read_id2"))
-    rid = F.when(bad, F.raise_error(F.concat(F.lit("mates out of order at record "), F.col("record")))).otherwise(F.col("read_id1"))
-    return j.select(rid.alias("read_id"), "seq1", "qual1", "seq2", "qual2")
+    return g.select(F.substring_index("file", f"{path.rstrip('/')}/", -1).alias("chunk"), "record", F.lit(mate).alias("mate"), name.alias("read_id"), "seq", "qual")
+
+
+def pair_mates(*mates: DataFrame, files: list[tuple[str, ...]] | None = None) -> DataFrame:
+    """Record n of a chunk with record n of its mates' chunks: (read_id, seq1, qual1, seq2, qual2, ...), two mates or more.
+
+    Chunks go together as ``files`` lists their names (one tuple a chunk, in the order of the mates), else in the order of their names.
+    Different read names, a missing record, a chunk without its mates and a chunk that is not listed are errors."""
+    joined = None
+    for k, m in enumerate(mates, 1):
+        if files is None:
+            pairs = m.select("chunk").distinct().withColumn("pair", F.row_number().over(W.orderBy("chunk")))  # one row per file
+        else:
+            pairs = m.sparkSession.createDataFrame([(f[k - 1], n) for n, f in enumerate(files, 1)], "chunk string, pair int")
+        d = m.join(F.broadcast(pairs), "chunk", "left")  # one row per file, which the driver has listed
+        pair = F.coalesce("pair", F.raise_error(F.concat(F.lit("no mates are listed for "), "chunk")).cast("int"))
+        d = d.select(pair.alias("pair"), "record", *[F.col(c).alias(f"{c}{k}") for c in ("read_id", "seq", "qual")])
+        joined = d if joined is None else joined.join(d, ["pair", "record"], "full")
+    same = F.lit(True)
+    for k in range(2, len(mates) + 1):
+        same = same & F.col("read_id1").eqNullSafe(F.col(f"read_id{k}"))
+    where = F.concat(F.lit("mates out of order at record "), "record", F.lit(" of chunk "), "pair")
+    rid = F.when(same, F.col("read_id1")).otherwise(F.raise_error(where))
+    return joined.select(rid.alias("read_id"), *[f"{c}{k}" for k in range(1, len(mates) + 1) for c in ("seq", "qual")])
 
 
 # --- small text tables --------------------------------------------------------------------------------
