@@ -221,10 +221,11 @@ def weighted_line(df: DataFrame, by: list[str], x: str, y: str, w: str) -> DataF
     return s.select(*by, "slope", ((F.col("sy") - F.col("slope") * F.col("sx")) / F.col("sw")).alias("intercept"))
 
 
+_CLAMP = f"greatest(least({{p}}, {1 - P_FLOOR}D), {P_FLOOR}D)"
 SQL_FUNCTIONS = {
     "err_adj": ("p DOUBLE, e_ref DOUBLE, e_alt DOUBLE", "DOUBLE", "p - p * e_alt + (1 - p) * e_ref"),
     "binom_llr2": ("ref_n DOUBLE, alt_n DOUBLE, p1 DOUBLE, p2 DOUBLE", "DOUBLE",
-                   "alt_n * log2(p1 / p2) + ref_n * log2((1 - p1) / (1 - p2))"),
+                   f"alt_n * log2({_CLAMP.format(p='p1')} / {_CLAMP.format(p='p2')}) + ref_n * log2((1 - {_CLAMP.format(p='p1')}) / (1 - {_CLAMP.format(p='p2')}))"),
     "canonical_kmer": ("k STRING", "STRING", "least(k, translate(reverse(k), 'ACGT', 'TGCA'))"),
     "identity_name": ("a STRING, b STRING", "STRING",
                       "CASE WHEN a = b THEN a ELSE concat(least(a, b), '+', greatest(a, b)) END"),

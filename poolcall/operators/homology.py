@@ -13,14 +13,14 @@ def reciprocal(edges: DataFrame) -> DataFrame:
     return edges.join(back, ["src", "dst"]).filter("src < dst").select("src", "dst", (F.col("score") + F.col("back")).alias("score"))
 
 
-def greedy_match(edges: DataFrame, max_rounds: int = 1000) -> DataFrame:
+def greedy_match(edges: DataFrame) -> DataFrame:
     """One-to-one pairs by falling score (ties by names).
 
     Each round takes every edge that is best for both its ends and removes their ends: the greedy order would take
     exactly these too, and many are found per round. Each round is written, so lineage does not grow."""
     best = F.struct((-F.col("score")).alias("k"), "src", "dst")
     left, out = cut(edges), None
-    for _ in range(max_rounds):
+    while True:  # the best edge of all goes in each round, so edges run out
         a = left.groupBy("src").agg(F.min(best).alias("m")).select("m.src", "m.dst")
         b = left.groupBy("dst").agg(F.min(best).alias("m")).select("m.src", "m.dst")
         took = cut(a.join(b, ["src", "dst"]).join(left, ["src", "dst"]).select("src", "dst", "score"))

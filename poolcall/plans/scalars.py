@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from poolcall.functions import cdf, expr as X
+from poolcall.plans.fixtures import acgt
 from poolcall.plans.registry import r, register, rq
 
 IJ = "SELECT l_orderkey, l_linenumber, CAST(l_suppkey % 20 AS INT) AS i, CAST(l_suppkey % 20 + l_partkey % 3 AS INT) AS j FROM lineitem"
@@ -142,9 +143,18 @@ def h17(fx):
     return plain.join(w, "l_suppkey")
 
 
-@register("sql_functions", """
-    SELECT s_suppkey, s_acctbal / 10000 AS p FROM supplier WHERE FALSE UNION ALL SELECT s_suppkey, round(0.3 - 0.3 * 0.02 + 0.7 * 0.01 + s_suppkey, 6) AS p FROM supplier""")
+KMER = acgt("s_suppkey * 7919 + 5", 6)
+
+
+@register("sql_functions", f"""
+    SELECT s_suppkey, round(0.3 - 0.3 * 0.02 + 0.7 * 0.01 + s_suppkey, 6)::DOUBLE AS p,
+           {rq(f'5 * log2({X.P_FLOOR} / 0.5::DOUBLE) + s_suppkey * log2((1 - {X.P_FLOOR}::DOUBLE) / 0.5)', 6)} AS llr,
+           least(k, translate(reverse(k), 'ACGT', 'TGCA')) AS kmer, CASE WHEN a = b THEN a ELSE concat(least(a, b), '+', greatest(a, b)) END AS name, concat(k, '-L1') AS bc
+    FROM (SELECT s_suppkey, {KMER} AS k, concat('S', CAST(s_suppkey % 3 AS VARCHAR)) AS a, concat('S', CAST(s_suppkey % 5 AS VARCHAR)) AS b FROM supplier) q""")
 def sql_functions(fx):
     """The functions as registered for SQL text."""
     X.register_sql_functions(fx.spark)
-    return fx.spark.sql("SELECT s_suppkey, round(err_adj(0.3D, 0.01D, 0.02D) + s_suppkey, 6) AS p FROM {s}", s=fx.supplier)
+    return fx.spark.sql(f"""
+        SELECT s_suppkey, round(err_adj(0.3D, 0.01D, 0.02D) + s_suppkey, 6) AS p, round(binom_llr2(s_suppkey, 5D, 0D, 0.5D), 6) + 0D AS llr,
+               canonical_kmer(k) AS kmer, identity_name(a, b) AS name, format_barcode(k, 'L1') AS bc
+        FROM (SELECT s_suppkey, {KMER} AS k, concat('S', CAST(s_suppkey % 3 AS STRING)) AS a, concat('S', CAST(s_suppkey % 5 AS STRING)) AS b FROM {{s}})""", s=fx.supplier)

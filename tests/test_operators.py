@@ -197,12 +197,20 @@ def test_top_kmers_keeps_all_above_the_cut(spark):
     assert sum(r.cnt == 9 for r in got) == 5 and all(r.cnt >= 5 for r in got) and 60 < len(got) < 140
 
 
-def test_mates_out_of_order_are_an_error(spark):
+def test_mates_meet_by_chunk_and_record(spark):
     from poolcall.sources.readers import pair_mates
-    a = spark.createDataFrame([(0, "x", "A", "F"), (1, "y", "C", "F")], "record INT, read_id STRING, seq STRING, qual STRING")
-    b = spark.createDataFrame([(0, "x", "A", "F"), (1, "z", "C", "F")], "record INT, read_id STRING, seq STRING, qual STRING")
-    with pytest.raises(Exception, match="out of order"):
-        pair_mates(a, b).collect()
+    def reads(*rows):
+        return spark.createDataFrame([(c, n, x, x.upper(), "F") for c, n, x in rows], "chunk STRING, record INT, read_id STRING, seq STRING, qual STRING")
+    one = reads(("a1", 0, "x"), ("a1", 1, "y"), ("a2", 0, "z"))
+    two = reads(("b1", 0, "x"), ("b1", 1, "y"), ("b2", 0, "z"))
+    swapped = reads(("c2", 0, "x"), ("c2", 1, "y"), ("c1", 0, "z"))
+    assert sorted(tuple(r) for r in pair_mates(one, two).collect()) == [(x, x.upper(), "F", x.upper(), "F") for x in "xyz"]
+    assert pair_mates(one, two, swapped, files=[("a1", "b1", "c2"), ("a2", "b2", "c1")]).count() == 3
+    for bad in (reads(("b1", 0, "x"), ("b1", 1, "w"), ("b2", 0, "z")), reads(("b1", 0, "x"), ("b2", 0, "z")), reads(("b1", 0, "x"), ("b1", 1, "y"))):
+        with pytest.raises(Exception, match="out of order"):
+            pair_mates(one, bad).collect()
+    with pytest.raises(Exception, match="no mates are listed"):
+        pair_mates(one, two, files=[("a1", "b1")]).collect()
 
 
 def test_repeated_tag_columns_are_an_error(spark, tmp_path):

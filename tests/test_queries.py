@@ -5,7 +5,8 @@ import pytest
 from harness import compare
 import __spark_entry__ as entry
 
-PICK = """a1_read_vcf_genotypes a2_read_sam a4_read_fastq a5_read_mex a7_wide_to_long a12_read_haps b1_write_assignments
+PICK = """a1_read_vcf_genotypes a2_read_sam a3_aligned_bases a4_read_fastq a5_read_mex a7_wide_to_long a12_read_haps b1_write_assignments
+e1_counts_from_alignments e2_bulk_from_alignments e25_rate_from_alignments sql_functions
 b6_write_mex b7_split_by_identity c6_unrepeated_positions c17_split_libraries d1_reads_at_sites d4_correct_barcodes
 d5_match_tags d8_merge_labels d10_interval_lookup d13_compatible_patterns e4_pair_counts e14_contingency e16_cutoff_curves
 e7_species_counts_by_umi f3_knee f10_top_sites_per_pattern f13_top_kmers f14_mann_whitney f17_greedy_matching
