@@ -120,9 +120,9 @@ def cluster_count(sizes: DataFrame, keys: list[str]) -> DataFrame:
     return d.filter("next IS NULL OR next < ll").groupBy(*keys).agg(F.min("n").alias("clusters"))
 
 
-def prefix_sizes(group_calls: DataFrame, keys: list[str], max_len: int) -> DataFrame:
+def prefix_sizes(group_calls: DataFrame, keys: list[str], max_len: int | None = None) -> DataFrame:
     """Cells per allele prefix of every length at once, over groups by falling size; a cell without a call leaves from there on."""
-    calls = group_calls.filter(F.col("ord") <= max_len)
+    calls = group_calls if max_len is None else group_calls.filter(F.col("ord") <= max_len)
     cell = calls.groupBy(*keys, "barcode").agg(F.array_sort(F.collect_list(F.struct("ord", "allele"))).alias("a"))  # at most MAX_SITES groups
     run = F.filter("a", lambda x, k: x["ord"] == k + 1)  # the unbroken start
     text = F.array_join(F.transform(run, lambda x: x["allele"].cast("string")), "")

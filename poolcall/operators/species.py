@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
@@ -15,6 +16,15 @@ def merge_counts(parts: DataFrame, keys: list[str]) -> DataFrame:
     return parts.groupBy(*keys).agg(F.sum("cnt").alias("cnt"))
 
 
+def merge_species_counts(parts: list[DataFrame]) -> DataFrame:
+    """Add up (barcode, species, cnt) tables of one library; parts that name different species are an error."""
+    parts = [cut(p) for p in parts]
+    for k, p in enumerate(parts[1:], 2):
+        if not same_species(parts[0], p):
+            raise ValueError(f"part {k} names other species than part 1")
+    return merge_counts(reduce(DataFrame.unionByName, parts), ["barcode", "species"])
+
+
 # --- k-mers ---------------------------------------------------------------------------------------
 
 def species_kmer_counts(seqs: DataFrame, k: int, canonical: bool = True) -> DataFrame:
@@ -87,10 +97,6 @@ def same_species(a: DataFrame, b: DataFrame) -> bool:
     return x.exceptAll(y).unionByName(y.exceptAll(x)).isEmpty()
 
 
-def species_list(counts: DataFrame, limit: int = 64) -> list[str]:
-    return sorted(x.species for x in collect_bounded(counts.select("species").distinct(), limit))
-
-
 # --- knee -------------------------------------------------------------------------------------------
 
 def survivors(totals: DataFrame, col: str = "tot") -> DataFrame:

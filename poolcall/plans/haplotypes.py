@@ -102,11 +102,11 @@ SIZES = """
       SELECT barcode, unnest(range(1, len(a) + 1)) AS len, substr(array_to_string(a, ''), 1, unnest(range(1, len(a) + 1))) AS prefix FROM (
         SELECT barcode, list(allele ORDER BY ord) FILTER (WHERE ord = k) AS a FROM (
           SELECT c.barcode, o.ord, c.allele, row_number() OVER (PARTITION BY c.barcode ORDER BY o.ord) AS k
-          FROM fx_group_calls c JOIN (SELECT DISTINCT grp, ord FROM fx_ordered) o ON o.grp = c.grp WHERE o.ord <= 8) q GROUP BY barcode) z WHERE len(a) > 0) y GROUP BY len, prefix"""
+          FROM fx_group_calls c JOIN (SELECT DISTINCT grp, ord FROM fx_ordered) o ON o.grp = c.grp) q GROUP BY barcode) z WHERE len(a) > 0) y GROUP BY len, prefix"""
 add_view("fx_prefixes", SIZES.replace("SELECT barcode, unnest(range(1, len(a) + 1)) AS len, substr(array_to_string(a, ''), 1, unnest(range(1, len(a) + 1))) AS prefix FROM (",
                                       "SELECT barcode, CAST(n AS INT) AS len, substr(array_to_string(a, ''), 1, n) AS prefix FROM (SELECT *, unnest(range(1, len(a) + 1)) AS n FROM (").replace(
                                           "GROUP BY barcode) z WHERE len(a) > 0)", "GROUP BY barcode) z WHERE len(a) > 0) zz)"),
-         lambda fx: M.prefix_sizes(_ordered_calls(fx), [], 8))
+         lambda fx: M.prefix_sizes(_ordered_calls(fx), []))
 
 
 def _ordered_calls(fx):

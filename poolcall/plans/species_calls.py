@@ -126,8 +126,7 @@ def e8(fx):
 def e9(fx):
     """Two halves counted on their own and added up."""
     half = F.col("read_id") % 2 == 0
-    a, b = (S.species_counts(fx.fx_line_reads.filter(c), fx.fx_owned, KR, use_umis=False) for c in (half, ~half))
-    return S.merge_counts(a.unionByName(b), ["barcode", "species"])
+    return S.merge_species_counts([S.species_counts(fx.fx_line_reads.filter(c), fx.fx_owned, KR, use_umis=False) for c in (half, ~half)])
 
 
 @register("e29_species_fractions", f"""

@@ -194,13 +194,19 @@ def e26(fx):
     return T.ranked_totals(fx.fx_tagged.withColumn("name", named))
 
 
-@register("e27_union_guide_tables", """
-    SELECT barcode, CAST(coalesce(sum(cnt) FILTER (WHERE tag = 'click'), 0) AS BIGINT) AS click,
-           CAST(coalesce(sum(cnt) FILTER (WHERE tag = 'error'), 0) AS BIGINT) AS error, 0::BIGINT AS view FROM fx_tagged GROUP BY barcode
-    UNION ALL SELECT barcode, CAST(coalesce(sum(cnt) FILTER (WHERE tag = 'click'), 0) AS BIGINT), 0,
-           CAST(coalesce(sum(cnt) FILTER (WHERE tag = 'view'), 0) AS BIGINT) FROM fx_tagged GROUP BY barcode""")
+EVENT_TAGS = ["click", "error", "purchase", "signup", "view"]
+
+
+def _wide(names) -> str:
+    cols = [f"CAST(coalesce(sum(cnt) FILTER (WHERE tag = '{t}'), 0) AS BIGINT) AS {t}" if t in names else f"0::BIGINT AS {t}" for t in EVENT_TAGS]
+    return f"SELECT barcode, {', '.join(cols)} FROM fx_tagged GROUP BY barcode"
+
+
+@register("e27_union_guide_tables", f"{_wide(EVENT_TAGS[:3])} UNION ALL {_wide(EVENT_TAGS[2:])}")
 def e27(fx):
-    return T.union_tables(T.wide_counts(fx.fx_tagged, ["click", "error"]), T.wide_counts(fx.fx_tagged, ["click", "view"]))
+    """Two tables that share one tag; together they hold every tag of the reads."""
+    names = T.tag_names(fx.fx_tagged)
+    return T.union_tables(T.wide_counts(fx.fx_tagged, names[:3]), T.wide_counts(fx.fx_tagged, names[2:]))
 
 
 # tag sequences of the nations; each read carries its tag at offset 3 with one base changed in every third read

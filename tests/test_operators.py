@@ -260,3 +260,10 @@ def test_haplotypes_are_discovered(spark):
     for r in calls.filter("i = j").collect():
         by.setdefault(r.i, set()).add(r.barcode % 3)
     assert len(by) == 3 and all(len(v) == 1 for v in by.values())
+
+
+def test_counts_of_other_species_are_not_merged(spark):
+    a = spark.createDataFrame([(1, "x", 2), (1, "y", 3)], "barcode INT, species STRING, cnt INT")
+    assert sorted(tuple(r) for r in species.merge_species_counts([a, a]).collect()) == [(1, "x", 4), (1, "y", 6)]
+    with pytest.raises(ValueError, match="other species"):
+        species.merge_species_counts([a, a.filter("species = 'x'")])
