@@ -20,7 +20,11 @@ LETTERS = re.compile(r"[^\W\d_]+")
 
 
 def letter_words(text: str | None) -> list[str]:
-    return LETTERS.findall(text.lower()) if text else []
+    """Runs of letters, lower-cased; digits of any kind (fractions and raised ones too) end a run."""
+    words = LETTERS.findall(text.lower()) if text else []
+    if all(map(str.isalpha, words)):
+        return words
+    return "".join(c if c.isalpha() else " " for c in " ".join(words)).split()
 
 
 def n_grams(word: str, n: int) -> list[str]:

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from harness import duck, rows_of
 from poolcall.llm import queries
 from poolcall.llm.components import components
-from poolcall.llm.language import Model, held_out, identify_held_out
+from poolcall.llm.language import Model, held_out, identify_held_out, letter_words
 from poolcall.llm.line_quality import base_counts, decode, line_quality
 from poolcall.llm.mixing import budgets, mix
 from poolcall.llm.neighbours import chi_square, nearest
@@ -178,6 +178,11 @@ def test_weak_labels(spark, odd, empty):
     assert len(got) == odd.count() and all(0 <= r["score"] <= 1 for r in got) and weak_quality(empty).count() == 0
 
 
+def test_letter_words():
+    assert letter_words("Ab m² ½ x_y 12三") == ["ab", "m", "x", "y", "三"] and letter_words("½ ² 7 _ !") == letter_words(None) == []
+    assert Model(["en"], {"ab": [3]}, [3]).predict("½ ² 7", {}) == ("und", 0.0)
+
+
 def test_language(spark, odd, empty):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     both = queries.op2_language(spark, "/root/testdata/sf0.01").join(docs, "doc_id")
