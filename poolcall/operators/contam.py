@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from poolcall.functions.expr import binom_llr2, err_adj, pin, stochastic_round
 from poolcall.operators.likelihood import E_ALT, E_REF, cell_pairs, eliminate, identity_table, whole
-from poolcall.session import collect_bounded, cut, local_table
+from poolcall.session import PASS_LIMIT, collect_bounded, cut, local_table, not_settled
 
 MAX_CLASSES = 200_000  # identities times genotype classes: bounded by the pool
 TINY = 1e-9
@@ -121,14 +121,17 @@ def share_step(rows: DataFrame, share: list[float], c: float) -> list[float]:
     return [got.get(k, 0.0) / tot for k in range(len(share))]
 
 
-def fit_shares(rows: DataFrame, start: list[float], c: float, passes: int = 100, tol: float = 1e-6) -> list[float]:
+def fit_shares(rows: DataFrame, start: list[float], c: float, passes: int = PASS_LIMIT, tol: float = 1e-6) -> list[float]:
+    """Passes until no share moves by ``tol``; with ``tol`` 0 just so many passes, as steps of an outer loop."""
     share = start
     for _ in range(passes):
         new = share_step(rows, share, c)
-        done = max(abs(a - b) for a, b in zip(new, share)) < tol
+        moved = max(abs(a - b) for a, b in zip(new, share))
         share = new
-        if done:
-            break
+        if moved < tol:
+            return share
+    if tol > 0:
+        raise not_settled("the share fit", passes, moved)
     return share
 
 
@@ -195,7 +198,7 @@ def quantify(pair_counts: DataFrame, cond: DataFrame, calls: DataFrame, max_roun
         rows = cut(class_rows(ev, cd, members))
         c, share = min(max(c0.first().c, 0.01), 0.9), [prof[m] for m in members]
         for _ in range(2):
-            share = fit_shares(rows, share, c, passes=20)
+            share = fit_shares(rows, share, c, passes=20, tol=0.0)
             profile = local_table(spark, list(zip(members, share)), "sample INT, share DOUBLE")
             amb = class_ambient(cd, profile)
             full = with_ambient(ev, amb)

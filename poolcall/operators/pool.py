@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 from poolcall.functions.expr import binom_logpmf, err_adj
 from poolcall.operators.contam import fit_shares
 from poolcall.operators.counts import site_calls
-from poolcall.session import collect_bounded, cut, local_table
+from poolcall.session import PASS_LIMIT, collect_bounded, cut, local_table
 
 # cumulative probabilities of a Poisson variable with mean 1; fixed values
 POISSON1 = [0.36787944117144233, 0.7357588823428847, 0.9196986029286058, 0.9810118431238462, 0.9963401531726563, 0.9994058151824183,
@@ -27,7 +27,7 @@ def bulk_patterns(bulk: DataFrame, genotypes: DataFrame, n_members: int, e_ref:
 
 
 def pool_composition(bulk: DataFrame, genotypes: DataFrame, members: list[int], e_ref: float = 0.001, e_alt: float = 0.001,
-                     passes: int = 100, tol: float = 1e-6) -> list[float]:
+                     passes: int = PASS_LIMIT, tol: float = 1e-6) -> list[float]:
     """Most likely shares of the members; the likelihood is concave, so one start is enough."""
     rows = cut(bulk_patterns(bulk, genotypes, len(members), e_ref, e_alt))
     return fit_shares(rows, [1.0 / len(members)] * len(members), 1.0, passes, tol)

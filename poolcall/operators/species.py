@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from poolcall.functions.expr import canonical_kmer, kmers, pin, uniform
-from poolcall.session import collect_bounded, cut, local_table
+from poolcall.session import PASS_LIMIT, collect_bounded, cut, local_table, not_settled
 
 
 def merge_counts(parts: DataFrame, keys: list[str]) -> DataFrame:
@@ -197,15 +197,15 @@ def model_step(cells: DataFrame, p, w):
     return new_p, [rows[c].w / tot if c in rows else 0.0 for c in range(len(w))]
 
 
-def fit_species(cells: DataFrame, n: int, doublet_rate: float = 0.1, passes: int = 50, tol: float = 1e-6):
+def fit_species(cells: DataFrame, n: int, doublet_rate: float = 0.1, passes: int = PASS_LIMIT, tol: float = 1e-6):
     p, w = start_model(n, doublet_rate)
     for _ in range(passes):
         q, w = model_step(cells, p, w)
-        done = max(abs(a - b) for x, y in zip(p, q) for a, b in zip(x, y)) < tol
+        moved = max(abs(a - b) for x, y in zip(p, q) for a, b in zip(x, y))
         p = q
-        if done:
-            break
-    return p, w
+        if moved < tol:
+            return p, w
+    raise not_settled("the species mixture", passes, moved)
 
 
 def call_species(cells: DataFrame, p, doublet_rate: float, species: list[str]) -> DataFrame:
@@ -239,15 +239,17 @@ def cell_filter_step(cells: DataFrame, params: list[tuple]) -> list[tuple]:
     return out
 
 
-def real_cells(cells: DataFrame, passes: int = 30) -> tuple[DataFrame, list[tuple]]:
+def real_cells(cells: DataFrame, passes: int = PASS_LIMIT) -> tuple[DataFrame, list[tuple]]:
     """Barcodes that are likelier real cells than empty ones, by depth and LLR."""
     params = [(0.5, 1.0, 1.0, 1.0), (0.5, 1000.0, 100.0, 1.0)]
     for _ in range(passes):
         new = cell_filter_step(cells, params)
-        done = all(abs(a - b) <= 1e-6 * (1 + abs(b)) for x, y in zip(new, params) for a, b in zip(x, y))
+        moved = max(abs(a - b) / (1 + abs(b)) for x, y in zip(new, params) for a, b in zip(x, y))
         params = new
-        if done:
+        if moved <= 1e-6:
             break
+    else:
+        raise not_settled("the split of empty and real barcodes", passes, moved)
     ll = [f"({math.log(max(w, 1e-300)) - lam + a * math.log(b) - math.lgamma(a)!r}D + tot * {math.log(lam)!r}D + {a - 1!r}D * ln(llr) - {b!r}D * llr)"
           for w, lam, a, b in params]
     return cells.filter(f"{ll[1]} > {ll[0]}"), params

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from poolcall.functions.expr import log_gamma_sql
-from poolcall.session import collect_bounded, cut, local_table
+from poolcall.session import PASS_LIMIT, collect_bounded, cut, local_table, not_settled
 
 MAX_TAGS = 100_000  # tag lists are panels
 PHI_MAX = 1e6  # dispersion of a count that is not over-dispersed
@@ -64,11 +66,11 @@ def mixture_step(hist: DataFrame, params: DataFrame) -> DataFrame:
 PARAMS = "tag STRING, start INT, w DOUBLE, lo DOUBLE, phi DOUBLE, hi DOUBLE, ll DOUBLE"
 
 
-def fit_tags(counts: DataFrame, passes: int = 20, tol: float = 1e-6) -> DataFrame:
+def fit_tags(counts: DataFrame, passes: int = PASS_LIMIT, tol: float = 1e-6) -> DataFrame:
     """Background/foreground split per tag (w, lo, phi, hi), the better of two starts.
 
     The cells are read once, into (tag, count) rows; each pass is one small job over those, and only the
-    parameters (two rows per tag) come back."""
+    parameters (two rows per tag) come back. Ends when no log-likelihood moves by more than its ``tol``-th part."""
     spark = counts.sparkSession
     hist = cut(count_histogram(counts))
     params, last = start_values(hist), None
@@ -76,9 +78,12 @@ def fit_tags(counts: DataFrame, passes: int = 20, tol: float = 1e-6) -> DataFram
         rows = collect_bounded(mixture_step(hist, params), 2 * MAX_TAGS)
         params = local_table(spark, rows, PARAMS).drop("ll")
         ll = {(x.tag, x.start): x.ll for x in rows}
-        if last and all(abs(ll[k] - last[k]) <= tol * abs(last[k]) for k in ll):
+        moved = max((abs(ll[k] - last[k]) / abs(last[k]) if ll[k] != last[k] else 0.0 for k in ll), default=0.0) if last is not None else math.inf
+        if moved <= tol:
             break
         last = ll
+    else:
+        raise not_settled("the tag split", passes, moved)
     return better_start(mixture_step(hist, params).select("tag", "start", "ll").join(params, ["tag", "start"]))
 
 

@@ -5,12 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from poolcall.operators import counts as C, pool as P
-from poolcall.plans.contamination import _share_sql
 from poolcall.plans.fixtures import add_view
 from poolcall.plans.registry import r, register, rq
 from poolcall.session import local_table
 
-MEMBERS, PASSES, ER = [0, 1, 2, 3, 4], 5, 0.001
+MEMBERS, TOL, ER = [0, 1, 2, 3, 4], 1e-6, 0.001
 add_view("fx_bulk", """SELECT site_id, CAST(sum(ref_w) AS BIGINT) AS ref_w, CAST(sum(alt_w) AS BIGINT) AS alt_w, list_sort(list(DISTINCT gene)) AS genes FROM (
       SELECT site_id, gene, CASE WHEN is_alt = 0 THEN w ELSE 0 END AS ref_w, CASE WHEN is_alt = 1 THEN w ELSE 0 END AS alt_w FROM (
         SELECT *, CAST(round((1 - pow(10.0, -mapq / 10.0)) * 1000000) AS BIGINT) AS w FROM fx_pileup) a) b GROUP BY site_id""",
@@ -19,10 +18,15 @@ ROWS = f"""SELECT b.site_id AS id, (ref_w + alt_w) / 1e6 AS n, alt_w / 1e6 AS k,
     FROM fx_bulk b JOIN fx_genotypes g ON g.site_id = b.site_id WHERE b.site_id IN (SELECT site_id FROM fx_genotypes GROUP BY site_id HAVING count(*) = 5)"""
 
 
-@register("i24_pool_composition", _share_sql(ROWS, 1.0, PASSES, "SELECT sample AS m, 0.2::DOUBLE AS share FROM fx_samples") +
-          f" SELECT CAST(m AS INT) AS member, {rq('share', 5)} AS share FROM s{PASSES}")
+@register("i24_pool_composition", f"""WITH RECURSIVE rw AS MATERIALIZED ({ROWS}),
+    it AS (SELECT 0 AS k, sample AS m, 0.2::DOUBLE AS share, 1.0::DOUBLE AS moved FROM fx_samples
+      UNION ALL SELECT k + 1, m, share, max(abs(share - before)) OVER () FROM (SELECT k, m, v / sum(v) OVER () AS share, before FROM (
+        SELECT k, m, before, sum(before * (n_k_a / p + n_k_r / (1 - p))) AS v FROM (
+          SELECT it.k, rw.m, it.share AS before, rw.k * f AS n_k_a, (rw.n - rw.k) * (1 - f) AS n_k_r, least(greatest(sum(f * it.share) OVER (PARTITION BY id), 1e-9), 1 - 1e-9) AS p
+          FROM rw JOIN it ON it.m = rw.m WHERE moved >= {TOL}) a GROUP BY k, m, before) b) c)
+    SELECT CAST(m AS INT) AS member, {rq('share', 5)} AS share FROM it WHERE k = (SELECT max(k) FROM it)""")
 def i24(fx):
-    s = P.pool_composition(fx.fx_bulk, fx.fx_genotypes, MEMBERS, ER, ER, PASSES, tol=0.0)
+    s = P.pool_composition(fx.fx_bulk, fx.fx_genotypes, MEMBERS, ER, ER, tol=TOL)
     return local_table(fx.spark, list(zip(MEMBERS, s)), "member INT, share DOUBLE").select("member", r("share", 5).alias("share"))
 
 

@@ -165,91 +165,104 @@ def f3(fx):
     return S.knee(fx.fx_curve, 0.1).select("x", r("curv", 8).alias("curv"))
 
 
-LANGS = ["de", "en", "es", "fr"]
-RATE, PASSES = 0.1, 3
+RATE, TOL = 0.1, 1e-6
+
+
+def _start_sql() -> str:
+    """Counts x, start parameters p0(a, species, p) and components w0(a, b, w); the species come from the counts."""
+    return f"""WITH RECURSIVE x AS MATERIALIZED (SELECT c.barcode, c.species, c.cnt, t.tot FROM fx_species_counts c JOIN fx_totals t USING (barcode)),
+    sp AS MATERIALIZED (SELECT species, CAST(count(*) OVER () AS DOUBLE) AS n FROM (SELECT DISTINCT species FROM fx_species_counts) d),
+    p0 AS MATERIALIZED (SELECT s.species AS a, t.species, CASE WHEN s.species = t.species THEN {S.TARGET} ELSE {1 - S.TARGET!r} / (s.n - 1) END::DOUBLE AS p FROM sp s, sp t),
+    w0 AS MATERIALIZED (SELECT s.species AS a, t.species AS b, CASE WHEN s.species = t.species THEN {1 - RATE!r} / s.n ELSE {RATE} / (s.n * (s.n - 1) / 2) END::DOUBLE AS w
+      FROM sp s JOIN sp t ON s.species <= t.species)"""
 
 
 def _model_sql() -> str:
-    """The mixture passes unrolled: p{k}(a, species, p) singlet parameters and w{k}(a, b, w) component weights."""
-    vals = ", ".join(f"('{a}', '{b}', {S.TARGET if a == b else (1 - S.TARGET) / 3}::DOUBLE)" for a in LANGS for b in LANGS)
-    comps = ", ".join(f"('{a}', '{b}', {(1 - RATE) / 4 if a == b else RATE / 6}::DOUBLE)" for i, a in enumerate(LANGS) for b in LANGS[i:])
-    sql = f"""WITH x AS MATERIALIZED (SELECT c.barcode, c.species, c.cnt, t.tot FROM fx_species_counts c JOIN fx_totals t USING (barcode)),
-    p0 AS (SELECT * FROM (VALUES {vals}) z(a, species, p)), w0 AS (SELECT * FROM (VALUES {comps}) z(a, b, w))"""
-    for k in range(PASSES):
-        sql += f""",
-    q{k} AS (SELECT w.a, w.b, w.w, p.species, (p.p + o.p) / 2 AS p FROM w{k} w JOIN p{k} p ON p.a = w.a JOIN p{k} o ON o.a = w.b AND o.species = p.species),
-    l{k} AS MATERIALIZED (SELECT x.barcode, max(tot) AS tot, q.a, q.b, log2(greatest(max(q.w), 1e-300)) + sum(cnt * log2(greatest(q.p, 1e-12))) AS s FROM x JOIN q{k} q ON q.species = x.species GROUP BY x.barcode, q.a, q.b),
-    e{k} AS MATERIALIZED (SELECT *, pow(2, s - max(s) OVER (PARTITION BY barcode)) AS e FROM l{k}),
-    r{k} AS MATERIALIZED (SELECT barcode, a, b, e / sum(e) OVER (PARTITION BY barcode) * tot AS r FROM e{k}),
-    w{k + 1} AS MATERIALIZED (SELECT a, b, sum(r) / (SELECT sum(r) FROM r{k}) AS w FROM r{k} GROUP BY a, b),
-    n{k} AS (SELECT r.a, x.species, sum(r * cnt) AS v FROM r{k} r JOIN x ON x.barcode = r.barcode WHERE r.a = r.b GROUP BY r.a, x.species),
-    p{k + 1} AS MATERIALIZED (SELECT p0.a, p0.species, coalesce(v, 0) / sum(v) OVER (PARTITION BY p0.a) AS p FROM p0 LEFT JOIN n{k} n ON n.a = p0.a AND n.species = p0.species)"""
-    return sql
+    """The mixture passes as a recursion over (a, b, species, w, q), q being the component's share of the species; p holds the settled singlets."""
+    return _start_sql() + f""",
+    it AS (SELECT 0 AS k, w.a, w.b, p.species, w.w, (p.p + o.p) / 2 AS q, 1.0::DOUBLE AS moved FROM w0 w JOIN p0 p ON p.a = w.a JOIN p0 o ON o.a = w.b AND o.species = p.species
+      UNION ALL (WITH now AS MATERIALIZED (SELECT * FROM it WHERE moved >= {TOL}),
+      l AS (SELECT x.barcode, max(tot) AS tot, now.a, now.b, log2(greatest(max(w), 1e-300)) + sum(cnt * log2(greatest(q, 1e-12))) AS s FROM x JOIN now ON now.species = x.species GROUP BY x.barcode, now.a, now.b),
+      e AS (SELECT *, pow(2, s - max(s) OVER (PARTITION BY barcode)) AS e FROM l),
+      r AS MATERIALIZED (SELECT barcode, a, b, e / sum(e) OVER (PARTITION BY barcode) * tot AS r FROM e),
+      w AS (SELECT a, b, sum(r) / (SELECT sum(r) FROM r) AS w FROM r GROUP BY a, b),
+      n AS (SELECT r.a, x.species, sum(r * cnt) AS v FROM r JOIN x ON x.barcode = r.barcode WHERE r.a = r.b GROUP BY r.a, x.species),
+      p AS MATERIALIZED (SELECT o.k, o.a, o.species, coalesce(v, 0) / sum(v) OVER (PARTITION BY o.a) AS p, o.q AS before FROM now o LEFT JOIN n ON n.a = o.a AND n.species = o.species WHERE o.a = o.b)
+      SELECT p.k + 1, w.a, w.b, p.species, w.w, (p.p + o.p) / 2, (SELECT max(abs(p - before)) FROM p) FROM w JOIN p ON p.a = w.a JOIN p o ON o.a = w.b AND o.species = p.species)),
+    p AS MATERIALIZED (SELECT a, species, q AS p FROM it WHERE a = b AND k = (SELECT max(k) FROM it))"""
+
+
+def _species(fx) -> list[str]:
+    from poolcall.session import collect_bounded
+    return sorted(x.species for x in collect_bounded(fx.fx_species_counts.select("species").distinct(), 64))
 
 
 def _model(fx):
-    cells = cut(S.wide_cells(fx.fx_species_counts, LANGS))
-    p, w = S.fit_species(cells, len(LANGS), RATE, passes=PASSES, tol=0.0)
-    return cells, p, w
+    langs = _species(fx)
+    cells = cut(S.wide_cells(fx.fx_species_counts, langs))
+    p, w = S.fit_species(cells, len(langs), RATE, tol=TOL)
+    return langs, cells, p, w
 
 
-@register("i12_species_mixture", _model_sql() + f"\nSELECT a, species, {rq('p')} AS p FROM p{PASSES}")
+@register("i12_species_mixture", _model_sql() + f"\nSELECT a, species, {rq('p')} AS p FROM p")
 def i12(fx):
     from poolcall.session import local_table
-    _, p, _ = _model(fx)
-    t = local_table(fx.spark, [(a, s, v) for a, row in zip(LANGS, p) for s, v in zip(LANGS, row)], "a STRING, species STRING, p DOUBLE")
+    langs, _, p, _ = _model(fx)
+    t = local_table(fx.spark, [(a, s, v) for a, row in zip(langs, p) for s, v in zip(langs, row)], "a STRING, species STRING, p DOUBLE")
     return t.select("a", "species", r("p").alias("p"))
 
 
 @register("i13_species_calls", _model_sql() + f"""
-    , q AS (SELECT w.a, w.b, p.species, (p.p + o.p) / 2 AS p FROM w0 w JOIN p{PASSES} p ON p.a = w.a JOIN p{PASSES} o ON o.a = w.b AND o.species = p.species),
+    , q AS (SELECT w.a, w.b, p.species, (p.p + o.p) / 2 AS p FROM w0 w JOIN p ON p.a = w.a JOIN p o ON o.a = w.b AND o.species = p.species),
     l AS (SELECT x.barcode, q.a, q.b, round(CASE WHEN q.a = q.b THEN {math.log2(1 - RATE)!r} ELSE {math.log2(RATE)!r} END + sum(cnt * log2(greatest(q.p, 1e-12))), 6) AS s
           FROM x JOIN q ON q.species = x.species GROUP BY x.barcode, q.a, q.b),
     t AS (SELECT *, lead(s) OVER o AS s2, row_number() OVER o AS n FROM l WINDOW o AS (PARTITION BY barcode ORDER BY s DESC, a <> b, a, b))
     SELECT barcode, CASE WHEN a = b THEN a ELSE a || '+' || b END AS id, CASE WHEN a = b THEN 'S' ELSE 'D' END AS type, {rq('s - s2', 6)} AS llr
     FROM t WHERE n = 1 AND round(s - s2, 6) > 0""")
 def i13(fx):
-    cells, p, _ = _model(fx)
-    return S.call_species(cells, p, RATE, LANGS).select("barcode", "id", "type", r("llr", 6).alias("llr"))
+    langs, cells, p, _ = _model(fx)
+    return S.call_species(cells, p, RATE, langs).select("barcode", "id", "type", r("llr", 6).alias("llr"))
 
 
-@register("f8_best_two", _model_sql().split(",\n    q0 AS")[0] + f"""
+@register("f8_best_two", _start_sql() + f"""
     , l AS (SELECT x.barcode, p.a, round(sum(cnt * log2(p)), 6) AS s FROM x JOIN p0 p ON p.species = x.species GROUP BY x.barcode, p.a)
     SELECT barcode, arg_max(a, (s, a)) AS id, {rq('max(s) - max(s2)', 6)} AS llr FROM (
       SELECT *, lead(s) OVER (PARTITION BY barcode ORDER BY s DESC, a DESC) AS s2 FROM l) q GROUP BY barcode""")
 def f8(fx):
     from poolcall.session import local_table
-    p, _ = S.start_model(len(LANGS), RATE)
-    t = local_table(fx.spark, [(a, s, v) for a, row in zip(LANGS, p) for s, v in zip(LANGS, row)], "a STRING, species STRING, p DOUBLE")
+    langs = _species(fx)
+    p, _ = S.start_model(len(langs), RATE)
+    t = local_table(fx.spark, [(a, s, v) for a, row in zip(langs, p) for s, v in zip(langs, row)], "a STRING, species STRING, p DOUBLE")
     ll = fx.fx_species_counts.join(F.broadcast(t), "species").groupBy("barcode", "a").agg(F.round(F.sum(F.col("cnt") * F.log2("p")), 6).alias("s"))
     g = ll.groupBy("barcode").agg(F.slice(F.sort_array(F.collect_list(F.struct("s", "a")), False), 1, 2).alias("t"))  # one entry per species
     return g.select("barcode", F.col("t")[0]["a"].alias("id"), r(F.col("t")[0]["s"] - F.col("t")[1]["s"], 6).alias("llr"))
 
 
-FILTER_PASSES = 4
 add_view("fx_depth_llr", """
     SELECT o_orderkey AS barcode, CAST(CASE WHEN o_orderkey % 3 = 0 THEN 1 + o_custkey % 4 ELSE 200 + o_custkey % 150 END AS BIGINT) AS tot,
            CAST(CASE WHEN o_orderkey % 3 = 0 THEN 0.5 + (o_custkey % 7) / 10.0 ELSE 20 + (o_custkey % 90) END AS DOUBLE) AS llr FROM orders""")
 
 
+PARAMS = [f"{x}{c}" for c in (0, 1) for x in "wmab"]
+
+
 def _filter_sql() -> str:
-    sql = "WITH s0 AS (SELECT 0.5::DOUBLE AS w0, 1.0::DOUBLE AS m0, 1.0::DOUBLE AS a0, 1.0::DOUBLE AS b0, 0.5::DOUBLE AS w1, 1000.0::DOUBLE AS m1, 100.0::DOUBLE AS a1, 1.0::DOUBLE AS b1)"
-    for k in range(FILTER_PASSES):
-        l = [f"ln(w{c}) - m{c} + a{c} * ln(b{c}) - lgamma(a{c}) + tot * ln(m{c}) + (a{c} - 1) * ln(llr) - b{c} * llr" for c in (0, 1)]
-        sql += f""", r{k} AS MATERIALIZED (SELECT tot, llr, 1 / (1 + exp(({l[0]}) - ({l[1]}))) AS r1 FROM fx_depth_llr, s{k}),
-        u{k} AS (SELECT count(*) AS n, sum(1 - r1) AS r0, sum(r1) AS r1, sum((1 - r1) * tot) AS t0, sum(r1 * tot) AS t1, sum((1 - r1) * llr) AS x0, sum(r1 * llr) AS x1,
-                 sum((1 - r1) * llr * llr) AS q0, sum(r1 * llr * llr) AS q1 FROM r{k}),
-        s{k + 1} AS MATERIALIZED (SELECT """ + ", ".join(
-            f"r{c} / n AS w{c}, t{c} / r{c} AS m{c}, (x{c} / r{c}) * (x{c} / r{c}) / (q{c} / r{c} - (x{c} / r{c}) * (x{c} / r{c})) AS a{c}, (x{c} / r{c}) / (q{c} / r{c} - (x{c} / r{c}) * (x{c} / r{c})) AS b{c}"
-            for c in (0, 1)) + f" FROM u{k})"
-    return sql
-
-
-@register("i14_real_cells", _filter_sql() + f"""
-    SELECT barcode, tot FROM fx_depth_llr, s{FILTER_PASSES}
-    WHERE ln(w1) - m1 + a1 * ln(b1) - lgamma(a1) + tot * ln(m1) + (a1 - 1) * ln(llr) - b1 * llr > ln(w0) - m0 + a0 * ln(b0) - lgamma(a0) + tot * ln(m0) + (a0 - 1) * ln(llr) - b0 * llr""")
+    l = [f"ln(w{c}) - m{c} + a{c} * ln(b{c}) - lgamma(a{c}) + tot * ln(m{c}) + (a{c} - 1) * ln(llr) - b{c} * llr" for c in (0, 1)]
+    old = ", ".join(PARAMS)
+    sums = ", ".join(f"sum({v}) AS r{c}, sum({v} * tot) AS t{c}, sum({v} * llr) AS x{c}, sum({v} * llr * llr) AS q{c}" for c, v in ((0, "(1 - r)"), (1, "r")))
+    var = "(q{0} / r{0} - (x{0} / r{0}) * (x{0} / r{0}))"
+    new = ", ".join(f"r{c} / n AS nw{c}, t{c} / r{c} AS nm{c}, (x{c} / r{c}) * (x{c} / r{c}) / {var.format(c)} AS na{c}, (x{c} / r{c}) / {var.format(c)} AS nb{c}" for c in (0, 1))
+    moved = " OR ".join(f"abs(n{p} - {p}) > 1e-6 * (1 + abs({p}))" for p in PARAMS)
+    return f"""WITH RECURSIVE it AS (SELECT 0 AS k, 0.5::DOUBLE AS w0, 1.0::DOUBLE AS m0, 1.0::DOUBLE AS a0, 1.0::DOUBLE AS b0, 0.5::DOUBLE AS w1, 1000.0::DOUBLE AS m1, 100.0::DOUBLE AS a1, 1.0::DOUBLE AS b1, TRUE AS moved
+      UNION ALL SELECT k + 1, {", ".join("n" + p for p in PARAMS)}, {moved} FROM (SELECT k, {old}, {new} FROM (
+        SELECT k, {old}, count(*) AS n, {sums} FROM (SELECT *, 1 / (1 + exp(({l[0]}) - ({l[1]}))) AS r FROM fx_depth_llr, it WHERE moved) z1 GROUP BY k, {old}) z2) z3),
+    s AS MATERIALIZED (SELECT * FROM it WHERE k = (SELECT max(k) FROM it))
+    SELECT barcode, tot FROM fx_depth_llr, s WHERE {l[1]} > {l[0]}"""
+
+
+@register("i14_real_cells", _filter_sql())
 def i14(fx):
-    return S.real_cells(cut(fx.fx_depth_llr), FILTER_PASSES)[0].select("barcode", "tot")
+    return S.real_cells(cut(fx.fx_depth_llr))[0].select("barcode", "tot")
 
 
 add_view("fx_mates", """

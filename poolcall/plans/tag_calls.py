@@ -14,7 +14,6 @@ TAG_NO = "CASE tag WHEN 'click' THEN 0 WHEN 'error' THEN 1 WHEN 'purchase' THEN
 add_view("fx_tagged", f"""
     SELECT barcode, tag, CAST(CASE WHEN {TAG_NO} = barcode % 5 OR (barcode % 7 = 0 AND {TAG_NO} = (barcode + 2) % 5)
                                    THEN cnt * (10 + barcode % 13) ELSE cnt END AS BIGINT) AS cnt FROM fx_tag_counts""")
-PASSES = 5
 
 
 def nb(x, m, s):
@@ -25,31 +24,36 @@ def phi(m, v):
     return f"(CASE WHEN {v} > {m} THEN least({m} * {m} / ({v} - {m}), 1e6) ELSE 1e6 END)"
 
 
-def fit_sql(passes: int = PASSES) -> str:
-    sql = """
-    WITH h AS (SELECT tag, CAST(cnt AS DOUBLE) AS x, CAST(count(*) AS DOUBLE) AS n FROM fx_tagged GROUP BY 1, 2),
-    p0 AS (SELECT tag, s AS start, 0.5::DOUBLE AS w, greatest(CASE s WHEN 0 THEN min(cnt) ELSE median(cnt) END, 0.1)::DOUBLE AS lo,
-           1.0::DOUBLE AS phi, CAST(max(cnt) AS DOUBLE) AS hi FROM fx_tagged, (VALUES (0), (1)) z(s) GROUP BY tag, s)"""
-    for k in range(passes + 1):
-        sql += f""",
-    e{k} AS MATERIALIZED (SELECT *, exp(a - t) * n AS r, n - exp(a - t) * n AS q FROM (
-        SELECT *, greatest(a, b) + ln(exp(a - greatest(a, b)) + exp(b - greatest(a, b))) AS t FROM (
-          SELECT h.tag, start, x, n, ln(w) + {nb('x', 'lo', 'phi')} AS a, ln(1 - w) - ln(hi) - x / hi AS b
-          FROM h JOIN p{k} ON p{k}.tag = h.tag) z1) z2),
-    p{k + 1} AS MATERIALIZED (SELECT tag, start, w, lo, {phi('lo', '(m2 - lo * lo)')} AS phi, hi, ll FROM (
-        SELECT tag, start, least(greatest(sum(r) / (sum(r) + sum(q)), 1e-6), 1 - 1e-6) AS w, greatest(sum(r * x) / sum(r), 0.1) AS lo,
+TOL = 1e-6
+
+
+def fit_sql() -> str:
+    ends = f"coalesce(bool_and(abs(ll - last) <= {TOL} * abs(last)) OVER (), FALSE)"
+    terms = f"ln(w) + {nb('x', 'lo', 'phi')} AS a, ln(1 - w) - ln(hi) - x / hi AS b"
+    mass = "greatest(a, b) + ln(exp(a - greatest(a, b)) + exp(b - greatest(a, b)))"
+    sql = f"""
+    WITH RECURSIVE h AS MATERIALIZED (SELECT tag, CAST(cnt AS DOUBLE) AS x, CAST(count(*) AS DOUBLE) AS n FROM fx_tagged GROUP BY 1, 2),
+    it AS (SELECT 0 AS k, tag, s AS start, 0.5::DOUBLE AS w, greatest(CASE s WHEN 0 THEN min(cnt) ELSE median(cnt) END, 0.1)::DOUBLE AS lo,
+           1.0::DOUBLE AS phi, CAST(max(cnt) AS DOUBLE) AS hi, NULL::DOUBLE AS ll, FALSE AS ended FROM fx_tagged, (VALUES (0), (1)) z(s) GROUP BY tag, s
+      UNION ALL
+      SELECT k + 1, tag, start, w, lo, {phi('lo', '(m2 - lo * lo)')}, hi, ll, {ends} FROM (
+        SELECT k, tag, start, last, least(greatest(sum(r) / (sum(r) + sum(q)), 1e-6), 1 - 1e-6) AS w, greatest(sum(r * x) / sum(r), 0.1) AS lo,
                sum(r * x * x) / sum(r) AS m2, greatest(CASE WHEN sum(q) > 1e-9 THEN sum(q * x) / sum(q) ELSE 0.1 END, 0.1) AS hi, sum(n * t) AS ll
-        FROM e{k} GROUP BY tag, start) z3)"""
+        FROM (SELECT *, exp(a - t) * n AS r, n - exp(a - t) * n AS q FROM (SELECT *, {mass} AS t FROM (
+          SELECT k, h.tag, start, ll AS last, x, n, {terms} FROM h JOIN it ON it.tag = h.tag WHERE NOT ended) z1) z2) z3
+        GROUP BY k, tag, start, last) z4),
+    p AS MATERIALIZED (SELECT * FROM it WHERE k = (SELECT max(k) FROM it)),
+    l AS (SELECT tag, start, sum(n * ({mass})) AS ll FROM (SELECT h.tag, start, n, {terms} FROM h JOIN p ON p.tag = h.tag) z5 GROUP BY tag, start)"""
     take = "b.ll > a.ll AND bb.hi > bb.lo AND bb.w > 1e-6 AND bb.w < 1 - 1e-6 AND bb.hi > aa.hi"
     cols = ", ".join(f"CASE WHEN {take} THEN bb.{c} ELSE aa.{c} END AS {c}" for c in ("w", "lo", "phi", "hi"))
     return sql + f"""
-    SELECT aa.tag, {cols} FROM p{passes} aa JOIN p{passes} bb ON aa.tag = bb.tag AND aa.start = 0 AND bb.start = 1
-    JOIN p{passes + 1} a ON a.tag = aa.tag AND a.start = 0 JOIN p{passes + 1} b ON b.tag = aa.tag AND b.start = 1"""
+    SELECT aa.tag, {cols} FROM p aa JOIN p bb ON aa.tag = bb.tag AND aa.start = 0 AND bb.start = 1
+    JOIN l a ON a.tag = aa.tag AND a.start = 0 JOIN l b ON b.tag = aa.tag AND b.start = 1"""
 
 
 def _fits(fx):
     from poolcall.session import cut
-    return cut(T.fit_tags(fx.fx_tagged, passes=PASSES, tol=0.0))
+    return cut(T.fit_tags(fx.fx_tagged, tol=TOL))
 
 
 add_view("fx_fits", fit_sql(), _fits)

@@ -58,6 +58,13 @@ def cut(df: DataFrame, *partition_by: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+PASS_LIMIT = 10_000  # a fit that has not settled by then is an error
+
+
+def not_settled(what: str, passes: int, moved: float) -> RuntimeError:
+    return RuntimeError(f"{what} did not settle in {passes} passes: the last change was {moved}")
+
+
 def collect_bounded(df: DataFrame, limit: int) -> list:
     """Collect a parameter table whose size is bounded by the model, checking that bound."""
     rows = df.limit(limit + 1).collect()
