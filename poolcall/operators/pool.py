@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 from poolcall.functions.expr import binom_logpmf, err_adj
 from poolcall.operators.contam import fit_shares
 from poolcall.operators.counts import site_calls
-from poolcall.session import PASS_LIMIT, collect_bounded, cut, local_table
+from poolcall.session import PASS_LIMIT, collect_bounded, cut, local_table, not_settled
 
 # cumulative probabilities of a Poisson variable with mean 1; fixed values
 POISSON1 = [0.36787944117144233, 0.7357588823428847, 0.9196986029286058, 0.9810118431238462, 0.9963401531726563, 0.9994058151824183,
@@ -113,7 +113,7 @@ def identity_counts(labels: DataFrame) -> DataFrame:
     return labels.groupBy("data_set", "id").agg(F.count(F.lit(1)).alias("n"))
 
 
-def fit_doublets(counts: list, starts: list[float], passes: int = 200, tol: float = 1e-9, weighted: bool = False):
+def fit_doublets(counts: list, starts: list[float], passes: int = PASS_LIMIT, tol: float = 1e-9, weighted: bool = False):
     """Common doublet rate and shares per data set from identity counts (set, id, n).
 
     A cell is a singlet of i with (1-d)·s, or a doublet of two draws; doublets of one member look like its singlets.
@@ -149,13 +149,15 @@ def fit_doublets(counts: list, starts: list[float], passes: int = 200, tol: floa
             sh = {s: {m: v / sum(acc[s].values()) for m, v in acc[s].items()} for s in sets}
             if last is not None and abs(ll - last) <= tol * abs(last):
                 break
-            last = ll
+            moved, last = ll - (last or 0.0), ll
+        else:
+            raise not_settled("the doublet rate", passes, moved)
         if best is None or ll > best[2]:
             best = (d, sh, ll)
     return best
 
 
-def doublet_fit(labels: DataFrame, starts: list[float] | None = None, passes: int = 200, tol: float = 1e-9, weighted: bool = False):
+def doublet_fit(labels: DataFrame, starts: list[float] | None = None, passes: int = PASS_LIMIT, tol: float = 1e-9, weighted: bool = False):
     rows = [(x.data_set, x.id, x.n) for x in collect_bounded(identity_counts(labels), 1_000_000)]
     return fit_doublets(rows, starts or [k / 21 for k in range(1, 21)], passes, tol, weighted)
 

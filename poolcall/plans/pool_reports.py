@@ -93,27 +93,32 @@ def h16(fx):
 
 add_view("fx_sets_ab", "SELECT 'a' AS data_set, id FROM fx_labels_a UNION ALL SELECT 'b', id FROM fx_labels_b",
          lambda fx: fx.fx_labels_a.select(F.lit("a").alias("data_set"), "id").unionByName(fx.fx_labels_b.select(F.lit("b").alias("data_set"), "id")))
-D_PASSES, D0 = 6, 0.2
+D_TOL, D0 = 1e-9, 0.2
 
 
 def _doublet_sql() -> str:
-    sql = f"""WITH c AS MATERIALIZED (SELECT data_set, id, CAST(count(*) AS DOUBLE) AS n FROM fx_sets_ab GROUP BY 1, 2),
+    """The passes as a recursion over members; s holds the settled shares and rate, c the cells per identity."""
+    return f"""WITH RECURSIVE c AS MATERIALIZED (SELECT data_set, id, CAST(count(*) AS DOUBLE) AS n FROM fx_sets_ab GROUP BY 1, 2),
     mem AS (SELECT DISTINCT data_set, unnest(string_split(id, '+')) AS m FROM c),
-    s0 AS MATERIALIZED (SELECT data_set, m, 1.0::DOUBLE / count(*) OVER (PARTITION BY data_set) AS share, {D0}::DOUBLE AS d FROM mem)"""
-    for k in range(D_PASSES):
-        sql += f""", h{k} AS MATERIALIZED (SELECT c.data_set, c.id, c.n, CASE WHEN contains(id, '+') THEN 1.0 ELSE (SELECT d * share / ((1 - d) + d * share) FROM s{k} s WHERE s.data_set = c.data_set AND s.m = c.id) END AS h FROM c),
-        a{k} AS MATERIALIZED (SELECT data_set, m, sum(v) AS v FROM (SELECT data_set, id AS m, n * (1 + h) AS v FROM h{k} WHERE NOT contains(id, '+')
-             UNION ALL SELECT data_set, unnest(string_split(id, '+')), n FROM h{k} WHERE contains(id, '+')) q GROUP BY data_set, m),
-        s{k + 1} AS MATERIALIZED (SELECT data_set, m, v / sum(v) OVER (PARTITION BY data_set) AS share, (SELECT sum(n * h) / sum(n) FROM h{k}) AS d FROM a{k})"""
-    return sql
+    it AS (SELECT 0 AS k, data_set, m, 1.0::DOUBLE / count(*) OVER (PARTITION BY data_set) AS share, {D0}::DOUBLE AS d, NULL::DOUBLE AS ll, FALSE AS ended FROM mem
+      UNION ALL (WITH now AS MATERIALIZED (SELECT * FROM it WHERE NOT ended),
+      h AS MATERIALIZED (SELECT c.data_set, split_part(id, '+', 1) AS x, split_part(id, '+', 2) AS y, n, a.k, a.ll AS last,
+        CASE WHEN b.m IS NULL THEN a.d * a.share / ((1 - a.d) + a.d * a.share) ELSE 1 END AS h,
+        CASE WHEN b.m IS NULL THEN (1 - a.d) * a.share + a.d * a.share * a.share ELSE 2 * a.d * a.share * b.share END AS p
+        FROM c JOIN now a ON a.data_set = c.data_set AND a.m = split_part(id, '+', 1) LEFT JOIN now b ON b.data_set = c.data_set AND b.m = split_part(id, '+', 2)),
+      v AS (SELECT data_set, m, sum(v) AS v FROM (SELECT data_set, x AS m, n * (CASE WHEN y = '' THEN 1 + h ELSE 1 END) AS v FROM h
+        UNION ALL SELECT data_set, y, n FROM h WHERE y <> '') q GROUP BY data_set, m),
+      t AS (SELECT max(k) + 1 AS k, sum(n * h) / sum(n) AS d, sum(n * ln(greatest(p, 1e-300))) AS ll, max(last) AS last FROM h HAVING count(*) > 0)
+      SELECT t.k, data_set, m, v / sum(v) OVER (PARTITION BY data_set), t.d, t.ll, coalesce(abs(t.ll - t.last) <= {D_TOL} * abs(t.last), FALSE) FROM v, t)),
+    s AS MATERIALIZED (SELECT * FROM it WHERE k = (SELECT max(k) FROM it))"""
 
 
 def _fit(fx):
-    d, sh, _ = P.doublet_fit(fx.fx_sets_ab, [D0], D_PASSES, tol=0.0)
+    d, sh, _ = P.doublet_fit(fx.fx_sets_ab, [D0], tol=D_TOL)
     return d, local_table(fx.spark, [(s, m, v) for s, x in sh.items() for m, v in x.items()], "data_set STRING, member STRING, share DOUBLE")
 
 
-@register("i29_doublet_rate", _doublet_sql() + f" SELECT data_set, m AS member, {rq('share', 6)} AS share, {rq('d', 6)} AS d FROM s{D_PASSES}")
+@register("i29_doublet_rate", _doublet_sql() + f" SELECT data_set, m AS member, {rq('share', 6)} AS share, {rq('d', 6)} AS d FROM s")
 def i29(fx):
     d, t = _fit(fx)
     return t.select("data_set", "member", r("share", 6).alias("share"), r(F.lit(d), 6).alias("d"))
@@ -122,7 +127,7 @@ def i29(fx):
 DETAIL = f"""SELECT x.data_set, x.id, x.type, coalesce(CAST(c.n AS BIGINT), 0) AS obs, x.p * t.tot AS exp FROM (
       SELECT a.data_set, CASE WHEN a.m = b.m THEN a.m ELSE a.m || '+' || b.m END AS id, CASE WHEN a.m = b.m THEN 'S' ELSE 'D' END AS type,
              CASE WHEN a.m = b.m THEN (1 - a.d) * a.share + a.d * a.share * a.share ELSE 2 * a.d * a.share * b.share END AS p
-      FROM s{D_PASSES} a JOIN s{D_PASSES} b ON a.data_set = b.data_set AND a.m <= b.m) x
+      FROM s a JOIN s b ON a.data_set = b.data_set AND a.m <= b.m) x
     JOIN (SELECT data_set, sum(n) AS tot FROM c GROUP BY data_set) t ON t.data_set = x.data_set LEFT JOIN c ON c.data_set = x.data_set AND c.id = x.id"""
 
 
