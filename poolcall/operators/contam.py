@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from poolcall.functions.expr import binom_llr2, err_adj, pin, stochastic_round
-from poolcall.operators.likelihood import E_ALT, E_REF, cell_pairs, eliminate, identity_table, whole
+from poolcall.operators.likelihood import E_ALT, E_REF, SPAN, cell_pairs, eliminate, identity_table, whole
 from poolcall.session import PASS_LIMIT, collect_bounded, cut, local_table, not_settled
 
 MAX_CLASSES = 200_000  # identities times genotype classes: bounded by the pool
@@ -160,6 +160,8 @@ def identity_prior(calls: DataFrame, doublet_rate: float) -> dict[int, float]:
     cnt = {(x.i, x.j): x.n for x in rows}
     tot = sum(cnt.values())
     members = sorted({m for k in cnt for m in k})
+    if members and members[-1] >= SPAN:
+        raise ValueError(f"member numbers must be below {SPAN}")
     half = {m: sum(n * ((a == m) + (b == m)) for (a, b), n in cnt.items()) for m in members}
     share = {m: half[m] / (2 * tot) for m in members}
     out = {}
@@ -167,7 +169,7 @@ def identity_prior(calls: DataFrame, doublet_rate: float) -> dict[int, float]:
         for b in members[x:]:
             p = (1 - doublet_rate) * share[a] + doublet_rate * share[a] ** 2 if a == b else doublet_rate * 2 * share[a] * share[b]
             n, p = cnt.get((a, b), 0), min(max(p, 1e-12), 1 - 1e-12)
-            code = a if a == b else 4096 + a * 4096 + b
+            code = a if a == b else SPAN + a * SPAN + b
             out[code] = (lgamma(tot + 1) - lgamma(n + 1) - lgamma(tot - n + 1) + n * log(p) + (tot - n) * log(1 - p)) / log(2)
     return out
 

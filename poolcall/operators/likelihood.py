@@ -17,8 +17,9 @@ DIGITS = 6  # ratios are compared at this precision, so equal evidence ties the
 
 
 def id_code(i, j) -> Column:
-    """One integer per identity: singlets first, then pairs i < j in order."""
-    return F.when(i == j, i).otherwise(SPAN + i * SPAN + j).cast("int")
+    """One integer per identity: singlets first, then pairs i < j in order. A member number beyond the span is an error."""
+    return (F.when((i >= SPAN) | (j >= SPAN), F.raise_error(F.lit(f"member numbers must be below {SPAN}")).cast("int"))
+            .when(i == j, i).otherwise(SPAN + i * SPAN + j).cast("int"))
 
 
 def id_pair(code: Column) -> Column:

@@ -165,22 +165,24 @@ def assign(counts: DataFrame, hap_sites: DataFrame, doublet_rate: float = 0.5) -
     return L.call_cells(C.pair_counts(cs, g), ZERO, ZERO, doublet_rate)
 
 
-def discover_and_assign(counts: DataFrame, doublet_rate: float = 0.5, back_off: int = 3):
-    """Discovery, then trailing groups are dropped while that raises the cells' summed LLR. Returns (hap_sites, calls)."""
+def discover_and_assign(counts: DataFrame, doublet_rate: float = 0.5):
+    """Discovery, then trailing groups are dropped until the cells' summed LLR falls or none is left. Returns (hap_sites, calls)."""
     counts = cut(counts)
     haps = cut(cell_haplotypes(counts.join(clean_sites(counts), "pos", "left_semi")))
     groups = cut(ordered_groups(site_groups(haps)))
     found = discover(group_alleles(haps, groups).join(groups.select("grp", "ord").distinct(), "grp"))
-    best = None
-    for drop in range(back_off + 1):
+    best, drop = None, 0
+    while True:
         short = found.withColumn("prefix", F.expr(f"substring(prefix, 1, length(prefix) - {drop})")).filter("length(prefix) > 0").groupBy("prefix").agg(F.sum("size").alias("size"))
+        if drop and short.isEmpty():
+            break
         short = short.withColumn("hap", F.row_number().over(W.orderBy(F.desc("size"), "prefix")) - 1)  # one row per haplotype
         sites = cut(haplotype_sites(short, groups))
         calls = cut(assign(counts, sites, doublet_rate))
         s = calls.agg(F.sum("llr").alias("s")).first().s or 0.0
-        if best is not None and s <= best[0]:
+        if best is not None and s < best[0]:
             break
-        best = (s, sites, calls)
+        best, drop = (s, sites, calls), drop + 1
     return best[1], best[2]
 
 

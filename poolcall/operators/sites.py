@@ -8,8 +8,6 @@ from poolcall.functions.expr import uniform
 from poolcall.scaling import rank_in_groups
 from poolcall.session import collect_bounded, cut
 
-MAX_PATTERN_ROWS = 100_000
-
 
 def biallelic(min_qual: float) -> Column:
     """Single-base ref and alt that differ, with enough quality."""

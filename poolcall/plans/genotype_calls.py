@@ -403,7 +403,7 @@ def grid_sql(sigma: float = 0.1) -> str:
             k = round(span / step)
             sql += (f"g{lv + 1} AS (SELECT b.r + x.i * {step!r} AS r, b.a + y.i * {step!r} AS a FROM b{lv} b, "
                     f"range({-k}, {k + 1}) x(i), range({-k}, {k + 1}) y(i) WHERE b.r + x.i * {step!r} > 0 AND b.a + y.i * {step!r} > 0),\n")
-    return sql + f"fin AS (SELECT 1)\nSELECT {rq('r', 6)} AS e_ref, {rq('a', 6)} AS e_alt FROM b2"
+    return sql.rstrip(",\n") + f"\nSELECT {rq('r', 6)} AS e_ref, {rq('a', 6)} AS e_alt FROM b2"
 
 
 @register("i6_error_rates", grid_sql())

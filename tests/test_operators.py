@@ -267,3 +267,16 @@ def test_counts_of_other_species_are_not_merged(spark):
     assert sorted(tuple(r) for r in species.merge_species_counts([a, a]).collect()) == [(1, "x", 4), (1, "y", 6)]
     with pytest.raises(ValueError, match="other species"):
         species.merge_species_counts([a, a.filter("species = 'x'")])
+
+
+def test_fits_raise_when_they_do_not_settle(spark):
+    counts = spark.createDataFrame([(b, "t", c) for b, c in enumerate([1, 2, 2, 3, 1, 40, 55, 70, 2, 1])], "barcode INT, tag STRING, cnt LONG")
+    with pytest.raises(RuntimeError, match="did not settle"):
+        tags.fit_tags(counts, passes=1)
+    assert tags.fit_tags(counts).count() == 1
+    with pytest.raises(RuntimeError, match="did not settle"):
+        pool.fit_doublets([("a", "x", 50), ("a", "y", 30), ("a", "x+y", 20)], [0.2], passes=1)
+    rate, _, _ = pool.fit_doublets([("a", "x", 50), ("a", "y", 30), ("a", "x+y", 20)], [0.2])
+    assert 0.2 < rate < 1
+    with pytest.raises(Exception, match="member numbers"):
+        spark.range(1).select(L.id_code(F.lit(L.SPAN), F.lit(0))).collect()
