@@ -50,3 +50,32 @@ def test_links_among_many_copies_are_all_found(spark):
         root = [min(root[j] for j in near[i]) for i in range(80)]
     docs = spark.createDataFrame([(k, t, "en", "s1", len(t)) for k, t in enumerate(texts)], DDL)
     assert {r["doc_id"] for r in one_of_near_copies(docs).collect()} == set(root) and len(set(root)) > 1
+
+
+def test_rows_without_id_and_repeated_rows_go_through_every_stage(spark):
+    sf = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select(*corpus_pipeline.COLUMNS)
+    clean = corpus_pipeline.near_dedup(spark, corpus_pipeline.quality_rules(spark, docs, sf), sf).filter("n_chars > 400").orderBy("doc_id").limit(30).collect()
+    rows = [tuple(r[c] for c in corpus_pipeline.COLUMNS) for r in clean]
+    rows = [*[(None, *r[1:]) for r in rows[:10]], *rows[10:], *rows[10:20], (rows[12][0], *rows[20][1:])]
+    at = spark.createDataFrame(rows, DDL)
+    for stage in (corpus_pipeline.quality_rules, corpus_pipeline.near_dedup, corpus_pipeline.substring_dedup):
+        at = stage(spark, at, sf)
+    got = at.collect()
+    texts = sorted(r["text"] for r in got)
+    assert len(got) == 30 and sum(r["doc_id"] is None for r in got) == 10 and len(set(texts)) == 30
+    assert sorted(r["row"] for r in got) == list(range(1, 31)) and {r["row"] for r in got if r["doc_id"] is None} == set(range(21, 31))
+    left = corpus_pipeline.source_mix(spark, at, sf).collect()
+    assert any(r["doc_id"] is None for r in left) and len({r["row"] for r in left}) == len(left)
+    assert corpus_pipeline.packing(spark, spark.createDataFrame(left, at.schema), sf).select("doc_id").filter("doc_id IS NULL").count() >= 1
+
+
+def test_passages_go_from_rows_without_id_or_of_the_same_id(spark):
+    rng = random.Random(3)
+    passage = " ".join(f"w{rng.randrange(20_000)}" for _ in range(100))
+    rows = [(k, f"{passage} own{n}", "en", "s1", 1) for n, k in enumerate((5, 5, None, None))]
+    got = corpus_pipeline.substring_dedup(spark, spark.createDataFrame(rows, DDL), "").collect()
+    assert sorted(len(r["text"].split()) for r in got) == [1, 1, 1, 101]
+    assert [r["doc_id"] for r in got if len(r["text"].split()) == 101] == [5]
+    nothing = spark.createDataFrame([], DDL)
+    assert all(stage(spark, nothing, "/root/testdata/sf0.001").count() == 0 for _, stage in corpus_pipeline.STAGES)
