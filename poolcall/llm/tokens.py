@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 import ahocorasick
 from pyspark.sql import DataFrame
 
@@ -11,6 +13,7 @@ VOCABULARY_FILE = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE_MARK = "▁"
 UNKNOWN_PENALTY = 10.0  # fixed by the tokenizer: an unknown character scores this much below the worst piece
 CACHE = 400_000  # words that a task remembers
+LONE = re.compile(f"(?<=[^{SPACE_MARK}])(?={SPACE_MARK})")  # before a run of marks that follows another character
 
 
 def read_vocabulary(path: str = VOCABULARY_FILE) -> list[tuple[str, float]]:
@@ -37,6 +40,8 @@ class Counting:
             self.automaton.make_automaton()
         self.unknown = min((s for _, s in vocabulary), default=0.0) - UNKNOWN_PENALTY
         self.byte_fallback = byte_fallback
+        # A run of unknown characters is one token without byte fallback, so it must not be cut inside: an unknown mark would be in it.
+        self.cuttable = not any(LONE.search(p) for p, _ in vocabulary) and (byte_fallback or SPACE_MARK in self.single)
         self.cache: dict[str, tuple[int, float]] = {}
 
     def segment(self, s: str) -> tuple[int, float]:
@@ -66,22 +71,29 @@ class Counting:
         unknowns(n)
         return int(count[n]), best[n]
 
-    def text(self, text: str | None) -> tuple[int, float]:
-        """Tokens and score of a whole text: spaces become marks, one stands at the front, and pieces do not cross them."""
+    def text(self, text: str | None, split: bool = True) -> tuple[int, float]:
+        """Tokens and score of a whole text: spaces become marks and one stands at the front.
+
+        With ``split`` every mark starts a piece of its own, as in a tokenizer that splits at marks first. Without it pieces may hold
+        marks anywhere: the text is cut only where no piece of the vocabulary can reach across, before a mark that follows another
+        character, if no piece has a mark there; else it is one stretch."""
         if not text:
             return 0, 0.0
         marked = text.replace(" ", SPACE_MARK)
+        if not split:
+            return self._sum(LONE.split(SPACE_MARK + marked) if self.cuttable else [SPACE_MARK + marked])
         parts = marked.split(SPACE_MARK)
+        return self._sum(SPACE_MARK + p for k, p in enumerate(parts) if k or p)  # a text that starts with a space has its mark
+
+    def _sum(self, stretches) -> tuple[int, float]:
         tokens, total, cache = 0, 0.0, self.cache
-        for k, p in enumerate(parts):
-            if k == 0 and not p:
-                continue  # the text starts with a space
+        for p in stretches:
             got = cache.get(p)
             if got is None:
-                got = self.segment(SPACE_MARK + p)
+                got = self.segment(p)
                 if len(cache) >= CACHE:
                     cache.clear()
-                if len(p) <= 64:
+                if len(p) <= 65:
                     cache[p] = got
             tokens += got[0]
             total += got[1]
@@ -91,13 +103,14 @@ class Counting:
 def count_tokens(docs: DataFrame, vocabulary: list[tuple[str, float]], byte_fallback: bool = True) -> DataFrame:
     """``docs(doc_id, text)`` to ``(doc_id, n_tokens, score)``: tokens of each whole text and the best path's score.
 
-    Null and empty texts have none. Repeated rows and null ids come out as they went in; further columns are ignored. A text is
-    counted word by word in memory that grows with its longest stretch without a space."""
+    Null and empty texts have none. Repeated rows and null ids come out as they went in; further columns are ignored. Runs of spaces
+    may be pieces. A text is counted in stretches of a run of spaces and the word after it (the whole text if some piece reaches from
+    a word into the space after it), in memory that grows with the longest stretch."""
     held: list[Counting] = []
 
     def count(text):
         if not held:
             held.append(Counting(vocabulary, byte_fallback))  # once a task
-        return held[0].text(text)
+        return held[0].text(text, split=False)
 
     return map_texts(docs, count, "n_tokens bigint, score double", "doc_id")
