@@ -95,8 +95,9 @@ def map_batches(df: DataFrame, fn: Callable, ddl: str) -> DataFrame:
     return df.mapInArrow(run, ddl)
 
 
-def map_texts(df: DataFrame, fn: Callable, ddl: str, *keep: str, text: str = "text") -> DataFrame:
-    """One row per row of ``df``: the columns ``keep`` unchanged, then the values that ``fn(text)`` returns."""
+def map_texts(df: DataFrame, fn: Callable, ddl: str, *keep: str, text: str = "text", with_key: bool = False) -> DataFrame:
+    """One row per row of ``df``: the columns ``keep`` unchanged, then the values that ``fn(text)`` returns, or
+    ``fn(key, text)`` with the first kept column."""
     kinds = dict((f.name, f.dataType.simpleString()) for f in df.schema)
     full = ", ".join([*(f"`{k}` {kinds[k]}" for k in keep), ddl])
     schema = arrow_schema(full)
@@ -104,7 +105,8 @@ def map_texts(df: DataFrame, fn: Callable, ddl: str, *keep: str, text: str = "te
     def run(batches):
         for b in slices(batches):
             if b.num_rows:
-                made = list(zip(*[fn(t) for t in b.column(len(keep)).to_pylist()]))
+                texts = b.column(len(keep)).to_pylist()
+                made = list(zip(*([fn(k, t) for k, t in zip(b.column(0).to_pylist(), texts)] if with_key else [fn(t) for t in texts])))
                 kept = [b.column(i) for i in range(len(keep))]
                 yield pa.RecordBatch.from_arrays([*(c.cast(f.type) for c, f in zip(kept, schema)), *(pa.array(c, f.type) for c, f in zip(made, list(schema)[len(keep):]))], schema=schema)
 

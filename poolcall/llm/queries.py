@@ -7,11 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from poolcall.llm.common import table, word_count
+from poolcall.llm.infilling import fill_in_middle
 from poolcall.llm.language import identify_held_out
 from poolcall.llm.line_quality import line_quality
 from poolcall.llm.mixing import mix
 from poolcall.llm.neighbours import nearest
 from poolcall.llm.packing import pack_documents
+from poolcall.llm.ranking import rank_documents
+from poolcall.llm.set_join import jaccard_components
 from poolcall.llm.simhash import near_duplicates
 from poolcall.llm.substrings import dedup_substrings
 from poolcall.llm.tokens import count_tokens, read_vocabulary
@@ -85,6 +88,19 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents"), source_tree(), share=MIX_SHARE, epochs=MIX_EPOCHS, seed=MIX_SEED)
 
 
+def op11_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rank_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op12_set_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_components(table(spark, sf_dir, "documents"))
+
+
+def op13_infilling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = fill_in_middle(table(spark, sf_dir, "documents"))
+    return made.select("doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"), F.sha2("restored", 256).alias("restored_sha256"))
+
+
 MIX_SHARE, MIX_EPOCHS, MIX_SEED = 0.8, 2, 7
 
 
@@ -119,6 +135,50 @@ SELECT doc_id, domain, language, leaf, n_tokens,
   (CASE WHEN n_tokens > 0 THEN full_epochs ELSE 0 END + CASE WHEN n_tokens > 0 AND before < rest THEN 1 ELSE 0 END)::BIGINT AS copies, target FROM ran
 """
 
+LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+OP11_SQL = f"""
+WITH dt AS (SELECT doc_id, row_number() OVER () AS r, regexp_extract_all({LOWER}, '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS terms FROM documents),
+it AS (SELECT item_id, unnest(regexp_extract_all({LOWER}, '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM benchmark WHERE item_id IS NOT NULL),
+asked AS (SELECT item_id, term, count(*) AS times FROM it GROUP BY ALL),
+total AS (SELECT count(*) FILTER (len(terms) > 0) AS n_docs, sum(len(terms))::BIGINT AS n_terms FROM dt),
+occ AS (SELECT r, unnest(terms) AS term FROM dt),
+tf AS (SELECT r, term, count(*) AS tf FROM occ GROUP BY ALL),
+df AS (SELECT term, count(*) AS df FROM tf GROUP BY ALL),
+w AS (SELECT term, CAST(floor(1000 * ln((2.0::DOUBLE * n_docs + 2) / (2.0::DOUBLE * coalesce(df, 0) + 1))) AS BIGINT) AS w
+  FROM (SELECT DISTINCT term FROM asked) LEFT JOIN df USING (term), total),
+m AS (SELECT doc_id, r, 100 - 75 + (75 * len(terms) * n_docs) // n_terms AS m FROM dt, total WHERE doc_id IS NOT NULL),
+s AS (SELECT item_id, doc_id, r, sum(times * w * ((1000000000 * tf) // (1000 * tf + 8 * m)))::BIGINT AS score
+  FROM asked JOIN w USING (term) JOIN tf USING (term) JOIN m USING (r) GROUP BY ALL),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM s WHERE score > 0)
+SELECT item_id::BIGINT AS item_id, rank::INTEGER AS rank, doc_id::BIGINT AS doc_id, score FROM ranked WHERE rank <= 10
+"""
+
+OP12_SQL = f"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all({LOWER}, '[^\x20\x09-\x0D]+') AS w FROM documents WHERE doc_id IS NOT NULL),
+s AS (SELECT doc_id, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+  ELSE list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) END) AS shingle FROM w),
+sets AS (SELECT DISTINCT doc_id, shingle FROM s),
+n AS (SELECT doc_id, count(*) AS n FROM sets GROUP BY ALL),
+shared AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS k FROM sets a JOIN sets b ON a.shingle = b.shingle AND a.doc_id <> b.doc_id GROUP BY ALL),
+links AS (SELECT a, b FROM shared JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * k >= 80 * (x.n + y.n - k)),
+reach AS (SELECT doc_id AS start, doc_id AS node FROM w UNION SELECT start, b FROM reach JOIN links ON a = node)
+SELECT w.doc_id::BIGINT AS doc_id, coalesce(any_value(n.n), 0)::BIGINT AS n_shingles, min(node)::BIGINT AS component_id
+FROM w JOIN reach ON start = w.doc_id LEFT JOIN n ON n.doc_id = w.doc_id GROUP BY w.doc_id
+"""
+
+OP13_SQL = """
+WITH t AS (SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[A-Za-z]+|[^A-Za-z]') AS u, sha256('1:' || coalesce(doc_id::VARCHAR, '')) AS h FROM documents),
+d AS (SELECT doc_id, t, u, len(u)::BIGINT AS n, CAST('0x' || h[1:8] AS BIGINT) AS h1, CAST('0x' || h[9:16] AS BIGINT) AS h2, CAST('0x' || h[17:24] AS BIGINT) AS h3, CAST('0x' || h[25:32] AS BIGINT) AS h4 FROM t),
+c AS (SELECT *, least(h1 % (n + 1), h2 % (n + 1)) AS x, greatest(h1 % (n + 1), h2 % (n + 1)) AS y,
+  CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR h3 % 100 >= 90 THEN 'plain' WHEN h4 % 100 < 20 THEN 'spm' ELSE 'psm' END AS form FROM d),
+p AS (SELECT *, array_to_string(u[1:x], '') AS prefix, CASE WHEN y > x THEN array_to_string(u[x + 1:y], '') ELSE '' END AS middle, array_to_string(u[y + 1:], '') AS suffix FROM c)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(prefix) END AS prefix_chars, CASE WHEN form <> 'plain' THEN length(middle) END AS middle_chars,
+  sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || prefix || '<S>' || suffix || '<M>' || middle ELSE '<S>' || suffix || '<P>' || prefix || '<M>' || middle END) AS output_sha256,
+  sha256(t) AS restored_sha256 FROM p
+"""
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (
-    op1_weak_quality, op2_language, op3_line_quality, op4_token_counts, op5_tool_calls, op6_simhash, op7_substrings, op8_packing, op9_neighbours, op10_mixing)}
-ORACLES: dict[str, str] = {"op10_mixing": OP10_SQL}
+    op1_weak_quality, op2_language, op3_line_quality, op4_token_counts, op5_tool_calls, op6_simhash, op7_substrings, op8_packing, op9_neighbours, op10_mixing,
+    op11_ranking, op12_set_join, op13_infilling)}
+ORACLES: dict[str, str] = {"op10_mixing": OP10_SQL, "op11_ranking": OP11_SQL, "op12_set_join": OP12_SQL, "op13_infilling": OP13_SQL}
