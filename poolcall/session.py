@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -45,6 +46,39 @@ def fresh_path(spark: SparkSession, label: str) -> str:
     return f"{scratch_dir(spark)}/{label}-{uuid.uuid4().hex}"
 
 
+class Scratch:
+    """Tables written inside one :func:`scratch_scope`."""
+
+    def __init__(self):
+        self.written: set[str] = set()
+        self.kept: set[str] = set()
+
+    def keep(self, df: DataFrame) -> DataFrame:
+        """``df``, as :func:`cut` returned it, outlives the scope."""
+        self.kept.add(df.scratch_path_)
+        return df
+
+
+_scopes: list[Scratch] = []
+
+
+@contextmanager
+def scratch_scope(spark: SparkSession):
+    """Remove every table that :func:`cut` writes inside, but for those given to ``keep``, when the block ends.
+
+    For operators that settle their result in a written table and return a plan over that table alone."""
+    scope = Scratch()
+    _scopes.append(scope)
+    try:
+        yield scope
+    finally:
+        _scopes.remove(scope)
+        jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+        for path in scope.written - scope.kept:
+            at = jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(conf).delete(at, True)
+
+
 def cut(df: DataFrame, *partition_by: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back.
 
@@ -55,7 +89,11 @@ def cut(df: DataFrame, *partition_by: str) -> DataFrame:
     if partition_by:
         w = w.partitionBy(*partition_by)
     w.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    if _scopes:
+        out.scratch_path_ = path
+        _scopes[-1].written.add(path)
+    return out
 
 
 PASS_LIMIT = 10_000  # a fit that has not settled by then is an error
