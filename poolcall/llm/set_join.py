@@ -11,9 +11,8 @@ import xxhash
 import zstandard
 from pyspark.sql import DataFrame, functions as F
 
-from poolcall.llm.common import arrow_schema, map_texts, mixed, partitions_of, record_batch, slices
+from poolcall.llm.common import arrow_schema, map_texts, mixed, partitions_of, record_batch, slices, window_hashes, word_hashes
 from poolcall.llm.components import components
-from poolcall.llm.near_copies import content, shingle_set
 from poolcall.session import cut
 
 NUM, DEN = 4, 5  # similarity as a fraction: shared / all >= NUM / DEN
@@ -21,6 +20,18 @@ SMALL = 16  # the boundary between small and large is sought up to here; a set o
 BUCKETS_PER_PARTITION = 4
 SIGN = 40  # bits of a hash that the first look compares inside a bucket
 CELL = 512  # members of a list that one task compares with as many others
+ENOUGH = 0.2  # a round that links a smaller share of its pairs is the last one before the lists are scanned
+
+
+def content(text: str | None) -> list[bytes]:
+    """The words that count: ASCII lower-cased, as in the fingerprints."""
+    return text.encode().lower().split() if text else []
+
+
+def shingle_set(text: str | None, shingle: int = 5) -> np.ndarray:
+    """Different shingles of a text as 64-bit values; a text of fewer words is one shingle, one without words has none."""
+    words = content(text)
+    return np.unique(window_hashes(word_hashes(words), min(shingle, len(words)))) if words else np.empty(0, np.uint64)
 
 
 def least_shared(n: int, m: int) -> int:
@@ -247,9 +258,9 @@ def list_links(sets: DataFrame) -> DataFrame | None:
     A set is filed in the list of each element of its prefix in that order: elements found nowhere else come first, so
     ``p`` and ``q`` of them are used up before a list is made. Linked sets meet in a list, the larger with its first
     n - ceil(0.8 n) + 1 elements and the smaller with its first n - ceil(8 n / 9) + 1. Each round compares one member
-    of each list, another each time, with those not yet connected with it. When a round finds nothing, the open lists
-    (three members or more) are scanned in cells of bounded size, in which all members are compared without any list of
-    pairs."""
+    of each list, another each time, with those not yet connected with it. When a round finds little, the lists that are
+    still open (three members or more) are scanned in cells of bounded size, in which all members are compared without
+    any list of pairs."""
     n, alone = F.col("n"), F.col("n") - F.size("shared")
     p, q = n - F.expr(f"({NUM} * n + {DEN - 1}) div {DEN}") + 1, n - F.expr(f"({2 * NUM} * n + {NUM + DEN - 1}) div {NUM + DEN}") + 1
     ranked = sets.select("node", "n", "shared", (p - alone).cast("int").alias("p"), (q - alone).alias("q")).filter("p > 0")
@@ -264,13 +275,15 @@ def list_links(sets: DataFrame) -> DataFrame | None:
         chosen = at.groupBy("key").agg(F.min(turned).alias("c"), F.min("label").alias("low"), F.max("label").alias("high")).filter("low <> high")
         chosen = chosen.select("key", F.col("c.node").alias("x"), F.col("c.n").alias("x_n"), F.col("c.filed").alias("x_filed"), F.col("c.label").alias("x_label"))
         met = at.select("key", F.col("node").alias("y"), F.col("n").alias("y_n"), F.col("filed").alias("y_filed"), "label").join(chosen, "key")
-        pairs = met.filter(F.expr("label <> x_label") & fits("x_", "y_")).select("x", "y").distinct()
+        pairs = cut(met.filter(F.expr("label <> x_label") & fits("x_", "y_")).select("x", "y").distinct())
         found = cut(_linked(pairs, packed))
-        if found.isEmpty():
+        new, tried = found.count(), pairs.count()
+        if new:
+            links = found if links is None else links.unionAll(found)
+            roots, turn = cut(components(links)), turn + 1
+            at = cut(lists.join(roots, "node", "left").select("key", "node", "n", "filed", F.coalesce("root", "node").alias("label")))
+        if new < ENOUGH * tried or not new:
             break
-        links = found if links is None else links.unionAll(found)
-        roots, turn = cut(components(links)), turn + 1
-        at = cut(lists.join(roots, "node", "left").select("key", "node", "n", "filed", F.coalesce("root", "node").alias("label")))
     found = cut(_cells(at, packed))
     return links if found.isEmpty() else found if links is None else links.unionAll(found)
 
@@ -286,32 +299,27 @@ def _pack_sets(batches):
 
 
 def _cells(at: DataFrame, packed: DataFrame) -> DataFrame:
-    """Links inside lists whose members are still apart. Lists of the same members are scanned once; a list of more than
-    CELL members is dealt over squares, and every two of its parts meet in one."""
-    open_ = at.groupBy("key").agg(F.count(F.lit(1)).alias("k"), F.min("label").alias("low"), F.max("label").alias("high"), F.min("node").alias("first"),
-                                  F.sum(F.xxhash64("node").cast("decimal(38,0)")).alias("mark")).filter("k > 2 AND low <> high")
-    once = open_.groupBy("k", "first", "mark").agg(F.min("key").alias("key")).select("key", "k")
-    parts = F.ceil(F.col("k") / CELL)
-    member = at.join(once, "key").withColumn("i", F.pmod(F.xxhash64("node"), parts)).withColumn("j", F.explode(F.sequence(F.lit(0).cast("bigint"), parts - 1)))
-    member = member.select("key", F.least("i", "j").alias("i"), F.greatest("i", "j").alias("j"), "node", "label")
-    return member.join(packed.select("node", "n", "packed"), "node").groupBy("key", "i", "j").applyInArrow(_cell_links, "a long, b long")
-
-
-def jaccard_components(docs: DataFrame, shingle: int = 5) -> DataFrame:
-    """``docs(doc_id, text)`` to ``(doc_id, n_shingles, component_id)``: texts whose sets of word shingles have at least
-    four fifths of their union in common are linked; component_id is the smallest doc_id reachable, itself included.
-
-    Words are lower-cased in A-Z only; a text of fewer words than ``shingle`` is one shingle. Null, empty and blank
-    texts have an empty set and no links. Rows without doc_id take no part; rows that share one are linked text by text,
-    and each comes out. Texts of any length are read whole; other columns are ignored.
-
-    Texts of the same words are one node. Sets up to a size chosen by cost are joined by their subsets. For larger ones
-    a first look sends the leading elements of each set in hash order: linked sets must share more than a quarter
-    of them, so most texts leave at once. The rest send all their elements, learn which are found in several sets, and
-    are filed by their rarest ones. An element is a 64-bit value; only elements of two sets are ever compared, so
-    chance equality does not grow with the corpus."""
+    """Links inside lists whose members are still apart. Lists of the same members are scanned once.
+
+    The members outside the list's largest group are dealt over parts, and so is that group. Every two parts of the
+    former meet in a cell, and each of them meets each part of the group; two members of the group are never compared."""
+    labels = at.groupBy("key", "label").agg(F.count(F.lit(1)).alias("k"), F.min("node").alias("first"), F.sum(F.xxhash64("node").cast("decimal(38,0)")).alias("mark"))
+    open_ = labels.groupBy("key").agg(F.sum("k").alias("k"), F.max("k").alias("most"), F.max_by("label", F.struct("k", "label")).alias("main"), F.min("first").alias("first"), F.sum("mark").alias("mark"))
+    once = open_.filter("k > 2 AND most < k").groupBy("k", "first", "mark").agg(F.min(F.struct("key", "main", "most")).alias("o")).select("o.*", (F.col("k") - F.col("o.most")).alias("rest"))
+    parts = lambda c: F.greatest(F.ceil(F.col(c) / CELL), F.lit(1).cast("bigint"))
+    upto = lambda c: F.sequence(F.lit(0).cast("bigint"), parts(c) - 1)
+    own = lambda c: F.pmod(F.xxhash64("node"), parts(c))
+    cell = lambda kind, i, j: F.struct(F.lit(kind).alias("kind"), i.alias("i"), j.alias("j"))
+    outside = F.concat(F.transform(upto("rest"), lambda j: cell(0, F.least(own("rest"), j), F.greatest(own("rest"), j))), F.transform(upto("most"), lambda j: cell(1, own("rest"), j)))
+    inside = F.transform(upto("rest"), lambda i: cell(1, i, own("most")))
+    member = at.join(once, "key").withColumn("cell", F.explode(F.when(F.col("label") == F.col("main"), inside).otherwise(outside))).select("key", "cell", "node", "label")
+    return member.join(packed.select("node", "n", "packed"), "node").groupBy("key", "cell").applyInArrow(_cell_links, "a long, b long")
+
+
+def shingle_classes(docs: DataFrame, shingle: int = 5) -> tuple[DataFrame, DataFrame]:
+    """``docs(doc_id, text)`` to ``rows(doc_id, key, n, row)`` and ``classes(key, root)``: texts of the same words share a
+    key, and keys have the same root if links lead from one to the other. A text without words has a key but no root."""
     buckets = BUCKETS_PER_PARTITION * partitions_of(docs.sparkSession)
-    docs = docs.filter("doc_id IS NOT NULL").select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
     rows = cut(map_texts(docs, _read(shingle), "key binary, n bigint, lead binary, small array<bigint>", "doc_id").withColumn("row", F.monotonically_increasing_id()))
     nodes = cut(rows.filter("n > 0").groupBy("key").agg(F.min("row").alias("node"), F.first("n").alias("n"), F.first("small").alias("small")))
     x = boundary({r["n"]: r["count"] for r in nodes.filter(F.col("n") <= DEN * SMALL // NUM + 1).groupBy("n").count().collect()})
@@ -327,7 +335,23 @@ def jaccard_components(docs: DataFrame, shingle: int = 5) -> DataFrame:
               .groupBy("node").agg(F.array_sort(F.collect_list(F.struct("df", "h"))).alias("shared")))
     found = list_links(cut(shared.join(sets.select("node", "n"), "node").filter(NUM * F.col("n") <= DEN * F.size("shared"))))
     roots = components(links if found is None else links.unionAll(found))
-    named = nodes.join(roots, "node", "left").select("key", F.coalesce("root", "node").alias("root"))
-    own = rows.select("doc_id", F.col("n").alias("n_shingles"), "key", "row").join(named, "key", "left").withColumn("root", F.coalesce("root", "row"))
+    return rows.select("doc_id", "key", "n", "row"), nodes.join(roots, "node", "left").select("key", F.coalesce("root", "node").alias("root"))
+
+
+def jaccard_components(docs: DataFrame, shingle: int = 5) -> DataFrame:
+    """``docs(doc_id, text)`` to ``(doc_id, n_shingles, component_id)``: texts whose sets of word shingles have at least
+    four fifths of their union in common are linked; component_id is the smallest doc_id reachable, itself included.
+
+    Words are lower-cased in A-Z only; a text of fewer words than ``shingle`` is one shingle. Null, empty and blank
+    texts have an empty set and no links. Rows without doc_id take no part; rows that share one are linked text by text,
+    and each comes out. Texts of any length are read whole; other columns are ignored.
+
+    Texts of the same words are one node. Sets up to a size chosen by cost are joined by their subsets. For larger ones
+    a first look sends the leading elements of each set in hash order: linked sets must share more than a quarter
+    of them, so most texts leave at once. The rest send all their elements, learn which are found in several sets, and
+    are filed by their rarest ones. An element is a 64-bit value; only elements of two sets are ever compared, so
+    chance equality does not grow with the corpus."""
+    rows, classes = shingle_classes(docs.filter("doc_id IS NOT NULL").select(F.col("doc_id").cast("bigint").alias("doc_id"), "text"), shingle)
+    own = rows.select("doc_id", F.col("n").alias("n_shingles"), "key", "row").join(classes, "key", "left").withColumn("root", F.coalesce("root", "row"))
     least = own.groupBy("root").agg(F.min("doc_id").alias("component_id"))
     return own.join(least, "root").select("doc_id", "n_shingles", "component_id")

@@ -175,7 +175,7 @@ def _packed(docs: DataFrame, carry: list[str]) -> DataFrame:
     def run(batches):
         press = zstandard.ZstdCompressor(level=1)
         for b in slices(batches):
-            packed = [press.compress(t.encode()) if t else None for t in b.column(1).to_pylist()]
+            packed = [None if t is None else press.compress(t.encode()) for t in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0).cast(pa.int64()), pa.array(packed, pa.binary()), *(b.column(2 + i).cast(schema.field(2 + i).type) for i in range(len(carry)))], schema=schema)
 
     return docs.select("doc_id", "text", *carry).mapInArrow(run, ddl)
@@ -184,22 +184,27 @@ def _packed(docs: DataFrame, carry: list[str]) -> DataFrame:
 RESULT = "n_words bigint, n_removed bigint, removed array<struct<start:bigint,stop:bigint>>, kept string"
 
 
-def _cut_texts(window, carry_ddl: list[str]):
+def _cut_texts(window, carry_ddl: list[str], as_is: bool):
     ddl = ", ".join(["doc_id bigint", RESULT, *carry_ddl])
     schema = arrow_schema(ddl)
 
+    def untouched(packed, words):
+        if as_is:
+            return len(words), 0, [], None if packed is None else zstandard.decompress(packed).decode()
+        return len(words), 0, [], b" ".join(words).decode()
+
     def one(packed, flagged):
         words = unpack(packed)
         n = len(words)
         if n < window:
-            return n, 0, [], b" ".join(words).decode()
+            return untouched(packed, words)
         h = windows_of(word_hashes(words), window)
         _, first, inverse = np.unique(h, return_index=True, return_inverse=True)
         again = first[inverse] != np.arange(len(h))
         if flagged is not None:
             again |= np.isin(h, flagged)
         if not again.any():
-            return n, 0, [], b" ".join(words).decode()
+            return untouched(packed, words)
         edge = np.zeros(n + 1, np.int64)
         at = np.flatnonzero(again)
         np.add.at(edge, at, 1)
@@ -219,12 +224,13 @@ def _cut_texts(window, carry_ddl: list[str]):
     return run, ddl
 
 
-def dedup_substrings(docs: DataFrame, carry: tuple = (), window: int = WINDOW, period: int = PERIOD, cover: tuple = COVER) -> DataFrame:
+def dedup_substrings(docs: DataFrame, carry: tuple = (), window: int = WINDOW, period: int = PERIOD, cover: tuple = COVER, as_is: bool = False) -> DataFrame:
     """Remove every word covered by a window of ``window`` words that also starts earlier (smaller doc_id, or earlier in
     the same document).
 
     ``docs(doc_id, text, *carry)`` to ``(doc_id, n_words, n_removed, removed spans of words, kept, *carry)``; ``kept``
-    is the kept words joined by one space. Null and empty texts have no words. Rows without doc_id take no part; rows
+    is the kept words joined by one space; with ``as_is`` a text that loses nothing comes back unchanged, null as null.
+    Null and empty texts have no words. Rows without doc_id take no part; rows
     that share a doc_id are judged one by one against other documents and themselves, never against each other.
 
     Anchors of ``window - period + 1`` words are hashed only at cover positions modulo ``period``: two equal windows
@@ -243,5 +249,5 @@ def dedup_substrings(docs: DataFrame, carry: tuple = (), window: int = WINDOW, p
     extended = packed.join(shared, "doc_id").select("doc_id", "packed", "shared")
     flagged = (extended.mapInArrow(_window_entries(window, period, cover, buckets), ENTRY).groupBy("bucket")
                .applyInArrow(_earlier_windows, "doc_id bigint, hash bigint").groupBy("doc_id").agg(F.collect_set("hash").alias("flagged")))
-    run, ddl = _cut_texts(window, [f"`{c}` {kinds[c]}" for c in carry])
+    run, ddl = _cut_texts(window, [f"`{c}` {kinds[c]}" for c in carry], as_is)
     return packed.join(flagged, "doc_id", "left").select("doc_id", "packed", "flagged", *carry).mapInArrow(run, ddl)
