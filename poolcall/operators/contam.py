@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from typing import NamedTuple
+
 import numpy as np
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
@@ -135,6 +137,70 @@ def fit_shares(rows: DataFrame, start: list[float], c: float, passes: int = PASS
     return share
 
 
+def share_pass(rows: DataFrame, shares: dict[int, list[float]], c: float) -> dict[int, tuple[list[float], float]]:
+    """One EM pass for every key ``b`` of ``rows(b, n, k, pe, fr)`` that ``shares`` names: its next shares, and the log
+    likelihood of those given. One job, whatever the number of keys."""
+    spark, size = rows.sparkSession, max(len(s) for s in shares.values())
+    d = rows.join(F.broadcast(local_table(spark, list(shares.items()), "b INT, s ARRAY<DOUBLE>")), "b")  # one row a key
+    p = f"({1 - c!r}D * pe + {c!r}D * aggregate(zip_with(fr, s, (f, q) -> f * q), 0D, (a, v) -> a + v))"
+    d = d.withColumn("p", F.expr(f"least(greatest({p}, 1e-9D), 1 - 1e-9D)"))
+    parts = "transform(zip_with(fr, s, (f, q) -> struct(f, q)), z -> z.q * (k * z.f / p + (n - k) * (1 - z.f) / (1 - p)))"
+    d = d.select("b", F.posexplode(F.expr(f"concat({parts}, array(k * ln(p) + (n - k) * ln(1 - p)))")).alias("m", "v"))
+    got = {(x.b, x.m): x.v for x in collect_bounded(d.groupBy("b", "m").agg(F.sum("v").alias("v")), len(shares) * (size + 1))}
+    out = {}
+    for b, share in shares.items():
+        v = [got.get((b, m), 0.0) for m in range(len(share))]
+        out[b] = ([x / sum(v) for x in v] if sum(v) > 0 else share, got.get((b, len(share)), 0.0))
+    return out
+
+
+def leap(a: list[float], b: list[float], c: list[float]) -> list[float]:
+    """Squared extrapolation of three successive share vectors, brought back to shares."""
+    r = [y - x for x, y in zip(a, b)]
+    v = [z - 2 * y + x for x, y, z in zip(a, b, c)]
+    size = sum(x * x for x in v)
+    step = max((sum(x * x for x in r) / size) ** 0.5, 1.0) if size > 0 else 1.0
+    far = [max(x + 2 * step * y + step * step * z, 1e-12) for x, y, z in zip(a, r, v)]
+    return [x / sum(far) for x in far]
+
+
+def boost(a: list[float], b: list[float], power: float) -> list[float]:
+    """The pass from ``a`` to ``b`` taken with every factor raised to ``power``."""
+    v = [x * (y / x) ** power if x > 0 else 0.0 for x, y in zip(a, b)]
+    return [x / sum(v) for x in v]
+
+
+def settle_shares(rows: DataFrame, start: dict[int, list[float]], c: float, tol: float = 1e-7, limit: int = PASS_LIMIT) -> dict[int, list[float]]:
+    """The most likely shares of every key of ``rows``: EM passes until one moves no share by ``tol * c``; a key that has
+    settled takes no part in later jobs.
+
+    A pass moves shares only about ``c`` of the way, as the rest of the reads is not ambient, so its factors are raised to
+    1 / c, and three passes give a squared extrapolation. Each of the two is taken only if the likelihood rises, else a
+    plain pass is, which never lowers it. The likelihood is concave in the shares: every start leads to its maximum."""
+    at, power, done, passes = dict(start), dict.fromkeys(start, 1 / c), {}, 0
+    while at:
+        one = share_pass(rows, at, c)
+        for b in [b for b in at if max(abs(x - y) for x, y in zip(at[b], one[b][0])) < tol * c]:
+            done[b] = one[b][0]
+            del at[b]
+        if not at:
+            break
+        if passes >= limit:
+            raise not_settled("the share fit", passes, max(abs(x - y) for b in at for x, y in zip(at[b], one[b][0])))
+        first = {b: boost(at[b], one[b][0], power[b]) for b in at}
+        two = share_pass(rows, first, c)
+        rose = [b for b in at if two[b][1] >= one[b][1]]
+        far = {b: leap(at[b], first[b], boost(first[b], two[b][0], power[b])) for b in rose}
+        three = share_pass(rows, far, c) if far else {}
+        passes += 3
+        for b in at:
+            if b not in far:
+                at[b], power[b] = one[b][0], max(power[b] / 2, 1.0)
+            else:
+                at[b] = three[b][0] if three[b][1] >= two[b][1] else two[b][0]
+    return done
+
+
 def total_loglik(ev: DataFrame, c: float) -> float:
     p = (1 - c) * F.col("pe") + c * F.col("pc")
     return ev.agg(F.sum(F.col("k") * F.log(p) + (F.col("n") - F.col("k")) * F.log(1 - p)).alias("ll")).first().ll
@@ -188,30 +254,80 @@ def reclassify(pair_counts: DataFrame, calls: DataFrame, amb: DataFrame, c: floa
     return d.select("barcode", *[F.when(take, F.col(a)).otherwise(F.col(b)).alias(a) for a, b in (("i", "oi"), ("j", "oj"), ("llr", "ollr"))])
 
 
-def quantify(pair_counts: DataFrame, cond: DataFrame, calls: DataFrame, max_rounds: int = 5, tol: float = 0.1, doublet_rate: float = 0.1):
-    """The whole contamination fit; returns (rates, profile, calls). Each round starts from written tables."""
-    spark = pair_counts.sparkSession
-    pc, cd, calls, last = cut(pair_counts), cut(cond), cut(calls), None
-    for _ in range(max_rounds):
-        ev = cut(evidence(pc, calls))
-        by, c0 = start_values(ev)
-        prof = {x.sample: x.share for x in collect_bounded(start_profile(by), 4096)}
-        members = sorted(prof)
-        rows = cut(class_rows(ev, cd, members))
-        c, share = min(max(c0.first().c, 0.01), 0.9), [prof[m] for m in members]
-        for _ in range(2):
-            share = fit_shares(rows, share, c, passes=20, tol=0.0)
-            profile = local_table(spark, list(zip(members, share)), "sample INT, share DOUBLE")
-            amb = class_ambient(cd, profile)
-            full = with_ambient(ev, amb)
-            c = global_rate(full)
-        ll = total_loglik(full, c)
-        if last is not None and abs(ll - last) <= tol:
+def fit_contamination(ev: DataFrame, cond: DataFrame, members: list[int], share: list[float], c: float, tol: float = 1e-4) -> tuple[float, DataFrame, DataFrame]:
+    """Profile and common rate in turn, each at its maximum given the other, until the rate moves by less than ``tol``:
+    (rate, profile, ambient rate per class)."""
+    spark = ev.sparkSession
+    rows = cut(class_rows(ev, cond, members).withColumn("b", F.lit(0)))
+    for k in range(PASS_LIMIT):
+        share = settle_shares(rows, {0: share}, c)[0]
+        profile = local_table(spark, list(zip(members, share)), "sample INT, share DOUBLE")
+        amb = class_ambient(cond, profile)
+        new = global_rate(with_ambient(ev, amb))
+        moved, c = abs(new - c), new
+        if moved < tol:
+            return c, profile, amb
+    raise not_settled("the contamination rate", PASS_LIMIT, moved)
+
+
+class Contamination(NamedTuple):
+    """State of the contamination fit after a round."""
+
+    calls: DataFrame
+    rates: DataFrame
+    profile: DataFrame
+    loglik: float
+
+
+def contamination_round(pair_counts: DataFrame, cond: DataFrame, calls: DataFrame, last: Contamination | None, doublet_rate: float) -> Contamination:
+    """One round: fit profile and rate for ``calls``, call again, and measure the new calls under the fit.
+
+    The first round starts from the frequency gaps, a later one from the profile and the mean rate before it."""
+    ev = cut(evidence(pair_counts, calls))
+    by, c0 = start_values(ev)
+    start = {x.sample: x.share for x in collect_bounded(start_profile(by), 4096)}
+    if last is None:
+        c = c0.first().c
+    else:
+        start |= {x.sample: x.share for x in collect_bounded(last.profile, 4096)}
+        c = last.rates.agg(F.avg("c").alias("c")).first().c
+    members = sorted(start)
+    total = sum(start.values())
+    c, profile, amb = fit_contamination(ev, cond, members, [start[m] / total for m in members], min(max(c, 0.01), 0.9))
+    calls = cut(reclassify(pair_counts, calls, amb, c, doublet_rate))
+    full = cut(with_ambient(evidence(pair_counts, calls), amb))
+    return Contamination(calls, cut(shrunk_rates(full, calls)), profile, total_loglik(full, c))
+
+
+def best_round(rounds, tol: float = 0.1):
+    """The last round accepted of an iterator of rounds. A round is accepted if its likelihood is above the one before;
+    the first that gains ``tol`` or less ends the search, and if it fell the state before it stays."""
+    kept = None
+    for new in rounds:
+        gain = None if kept is None else new.loglik - kept.loglik
+        if gain is None or gain > 0:
+            kept = new
+        if gain is not None and gain <= tol:
             break
-        last = ll
-        calls = cut(reclassify(pc, calls, amb, c, doublet_rate))
-    ev = cut(with_ambient(evidence(pc, calls), amb))
-    return shrunk_rates(ev, calls), profile, calls
+    return kept
+
+
+def quantify(pair_counts: DataFrame, cond: DataFrame, calls: DataFrame, tol: float = 0.1, doublet_rate: float = 0.1, once: bool = False):
+    """The whole contamination fit; returns (rates, profile, calls).
+
+    Rounds go on until the log likelihood gains ``tol`` or less, and one that lowers it is not accepted; ``once`` stops
+    after the first. Each round starts from written tables."""
+    pc, cd = cut(pair_counts), cut(cond)
+
+    def rounds(calls):
+        last = None
+        for _ in range(1 if once else PASS_LIMIT):
+            last = contamination_round(pc, cd, calls, last, doublet_rate)
+            calls = last.calls
+            yield last
+
+    best = best_round(rounds(cut(calls)), tol)
+    return best.rates, best.profile, best.calls
 
 
 def rates_by_member(rates: DataFrame, calls: DataFrame) -> DataFrame:
@@ -227,15 +343,17 @@ def rates_by_member(rates: DataFrame, calls: DataFrame) -> DataFrame:
 # --- expression -------------------------------------------------------------------------------------
 
 def expression_step(counts: DataFrame, params: DataFrame) -> DataFrame:
-    """One EM pass of ambient and per-cluster gene profiles with known rates; parameters stay a table (cluster, gene, a, e)."""
-    d = counts.join(params, ["cluster", "gene"])
-    r = F.col("c") * F.col("a") / (F.col("c") * F.col("a") + (1 - F.col("c")) * F.col("e"))
-    g = d.groupBy("cluster", "gene").agg(F.sum(F.col("cnt") * r).alias("x"), F.sum(F.col("cnt") * (1 - r)).alias("y"))
+    """One EM pass of ambient and per-cluster gene profiles with known rates; parameters stay a table (cluster, gene, a, e).
+    ``ll`` is the log likelihood of the parameters given."""
+    d = counts.join(params.select("cluster", "gene", "a", "e"), ["cluster", "gene"])
+    p = F.col("c") * F.col("a") + (1 - F.col("c")) * F.col("e")
+    r = F.col("c") * F.col("a") / p
+    g = d.groupBy("cluster", "gene").agg(F.sum(F.col("cnt") * r).alias("x"), F.sum(F.col("cnt") * (1 - r)).alias("y"), F.sum(F.col("cnt") * F.log(p)).alias("l"))
     ga = g.groupBy("gene").agg(F.sum("x").alias("ga"))
-    ta = g.agg(F.sum("x").alias("ta"))  # one row
+    ta = g.agg(F.sum("x").alias("ta"), F.sum("l").alias("ll"))  # one row
     te = g.groupBy("cluster").agg(F.sum("y").alias("te"))
     return g.join(ga, "gene").join(te, "cluster").join(F.broadcast(ta)).select(
-        "cluster", "gene", (F.col("ga") / F.col("ta")).alias("a"), (F.col("y") / F.col("te")).alias("e"))
+        "cluster", "gene", (F.col("ga") / F.col("ta")).alias("a"), (F.col("y") / F.col("te")).alias("e"), "ll")
 
 
 def expression_start(counts: DataFrame) -> DataFrame:
@@ -245,22 +363,42 @@ def expression_start(counts: DataFrame) -> DataFrame:
         "cluster", "gene", (F.col("ga") / F.col("t")).alias("a"), (F.col("n") / F.col("te")).alias("e"))
 
 
-def fit_expression(counts: DataFrame, passes: int = 20) -> DataFrame:
-    params = cut(expression_start(counts))
-    for _ in range(passes):
-        params = cut(expression_step(counts, params))
-    return params
+def fit_expression(counts: DataFrame, tol: float = 1e-5, limit: int = PASS_LIMIT) -> DataFrame:
+    """Ambient and per-cluster gene profiles (cluster, gene, a, e): passes until one gains no more than ``tol`` of the log
+    likelihood. Counts of cells with the same rate are added up first."""
+    counts = cut(counts.groupBy("cluster", "gene", "c").agg(F.sum("cnt").alias("cnt")))
+    params, last = cut(expression_start(counts)), None
+    for _ in range(limit):
+        new = cut(expression_step(counts, params))
+        row = new.select("ll").first()
+        if row is None or (last is not None and abs(row.ll - last) <= tol * abs(last)):
+            return params
+        params, gained, last = new.drop("ll"), None if last is None else row.ll - last, row.ll
+    raise not_settled("the expression fit", limit, gained)
 
 
-def remove_ambient(counts: DataFrame, ambient: DataFrame) -> DataFrame:
+def remove_ambient(counts: DataFrame, ambient: DataFrame, skip: DataFrame | None = None) -> DataFrame:
     """Take c times its total out of each cell in proportion to the ambient profile, never below zero.
 
+    Genes of ``skip(gene)`` keep their counts and have no part in the ambient profile; they do count in the cell's total.
+
     The common multiplier comes in closed form from running sums over the cell's genes by count over ambient
     share (a cell has at most one row per gene); ``counts`` holds (barcode, gene, cnt, c)."""
-    d = counts.join(ambient, "gene").withColumn("ratio", F.round(F.col("cnt") / F.col("a"), 6))
     cell = W.partitionBy("barcode")
+    d = counts.withColumn("rm", F.sum("cnt").over(cell) * F.col("c")).join(ambient, "gene")
+    if skip is not None:
+        skip = skip.select("gene").distinct()
+        whole = counts.join(skip, "gene", "left_semi").select("barcode", "gene", "cnt", F.col("cnt").cast("double").alias("remaining"))
+        return _removed(d.join(skip, "gene", "left_anti")).unionByName(whole)
+    return _removed(d)
+
+
+def _removed(d: DataFrame) -> DataFrame:
+    """Of rows (barcode, gene, cnt, a, rm): what is left after taking ``rm`` out of each cell."""
+    cell = W.partitionBy("barcode")
+    d = d.withColumn("ratio", F.round(F.col("cnt") / F.col("a"), 6))
     before = cell.orderBy("ratio", "gene").rowsBetween(W.unboundedPreceding, -1)
-    d = (d.withColumn("rm", F.sum("cnt").over(cell) * F.col("c")).withColumn("at_", F.sum("a").over(cell))
+    d = (d.withColumn("at_", F.sum("a").over(cell))
          .withColumn("c0", F.coalesce(F.sum("cnt").over(before), F.lit(0))).withColumn("a0", F.coalesce(F.sum("a").over(before), F.lit(0.0))))
     lam = (F.col("rm") - F.col("c0")) / F.greatest(F.col("at_") - F.col("a0"), F.lit(1e-300))
     # the first gene that the multiplier leaves above zero fixes it

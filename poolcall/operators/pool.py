@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from poolcall.functions.expr import binom_logpmf, err_adj
-from poolcall.operators.contam import fit_shares
+from poolcall.operators.contam import fit_shares, settle_shares
 from poolcall.operators.counts import site_calls
 from poolcall.session import PASS_LIMIT, collect_bounded, cut, local_table, not_settled
 
@@ -42,22 +42,13 @@ def bootstrap_rows(bulk: DataFrame, replicates: int) -> DataFrame:
     return d.withColumn("ref_w", F.col("ref_w") * F.col("w")).withColumn("alt_w", F.col("alt_w") * F.col("w")).drop("u", "w")
 
 
-def bootstrap_shares(bulk: DataFrame, genotypes: DataFrame, members: list[int], replicates: int, passes: int = 20,
+def bootstrap_shares(bulk: DataFrame, genotypes: DataFrame, members: list[int], replicates: int, tol: float = 1e-8,
                      e_ref: float = 0.001, e_alt: float = 0.001) -> DataFrame:
-    """Shares per replicate (b, member, share): all replicates go through each pass together."""
-    spark, n = bulk.sparkSession, len(members)
+    """Shares per replicate (b, member, share): all replicates go through each pass together, each until it has settled."""
+    n = len(members)
     rows = cut(bulk_patterns(bootstrap_rows(bulk, replicates), genotypes, n, e_ref, e_alt, ["b"]))
-    share = {b: [1.0 / n] * n for b in range(1, replicates + 1)}
-    for _ in range(passes):
-        p = local_table(spark, [(b, s) for b, s in share.items()], "b INT, s ARRAY<DOUBLE>")
-        d = rows.join(F.broadcast(p), "b")  # one row per replicate
-        d = d.withColumn("p", F.expr("least(greatest(aggregate(zip_with(fr, s, (x, y) -> x * y), 0D, (a, v) -> a + v), 1e-9D), 1 - 1e-9D)"))
-        d = d.select("b", F.posexplode(F.expr("transform(zip_with(fr, s, (f, q) -> struct(f, q)), z -> z.q * (k * z.f / p + (n - k) * (1 - z.f) / (1 - p)))")).alias("m", "v"))
-        got: dict[int, list[float]] = {b: [0.0] * n for b in share}
-        for x in collect_bounded(d.groupBy("b", "m").agg(F.sum("v").alias("v")), replicates * n):
-            got[x.b][x.m] = x.v
-        share = {b: [v / sum(vs) for v in vs] if sum(vs) > 0 else share[b] for b, vs in got.items()}
-    return local_table(spark, [(b, m, s) for b, vs in share.items() for m, s in zip(members, vs)], "b INT, member INT, share DOUBLE")
+    share = settle_shares(rows, {b: [1.0 / n] * n for b in range(1, replicates + 1)}, 1.0, tol)
+    return local_table(bulk.sparkSession, [(b, m, s) for b, vs in sorted(share.items()) for m, s in zip(members, vs)], "b INT, member INT, share DOUBLE")
 
 
 def concentration(shares: DataFrame) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from poolcall.operators import counts as C, pool as P
+from poolcall.plans.contamination import SQL_TOL, share_sql
 from poolcall.plans.fixtures import add_view
 from poolcall.plans.registry import r, register, rq
 from poolcall.session import local_table
@@ -58,9 +59,19 @@ def e25(fx):
     return P.other_allele_rate(d).select(r("rate", 6).alias("rate"))
 
 
-@register("i26_bootstrap_shares")
+REPLICATES = 20
+WEIGHT = " + ".join(f"CAST(u >= {c!r}::DOUBLE AS INT)" for c in P.POISSON1)
+BOOT_ROWS = f"""SELECT b, dense_rank() OVER (ORDER BY pat) AS id, n, k, 0.0 AS pe, m, pat[m + 1] / 2.0 - pat[m + 1] / 2.0 * {ER} + (1 - pat[m + 1] / 2.0) * {ER} AS f FROM (
+      SELECT b, pat, sum((ref_w + alt_w) * w) / 1e6 AS n, sum(alt_w * w) / 1e6 AS k FROM (
+        SELECT *, {WEIGHT} AS w FROM (SELECT x.*, pat, b, CAST(concat('0x', substr(md5(concat(CAST(x.site_id AS VARCHAR), '|', CAST(b AS VARCHAR))), 1, 8)) AS BIGINT) / 4294967296.0::DOUBLE AS u
+          FROM fx_bulk x JOIN (SELECT site_id, list(nalt ORDER BY sample) AS pat FROM fx_genotypes GROUP BY site_id HAVING count(*) = 5) g ON g.site_id = x.site_id, range(1, {REPLICATES + 1}) z(b)) q) y
+      WHERE w > 0 GROUP BY b, pat) a, range(0, 5) z(m)"""
+
+
+@register("i26_bootstrap_shares", share_sql(BOOT_ROWS, 1.0, SQL_TOL).replace("FROM start", f"FROM (SELECT b, m, 0.2::DOUBLE AS share FROM range(1, {REPLICATES + 1}) z(b), range(0, 5) y(m)) q") +
+          f" SELECT CAST(b AS INT) AS b, CAST(m AS INT) AS member, {rq('share')} AS share FROM settled")
 def i26(fx):
-    return P.bootstrap_shares(fx.fx_bulk, fx.fx_genotypes, MEMBERS, 20, passes=10).withColumn("share", r("share"))
+    return P.bootstrap_shares(fx.fx_bulk, fx.fx_genotypes, MEMBERS, REPLICATES).withColumn("share", r("share"))
 
 
 add_view("fx_replicates", """SELECT CAST(o_custkey % 20 AS INT) AS b, CAST(o_orderkey % 5 AS INT) AS member, CAST(count(*) AS DOUBLE) / sum(count(*)) OVER (PARTITION BY o_custkey % 20) AS share

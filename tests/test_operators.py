@@ -169,6 +169,40 @@ def test_ambient_removal_takes_the_exact_total(spark):
         assert abs((r.t - r.l) - 0.3 * r.t) < 1e-6 and r.m >= 0
 
 
+def test_skipped_genes_keep_their_counts(spark):
+    """They count in the cell's total, which is taken out of the other genes."""
+    c = spark.createDataFrame([(1, 1, 50, 0.2), (1, 2, 30, 0.2), (1, 3, 20, 0.2), (2, 3, 7, 0.5)], "barcode INT, gene INT, cnt BIGINT, c DOUBLE")
+    amb = spark.createDataFrame([(1, 0.25), (2, 0.25)], "gene INT, a DOUBLE")  # fitted without gene 3
+    got = {(r.barcode, r.gene): r.remaining for r in contam.remove_ambient(c, amb, spark.createDataFrame([(3,), (3,)], "gene INT")).collect()}
+    assert got == {(1, 1): 40.0, (1, 2): 20.0, (1, 3): 20.0, (2, 3): 7.0}
+
+
+def test_settled_shares_are_the_most_likely_ones(spark):
+    """Two keys with different optima, one of them on the edge: no share vector near or far is more likely."""
+    rng = random.Random(8)
+    d = [(b, n, k, rng.choice([0.01, 0.5, 0.99]), [rng.choice([0.01, 0.5, 0.99]) for _ in range(3)]) for b in (1, 2) for n, k in [(100.0, float(rng.randrange(40, 60)))] * 25]
+    rows = spark.createDataFrame(d, "b INT, n DOUBLE, k DOUBLE, pe DOUBLE, fr ARRAY<DOUBLE>")
+    for c in (1.0, 0.3):
+        def ll(b, s, c=c):
+            ps = [(k, n, (1 - c) * pe + c * sum(f * x for f, x in zip(fr, s))) for key, n, k, pe, fr in d if key == b]
+            return sum(k * math.log(p) + (n - k) * math.log(1 - p) for k, n, p in ps)
+        got = contam.settle_shares(rows, {1: [1 / 3] * 3, 2: [0.9, 0.05, 0.05]}, c)
+        for b, s in got.items():
+            assert abs(sum(s) - 1) < 1e-9
+            grid = [[x / 40, y / 40, 1 - (x + y) / 40] for x in range(41) for y in range(41 - x)]
+            assert ll(b, s) >= max(ll(b, [max(v, 1e-12) for v in g]) for g in grid) - 1e-6
+
+
+def test_a_round_that_lowers_the_likelihood_is_not_accepted():
+    state = lambda ll: contam.Contamination(f"calls {ll}", None, None, ll)
+    def run(*lls):
+        seen = []
+        return contam.best_round((seen.append(x) or state(x) for x in lls)).loglik, seen
+    assert run(-50.0, -40.0, -45.0, -10.0) == (-40.0, [-50.0, -40.0, -45.0])
+    assert run(-50.0, -40.0, -39.95, -10.0) == (-39.95, [-50.0, -40.0, -39.95])
+    assert run(-50.0) == (-50.0, [-50.0])
+
+
 def test_shares_likelihood_never_falls(spark):
     rng = random.Random(8)
     d = [(float(n), float(rng.randrange(n + 1)), 0.0, [rng.choice([0.01, 0.5, 0.99]) for _ in range(3)]) for n in (rng.randrange(5, 50) for _ in range(60))]
