@@ -9,8 +9,12 @@ import numpy as np
 from pyspark.sql import DataFrame, functions as F
 
 from poolcall.llm.common import map_batches, map_texts
+from poolcall.scaling import rank_in_groups
+from poolcall.session import collect_bounded, cut
 
-VOCABULARY = 60_000  # words of the model, the most frequent of all languages
+VOCABULARY = 60_000  # words of the model, dealt evenly to the languages: each has its own most frequent ones
+LEAST_WORDS = 500  # of each language, however many there are
+LANGUAGES = 2_000  # more lang values than that are an error, so the model's size has a bound
 LONGEST = 5  # characters of the longest n-gram, word edges included
 SMOOTH = 0.5
 UNKNOWN = "und"
@@ -35,12 +39,14 @@ def n_grams(word: str, n: int) -> list[str]:
 class Model:
     """Log frequencies by language of words and of n-grams; a bounded value that travels with the tasks."""
 
-    def __init__(self, languages: list[str], words: dict[str, list[int]], totals: list[int]):
+    def __init__(self, languages: list[str], words: dict[str, list[int]], totals: list[int], seen: int | None = None):
+        """``words`` has the counts by language of the words kept; ``totals`` count all words of a language and ``seen``
+        the different ones, kept or not."""
         self.languages = languages
         self.prior = int(np.argmax(totals)) if totals else 0
         self.words = {w: k for k, w in enumerate(words)}
         counts = np.array(list(words.values()), float).reshape(len(words), len(languages))
-        self.word_logs = self._logs(counts, np.array(totals, float))
+        self.word_logs = self._logs(counts, np.array(totals, float), seen)
         self.grams: list[dict[str, int]] = []
         self.gram_logs: list[np.ndarray] = []
         for n in range(1, LONGEST + 1):
@@ -56,8 +62,8 @@ class Model:
             self.gram_logs.append(self._logs(made, made.sum(0)))
 
     @staticmethod
-    def _logs(counts: np.ndarray, totals: np.ndarray) -> np.ndarray:
-        return np.log((counts + SMOOTH) / (totals + SMOOTH * max(1, len(counts))))
+    def _logs(counts: np.ndarray, totals: np.ndarray, kinds: int | None = None) -> np.ndarray:
+        return np.log((counts + SMOOTH) / (totals + SMOOTH * max(1, kinds or len(counts))))
 
     def backed_off(self, word: str) -> np.ndarray | None:
         """Mean log frequency of the word's longest known n-grams, None if not one letter is known."""
@@ -95,10 +101,14 @@ class Model:
 
 
 def learn(labelled: DataFrame, vocabulary: int = VOCABULARY) -> Model:
-    """Count the words of all rows of ``labelled(text, lang)``; the model keeps the ``vocabulary`` most frequent ones.
-
-    Counts are combined batch by batch before they are shuffled, and the selection is a distributed top-k, so the driver
-    sees ``vocabulary`` rows of one count a language, whatever the table."""
+    """Count the words of all rows of ``labelled(text, lang)``. Languages, their totals and the number of different words
+    come from all of them; the model keeps the most frequent words of each language, ``vocabulary`` shared out evenly
+    (``LEAST_WORDS`` at least), with their counts in every language, and takes n-grams from those. So a language that
+    fills a ten-thousandth of the rows has as many words to be known by as any other. A word past that bound is
+    scored by its n-grams.
+
+    Counts are combined batch by batch before they are shuffled and ranked in blocks of a global order; the driver sees the
+    model alone, whose size depends on ``vocabulary`` and the number of languages, which is checked."""
     def count(texts, languages):
         found = Counter()
         for t, lang in zip(texts, languages):
@@ -107,11 +117,17 @@ def learn(labelled: DataFrame, vocabulary: int = VOCABULARY) -> Model:
         return [w for w, _ in found], [lang for _, lang in found], list(found.values())
 
     counts = map_batches(labelled.filter("text IS NOT NULL AND lang IS NOT NULL").select("text", "lang"), count, "word string, lang string, n bigint")
-    by_word = counts.groupBy("word", "lang").agg(F.sum("n").alias("n")).groupBy("word").agg(F.sum("n").alias("n"), F.map_from_entries(F.collect_list(F.struct("lang", "n"))).alias("by"))
-    top = by_word.orderBy(F.desc("n"), "word").limit(vocabulary).collect()
-    languages = sorted({lang for r in top for lang in r["by"]})
-    words = {r["word"]: [r["by"].get(lang, 0) for lang in languages] for r in top}
-    return Model(languages, words, [sum(c[k] for c in words.values()) for k in range(len(languages))])
+    counts = cut(counts.groupBy("word", "lang").agg(F.sum("n").alias("n")))
+    totals = {r["lang"]: r["n"] for r in collect_bounded(counts.groupBy("lang").agg(F.sum("n").alias("n")), LANGUAGES)}
+    languages = sorted(totals)
+    if not languages:
+        return Model([], {}, [])
+    quota = max(LEAST_WORDS, vocabulary // len(languages))
+    kept = rank_in_groups(counts, ["lang"], [F.desc("n"), F.col("word")]).filter(F.col("rank_") <= quota).select("word").distinct()
+    by_word = counts.join(kept, "word", "left_semi").groupBy("word").agg(F.map_from_entries(F.collect_list(F.struct("lang", "n"))).alias("by"))
+    words = {r["word"]: [r["by"].get(lang, 0) for lang in languages] for r in collect_bounded(by_word, quota * len(languages))}
+    seen = counts.select(F.count_distinct("word")).first()[0]
+    return Model(languages, dict(sorted(words.items())), [totals[lang] for lang in languages], seen)
 
 
 def held_out(doc_id: str = "doc_id"):
@@ -129,6 +145,9 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
 
 
 def identify_held_out(docs: DataFrame, vocabulary: int = VOCABULARY) -> DataFrame:
-    """Learn from the rows that are not held out and predict every row: ``(doc_id, held_out, lang_pred, score)``."""
+    """Learn from the rows that are not held out and predict every row: ``(doc_id, held_out, lang_pred, score)``.
+
+    Rows without text or lang teach nothing and are predicted like any other; with no row to learn from every language is
+    ``und``. Repeated rows count as often as they stand there; texts of any length are read whole, word by word."""
     model = learn(docs.filter(~held_out()).select("text", "lang"), vocabulary)
     return identify(docs, model).select("doc_id", held_out().alias("held_out"), "lang_pred", "score")
