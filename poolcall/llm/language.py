@@ -70,7 +70,7 @@ class Model:
         for n in range(LONGEST, 0, -1):
             known = [k for g in n_grams(word, n) if (k := self.grams[n - 1].get(g)) is not None]
             if known:
-                return self.gram_logs[n - 1][known].mean(0)
+                return np.add.reduce(self.gram_logs[n - 1][known], 0) / len(known)
         return None
 
     def predict(self, text: str | None, cache: dict) -> tuple[str, float]:
