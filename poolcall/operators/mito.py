@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from poolcall.functions.expr import log_choose
 from poolcall.operators import counts as C, likelihood as L
-from poolcall.session import collect_bounded, cut
+from poolcall.session import cut
 
 MAX_SITES = 2000
 ZERO = 0.001  # chance of reading the other allele
@@ -54,32 +54,44 @@ def clean_sites(counts: DataFrame) -> DataFrame:
     return d.filter(F.round("gain", 6) > 0).select("pos")
 
 
-def co_occurrence(haps: DataFrame) -> DataFrame:
-    """Per ordered pair of sites (a, b): carriers of a called at b, and carriers of both.
+def co_occurrence(haps: DataFrame, block: int = 256) -> DataFrame:
+    """Per pair of sites ``a`` before ``b``: carriers of a called at b, carriers of b called at a, and carriers of both.
 
-    Each task multiplies its own cells' 0/1 matrices (at most 2000 sites wide) and emits the non-zero cells of the
-    product; the partial tables are then added up."""
+    The calls of a batch of cells are multiplied as 0/1 matrices, one pair of site blocks at a time, so memory depends on the
+    batch and on ``block`` alone, whatever the number of sites; Spark adds the non-zero cells of the products up, first inside each task."""
     import numpy as np
     import pandas as pd
-    sites = sorted(x.pos for x in collect_bounded(haps.select("pos").distinct(), MAX_SITES))
-    n = len(sites)
-    cells = haps.groupBy("barcode").agg(F.collect_list("pos").alias("pos"), F.collect_list("allele").alias("allele"))
+    names = "a BIGINT, b BIGINT, seen_a BIGINT, seen_b BIGINT, both_n BIGINT"
+    cells = haps.groupBy("barcode").agg(F.collect_list("pos").alias("pos"), F.collect_list("allele").alias("allele"))  # one row per cell: at most its sites
 
     def multiply(batches):
-        both, seen = np.zeros((n, n)), np.zeros((n, n))
-        for b in batches:
-            v, m = np.zeros((len(b), n), np.float32), np.zeros((len(b), n), np.float32)
-            for r, (p, a) in enumerate(zip(b["pos"], b["allele"])):
-                at = np.searchsorted(sites, p)
-                m[r, at] = 1
-                v[r, at] = a
-            both += v.T @ v
-            seen += v.T @ m
-        i, j = np.nonzero(seen)
-        yield pd.DataFrame({"a": np.take(sites, i), "b": np.take(sites, j), "seen": seen[i, j].astype("int64"), "both_n": both[i, j].astype("int64")})
-
-    part = cells.select("pos", "allele").mapInPandas(multiply, "a BIGINT, b BIGINT, seen BIGINT, both_n BIGINT")
-    return part.groupBy("a", "b").agg(F.sum("seen").alias("seen"), F.sum("both_n").alias("both_n"))
+        for batch in batches:
+            sizes = batch["pos"].map(len).to_numpy()
+            if not sizes.sum():
+                continue
+            row = np.repeat(np.arange(len(batch)), sizes)
+            sites, at = np.unique(np.concatenate(batch["pos"].to_numpy()), return_inverse=True)
+            carries = np.concatenate(batch["allele"].to_numpy()) == 1
+            part = at // block
+
+            def matrix(k, rows):
+                m = np.zeros((len(batch), block), np.float32)
+                m[row[rows], at[rows] - k * block] = 1
+                return m
+
+            for i in range(part.max() + 1):
+                ones_i, seen_i = matrix(i, (part == i) & carries), matrix(i, part == i)
+                for j in range(i, part.max() + 1):
+                    ones_j, seen_j = matrix(j, (part == j) & carries), matrix(j, part == j)
+                    sa, sb, both = ones_i.T @ seen_j, seen_i.T @ ones_j, ones_i.T @ ones_j
+                    if i == j:
+                        sa, sb = np.triu(sa, 1), np.triu(sb, 1)
+                    x, y = np.nonzero(sa + sb)
+                    yield pd.DataFrame({"a": sites[x + i * block], "b": sites[y + j * block], "seen_a": sa[x, y].astype("int64"),
+                                        "seen_b": sb[x, y].astype("int64"), "both_n": both[x, y].astype("int64")})
+
+    part = cells.select("pos", "allele").mapInPandas(multiply, names)
+    return part.groupBy("a", "b").agg(*[F.sum(c).alias(c) for c in ("seen_a", "seen_b", "both_n")])
 
 
 def _vote(n: Column, k: Column) -> Column:
@@ -89,16 +101,39 @@ def _vote(n: Column, k: Column) -> Column:
     return (ll(1 - ZERO) > ll(0.5)) & (ll(1 - ZERO) > ll(ZERO))
 
 
+def representatives(same: DataFrame) -> DataFrame:
+    """Which nodes of ``same(ra, rb)``, ``ra`` before ``rb``, a walk in rank order collapses, and into which: (rank, into).
+
+    A node collapses into its first neighbour that stands itself; a collapsed one takes nobody in. Every round settles all
+    nodes whose earlier neighbours are settled, so their number is the longest such chain, not the number of nodes."""
+    same = left = cut(same.select("ra", "rb"))
+    gone = None
+    while not left.isEmpty():
+        stands = left.select("ra").distinct().join(left.select(F.col("rb").alias("ra")).distinct(), "ra", "left_anti")
+        now = cut(left.join(stands, "ra", "left_semi").select("rb").distinct())
+        gone = now if gone is None else gone.unionByName(now)
+        left = cut(left.join(now, "rb", "left_anti").join(now.withColumnRenamed("rb", "ra"), "ra", "left_anti"))
+    if gone is None:
+        return same.select(F.col("rb").alias("rank"), F.col("ra").alias("into"))
+    return (same.join(gone, "rb", "left_semi").join(gone.withColumnRenamed("rb", "ra"), "ra", "left_anti")
+            .groupBy(F.col("rb").alias("rank")).agg(F.min("ra").alias("into")))
+
+
 def site_groups(haps: DataFrame) -> DataFrame:
-    """(pos, grp, rank): sites carried by the same cells share the commonest of them as representative."""
-    co = co_occurrence(haps)
+    """(pos, grp, rank): sites carried by the same cells share the commonest of them that stands for itself.
+
+    Sites are walked by falling number of carriers. One that is alike to a site which has itself joined another does not
+    join through it: it stands for itself unless a standing site is alike too. ``haps(barcode, pos, allele)``; sites that nobody carries
+    are left out; no rows give no rows."""
+    haps = cut(haps.select("barcode", "pos", "allele"))
     size = haps.groupBy("pos").agg(F.sum("allele").alias("size")).filter("size > 0")
-    order = size.withColumn("rank", F.row_number().over(W.orderBy(F.desc("size"), "pos")))  # at most MAX_SITES rows
-    ab = co.filter("a <> b AND both_n > 0").join(co.select(F.col("a").alias("b"), F.col("b").alias("a"), F.col("seen").alias("seen_b")), ["a", "b"])
-    same = ab.filter(_vote(F.col("seen"), F.col("both_n")) & _vote(F.col("seen_b"), F.col("both_n")))
-    m = (same.join(order.select(F.col("pos").alias("a"), F.col("rank").alias("ra")), "a").join(order.select(F.col("pos").alias("b"), F.col("rank").alias("rb")), "b")
-         .filter("ra < rb").groupBy(F.col("b").alias("pos")).agg(F.min(F.struct("ra", "a")).alias("x")))
-    return order.join(m, "pos", "left").select("pos", F.coalesce("x.a", "pos").alias("grp"), F.coalesce("x.ra", "rank").alias("rank"))
+    order = cut(size.withColumn("rank", F.row_number().over(W.orderBy(F.desc("size"), "pos"))).select("pos", "rank"))  # one row per site
+    same = co_occurrence(haps).filter(_vote(F.col("seen_a"), F.col("both_n")) & _vote(F.col("seen_b"), F.col("both_n")))
+    a, b = (order.select(F.col("pos").alias(c), F.col("rank").alias(f"r_{c}")) for c in "ab")
+    same = same.join(a, "a").join(b, "b").select(F.least("r_a", "r_b").alias("ra"), F.greatest("r_a", "r_b").alias("rb"))
+    into = representatives(same)
+    head = order.select(F.col("pos").alias("grp"), F.col("rank").alias("into"))
+    return order.join(into, "rank", "left").withColumn("into", F.coalesce("into", "rank")).join(head, "into").select("pos", "grp", F.col("into").alias("rank"))
 
 
 def group_alleles(haps: DataFrame, groups: DataFrame) -> DataFrame:

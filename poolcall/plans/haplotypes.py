@@ -49,17 +49,21 @@ def vote(n, k):
     return f"({v(ONE)} > {v('0.5::DOUBLE')} AND {v(ONE)} > {v(Z)})"
 
 
-add_view("fx_groups", f"""
-    SELECT o.pos, coalesce(m.a, o.pos) AS grp, CAST(coalesce(m.ra, o.rank) AS INT) AS rank FROM (
-      SELECT pos, row_number() OVER (ORDER BY sum(allele) DESC, pos) AS rank FROM fx_haps GROUP BY pos HAVING sum(allele) > 0) o
-    LEFT JOIN (SELECT b AS pos, min(ra) AS ra, arg_min(a, ra) AS a FROM (
-      SELECT x.a, x.b, oa.rank AS ra, ob.rank AS rb FROM (
-        SELECT p.pos AS a, q.pos AS b, count(*) FILTER (WHERE p.allele = 1) AS seen, count(*) FILTER (WHERE q.allele = 1) AS seen_b,
-               count(*) FILTER (WHERE p.allele = 1 AND q.allele = 1) AS both_n
-        FROM fx_haps p JOIN fx_haps q ON p.barcode = q.barcode AND p.pos <> q.pos GROUP BY 1, 2) x
-      JOIN (SELECT pos, row_number() OVER (ORDER BY sum(allele) DESC, pos) AS rank FROM fx_haps GROUP BY pos HAVING sum(allele) > 0) oa ON oa.pos = x.a
-      JOIN (SELECT pos, row_number() OVER (ORDER BY sum(allele) DESC, pos) AS rank FROM fx_haps GROUP BY pos HAVING sum(allele) > 0) ob ON ob.pos = x.b
-      WHERE both_n > 0 AND {vote('seen', 'both_n')} AND {vote('seen_b', 'both_n')} AND oa.rank < ob.rank) y GROUP BY b) m ON m.pos = o.pos""",
+add_view("fx_alike", f"""
+    SELECT oa.rank AS ra, ob.rank AS rb FROM (
+      SELECT p.pos AS a, q.pos AS b, count(*) FILTER (WHERE p.allele = 1) AS seen, count(*) FILTER (WHERE q.allele = 1) AS seen_b,
+             count(*) FILTER (WHERE p.allele = 1 AND q.allele = 1) AS both_n
+      FROM fx_haps p JOIN fx_haps q ON p.barcode = q.barcode AND p.pos <> q.pos GROUP BY 1, 2) x
+    JOIN fx_site_order oa ON oa.pos = x.a JOIN fx_site_order ob ON ob.pos = x.b
+    WHERE both_n > 0 AND {vote('seen', 'both_n')} AND {vote('seen_b', 'both_n')} AND oa.rank < ob.rank""")
+add_view("fx_site_order", "SELECT pos, CAST(row_number() OVER (ORDER BY sum(allele) DESC, pos) AS INT) AS rank FROM fx_haps GROUP BY pos HAVING sum(allele) > 0")
+# the walk by rank: a site joins the first standing site that is alike, or stands itself
+add_view("fx_groups", """
+    WITH RECURSIVE e AS (SELECT o.pos, o.rank, coalesce(x.lo, []::INT[]) AS lo FROM fx_site_order o LEFT JOIN (SELECT rb, list(ra) AS lo FROM fx_alike GROUP BY rb) x ON x.rb = o.rank),
+    w AS (SELECT 0 AS n, []::INT[] AS standing, NULL::INT AS into_
+      UNION ALL SELECT e.rank, CASE WHEN len(list_intersect(lo, standing)) > 0 THEN standing ELSE standing || [e.rank] END, coalesce(list_min(list_intersect(lo, standing)), e.rank)
+      FROM w JOIN e ON e.rank = w.n + 1)
+    SELECT o.pos, g.pos AS grp, w.into_ AS rank FROM w JOIN fx_site_order o ON o.rank = w.n JOIN fx_site_order g ON g.rank = w.into_""",
          lambda fx: M.site_groups(fx.fx_haps))
 add_view("fx_group_calls", "SELECT h.barcode, g.grp, g.rank, arg_min(allele, h.pos) AS allele FROM fx_haps h JOIN fx_groups g ON g.pos = h.pos GROUP BY 1, 2, 3",
          lambda fx: M.group_alleles(fx.fx_haps, fx.fx_groups))

@@ -314,3 +314,30 @@ def test_fits_raise_when_they_do_not_settle(spark):
     assert 0.2 < rate < 1
     with pytest.raises(Exception, match="member numbers"):
         spark.range(1).select(L.id_code(F.lit(L.SPAN), F.lit(0))).collect()
+
+
+def test_site_groups_do_not_join_through_a_collapsed_site(spark):
+    """A~B~C~D in a chain, A not alike to C: B joins A, C stands, D joins C. Some calls are missing; blocks of any width agree."""
+    carriers = {10: range(1, 21), 20: range(2, 22), 30: range(4, 24), 40: range(6, 26), 50: range(40, 43), 60: []}
+    haps = spark.createDataFrame([(c, p, int(c in has)) for p, has in carriers.items() for c in range(1, 61) if c < 45 or (c + p) % 7], "barcode BIGINT, pos BIGINT, allele INT")
+    assert {r.pos: r.grp for r in mito.site_groups(haps).collect()} == {10: 10, 20: 10, 30: 30, 40: 30, 50: 50}
+    narrow, wide = (rows(mito.co_occurrence(haps.repartition(3), k)) for k in (2, 256))
+    assert narrow == wide
+    seen = {(r.barcode, r.pos): r.allele for r in haps.collect()}
+    for a, b, sa, sb, both in wide:
+        pair = [(seen[c, a], seen[c, b]) for c in range(1, 61) if (c, a) in seen and (c, b) in seen]
+        assert (sa, sb, both) == (sum(x for x, _ in pair), sum(y for _, y in pair), sum(x * y for x, y in pair))
+    assert mito.site_groups(haps.limit(0)).count() == 0
+
+
+def test_representatives_against_a_walk(spark):
+    rng = random.Random(8)
+    edges = {tuple(sorted(rng.sample(range(1, 61), 2))) for _ in range(90)} | {(k, k + 1) for k in range(60, 90)}
+    into, stands = {}, []
+    for n in range(1, 91):
+        hit = [a for a in stands if (a, n) in edges]
+        if hit:
+            into[n] = min(hit)
+        else:
+            stands.append(n)
+    assert dict(rows(mito.representatives(spark.createDataFrame(sorted(edges), "ra INT, rb INT")))) == into
