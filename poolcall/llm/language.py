@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from collections import Counter
+from itertools import compress, repeat
 
 import numpy as np
 from pyspark.sql import DataFrame, functions as F
@@ -18,7 +19,8 @@ LANGUAGES = 2_000  # more lang values than that are an error, so the model's siz
 LONGEST = 5  # characters of the longest n-gram, word edges included
 SMOOTH = 0.5
 UNKNOWN = "und"
-CACHE = 200_000  # scores of unseen words that a task remembers
+CACHE = 200_000  # unseen words whose scores a task remembers, fewer with many languages
+CACHE_CELLS = 1 << 22  # of that table
 
 LETTERS = re.compile(r"[^\W\d_]+")
 
@@ -26,7 +28,7 @@ LETTERS = re.compile(r"[^\W\d_]+")
 def letter_words(text: str | None) -> list[str]:
     """Runs of letters, lower-cased; digits of any kind (fractions and raised ones too) end a run."""
     words = LETTERS.findall(text.lower()) if text else []
-    if all(map(str.isalpha, words)):
+    if not words or "".join(words).isalpha():
         return words
     return "".join(c if c.isalpha() else " " for c in " ".join(words)).split()
 
@@ -36,6 +38,38 @@ def n_grams(word: str, n: int) -> list[str]:
     return [edged[k:k + n] for k in range(len(edged) - n + 1)] if n > 1 else list(word)
 
 
+class Unseen:
+    """Scores of words that a model does not know, a row each in a table of bounded size; it starts empty in every task."""
+
+    def __init__(self, model: Model):
+        self.model, self.room = model, max(1, min(CACHE, CACHE_CELLS // max(1, len(model.languages))))
+        self.rows: dict[str, int] = {}  # -1 where no letter is known
+        self.logs: np.ndarray | None = None
+
+    def total(self, words: list[str], times: np.ndarray) -> np.ndarray | float:
+        """Sum of the scores of different ``words``, each as often as ``times`` says; words of unknown letters add nothing."""
+        out = 0.0
+        for k in range(0, len(words), self.room):
+            part, often = words[k:k + self.room], times[k:k + self.room]
+            new = [w for w in part if w not in self.rows]
+            if len(self.rows) + len(new) > self.room:
+                self.rows, new = {}, part
+            if new:
+                self._add(new)
+            at = np.fromiter(map(self.rows.__getitem__, part), np.int64, len(part))
+            out = out + often[at >= 0] @ self.logs[at[at >= 0]]
+        return out
+
+    def _add(self, new: list[str]) -> None:
+        scores, lost = self.model.backed_off(new)
+        if self.logs is None:
+            self.logs = np.empty((self.room, scores.shape[1]))
+        start = len(self.rows)
+        self.logs[start:start + len(new)] = scores
+        self.rows.update(zip(new, range(start, start + len(new))))
+        self.rows.update((new[k], -1) for k in lost)
+
+
 class Model:
     """Log frequencies by language of words and of n-grams; a bounded value that travels with the tasks."""
 
@@ -65,35 +99,36 @@ class Model:
     def _logs(counts: np.ndarray, totals: np.ndarray, kinds: int | None = None) -> np.ndarray:
         return np.log((counts + SMOOTH) / (totals + SMOOTH * max(1, kinds or len(counts))))
 
-    def backed_off(self, word: str) -> np.ndarray | None:
-        """Mean log frequency of the word's longest known n-grams, None if not one letter is known."""
+    def backed_off(self, words: list[str]) -> tuple[np.ndarray, list[int]]:
+        """Mean log frequency of each word's longest known n-grams; numbers of the words of which not one letter is known."""
+        out, left = np.zeros((len(words), len(self.languages))), list(range(len(words)))
         for n in range(LONGEST, 0, -1):
-            known = [k for g in n_grams(word, n) if (k := self.grams[n - 1].get(g)) is not None]
-            if known:
-                return np.add.reduce(self.gram_logs[n - 1][known], 0) / len(known)
-        return None
-
-    def predict(self, text: str | None, cache: dict) -> tuple[str, float]:
+            find = self.grams[n - 1].get
+            found, sizes, who, still = [], [], [], []
+            for k in left:
+                ids = [g for g in map(find, n_grams(words[k], n)) if g is not None]
+                if ids:
+                    found += ids
+                    sizes.append(len(ids))
+                    who.append(k)
+                else:
+                    still.append(k)
+            if who:
+                out[who] = np.add.reduceat(self.gram_logs[n - 1][found], np.cumsum([0, *sizes[:-1]]), 0) / np.array(sizes)[:, None]
+            left = still
+        return out, left
+
+    def predict(self, text: str | None, unseen: Unseen) -> tuple[str, float]:
         words = letter_words(text)
         if not words or not self.languages:
             return UNKNOWN, 0.0
-        total, ids, times = np.zeros(len(self.languages)), [], []
-        for w, n in Counter(words).items():
-            k = self.words.get(w)
-            if k is not None:
-                ids.append(k)
-                times.append(n)
-                continue
-            s = cache.get(w, cache)
-            if s is cache:
-                s = self.backed_off(w)
-                if len(cache) >= CACHE:
-                    cache.clear()
-                cache[w] = s
-            if s is not None:
-                total += n * s
-        if ids:
-            total += np.array(times, float) @ self.word_logs[ids]
+        counts = Counter(words)
+        ids = np.fromiter(map(self.words.get, counts, repeat(-1)), np.int64, len(counts))
+        times = np.fromiter(counts.values(), float, len(counts))
+        known = ids >= 0
+        total = times[known] @ self.word_logs[ids[known]]
+        if not known.all():
+            total = total + unseen.total(list(compress(counts, ~known)), times[~known])
         if not total.any():
             return self.languages[self.prior], 1 / len(self.languages)
         p = np.exp(total - total.max())
@@ -110,11 +145,10 @@ def learn(labelled: DataFrame, vocabulary: int = VOCABULARY) -> Model:
     Counts are combined batch by batch before they are shuffled and ranked in blocks of a global order; the driver sees the
     model alone, whose size depends on ``vocabulary`` and the number of languages, which is checked."""
     def count(texts, languages):
-        found = Counter()
+        found: dict[str, Counter] = {}
         for t, lang in zip(texts, languages):
-            for w, n in Counter(letter_words(t)).items():
-                found[w, lang] += n
-        return [w for w, _ in found], [lang for _, lang in found], list(found.values())
+            found.setdefault(lang, Counter()).update(letter_words(t))
+        return ([w for c in found.values() for w in c], [lang for lang, c in found.items() for _ in c], [n for c in found.values() for n in c.values()])
 
     counts = map_batches(labelled.filter("text IS NOT NULL AND lang IS NOT NULL").select("text", "lang"), count, "word string, lang string, n bigint")
     counts = cut(counts.groupBy("word", "lang").agg(F.sum("n").alias("n")))
@@ -140,8 +174,8 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
 
     Equal scores go to the language that sorts first. ``und`` with score 0 if the text is null or has no letter, or nothing was
     learnt. Repeated rows and null ids come out as they went in; further columns are ignored."""
-    cache: dict = {}
-    return map_texts(docs, lambda t: model.predict(t, cache), "lang_pred string, score double", "doc_id")
+    unseen = Unseen(model)
+    return map_texts(docs, lambda t: model.predict(t, unseen), "lang_pred string, score double", "doc_id")
 
 
 def identify_held_out(docs: DataFrame, vocabulary: int = VOCABULARY) -> DataFrame:

@@ -7,7 +7,7 @@ from collections import Counter
 
 import numpy as np
 
-from poolcall.llm.language import SMOOTH, identify, learn, letter_words
+from poolcall.llm.language import SMOOTH, Model, Unseen, identify, learn, letter_words
 
 DDL = "doc_id bigint, text string, lang string"
 
@@ -44,5 +44,29 @@ def test_counts_and_scores_against_plain_python(spark):
         total = sum(logs[w] for w in letter_words(t))
         p = np.exp(total - total.max())
         for m in models:
-            lang, score = m.predict(t, {})
+            lang, score = m.predict(t, Unseen(m))
             assert lang == ["de", "fr", "sv"][int(np.argmax(total))] and abs(score - p.max() / p.sum()) < 1e-9
+
+
+def test_unseen_words_beyond_the_table(monkeypatch):
+    """A table of few rows is started anew within a text; scores are those of summing word by word."""
+    from poolcall.llm import language
+    m = Model(["a", "b"], {"kilo": [3, 0], "lima": [0, 2]}, [5, 4], 4)
+    text = "kilo kilometer limabean okapi kilt kilometer lime milk oil lima ¼x 語"
+
+    def slow(w):
+        for n in range(language.LONGEST, 0, -1):
+            hit = [m.gram_logs[n - 1][m.grams[n - 1][g]] for g in language.n_grams(w, n) if g in m.grams[n - 1]]
+            if hit:
+                return sum(hit) / len(hit)
+        return 0.0
+
+    total = sum(m.word_logs[m.words[w]] if w in m.words else slow(w) for w in letter_words(text))
+    p = np.exp(total - total.max())
+    for room in (1, 3, 200_000):
+        monkeypatch.setattr(language, "CACHE", room)
+        unseen = Unseen(m)
+        for _ in range(2):
+            lang, score = m.predict(text, unseen)
+            assert lang == m.languages[int(np.argmax(total))] and abs(score - p.max() / p.sum()) < 1e-12
+        assert len(unseen.rows) <= room
