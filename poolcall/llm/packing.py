@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, functions as F
 
 SIZES = (512, 1024, 2048, 4096, 8192)
 SHARD = 4096  # documents packed together
+RUN = 4096  # copies of a row that are dealt out at a time
 ATTENTION = 8192.0  # tokens at which the quadratic part of a sequence's cost equals the linear part
 FIXED = 16.0  # cost of a sequence besides its tokens
 
@@ -75,9 +76,15 @@ def pack_documents(docs: DataFrame, sizes: tuple = SIZES, shard: int = SHARD) ->
 
     A document over the largest permitted length is cut into pieces of that length and a rest, ``start`` telling where;
     every token is in exactly one bin. Documents without tokens (null counts as zero) get a row without a bin. Rows
-    are dealt by a hash into shards of about ``shard`` documents, as many as the table needs, each packed by one task, so
-    no task grows with the table; a repeated row is packed again. An empty table gives an empty result."""
+    are dealt by a hash into shards of about ``shard`` documents, as many as the table needs, each packed by one task; rows
+    that agree in both columns, such as those without id and of one length, are counted and dealt in turn, one shard after
+    the other. So no task grows with the table, and the bins do not depend on partitions. A repeated row is packed again;
+    further columns are ignored, very long documents are lengths here; an empty table gives an empty result."""
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce(F.col("n_tokens"), F.lit(0)).cast("bigint").alias("n_tokens"))
     shards = max(1, -(-rows.count() // shard))
-    dealt = rows.withColumn("shard", F.pmod(F.xxhash64(F.lit(11), "doc_id", "n_tokens"), F.lit(shards)).cast("int"))
+    alike = rows.groupBy("doc_id", "n_tokens").agg(F.count(F.lit(1)).alias("n_"))
+    runs = alike.withColumn("first_", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("n_") - 1, F.lit(RUN).cast("bigint"))))
+    each = runs.withColumn("nth_", F.explode(F.sequence("first_", F.least(F.col("n_"), F.col("first_") + RUN) - 1)))
+    at = F.pmod(F.xxhash64(F.lit(11), "doc_id", "n_tokens"), F.lit(shards)) + F.col("nth_")
+    dealt = each.select("doc_id", "n_tokens", F.pmod(at, F.lit(shards)).cast("int").alias("shard"))
     return dealt.groupBy("shard").applyInPandas(_pack_shard(tuple(sizes)), PACKED)
