@@ -133,7 +133,7 @@ def identity_table(cells: DataFrame, doublet_rate: float = DOUBLET_RATE, allowed
              .when(has & ~single_x & ~single_y, cond).otherwise(paths)
         if prior is not None:
             v = v + (weight(x) - weight(y))
-        elif doublet_rate not in (0.5, 1.0):
+        elif doublet_rate not in (0.0, 0.5, 1.0):
             v = v + F.when(single_x & ~single_y, F.lit(math.log2(1 - doublet_rate) - math.log2(doublet_rate))).otherwise(0.0)
         return _comparison(code(x), code(y), v)
 

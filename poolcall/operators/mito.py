@@ -187,10 +187,10 @@ def discover(group_calls: DataFrame, keys: list[str] | None = None, max_len: int
     return d.filter(F.col("hap") < F.col("clusters")).select(*keys, "hap", "prefix", "size")
 
 
-def haplotype_sites(haps: DataFrame, groups: DataFrame) -> DataFrame:
-    """(hap, pos, allele) over all sites of the groups a prefix spells."""
-    d = haps.select("hap", F.posexplode(F.split("prefix", "")).alias("k", "c")).select("hap", (F.col("k") + 1).alias("ord"), F.col("c").cast("int").alias("allele"))
-    return d.join(groups.select("pos", "ord"), "ord").select("hap", "pos", "allele")
+def haplotype_sites(haps: DataFrame, groups: DataFrame, keys: tuple = ()) -> DataFrame:
+    """(keys, hap, pos, allele) over all sites of the groups a prefix spells."""
+    d = haps.select(*keys, "hap", F.posexplode(F.split("prefix", "")).alias("k", "c")).select(*keys, "hap", (F.col("k") + 1).alias("ord"), F.col("c").cast("int").alias("allele"))
+    return d.join(groups.select("pos", "ord"), "ord").select(*keys, "hap", "pos", "allele")
 
 
 def assign(counts: DataFrame, hap_sites: DataFrame, doublet_rate: float = 0.5) -> DataFrame:
@@ -234,6 +234,55 @@ def sub_clusters(haps: DataFrame, groups: DataFrame, parents: DataFrame) -> Data
     return d.select("parent", F.concat_ws("_", F.col("parent").cast("string"), F.col("hap").cast("string")).alias("name"), "prefix", "size")
 
 
+def assign_within(counts: DataFrame, hap_sites: DataFrame, parents: DataFrame) -> DataFrame:
+    """Single haplotypes only, each cell against those of its own parent: (barcode, parent, i, j, llr).
+
+    ``hap_sites(parent, hap, pos, allele)``; a site of one parent is another site than that of the next, so all parents are one run."""
+    own = counts.join(parents.select("barcode", "parent"), "barcode")
+    site = F.shiftleft(F.col("parent").cast("bigint"), 32) + F.col("pos")
+    calls = assign(own.withColumn("pos", site), hap_sites.withColumn("pos", site), 0.0)
+    return calls.join(parents.select("barcode", "parent"), "barcode")
+
+
+def merge_tree(root_calls: DataFrame, leaf_calls: DataFrame) -> DataFrame:
+    """(barcode, cluster): the place of every singly called cell in the merged tree.
+
+    A parent with leaf calls is replaced by its leaves, named parent_leaf; the other root clusters stay. Doublets of either
+    level belong nowhere, nor do cells of a replaced parent that no leaf took."""
+    parents = leaf_calls.select(F.col("parent").alias("i")).distinct()
+    root = root_calls.filter("i = j").join(parents, "i", "left_anti").select("barcode", F.col("i").cast("string").alias("cluster"))
+    name = F.concat_ws("_", F.col("parent").cast("string"), F.col("i").cast("string"))
+    return root.unionByName(leaf_calls.filter("i = j").select("barcode", name.alias("cluster")))
+
+
+def merged_haplotypes(haps: DataFrame, tree: DataFrame, min_share: float = 0.5) -> DataFrame:
+    """(cluster, pos, allele): consensus of each cluster of the tree over the sites called in enough cells of all and carried by one."""
+    cons = cut(consensus(haps, tree))
+    return variable_sites(cons.join(well_called_sites(cons, min_share), "pos", "left_semi")).select("cluster", "pos", "allele")
+
+
+def sub_cluster_and_merge(counts: DataFrame, root_calls: DataFrame, chosen: DataFrame, doublet_rate: float = 0.5) -> tuple[DataFrame, DataFrame]:
+    """Split the ``chosen(parent)`` clusters of ``root_calls(barcode, i, j)``, merge the trees, call all cells anew with doublets.
+
+    Haplotypes are discovered inside each parent from the cells that carry it alone; a parent that does not split stays as it
+    was. Returns (haplotypes (cluster, pos, allele), calls (barcode, id, type, llr)); names of a doublet are joined by +.
+    With nothing chosen the root's own clusters are called anew; no cells give no rows."""
+    counts = cut(counts.select("barcode", "pos", "maj", "min"))
+    haps = cut(cell_haplotypes(counts.join(clean_sites(counts), "pos", "left_semi")))
+    groups = cut(ordered_groups(site_groups(haps)))
+    parents = cut(root_calls.filter("i = j").join(chosen.select(F.col("parent").alias("i")).distinct(), "i", "left_semi").select("barcode", F.col("i").alias("parent")))
+    calls = group_alleles(haps, groups).join(groups.select("grp", "ord").distinct(), "grp").join(parents, "barcode")
+    found = cut(discover(calls, ["parent"]))
+    split = found.groupBy("parent").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("parent")
+    leaves = haplotype_sites(found.join(split, "parent", "left_semi"), groups, ("parent",))
+    tree = cut(merge_tree(root_calls, cut(assign_within(counts, leaves, parents))))
+    merged = cut(merged_haplotypes(haps, tree))
+    names = cut(tree.select("cluster").distinct().withColumn("sample", F.row_number().over(W.orderBy("cluster")) - 1))  # one row per cluster
+    sites = merged.filter("allele IS NOT NULL").join(names, "cluster").select(F.col("sample").alias("hap"), "pos", "allele")
+    named = L.name_identities(assign(counts, sites, doublet_rate), names.withColumnRenamed("cluster", "name"))
+    return merged, named.select("barcode", "id", "type", "llr")
+
+
 # --- consensus ------------------------------------------------------------------------------------
 
 def consensus(haps: DataFrame, clusters: DataFrame) -> DataFrame:

@@ -194,6 +194,37 @@ def c15(fx):
     return M.variable_sites(fx.fx_consensus).select("cluster", "pos", "allele")
 
 
+# root clusters 0 and 1 are split in two by the cell's number, a cell in eleven mixes both leaves
+add_view("fx_tree", """
+    SELECT barcode, CAST(i AS VARCHAR) AS cluster FROM fx_truth WHERE i = j AND i > 1
+    UNION ALL SELECT barcode, concat(CAST(i AS VARCHAR), '_', CAST(CAST(floor(barcode / 8) AS BIGINT) % 2 AS VARCHAR)) FROM fx_truth WHERE i = j AND i <= 1 AND barcode % 11 <> 0""",
+         lambda fx: M.merge_tree(fx.fx_truth, fx.fx_truth.filter("i = j AND i <= 1").selectExpr(
+             "barcode", "i AS parent", "CAST(floor(barcode / 8) AS BIGINT) % 2 AS i", "CAST(floor(barcode / 8) AS BIGINT) % 2 + CASE WHEN barcode % 11 = 0 THEN 1 ELSE 0 END AS j")))
+
+
+@register("i41_merged_tree", "SELECT barcode, cluster FROM fx_tree")
+def i41_tree(fx):
+    return fx.fx_tree
+
+
+@register("i41_merged_haplotypes", f"""
+    WITH c AS (SELECT cluster, pos, tot, cells, CASE WHEN miss > alt AND miss > ref THEN NULL WHEN alt > ref AND alt > miss THEN 1 ELSE 0 END AS allele FROM (
+      SELECT *, round({CHOOSE.format(n='tot', k='s')} + s * ln(0.99) + (tot - s) * ln(0.01), 6) AS alt, round({CHOOSE.format(n='tot', k='s')} + s * ln(0.01) + (tot - s) * ln(0.99), 6) AS ref,
+             round({CHOOSE.format(n='cells', k='tot')} + tot * ln(0.01) + (cells - tot) * ln(0.99), 6) AS miss FROM (
+        SELECT cluster, pos, s, tot, cells FROM (SELECT cluster, pos, CAST(sum(allele) AS BIGINT) AS s, count(*) AS tot FROM fx_haps JOIN fx_tree USING (barcode) GROUP BY 1, 2) h
+        JOIN (SELECT cluster, count(*) AS cells FROM fx_tree GROUP BY 1) n USING (cluster)) q) z),
+    k AS (SELECT * FROM c WHERE pos IN (SELECT pos FROM c GROUP BY pos HAVING min(tot / cells) >= 0.5))
+    SELECT cluster, pos, allele FROM k WHERE pos IN (SELECT pos FROM k GROUP BY pos HAVING sum(allele) > 0)""")
+def i41_haplotypes(fx):
+    return M.merged_haplotypes(fx.fx_haps, fx.fx_tree)
+
+
+@register("i41_merged_assignments")
+def i41_assignments(fx):
+    chosen = fx.fx_truth.select(F.col("i").alias("parent")).filter("parent <= 1").distinct()
+    return M.sub_cluster_and_merge(fx.fx_mt_counts, fx.fx_truth, chosen)[1].select("barcode", "id", "type", r("llr").alias("llr"))
+
+
 HAPTEXT = "SELECT cluster, string_agg(CASE WHEN allele IS NULL THEN '-' ELSE CAST(allele AS VARCHAR) END, '' ORDER BY pos) AS hap FROM fx_consensus GROUP BY cluster"
 
 

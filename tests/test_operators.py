@@ -341,3 +341,31 @@ def test_representatives_against_a_walk(spark):
         else:
             stands.append(n)
     assert dict(rows(mito.representatives(spark.createDataFrame(sorted(edges), "ra INT, rb INT")))) == into
+
+
+def test_sub_clusters_are_merged_and_called_anew(spark):
+    """Two root clusters; the first holds two haplotypes that differ at sites 20-29, the second one. Cells 200-209 mix 0_0 with 1."""
+    rng = random.Random(12)
+    carried = {"a": set(range(0, 10)), "b": set(range(0, 10)) | set(range(20, 30)), "c": set(range(10, 20))}
+    kind = {c: "a" if c < 50 else "b" if c < 100 else "c" for c in range(200)}
+    data = []
+    for c in range(210):
+        for p in range(30):
+            for _ in range(6):
+                k = kind[c] if c < 200 else rng.choice("ac")
+                data.append((c, p, p in carried[k]))
+    counts = {}
+    for c, p, minor in data:
+        counts.setdefault((c, p), [0, 0])[minor] += 1
+    counts = spark.createDataFrame([(c, p, *n) for (c, p), n in counts.items()], "barcode BIGINT, pos BIGINT, maj BIGINT, min BIGINT")
+    root = spark.createDataFrame([(c, int(kind[c] == "c"), int(kind[c] == "c")) for c in range(200)] + [(c, 0, 1) for c in range(200, 210)], "barcode BIGINT, i INT, j INT")
+    merged, calls = mito.sub_cluster_and_merge(counts, root, spark.createDataFrame([(0,), (1,)], "parent INT"))
+    found = {}
+    for r in merged.collect():
+        if r.allele == 1:
+            found.setdefault(r.cluster, set()).add(r.pos)
+    assert found == {"0_0": carried["a"], "0_1": carried["b"], "1": carried["c"]}
+    got = {r.barcode: (r.id, r.type) for r in calls.collect()}
+    names = {"a": "0_0", "b": "0_1", "c": "1"}
+    assert {c: got[c] for c in range(200)} == {c: (names[kind[c]], "S") for c in range(200)}
+    assert {got[c] for c in range(200, 210)} == {("0_0+1", "D")}
