@@ -35,7 +35,8 @@ def homology_groups(edges: DataFrame) -> DataFrame:
     """Groups of transcripts across sets from directed scores (set_a, a, set_b, b, score): rows (grp, tx).
 
     The two closest sets are joined first: matched transcripts become one, its edges the mean of its members' where
-    both have them. Sets are few, so their order is planned from a small table of summed scores."""
+    both have them. Sets are few, so their order is planned from a small table of summed scores. Without an edge
+    between two sets there are no groups."""
     e, members, k = cut(edges), None, 0
     while True:
         near = e.filter("set_a < set_b").groupBy("set_a", "set_b").agg(F.sum("score").alias("s"), F.count(F.lit(1)).alias("n"))
@@ -67,4 +68,6 @@ def homology_groups(edges: DataFrame) -> DataFrame:
         e = cut(rest.select("set_a", "a", "set_b", "b", F.col("score").cast("double").alias("score"))
                 .unionByName(so.select(F.lit(new).alias("set_a"), F.col("tx").alias("a"), "set_b", "b", "score"))
                 .unionByName(si.select("set_a", "a", F.lit(new).alias("set_b"), F.col("tx").alias("b"), "score")))
+    if members is None:
+        return e.select(F.col("a").alias("grp"), F.col("a").alias("tx")).limit(0)
     return members.select(F.col("tx").alias("grp"), F.col("leaf").alias("tx"))

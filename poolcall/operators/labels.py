@@ -100,8 +100,8 @@ def llr_weights(labels: DataFrame) -> DataFrame:
 def cutoff_curves(labels: DataFrame, steps: int = 100) -> DataFrame:
     """Labels above each of steps + 1 log-spaced cut-offs, by type and by identity.
 
-    Each cell is binned once by how many cut-offs it passes, so the cells are never repeated per cut-off."""
-    lo, hi = labels.agg(F.min(F.log10("llr")), F.max(F.log10("llr"))).first()
+    Each cell is binned once by how many cut-offs it passes, so the cells are never repeated per cut-off. No labels give no rows."""
+    lo, hi = (x or 0.0 for x in labels.agg(F.min(F.log10("llr")), F.max(F.log10("llr"))).first())  # null only without labels
     cuts = [round(10 ** (lo + k * (hi - lo) / steps), 9) for k in range(steps + 1)]
     arr = F.array(*[F.lit(c) for c in cuts])
     passed = F.size(F.filter(arr, lambda c: c < F.col("llr")))

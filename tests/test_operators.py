@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from poolcall import scaling as S
 from poolcall.functions import cdf
-from poolcall.operators import contam, homology, joins, likelihood as L, mito, pool, sites, species, tags
+from poolcall.operators import contam, homology, joins, labels, likelihood as L, mito, pool, sites, species, tags
 
 
 def rows(df):
@@ -369,3 +369,13 @@ def test_sub_clusters_are_merged_and_called_anew(spark):
     names = {"a": "0_0", "b": "0_1", "c": "1"}
     assert {c: got[c] for c in range(200)} == {c: (names[kind[c]], "S") for c in range(200)}
     assert {got[c] for c in range(200, 210)} == {("0_0+1", "D")}
+
+
+def test_empty_tables_give_empty_results(spark):
+    edges = spark.createDataFrame([("p", "x", "p", "y", 1.0)], "set_a STRING, a STRING, set_b STRING, b STRING, score DOUBLE")
+    for e in (edges, edges.limit(0)):  # no edge between two sets, no edge
+        got = homology.homology_groups(e)
+        assert got.columns == ["grp", "tx"] and got.count() == 0
+    some = spark.createDataFrame([(1, "S1", "S", 1.0), (2, "S2", "S", 100.0)], "barcode BIGINT, id STRING, type STRING, llr DOUBLE")
+    full, none = labels.cutoff_curves(some), labels.cutoff_curves(some.limit(0))
+    assert none.schema == full.schema and none.count() == 0 and full.count() > 0
