@@ -22,11 +22,23 @@ def site_calls(genotypes: DataFrame) -> DataFrame:
         F.sort_array(F.collect_list(F.struct("sample", "nalt"))).alias("calls"))
 
 
+def pattern_ids(genotypes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(site_id, pattern_id) and the dictionary (pattern_id, calls): sites with the same calls share a pattern, named
+    after its smallest site. Only this step compares the calls themselves; later shuffles carry the id."""
+    sites = site_calls(genotypes)
+    patterns = sites.groupBy("calls").agg(F.min("site_id").alias("pattern_id"))
+    return sites.join(patterns, "calls").select("site_id", "pattern_id"), patterns.select("pattern_id", "calls")
+
+
 def cell_patterns(cell_site: DataFrame, genotypes: DataFrame, more: dict[str, Column] | None = None) -> DataFrame:
-    """Counts per (barcode, genotype pattern): sites with one pattern are alike to every later step."""
-    return (cell_site.join(site_calls(genotypes), "site_id").groupBy("barcode", "calls")
-            .agg(F.sum("ref_w").alias("ref_w"), F.sum("alt_w").alias("alt_w"),
-                 *[c.alias(n) for n, c in (more or {}).items()]))
+    """Counts per (barcode, genotype pattern): sites with one pattern are alike to every later step.
+
+    Grouped by (barcode, pattern_id); the calls are looked up in the dictionary once the counts are summed."""
+    ids, patterns = pattern_ids(genotypes)
+    per = (cell_site.join(ids, "site_id").groupBy("barcode", "pattern_id")
+           .agg(F.sum("ref_w").alias("ref_w"), F.sum("alt_w").alias("alt_w"),
+                *[c.alias(n) for n, c in (more or {}).items()]))
+    return per.join(patterns, "pattern_id")
 
 
 def pair_sites(genotypes: DataFrame) -> DataFrame:
@@ -64,8 +76,12 @@ def pair_counts(cell_site: DataFrame, genotypes: DataFrame) -> DataFrame:
 
     Sites collapse to genotype patterns per cell before classes are expanded, so the expansion works on
     (cell, pattern) rows instead of (cell, site) rows; class sums combine before the second shuffle."""
-    return (cell_patterns(cell_site, genotypes)
-            .select("barcode", "ref_w", "alt_w", F.explode(_classes(F.col("calls"))).alias("c"))
+    return expand_classes(cell_patterns(cell_site, genotypes))
+
+
+def expand_classes(patterns: DataFrame) -> DataFrame:
+    """Pair-class counts of (barcode, ref_w, alt_w, calls) rows."""
+    return (patterns.select("barcode", "ref_w", "alt_w", F.explode(_classes(F.col("calls"))).alias("c"))
             .groupBy("barcode", "c.i", "c.ni", "c.j", "c.nj")
             .agg(F.sum("ref_w").alias("ref_w"), F.sum("alt_w").alias("alt_w")))
 

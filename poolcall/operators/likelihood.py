@@ -10,6 +10,8 @@ import math
 from pyspark.sql import Column, DataFrame, functions as F
 
 from poolcall.functions.expr import binom_llr2, err_adj, pin
+from poolcall.operators.counts import expand_classes, pattern_ids
+from poolcall.session import cut
 
 E_REF, E_ALT, DOUBLET_RATE = 0.001, 0.001, 0.5
 SPAN = 4096  # pools hold fewer members than this
@@ -73,15 +75,74 @@ def _fold(table: Column, n: Column, keep: int) -> Column:
     return F.aggregate(F.array_sort(table), start, step)
 
 
-def cell_pairs(pairs: DataFrame, keep: int = 10) -> DataFrame:
-    """One row per cell: its pair ratios and the members that survive pruning to ``keep`` singlets."""
+def cell_pairs(pairs: DataFrame, keep: int = 10, members: DataFrame | None = None) -> DataFrame:
+    """One row per cell: its pair ratios and the members that survive pruning to ``keep`` singlets.
+
+    ``members`` (barcode, members) names the members to start from; without it they are those of the pairs."""
     g = pairs.groupBy("barcode").agg(F.collect_list(F.struct("i", "j", "l", "si", "sj")).alias("pairs"))
-    g = pin(g, members=F.array_sort(F.array_distinct(F.flatten(F.transform("pairs", lambda p: F.array(p["i"], p["j"]))))))
+    if members is None:
+        g = pin(g, members=F.array_sort(F.array_distinct(F.flatten(F.transform("pairs", lambda p: F.array(p["i"], p["j"]))))))
+    else:
+        g = members.join(g, "barcode", "left").withColumn("pairs", F.coalesce("pairs", F.array()))
     singlets = F.transform("pairs", lambda p: _comparison(p["i"], p["j"], p["l"]))
     gone = _fold(singlets, F.size("members"), keep)["gone"]
     return pin(g, members=F.when(F.size("members") > keep, F.array_except("members", gone)).otherwise(F.col("members")))
 
 
+def candidate_members(patterns: DataFrame, keep: int = 10, e_ref: float = E_REF, e_alt: float = E_ALT) -> DataFrame:
+    """(barcode, members): the members that pruning to ``keep`` can leave, from one score per member and no pairs.
+
+    ``patterns`` holds (barcode, ref_w, alt_w, calls, complete) rows whose calls are not all alike. A member's score s
+    is its log-likelihood against one half. For a pair l(i,j) = s(i) - s(j), but for two things: class counts are
+    rounded to whole reads, and sites at which one of the two is not called do not count. Both are bounded in each cell
+    by some e: the rounding by the distance of the summed counts from whole ones, the missing calls by what members
+    score at incomplete patterns. A comparison between the best member t and one with s < (s of number keep) - 2e is
+    larger than any that knocks out one of the best ``keep``, so it comes before them; hence members below that line
+    never survive and never decide between those above it, and the walk over the rest alone ends with the same ones.
+    Without missing calls few members are left beside the kept ones; with many, the line may keep all of them."""
+    lo, hi = max(e_ref, 1e-8), max(e_alt, 1e-8)
+    up_alt, up_ref = math.log2((1 - e_alt) / lo), math.log2((1 - e_ref) / hi)  # largest weight of one read
+    ref, alt = F.col("ref_w") / 1000000.0, F.col("alt_w") / 1000000.0
+    off = F.abs(ref - F.round(ref)) * up_ref + F.abs(alt - F.round(alt)) * up_alt
+    score = binom_llr2(F.col("ref"), F.col("alt"), err_adj(F.col("c.nalt") / 2.0, e_ref, e_alt), F.lit(0.5))
+    d = patterns.select("barcode", ref.alias("ref"), alt.alias("alt"), off.alias("off"), "complete", F.posexplode("calls").alias("p", "c"))
+    d = d.select("barcode", F.col("c.sample").alias("m"), score.alias("s"), "complete", F.when(F.col("p") == 0, F.col("off")).otherwise(0.0).alias("off"))
+    g = d.groupBy("barcode", "m").agg(F.sum("s").alias("s"), F.sum(F.when(F.col("complete"), 0.0).otherwise(F.abs("s"))).alias("x"),
+                                      F.sum("off").alias("off"))
+    g = g.groupBy("barcode").agg(F.collect_list(F.struct("s", "m")).alias("all"), F.max("x").alias("x"),  # at most the pool
+                                 F.sum("off").alias("off"), F.max(F.abs("s")).alias("top"))
+    e = F.least("off", F.lit(3 * (up_alt + up_ref))) + 2 * F.col("x") + F.lit(1e-3) + F.col("top") * 1e-9
+    nth = F.get(F.sort_array("all", False), F.lit(keep - 1))["s"]
+    line = F.when(F.size("all") > keep, nth - 2 * e)
+    g = pin(g, line=line)
+    return g.select("barcode", F.array_sort(F.transform(F.filter("all", lambda a: F.col("line").isNull() | (a["s"] >= F.col("line"))),
+                                                        lambda a: a["m"])).alias("members"))
+
+
+def pruned_cells(cell_site: DataFrame, genotypes: DataFrame, keep: int = 10, e_ref: float = E_REF, e_alt: float = E_ALT) -> DataFrame:
+    """The rows of :func:`cell_pairs` straight from site counts: members first, then pairs among those left.
+
+    Equal to counting all pair classes and pruning then, but a pool of n members costs n scores per (cell, pattern)
+    instead of n * n / 2 classes. The counts per (cell, pattern) are written once and read twice."""
+    ids, patterns = pattern_ids(genotypes)
+    everyone = genotypes.agg(F.count_distinct("sample").alias("n_all"))  # one row
+    known = patterns.filter(F.size(F.array_distinct(F.transform("calls", lambda c: c["nalt"]))) > 1)
+    known = cut(known.join(F.broadcast(everyone)).select("pattern_id", "calls", (F.size("calls") == F.col("n_all")).alias("complete")))
+    counts = cut(cell_site.join(ids, "site_id").groupBy("barcode", "pattern_id")
+                 .agg(F.sum("ref_w").alias("ref_w"), F.sum("alt_w").alias("alt_w")))
+    rows = counts.join(known, "pattern_id")
+    members = cut(candidate_members(rows, keep, e_ref, e_alt))
+    own = rows.join(members, "barcode").select("barcode", "ref_w", "alt_w", F.filter(
+        "calls", lambda c: F.array_contains("members", c["sample"])).alias("calls"))
+    return cell_pairs(pair_llr(expand_classes(own), e_ref, e_alt), keep, members)
+
+
+def call_from_counts(cell_site: DataFrame, genotypes: DataFrame, e_ref: float = E_REF, e_alt: float = E_ALT,
+                     doublet_rate: float = DOUBLET_RATE, keep: int = 10) -> DataFrame:
+    """(barcode, i, j, llr) from site counts and genotypes, pruned before pairs are counted."""
+    return eliminate(identity_table(pruned_cells(cell_site, genotypes, keep, e_ref, e_alt), doublet_rate))
+
+
 def identity_table(cells: DataFrame, doublet_rate: float = DOUBLET_RATE, allowed: list[int] | None = None,
                    prior: dict[int, float] | None = None) -> DataFrame:
     """Compare every two identities of each cell.

@@ -95,22 +95,39 @@ def pattern_counts(patterns: DataFrame) -> DataFrame:
     return patterns.groupBy("pattern", "called").agg(F.count(F.lit(1)).alias("cnt"))
 
 
-def compatible_patterns(counts: DataFrame, n_members: int, blocks: int = 4) -> DataFrame:
+def _completions(text: Column) -> Column:
+    """Every text that fills the missing calls of ``text`` with 0 or 1."""
+    def grow(done, c):
+        both = F.concat(F.transform(done, lambda d: F.concat(d, F.lit("0"))), F.transform(done, lambda d: F.concat(d, F.lit("1"))))
+        return F.when(c == "-", both).otherwise(F.transform(done, lambda d: F.concat(d, c)))
+    return F.aggregate(F.split(text, ""), F.array(F.lit("")), grow)
+
+
+def compatible_patterns(counts: DataFrame, n_members: int, width: int = 6) -> DataFrame:
     """Every complete pattern a partial one may stand for, with its share by count; either orientation fits.
 
-    Patterns are cut into blocks and a partial one meets only complete ones equal on its first block without
-    missing calls; only partial patterns missing something in every block are compared with all."""
-    step = max(1, -(-n_members // blocks))
-    cuts = [(k, s) for k, s in enumerate(range(0, n_members, step))]
-    part = F.array(*[F.struct(F.lit(k).alias("b"), F.substring("partial", s + 1, step).alias("t")) for k, s in cuts])
+    Both sides are walked together from the left, ``width`` members at a time. A step fills the missing calls of one
+    block (at most 2^width ways) and keeps those that some complete pattern starts with, by an equi join on the whole
+    start. So a pair goes on only while its starts agree, starts that patterns share are walked once, and no key stands
+    for "anything"."""
     whole = counts.filter("called").select(F.col("pattern").alias("full"), F.col("cnt").alias("full_cnt"))
     both = whole.withColumn("seen", F.explode(F.array("full", F.translate("full", "01", "10"))))
-    keys = F.array(F.struct(F.lit(-1).alias("b"), F.lit("").alias("t")), *[F.struct(F.lit(k).alias("b"), F.substring("seen", s + 1, step).alias("t")) for k, s in cuts])
-    a = counts.filter("NOT called").select(F.col("pattern").alias("partial"), "cnt").withColumn(
-        "k_", F.coalesce(F.get(F.filter(part, lambda x: ~x["t"].contains("-")), F.lit(0)), F.struct(F.lit(-1).alias("b"), F.lit("").alias("t"))))
-    b = both.withColumn("k_", F.explode(keys))
-    j = a.join(b, "k_").filter(F.forall(F.zip_with(F.split("partial", ""), F.split("seen", ""), lambda x, y: (x == "-") | (x == y)), lambda v: v))
-    j = j.groupBy("partial", "cnt", "full").agg(F.max("full_cnt").alias("full_cnt"))
+    part = counts.filter("NOT called").select(F.col("pattern").alias("partial"), "cnt")
+    live = None
+    for end in range(width, n_members + width, width):
+        end, begin = min(end, n_members), end - width
+        starts = both.select(F.substring("seen", 1, end).alias("f_")).distinct()
+        steps = part.select(F.substring("partial", 1, end).alias("p_")).distinct().select(
+            "p_", F.substring("p_", 1, begin).alias("b_"), F.explode(_completions(F.substring("p_", begin + 1, width))).alias("t_"))
+        if live is None:
+            grown = steps.select("p_", F.col("t_").alias("f_"))
+        else:
+            grown = steps.join(live.withColumnsRenamed({"p_": "b_", "f_": "g_"}), "b_").select("p_", F.concat("g_", "t_").alias("f_"))
+        live = grown.join(starts, "f_", "left_semi")
+        if end < n_members:
+            live = cut(live)
+    j = (live.select(F.col("p_").alias("partial"), F.col("f_").alias("seen")).join(both, "seen").join(part, "partial")
+         .groupBy("partial", "cnt", "full").agg(F.max("full_cnt").alias("full_cnt")))
     tot = j.groupBy("partial").agg(F.sum("full_cnt").alias("t_"))
     return j.join(tot, "partial").withColumn("share", F.col("full_cnt") / F.col("t_")).drop("t_")
 

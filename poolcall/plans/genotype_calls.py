@@ -316,13 +316,28 @@ def i1(fx):
 add_view("fx_singlet_llr", "SELECT barcode, i AS id1, j AS id2, round(l, 6) AS llr FROM fx_pair_llr", lambda fx: None)
 
 
-@register("i2_prune_singlets", fold_sql("fx_singlet_llr", 3) + """
+PRUNED = fold_sql("fx_singlet_llr", 3) + """
     SELECT s.barcode, CAST(s.id AS INT) AS member FROM (SELECT barcode, win AS id FROM cmp UNION SELECT barcode, lose FROM cmp) s
-    JOIN done d ON d.barcode = s.barcode WHERE NOT list_contains(d.gone, CAST(s.id AS INT))""")
+    JOIN done d ON d.barcode = s.barcode WHERE NOT list_contains(d.gone, CAST(s.id AS INT))"""
+
+
+@register("i2_prune_singlets", PRUNED)
 def i2(fx):
     return L.cell_pairs(fx.fx_pair_llr, keep=3).select("barcode", F.explode("members").alias("member"))
 
 
+@register("i2_prune_before_pairs", PRUNED)
+def i2_before_pairs(fx):
+    """The members left at three, with pairs counted only among those that one score per member leaves."""
+    return L.pruned_cells(fx.fx_cell_site, fx.fx_genotypes, keep=3).select("barcode", F.explode("members").alias("member"))
+
+
+@register("i5_calls_before_pairs", f"SELECT barcode, id, type, {rq('llr', 6)} AS llr FROM fx_named")
+def i5_before_pairs(fx):
+    calls = L.call_from_counts(fx.fx_cell_site, fx.fx_genotypes)
+    return L.name_identities(calls, fx.fx_samples).select("barcode", "id", "type", r("llr", 6).alias("llr"))
+
+
 @register("i3_singlet_vs_doublet", f"SELECT barcode, id1, id2, {rq('llr', 6)} AS llr FROM fx_llr_prior WHERE id1 < 4096 AND id2 >= 4096")
 def i3(fx):
     return fx.fx_llr_prior.filter("id1 < 4096 AND id2 >= 4096").select("barcode", "id1", "id2", r("llr", 6).alias("llr"))

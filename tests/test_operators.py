@@ -128,6 +128,55 @@ def test_planted_identities_are_found(spark, missing):
     assert {r.barcode: (r.i, r.j) for r in maxmin.collect()} == truth
 
 
+def pruned_by_walk(truth_rows, called, keep):
+    """Survivors of the knock-out walk over all pairs of members; (site, ref, alt) counts and a member's dosage by site."""
+    def p(n):
+        return n / 2 - n / 2 * 0.001 + (1 - n / 2) * 0.001
+    cls, members = {}, sorted({m for s, *_ in truth_rows for m in called[s]})
+    for s, ref, alt in truth_rows:
+        g = sorted(called[s].items())
+        for x, (i, ni) in enumerate(g):
+            for j, nj in g[x + 1:]:
+                if ni != nj:
+                    c = cls.setdefault((i, j), {}).setdefault((ni, nj), [0, 0])
+                    c[0] += ref
+                    c[1] += alt
+    llr = {k: sum(round(a / 1e6) * math.log2(p(ni) / p(nj)) + round(r_ / 1e6) * math.log2((1 - p(ni)) / (1 - p(nj)))
+                  for (ni, nj), (r_, a) in v.items()) for k, v in cls.items()}
+    alive = {m for k in llr for m in k}
+    for (i, j), v in sorted(llr.items(), key=lambda x: (-abs(round(x[1], 6)), x[0])):
+        if i in alive and j in alive and len(alive) > keep:
+            alive.discard(j if round(v, 6) > 0 else i)
+    return alive
+
+
+@pytest.mark.parametrize("members, missing", [(300, 0.0), (12, 0.0), (12, 0.1)])
+def test_pruning_before_pairs_equals_the_walk_over_all_pairs(spark, members, missing):
+    rng = random.Random(members)
+    n_sites, cells = 80, 4
+    called = {s: {m: rng.choice([0, 0, 1, 2]) for m in range(members) if rng.random() >= missing} for s in range(n_sites)}
+    counts = []
+    for c in range(cells):
+        for s in range(n_sites):
+            for _ in range(rng.randrange(3)):
+                g = called[s].get(c * 2, 0) / 2
+                alt = int(rng.random() < 0.02 + 0.96 * g)
+                w = rng.choice([999999, 999000, 990000])
+                counts.append((c, s, w * (1 - alt), w * alt))
+    cs = (spark.createDataFrame(counts, "barcode INT, site_id INT, ref_w BIGINT, alt_w BIGINT")
+          .groupBy("barcode", "site_id").agg(F.sum("ref_w").alias("ref_w"), F.sum("alt_w").alias("alt_w")))
+    gt = spark.createDataFrame([(s, m, n) for s, x in called.items() for m, n in x.items()], "site_id INT, sample INT, nalt INT")
+    got = {x.barcode: set(x.members) for x in L.pruned_cells(cs, gt, keep=5).select("barcode", "members").collect()}
+    want = {c: pruned_by_walk([(s, r_, a) for b, s, r_, a in counts if b == c], called, 5) for c in range(cells)}
+    assert got == want
+    if members == 300:
+        from poolcall.operators.counts import pattern_ids
+        ids, pats = pattern_ids(gt)
+        rows_ = cs.join(ids, "site_id").join(pats.withColumn("complete", F.lit(True)), "pattern_id")
+        left = [len(x.members) for x in L.candidate_members(rows_, 5).collect()]
+        assert max(left) < 150  # most members go without a pair being counted
+
+
 def test_additive_path_agrees_without_missing_calls(spark):
     pc = spark.createDataFrame(make_pairs({0: (0, 0), 1: (1, 2)}), PAIRS)
     full = {r.barcode: r.llr for r in L.call_cells(pc, 0.01, 0.01).collect()}
@@ -149,6 +198,25 @@ def test_sampling_exponent_hits_target(spark):
     assert 0 < x < 1 and abs(kept - 1000) < 1
 
 
+@pytest.mark.parametrize("members, width", [(5, 6), (14, 6), (9, 2), (1, 6)])
+def test_compatible_patterns_against_all_pairs(spark, members, width):
+    rng = random.Random(members * 10 + width)
+    full = {"".join(rng.choice("001") for _ in range(members)): rng.randrange(1, 9) for _ in range(40)}
+    holes = {"".join(c if rng.random() < 0.6 else "-" for c in rng.choice(sorted(full))) for _ in range(60)} | {"-" * members}
+    holes = {h: rng.randrange(1, 9) for h in holes if "-" in h}
+    t = spark.createDataFrame([(p, True, n) for p, n in full.items()] + [(p, False, n) for p, n in holes.items()],
+                              "pattern STRING, called BOOLEAN, cnt BIGINT")
+
+    def fits(h, f):
+        turned = f.translate(str.maketrans("01", "10"))
+        return any(all(a in ("-", b) for a, b in zip(h, g)) for g in (f, turned))
+
+    pairs = {(h, f) for h in holes for f in full if fits(h, f)}
+    want = sorted((h, f, full[f], round(full[f] / sum(full[g] for k, g in pairs if k == h), 9)) for h, f in pairs)
+    got = sites.compatible_patterns(t, members, width).select("partial", "full", "full_cnt", F.round("share", 9))
+    assert rows(got) == want
+
+
 def test_greedy_matching_equals_sorted_walk(spark):
     rng = random.Random(9)
     e = [("a%d" % i, "b%d" % j, rng.randrange(100)) for i in range(25) for j in range(25) if rng.random() < 0.5]
