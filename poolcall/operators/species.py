@@ -62,13 +62,32 @@ def top_kmers(counts: DataFrame, n: int) -> DataFrame:
     return c.filter(keep).select("species", "kmer", "cnt")
 
 
-def first_hits(reads: DataFrame, uniq: DataFrame, k: int, all_hits: bool = False) -> DataFrame:
-    """Species of each read's first species-only k-mer, or one row per species with its number of hits."""
-    km = reads.select("read_id", F.posexplode(kmers("seq", k)).alias("pos", "kmer")).withColumn("kmer", canonical_kmer("kmer"))
-    hit = km.join(uniq.select("kmer", "species"), "kmer")
+FILTER_BITS = 1 << 26  # at most 2^20 words of 64 bits are broadcast, however many k-mers there are
+
+
+def may_hold(km: DataFrame, kmers_: DataFrame, bits: int = FILTER_BITS) -> DataFrame:
+    """The rows of ``km`` whose k-mer may be among ``kmers_``, told by one bit each before anything is shuffled.
+
+    Bits are packed into 64-bit words, so the broadcast table is bounded by ``bits`` alone. No k-mer of ``kmers_`` is
+    lost; of the others about (k-mers / bits) stay, and the equi join after it decides."""
+    bit = F.pmod(F.xxhash64("kmer"), F.lit(bits))
+    words = kmers_.select(bit.alias("b_")).groupBy(F.shiftright("b_", 6).alias("w_")).agg(
+        F.bit_or(F.expr("shiftleft(1L, CAST(b_ & 63 AS INT))")).alias("set_"))
+    return (km.withColumn("b_", bit).withColumn("w_", F.shiftright("b_", 6)).join(F.broadcast(words), "w_")  # at most bits / 64 rows
+            .filter("(shiftrightunsigned(set_, CAST(b_ & 63 AS INT)) & 1L) = 1L").drop("b_", "w_", "set_"))
+
+
+def first_hits(reads: DataFrame, uniq: DataFrame, k: int, all_hits: bool = False, carry: tuple[str, ...] = ()) -> DataFrame:
+    """Species of each read's first species-only k-mer, or one row per species with its number of hits.
+
+    K-mers of no species are filtered out where the read is scanned; ``carry`` columns of the read stay with its vote."""
+    km = reads.select("read_id", *carry, F.posexplode(kmers("seq", k)).alias("pos", "kmer")).withColumn("kmer", canonical_kmer("kmer"))
+    known = uniq.select("kmer", "species")
+    hit = may_hold(km, known).join(known, "kmer")
+    kept = [F.any_value(c).alias(c) for c in carry]
     if all_hits:
-        return hit.groupBy("read_id", "species").agg(F.count(F.lit(1)).alias("hits"))
-    return hit.groupBy("read_id").agg(F.min_by("species", "pos").alias("species"))
+        return hit.groupBy("read_id", "species").agg(F.count(F.lit(1)).alias("hits"), *kept)
+    return hit.groupBy("read_id").agg(F.min_by("species", "pos").alias("species"), *kept)
 
 
 def first_per_umi(reads: DataFrame) -> DataFrame:
@@ -79,10 +98,11 @@ def first_per_umi(reads: DataFrame) -> DataFrame:
 
 
 def species_counts(reads: DataFrame, uniq: DataFrame, k: int, use_umis: bool = True) -> DataFrame:
-    """Reads per (barcode, species), one vote per read and per UMI. Only ids travel with the votes."""
+    """Reads per (barcode, species), one vote per read and per UMI. The barcode travels with the vote, so reads are
+    scanned once; a read_id names one read."""
     r = first_per_umi(reads) if use_umis else reads
-    votes = first_hits(r.select("read_id", "seq"), uniq, k)
-    return votes.join(r.select("read_id", "barcode"), "read_id").groupBy("barcode", "species").agg(F.count(F.lit(1)).alias("cnt"))
+    votes = first_hits(r.select("read_id", "barcode", "seq"), uniq, k, carry=("barcode",))
+    return votes.groupBy("barcode", "species").agg(F.count(F.lit(1)).alias("cnt"))
 
 
 def counts_by_reference(reads: DataFrame, sep: str = "_", suffix: bool = False) -> DataFrame:

@@ -277,6 +277,19 @@ def j1(fx):
     return S.latest_counts(saved, ["barcode", "tag"])
 
 
+@register("j1_stream_within_horizon", "SELECT barcode, tag, cnt FROM fx_tag_counts")
+def j1_horizon(fx):
+    """The same with UMIs forgotten after a horizon; it spans the whole input here, so the counts are all of them."""
+    from poolcall.streaming import tag_counts as S
+    src, uniq = (fresh_path(fx.spark, n) for n in ("reads", "unique"))
+    fx.fx_tag_reads.select("barcode", "tag", "umi", F.timestamp_seconds(F.col("umi") + 1_000_000_000).alias("at")).write.parquet(src)
+    schema = "barcode BIGINT, tag STRING, umi INT, at TIMESTAMP"
+    rows = fx.spark.readStream.schema(schema).option("maxFilesPerTrigger", 4).parquet(src)
+    S.dedupe_stream(rows, uniq, fresh_path(fx.spark, "ck"), "at", "36500 days").awaitTermination()
+    from poolcall.operators.counts import umi_counts
+    return umi_counts(fx.spark.read.schema("barcode BIGINT, tag STRING, umi INT").parquet(uniq))
+
+
 @register("j2_stream_partial_counts", "SELECT barcode, tag, count(*) AS cnt FROM fx_tag_reads GROUP BY barcode, tag")
 def j2(fx):
     from poolcall.operators.species import merge_counts

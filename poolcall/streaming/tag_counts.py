@@ -2,14 +2,51 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from contextlib import contextmanager
 
+from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql.streaming import StreamingQuery
 
-def dedupe_stream(reads: DataFrame, path: str, checkpoint: str):
-    """Write each new (barcode, tag, umi) once. Exactly once across restarts: the file sink commits with the state."""
-    new = reads.select("barcode", "tag", "umi").dropDuplicates(["barcode", "tag", "umi"])
-    return (new.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint)
-            .outputMode("append").trigger(availableNow=True).start())
+KEYS = ["barcode", "tag", "umi"]
+STORE = "spark.sql.streaming.stateStore.providerClass"
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+@contextmanager
+def state_on_disk(spark: SparkSession):
+    """Queries started inside keep their state in RocksDB, outside the heap."""
+    before = spark.conf.get(STORE)
+    spark.conf.set(STORE, ROCKSDB)
+    try:
+        yield
+    finally:
+        spark.conf.set(STORE, before)
+
+
+def dedupe_stream(reads: DataFrame, path: str, checkpoint: str, time: str | None = None, horizon: str | None = None) -> StreamingQuery:
+    """Write each new (barcode, tag, umi) once. Exactly once across restarts: the file sink commits with the state.
+
+    Without ``horizon`` every UMI ever seen is kept as state. With it (an interval, by the timestamp column ``time``) a
+    UMI is forgotten once the newest time is further ahead than that: state holds the UMIs of one horizon, in RocksDB. A
+    copy within the horizon is always dropped; a copy later than that counts anew if it is not late itself; rows later
+    than the horizon are left out and counted by :func:`late_rows`."""
+    if horizon is None:
+        new = reads.select(*KEYS).dropDuplicates(KEYS)
+    else:
+        new = reads.select(*KEYS, time).withWatermark(time, horizon).dropDuplicatesWithinWatermark(KEYS).select(*KEYS)
+    with state_on_disk(reads.sparkSession):
+        return (new.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint)
+                .outputMode("append").trigger(availableNow=True).start())
+
+
+def late_rows(query: StreamingQuery) -> int:
+    """Rows that came too late for the state, over the progress reports that the query keeps."""
+    return sum(op["numRowsDroppedByWatermark"] for p in query.recentProgress for op in p["stateOperators"])
+
+
+def state_rows(query: StreamingQuery) -> int:
+    """Rows of state after the last batch."""
+    return sum(op["numRowsTotal"] for op in query.lastProgress["stateOperators"])
 
 
 def count_stream(rows: DataFrame, keys: list[str], path: str, checkpoint: str):
@@ -18,8 +55,9 @@ def count_stream(rows: DataFrame, keys: list[str], path: str, checkpoint: str):
     def save(batch: DataFrame, batch_id: int) -> None:
         batch.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
 
-    return (rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("cnt")).writeStream.outputMode("update")
-            .option("checkpointLocation", checkpoint).foreachBatch(save).trigger(availableNow=True).start())
+    with state_on_disk(rows.sparkSession):
+        return (rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("cnt")).writeStream.outputMode("update")
+                .option("checkpointLocation", checkpoint).foreachBatch(save).trigger(availableNow=True).start())
 
 
 def latest_counts(saved: DataFrame, keys: list[str]) -> DataFrame:

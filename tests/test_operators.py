@@ -345,6 +345,59 @@ def test_stream_resumes_without_recounting(spark, tmp_path):
     assert rows(spark.read.parquet(uniq).groupBy("barcode", "tag").count()) == [(1, "a", 3), (2, "b", 1)]
 
 
+def test_stream_forgets_after_its_horizon(spark, tmp_path):
+    from poolcall.streaming import tag_counts as T
+    src, uniq, ck = str(tmp_path / "in"), str(tmp_path / "uniq"), str(tmp_path / "ck")
+    schema = "barcode INT, tag STRING, umi INT, at TIMESTAMP"
+
+    def feed(*batch):
+        (spark.createDataFrame(batch, "barcode INT, tag STRING, umi INT, s INT").withColumn("at", F.timestamp_seconds("s")).drop("s")
+         .write.mode("append").parquet(src))
+        q = T.dedupe_stream(spark.readStream.schema(schema).parquet(src), uniq, ck, "at", "10 seconds")
+        q.awaitTermination()
+        return T.state_rows(q), T.late_rows(q)
+
+    def found():
+        return rows(spark.read.parquet(uniq).groupBy("barcode", "tag", "umi").count())
+
+    sizes = [feed((1, "a", 1, 100), (1, "a", 2, 100), (1, "a", 1, 101))]
+    sizes.append(feed((1, "a", 1, 105), (1, "a", 3, 108)))  # a new start of the query: 1 is known from before
+    assert found() == [(1, "a", 1, 1), (1, "a", 2, 1), (1, "a", 3, 1)]
+    for k in range(4, 12):  # far apart: what came before is forgotten each time
+        sizes.append(feed((1, "a", k, 100 * k)))
+    assert all(n <= 3 for n, _ in sizes) and sizes[-1][0] <= 2
+    assert sum(late for _, late in sizes) == 0
+    assert feed((2, "b", 1, 50))[1] == 1 and (2, "b", 1, 1) not in found()  # too late, counted and left out
+    assert len(found()) == 11
+
+
+def test_kmer_filter_keeps_all_that_are_known(spark):
+    rng = random.Random(4)
+    known = sorted({"".join(rng.choice("ACGT") for _ in range(9)) for _ in range(200)})
+    km = known * 2 + ["".join(rng.choice("ACGT") for _ in range(9)) for _ in range(2000)]
+    df, kn = spark.createDataFrame([(x,) for x in km], "kmer STRING"), spark.createDataFrame([(x,) for x in known], "kmer STRING")
+    got = [x.kmer for x in species.may_hold(df, kn, 1 << 14).collect()]
+    assert sorted(x for x in got if x in set(known)) == sorted(x for x in km if x in set(known))
+    assert len(got) < 400 + 2000 * 0.03
+    assert [x.kmer for x in species.may_hold(df, kn.limit(0)).collect()] == []
+    assert species.may_hold(df, kn, 64).count() >= 400  # nearly every bit set: only the filter is lost
+
+
+def test_votes_carry_the_barcode(spark):
+    rng = random.Random(8)
+    uniq = {"ACGTA": "x", "CCCCA": "y", "TTGAC": "y"}
+    turn = str.maketrans("ACGT", "TGCA")
+    reads = [(i, rng.randrange(3), "A" * 30 if i % 3 == 0 else "".join(rng.choice("ACGT") for _ in range(60))) for i in range(300)]
+    want = {}
+    for _, b, seq in reads:
+        hits = [uniq[m] for m in (min(seq[p:p + 5], seq[p:p + 5][::-1].translate(turn)) for p in range(len(seq) - 4)) if m in uniq]
+        if hits:
+            want[(b, hits[0])] = want.get((b, hits[0]), 0) + 1
+    got = species.species_counts(spark.createDataFrame(reads, "read_id INT, barcode INT, seq STRING"),
+                                 spark.createDataFrame(list(uniq.items()), "kmer STRING, species STRING"), 5, use_umis=False)
+    assert {(x.barcode, x.species): x.cnt for x in got.collect()} == want and len(want) == 6
+
+
 def test_guides_may_have_no_tag(spark):
     fits = spark.createDataFrame([("a", 0.8, 3.0, 5.0, 60.0), ("b", 0.8, 3.0, 5.0, 60.0), ("c", 0.8, 3.0, 5.0, 60.0)], "tag STRING, w DOUBLE, lo DOUBLE, phi DOUBLE, hi DOUBLE")
     c = spark.createDataFrame([(1, "a", 60), (1, "b", 3), (1, "c", 2), (2, "a", 3), (2, "b", 3), (2, "c", 3), (3, "a", 70), (3, "b", 65), (3, "c", 2)], "barcode INT, tag STRING, cnt BIGINT")
