@@ -58,6 +58,25 @@ def display_order(j: DataFrame) -> DataFrame:
     return best.withColumn("rank", F.row_number().over(W.partitionBy("side").orderBy(F.desc("jaccard"), "id")))  # labels only
 
 
+def axis_order(m: DataFrame, by_members: bool = True) -> DataFrame:
+    """Place of every label on the axis of its side, (side, id, position), for a table of both label sets.
+
+    Singlets come by their :func:`display_order`, then doublets by their better and their other member, so pairs that
+    hold the best matched members stand together. A label whose first member has no place is left out; a second
+    member without one counts as none. Without ``by_members`` each label is ranked as a whole, as for tables of
+    doublets only. Ties by name."""
+    if not by_members:
+        return display_order(jaccard(m)).select("side", "id", F.col("rank").alias("position"))
+    ranks = display_order(jaccard(m, singlets_only=True)).select("side", F.col("id").alias("one"), "rank")
+    labels = m.select(F.explode(F.array(F.struct(F.lit(1).alias("side"), F.col("id1").alias("id")),
+                                        F.struct(F.lit(2).alias("side"), F.col("id2").alias("id")))).alias("s")).select("s.*").distinct()
+    two = labels.withColumn("one", F.split_part("id", F.lit("+"), F.lit(1))).withColumn("two", F.split_part("id", F.lit("+"), F.lit(2)))
+    r = (two.join(ranks.withColumnRenamed("rank", "r1"), ["side", "one"])
+         .join(ranks.withColumnsRenamed({"one": "two", "rank": "r2"}), ["side", "two"], "left").fillna(0, ["r2"]))
+    place = F.row_number().over(W.partitionBy("side").orderBy(F.least("r1", "r2"), F.greatest("r1", "r2"), "id"))  # labels only
+    return r.select("side", "id", place.alias("position"))
+
+
 def reciprocal_best(j: DataFrame) -> DataFrame:
     a, b = F.max("jaccard").over(W.partitionBy("id1")), F.max("jaccard").over(W.partitionBy("id2"))
     return j.withColumn("a_", a).withColumn("b_", b).filter("jaccard = a_ AND jaccard = b_").select("id1", "id2", "jaccard")

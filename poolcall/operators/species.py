@@ -228,15 +228,21 @@ def fit_species(cells: DataFrame, n: int, doublet_rate: float = 0.1, passes: int
     raise not_settled("the species mixture", passes, moved)
 
 
-def call_species(cells: DataFrame, p, doublet_rate: float, species: list[str]) -> DataFrame:
-    """Best component of each cell under the doublet prior, with its gap to the second; (barcode, id, type, llr, tot)."""
+def best_components(cells: DataFrame, p, doublet_rate: float, species: list[str]) -> DataFrame:
+    """Best and second best component of each cell, singlets and doublets alike, under the doublet prior:
+    (barcode, id, type, second, llr, tot); equal scores go to the earlier component, with a gap of zero."""
     comps = components(len(p))
     prior = [math.log2(1 - doublet_rate) if a == b else math.log2(doublet_rate) for a, b in comps]
     names = F.array(*[F.lit(species[a] if a == b else "+".join(sorted((species[a], species[b])))) for a, b in comps])
     d = pin(cells, s_=F.expr(f"reverse(array_sort(transform({_scores(p, prior)}, (v, k) -> struct(round(v, 6) AS v, -k AS k))))"))
-    d = d.withColumn("llr", F.round(F.col("s_")[0]["v"] - F.col("s_")[1]["v"], 6)).withColumn("c", -F.col("s_")[0]["k"])
-    return d.filter("llr > 0").select("barcode", F.get(names, F.col("c")).alias("id"),
-                                      F.when(F.col("c") < len(p), "S").otherwise("D").alias("type"), "llr", "tot")
+    c, second = -F.col("s_")[0]["k"], -F.get("s_", F.lit(1))["k"]
+    return d.select("barcode", F.get(names, c).alias("id"), F.when(c < len(p), "S").otherwise("D").alias("type"),
+                    F.get(names, second).alias("second"), F.round(F.col("s_")[0]["v"] - F.get("s_", F.lit(1))["v"], 6).alias("llr"), "tot")
+
+
+def call_species(cells: DataFrame, p, doublet_rate: float, species: list[str]) -> DataFrame:
+    """Best component of each cell under the doublet prior, with its gap to the second; (barcode, id, type, llr, tot)."""
+    return best_components(cells, p, doublet_rate, species).filter("llr > 0").drop("second")
 
 
 def cell_filter_step(cells: DataFrame, params: list[tuple]) -> list[tuple]:

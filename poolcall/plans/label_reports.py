@@ -131,6 +131,19 @@ def f15(fx):
     return B.display_order(B.jaccard(fx.fx_matched, singlets_only=True)).withColumn("jaccard", r("jaccard", 6))
 
 
+@register("f15_axis_order", """
+    WITH f AS (SELECT side, id, row_number() OVER (PARTITION BY side ORDER BY jaccard DESC, id) AS rank FROM (
+      SELECT 1 AS side, id1 AS id, max(jaccard) AS jaccard FROM fx_jaccard WHERE type1 = 'S' AND type2 = 'S' GROUP BY id1
+      UNION ALL SELECT 2, id2, max(jaccard) FROM fx_jaccard WHERE type1 = 'S' AND type2 = 'S' GROUP BY id2) q),
+    p AS (SELECT side, id, split_part(id, '+', 1) AS one, split_part(id, '+', 2) AS two FROM (
+      SELECT 1 AS side, id1 AS id FROM fx_matched UNION SELECT 2, id2 FROM fx_matched) l),
+    r AS (SELECT p.side, p.id, a.rank AS r1, coalesce(b.rank, 0) AS r2 FROM p JOIN f a ON a.side = p.side AND a.id = p.one
+          LEFT JOIN f b ON b.side = p.side AND b.id = p.two)
+    SELECT side, id, CAST(row_number() OVER (PARTITION BY side ORDER BY least(r1, r2), greatest(r1, r2), id) AS INT) AS position FROM r""")
+def f15_axes(fx):
+    return B.axis_order(fx.fx_matched)
+
+
 @register("f16_reciprocal_best", f"""
     SELECT id1, id2, {rq('jaccard', 6)} AS jaccard FROM (
       SELECT *, max(jaccard) OVER (PARTITION BY id1) AS m1, max(jaccard) OVER (PARTITION BY id2) AS m2 FROM fx_jaccard) q

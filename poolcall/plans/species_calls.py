@@ -212,18 +212,29 @@ def i12(fx):
     return t.select("a", "species", r("p").alias("p"))
 
 
-@register("i13_species_calls", _model_sql() + f"""
+RANKED = _model_sql() + f"""
     , q AS (SELECT w.a, w.b, p.species, (p.p + o.p) / 2 AS p FROM w0 w JOIN p ON p.a = w.a JOIN p o ON o.a = w.b AND o.species = p.species),
     l AS (SELECT x.barcode, q.a, q.b, round(CASE WHEN q.a = q.b THEN {math.log2(1 - RATE)!r} ELSE {math.log2(RATE)!r} END + sum(cnt * log2(greatest(q.p, 1e-12))), 6) AS s
           FROM x JOIN q ON q.species = x.species GROUP BY x.barcode, q.a, q.b),
-    t AS (SELECT *, lead(s) OVER o AS s2, row_number() OVER o AS n FROM l WINDOW o AS (PARTITION BY barcode ORDER BY s DESC, a <> b, a, b))
-    SELECT barcode, CASE WHEN a = b THEN a ELSE a || '+' || b END AS id, CASE WHEN a = b THEN 'S' ELSE 'D' END AS type, {rq('s - s2', 6)} AS llr
-    FROM t WHERE n = 1 AND round(s - s2, 6) > 0""")
+    n AS (SELECT *, CASE WHEN a = b THEN a ELSE a || '+' || b END AS id, CASE WHEN a = b THEN 'S' ELSE 'D' END AS type FROM l),
+    t AS (SELECT *, lead(s) OVER o AS s2, lead(id) OVER o AS second, row_number() OVER o AS n FROM n WINDOW o AS (PARTITION BY barcode ORDER BY s DESC, a <> b, a, b))"""
+
+
+@register("i13_species_calls", RANKED + f"""
+    SELECT barcode, id, type, {rq('s - s2', 6)} AS llr FROM t WHERE n = 1 AND round(s - s2, 6) > 0""")
 def i13(fx):
     langs, cells, p, _ = _model(fx)
     return S.call_species(cells, p, RATE, langs).select("barcode", "id", "type", r("llr", 6).alias("llr"))
 
 
+@register("f8_best_two_fitted", RANKED + f"""
+    SELECT barcode, id, type, second, {rq('s - s2', 6)} AS llr FROM t WHERE n = 1""")
+def f8_fitted(fx):
+    """Best two of the settled components, doublets included, for every cell."""
+    langs, cells, p, _ = _model(fx)
+    return S.best_components(cells, p, RATE, langs).select("barcode", "id", "type", "second", r("llr", 6).alias("llr"))
+
+
 @register("f8_best_two", _start_sql() + f"""
     , l AS (SELECT x.barcode, p.a, round(sum(cnt * log2(p)), 6) AS s FROM x JOIN p0 p ON p.species = x.species GROUP BY x.barcode, p.a)
     SELECT barcode, arg_max(a, (s, a)) AS id, {rq('max(s) - max(s2)', 6)} AS llr FROM (

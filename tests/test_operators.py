@@ -398,6 +398,17 @@ def test_votes_carry_the_barcode(spark):
     assert {(x.barcode, x.species): x.cnt for x in got.collect()} == want and len(want) == 6
 
 
+def test_axes_put_singlets_first_and_pairs_by_their_members(spark):
+    rows_ = [("A", "S", "x", "S")] * 3 + [("B", "S", "y", "S")] * 5 + [("C", "S", "z", "S")] + [("C", "S", "x", "S")] * 4
+    rows_ += [("A+B", "D", "x+y", "D"), ("A+C", "D", "y+z", "D"), ("B+C", "D", "x+z", "D"), ("Q+A", "D", "x", "S")]
+    m = spark.createDataFrame([(k, *x) for k, x in enumerate(rows_)], "barcode INT, id1 STRING, type1 STRING, id2 STRING, type2 STRING")
+    got = {}
+    for x in labels.axis_order(m).orderBy("side", "position").collect():
+        got.setdefault(x.side, []).append(x.id)
+    assert got[1] == ["B", "C", "A", "B+C", "A+B", "A+C"]  # Q has no place, so Q+A has none
+    assert got[2][:3] == ["y", "x", "z"] and got[2][3:] == ["x+y", "y+z", "x+z"]
+
+
 def test_guides_may_have_no_tag(spark):
     fits = spark.createDataFrame([("a", 0.8, 3.0, 5.0, 60.0), ("b", 0.8, 3.0, 5.0, 60.0), ("c", 0.8, 3.0, 5.0, 60.0)], "tag STRING, w DOUBLE, lo DOUBLE, phi DOUBLE, hi DOUBLE")
     c = spark.createDataFrame([(1, "a", 60), (1, "b", 3), (1, "c", 2), (2, "a", 3), (2, "b", 3), (2, "c", 3), (3, "a", 70), (3, "b", 65), (3, "c", 2)], "barcode INT, tag STRING, cnt BIGINT")
