@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from poolcall.functions.expr import uniform
+from poolcall.functions.expr import pin, uniform
 from poolcall.scaling import rank_in_groups
-from poolcall.session import collect_bounded, cut
+from poolcall.session import PASS_LIMIT, collect_bounded, cut, not_settled
 
 
 def biallelic(min_qual: float) -> Column:
@@ -201,58 +203,110 @@ def slot_selection(scored: DataFrame, counts: DataFrame, exponent: float, cutoff
 
 # --- regenotyping ---------------------------------------------------------------------------------
 
-def member_allocation(identity_site: DataFrame, passes: int = 5) -> DataFrame:
-    """Alt rate of each member at each site from singlet counts and shared doublet counts.
+PASSES_A_JOB = 200  # a job takes the open sites this far, then those that settled leave the table
+
+
+def settled_sites(identity_site: DataFrame, tol: float = 1e-6, limit: int = PASS_LIMIT) -> DataFrame:
+    """(site_id, ids, f): counts of the identities at each site and the settled alt rates of their members.
 
     A doublet's expected rate is the mean of its members; each pass splits its alt and ref reads in proportion to the
-    members' current rates. ``identity_site`` holds (i, j, site_id, ref_w, alt_w)."""
+    members' current rates. Every site stops by itself once no rate of it moves by ``tol``; passes are a fold inside
+    one row per site (at most the pool's pairs), so nothing is shuffled, and only sites still open are read again.
+    ``identity_site`` holds (i, j, site_id, ref_w, alt_w)."""
     base = identity_site.select("i", "j", "site_id", (F.col("ref_w") / 1e6).alias("ref"), (F.col("alt_w") / 1e6).alias("alt"))
-    # one row per site holds all its identities: at most the pool's pairs, and nothing is shuffled in the passes
-    rows = base.groupBy("site_id").agg(F.collect_list(F.struct("i", "j", "ref", "alt")).alias("ids"))
+    d = base.groupBy("site_id").agg(F.collect_list(F.struct("i", "j", "ref", "alt")).alias("ids"))
     mem = F.array_sort(F.array_distinct(F.flatten(F.transform("ids", lambda x: F.array(x["i"], x["j"])))))
-    d = rows.withColumn("mem", mem)
-    d = d.withColumn("f", F.transform("mem", lambda m: F.struct(m.alias("m"), F.lit(0.5).alias("f"), F.lit(0.0).alias("n"))))
-
-    from poolcall.functions.expr import pin
-
-    def rate(m):
-        return F.get(F.filter("f", lambda z: z["m"] == m), F.lit(0))["f"]
-
-    def split(x):  # shares of i and j in the alt and in the ref reads of one identity
+    d = d.withColumn("f", F.transform(mem, lambda m: F.struct(m.alias("m"), F.lit(0.5).alias("f"), F.lit(0.0).alias("n"))))
+    d, done, passes = cut(d.withColumn("moved", F.lit(1.0))), [], 0
+    while True:
+        d, passes = cut(_allocation_passes(d, tol)), passes + PASSES_A_JOB
+        done.append(d.filter(F.col("moved") < tol))
+        d = d.filter(F.col("moved") >= tol)
+        if d.isEmpty():
+            return reduce(DataFrame.unionByName, done).drop("moved")
+        if passes >= limit:
+            raise not_settled("the alt rates of members", passes, d.agg(F.max("moved")).first()[0])
+
+
+def _allocation_passes(d: DataFrame, tol: float) -> DataFrame:
+    def once(value: Column, use) -> Column:  # ``use`` sees the value by name instead of repeating its expression
+        return F.get(F.transform(F.array(value), use), F.lit(0))
+
+    def split(x):  # reads of one identity that go to i and to j
         p, q, single = x["p"], x["q"], x["i"] == x["j"]
         ka = F.when(single, 1.0).otherwise(F.when(p + q > 0, p / (p + q)).otherwise(0.5))
         kr = F.when(single, 1.0).otherwise(F.when(2 - p - q > 0, (1 - p) / (2 - p - q)).otherwise(0.5))
         return F.struct(x["i"].alias("i"), x["j"].alias("j"), (x["alt"] * ka).alias("ai"), (x["ref"] * kr).alias("ri"),
                         (x["alt"] * (1 - ka)).alias("aj"), (x["ref"] * (1 - kr)).alias("rj"))
 
-    def update(m):
-        s = F.aggregate("parts", F.struct(F.lit(0.0).alias("a"), F.lit(0.0).alias("r")), lambda t, x: F.when(
-            x["i"] == m, F.struct((t["a"] + x["ai"]).alias("a"), (t["r"] + x["ri"]).alias("r"))).when(
-            x["j"] == m, F.struct((t["a"] + x["aj"]).alias("a"), (t["r"] + x["rj"]).alias("r"))).otherwise(t))
-        return F.struct(m.alias("m"), s.alias("s"))
-
     def settle(z):
         n = z["s"]["a"] + z["s"]["r"]
         return F.struct(z["m"].alias("m"), F.when(n > 0, F.round(z["s"]["a"] / n, 9)).otherwise(F.lit(0.5)).alias("f"), n.alias("n"))
 
-    for _ in range(passes):
-        d = pin(d, seen=F.transform("ids", lambda x: F.struct(
-            x["i"].alias("i"), x["j"].alias("j"), x["ref"].alias("ref"), x["alt"].alias("alt"), rate(x["i"]).alias("p"), rate(x["j"]).alias("q"))))
-        d = pin(d, parts=F.transform("seen", split))
-        d = pin(d, sums=F.transform("mem", update))
-        d = pin(d, f=F.transform("sums", settle))
+    def one(s, _):
+        def rate(m):
+            return F.get(F.filter(s["f"], lambda z: z["m"] == m), F.lit(0))["f"]
+
+        parts = F.transform(F.transform("ids", lambda x: F.struct(
+            x["i"].alias("i"), x["j"].alias("j"), x["ref"].alias("ref"), x["alt"].alias("alt"), rate(x["i"]).alias("p"), rate(x["j"]).alias("q"))), split)
+
+        def update(z, given):
+            m = z["m"]
+            t = F.aggregate(given, F.struct(F.lit(0.0).alias("a"), F.lit(0.0).alias("r")), lambda t, x: F.when(
+                x["i"] == m, F.struct((t["a"] + x["ai"]).alias("a"), (t["r"] + x["ri"]).alias("r"))).when(
+                x["j"] == m, F.struct((t["a"] + x["aj"]).alias("a"), (t["r"] + x["rj"]).alias("r"))).otherwise(t))
+            return F.struct(m.alias("m"), t.alias("s"))
+
+        new = once(parts, lambda given: F.transform(F.transform(s["f"], lambda z: update(z, given)), settle))
+        return F.when(s["moved"] < tol, s).otherwise(once(new, lambda g: F.struct(
+            g.alias("f"), F.array_max(F.zip_with(s["f"], g, lambda x, y: F.abs(x["f"] - y["f"]))).alias("moved"))))
+
+    d = pin(d, s_=F.aggregate(F.sequence(F.lit(1), F.lit(PASSES_A_JOB)), F.struct(F.col("f").alias("f"), F.col("moved").alias("moved")), one))
+    return d.select("site_id", "ids", "s_.f", "s_.moved")
+
+
+def member_allocation(identity_site: DataFrame, tol: float = 1e-6) -> DataFrame:
+    """Settled alt rate and depth of each member at each site, from singlet counts and shared doublet counts."""
+    d = settled_sites(identity_site, tol)
     return d.select("site_id", F.explode("f").alias("z")).select("site_id", F.col("z.m").alias("sample"), F.col("z.f").alias("rate"), F.col("z.n").alias("depth"))
 
 
-def regenotype(rates: DataFrame, e_ref: float = 0.01, e_alt: float = 0.01) -> DataFrame:
-    """Nearest genotype of each member at each site, with a two-sided binomial p of the counts under it; sites
-    where everyone agrees on one homozygote are dropped."""
-    from poolcall.functions.cdf import binomial_cdf
-    nalt = F.when(F.col("rate") < 0.25, 0).when(F.col("rate") < 0.75, 1).otherwise(2)
-    d = cut(rates.filter("depth > 0").withColumn("nalt", nalt))  # read for the polymorphism test and for the rows
-    k, n = F.round(F.col("rate") * F.col("depth")), F.round("depth")
-    p = F.col("nalt") / 2 - F.col("nalt") / 2 * e_alt + (1 - F.col("nalt") / 2) * e_ref
-    low, high = binomial_cdf(k, n, p), 1 - binomial_cdf(k - 1, n, p)
-    d = d.withColumn("p", F.least(2 * F.least(low, F.when(k < 1, 1.0).otherwise(high)), F.lit(1.0)))
-    poly = d.groupBy("site_id").agg(F.min("nalt").alias("a"), F.max("nalt").alias("b")).filter("a <> b OR a = 1").select("site_id")
-    return d.join(poly, "site_id", "left_semi")
+def binomial_two_sided(k: str, n: str, q: str) -> Column:
+    """Twice the smaller of P(X <= k) and its complement, for columns of whole k and n and a chance 0 < q < 1.
+
+    Sums the tail on k's side of the mean by the ratio of neighbouring terms, downwards from the largest."""
+    over = F.col(k) > F.col(n) * F.col(q)
+    top = F.when(over, F.col(n) - F.col(k) - 1).otherwise(F.col(k)).cast("int")  # the tail is 0..top of n tries with chance c
+    c = F.when(over, 1 - F.col(q)).otherwise(F.col(q))
+    steps = F.when(top >= 1, F.sequence(F.lit(1), top)).otherwise(F.array().cast("array<int>"))
+    log_top = F.aggregate(steps, top * F.log(c) + (F.col(n) - top) * F.log(1 - c), lambda s, x: s + F.log((F.col(n) - top + x) / x))
+    tail = F.aggregate(steps, F.struct(F.lit(1.0).alias("t"), F.lit(1.0).alias("s")), lambda a, x: F.struct(
+        (a["t"] * (top - x + 1) / (F.col(n) - top + x) * (1 - c) / c).alias("t"),
+        (a["s"] + a["t"] * (top - x + 1) / (F.col(n) - top + x) * (1 - c) / c).alias("s")))["s"]
+    p = F.when(top < 0, 0.0).otherwise(F.least(F.exp(log_top) * tail, F.lit(1.0)))
+    return 2 * F.least(p, 1 - p)
+
+
+def regenotype(identity_site: DataFrame, p_min: float = 0.01, tol: float = 1e-6) -> DataFrame:
+    """Nearest genotype of each member with reads at each site: (site_id, sample, rate, nalt, p).
+
+    Sites at which all members agree are dropped, and those whose reads do not fit the new genotypes: p is the
+    two-sided binomial chance of the alt reads under the share that the genotypes give them (one read added to both)."""
+    d = settled_sites(identity_site, tol)
+    d = pin(d, g=F.transform(F.filter("f", lambda z: z["n"] > 0), lambda z: F.struct(
+        z["m"].alias("m"), z["f"].alias("f"), F.when(z["f"] < 0.25, 0).when(z["f"] < 0.75, 1).otherwise(2).alias("nalt"))))
+    d = d.filter(F.size(F.array_distinct(F.transform("g", lambda z: z["nalt"]))) > 1)
+
+    def nalt(m):
+        return F.get(F.filter("g", lambda z: z["m"] == m), F.lit(0))["nalt"]
+
+    known = F.filter(F.transform("ids", lambda x: F.struct(x["ref"].alias("ref"), x["alt"].alias("alt"), (nalt(x["i"]) + nalt(x["j"])).alias("a"))),
+                     lambda x: x["a"].isNotNull())
+    zero = F.struct(F.lit(0.0).alias("ref"), F.lit(0.0).alias("alt"), F.lit(1.0).alias("e_ref"), F.lit(1.0).alias("e_alt"))
+    d = pin(d, s=F.aggregate(known, zero, lambda t, x: F.struct(
+        (t["ref"] + x["ref"]).alias("ref"), (t["alt"] + x["alt"]).alias("alt"),
+        (t["e_ref"] + (1 - x["a"] / 4) * (x["ref"] + x["alt"])).alias("e_ref"), (t["e_alt"] + x["a"] / 4 * (x["ref"] + x["alt"])).alias("e_alt"))))
+    d = pin(d, k=F.round("s.alt"), n=F.round("s.alt") + F.round("s.ref"), q=F.col("s.e_alt") / (F.col("s.e_alt") + F.col("s.e_ref")))
+    d = pin(d, p=F.when(F.col("n") > 0, binomial_two_sided("k", "n", "q")).otherwise(0.0)).filter(F.col("p") > p_min)
+    return d.select("site_id", "p", F.explode("g").alias("z")).select(
+        "site_id", F.col("z.m").alias("sample"), F.col("z.f").alias("rate"), F.col("z.nalt").alias("nalt"), "p")

@@ -164,33 +164,47 @@ def i36(fx):
     return S.sample_sites(fx.fx_site_prob).select("site_id")
 
 
-REGENO_PASSES = 3
+REGENO_TOL = 1e-6
 
 
 def _regeno_sql() -> str:
-    sql = """
-    WITH b AS MATERIALIZED (SELECT i, j, site_id, sum(ref_w) / 1e6 AS ref, sum(alt_w) / 1e6 AS alt FROM fx_cell_site JOIN fx_truth USING (barcode) GROUP BY i, j, site_id),
-    f0 AS (SELECT DISTINCT site_id, m, 0.5::DOUBLE AS f, 0.0::DOUBLE AS n FROM (SELECT site_id, i AS m FROM b UNION SELECT site_id, j FROM b) q)"""
-    for k in range(REGENO_PASSES):
-        sql += f""",
-    s{k} AS (SELECT site_id, i AS m, alt AS a, ref AS r FROM b WHERE i = j UNION ALL
-      SELECT b.site_id, z.m, CASE WHEN p.f + q.f > 0 THEN alt * CASE WHEN z.m = b.i THEN p.f ELSE q.f END / (p.f + q.f) ELSE alt * 0.5 END,
-             CASE WHEN 2 - p.f - q.f > 0 THEN ref * (1 - CASE WHEN z.m = b.i THEN p.f ELSE q.f END) / (2 - p.f - q.f) ELSE ref * 0.5 END
-      FROM b JOIN f{k} p ON p.site_id = b.site_id AND p.m = b.i JOIN f{k} q ON q.site_id = b.site_id AND q.m = b.j, LATERAL (VALUES (b.i), (b.j)) z(m) WHERE b.i <> b.j),
-    f{k + 1} AS MATERIALIZED (SELECT site_id, m, CASE WHEN sum(a) + sum(r) > 0 THEN round(sum(a) / (sum(a) + sum(r)), 9) ELSE 0.5 END AS f, sum(a) + sum(r) AS n FROM s{k} GROUP BY site_id, m)"""
-    return sql + f"""
-    SELECT site_id, m AS sample, {rq('f', 4)} AS rate, CAST(CASE WHEN f < 0.25 THEN 0 WHEN f < 0.75 THEN 1 ELSE 2 END AS INT) AS nalt FROM f{REGENO_PASSES} WHERE n > 0
-    QUALIFY min(CASE WHEN f < 0.25 THEN 0 WHEN f < 0.75 THEN 1 ELSE 2 END) OVER (PARTITION BY site_id) <> max(CASE WHEN f < 0.25 THEN 0 WHEN f < 0.75 THEN 1 ELSE 2 END) OVER (PARTITION BY site_id)
-         OR min(CASE WHEN f < 0.25 THEN 0 WHEN f < 0.75 THEN 1 ELSE 2 END) OVER (PARTITION BY site_id) = 1"""
-
-
-def _rates(fx):
-    return S.member_allocation(C.identity_site_counts(fx.fx_cell_site, fx.fx_truth), REGENO_PASSES)
-
-
-@register("i33_regenotype", _regeno_sql())
+    """Passes as a recursion in which each site stops by itself, then genotypes and the binomial sum term by term."""
+    return f"""
+    WITH RECURSIVE b AS MATERIALIZED (SELECT i, j, site_id, sum(ref_w) / 1e6 AS ref, sum(alt_w) / 1e6 AS alt FROM fx_cell_site JOIN fx_truth USING (barcode) GROUP BY i, j, site_id),
+    it AS (SELECT DISTINCT 0 AS k, site_id, m, 0.5::DOUBLE AS f, 0.0::DOUBLE AS n, 1.0::DOUBLE AS moved FROM (SELECT site_id, i AS m FROM b UNION SELECT site_id, j FROM b) q
+      UNION ALL (WITH now AS MATERIALIZED (SELECT * FROM it WHERE moved >= {REGENO_TOL}),
+      s AS (SELECT b.site_id, b.i AS m, alt AS a, ref AS r FROM b JOIN now ON now.site_id = b.site_id AND now.m = b.i WHERE b.i = b.j UNION ALL
+        SELECT b.site_id, z.m, CASE WHEN p.f + q.f > 0 THEN alt * CASE WHEN z.m = b.i THEN p.f ELSE q.f END / (p.f + q.f) ELSE alt * 0.5 END,
+               CASE WHEN 2 - p.f - q.f > 0 THEN ref * (1 - CASE WHEN z.m = b.i THEN p.f ELSE q.f END) / (2 - p.f - q.f) ELSE ref * 0.5 END
+        FROM b JOIN now p ON p.site_id = b.site_id AND p.m = b.i JOIN now q ON q.site_id = b.site_id AND q.m = b.j, LATERAL (VALUES (b.i), (b.j)) z(m) WHERE b.i <> b.j),
+      g AS (SELECT site_id, m, CASE WHEN sum(a) + sum(r) > 0 THEN round(sum(a) / (sum(a) + sum(r)), 9) ELSE 0.5 END AS f, sum(a) + sum(r) AS n FROM s GROUP BY site_id, m)
+      SELECT now.k + 1, g.site_id, g.m, g.f, g.n, max(abs(g.f - now.f)) OVER (PARTITION BY g.site_id) FROM g JOIN now ON now.site_id = g.site_id AND now.m = g.m)),
+    g AS MATERIALIZED (SELECT site_id, m, f, CASE WHEN f < 0.25 THEN 0 WHEN f < 0.75 THEN 1 ELSE 2 END AS nalt FROM it
+      WHERE n > 0 QUALIFY row_number() OVER (PARTITION BY site_id, m ORDER BY k DESC) = 1),
+    e AS (SELECT b.site_id, sum(ref) AS ro, sum(alt) AS ao, 1 + sum((1 - (x.nalt + y.nalt) / 4) * (ref + alt)) AS er, 1 + sum((x.nalt + y.nalt) / 4 * (ref + alt)) AS ea
+      FROM b JOIN g x ON x.site_id = b.site_id AND x.m = b.i JOIN g y ON y.site_id = b.site_id AND y.m = b.j GROUP BY b.site_id),
+    t AS (SELECT site_id, CAST(round(ao) AS BIGINT) AS k, CAST(round(ao) + round(ro) AS BIGINT) AS n, ea / (ea + er) AS q FROM e),
+    c AS (SELECT site_id, sum(exp(lgamma(n + 1) - lgamma(x + 1) - lgamma(n - x + 1) + x * ln(q) + (n - x) * ln(1 - q))) AS c
+      FROM (SELECT *, unnest(range(0, k + 1)) AS x FROM t WHERE n > 0) u GROUP BY site_id),
+    poly AS (SELECT site_id FROM g GROUP BY site_id HAVING min(nalt) <> max(nalt))
+    SELECT g.site_id, m AS sample, {rq('f', 4)} AS rate, CAST(nalt AS INT) AS nalt, {rq('2 * least(c, 1 - c)', 5)} AS p
+    FROM g JOIN poly ON poly.site_id = g.site_id JOIN c ON c.site_id = g.site_id WHERE 2 * least(c, 1 - c) > {{p_min}}"""
+
+
+def _regenotyped(fx, p_min: float):
+    d = S.regenotype(C.identity_site_counts(fx.fx_cell_site, fx.fx_truth), p_min, REGENO_TOL)
+    return d.select("site_id", "sample", r("rate", 4).alias("rate"), "nalt", r("p", 5).alias("p"))
+
+
+@register("i33_regenotype", _regeno_sql().format(p_min=0.01))
 def i33(fx):
-    return S.regenotype(_rates(fx)).select("site_id", "sample", r("rate", 4).alias("rate"), "nalt")
+    return _regenotyped(fx, 0.01)
+
+
+@register("i33_regenotype_all_polymorphic", _regeno_sql().format(p_min=-1))
+def i33_all(fx):
+    """The same without a bound on p, so that small values are compared as well."""
+    return _regenotyped(fx, -1.0)
 
 
 @register("b15_variant_table", f"""

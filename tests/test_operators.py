@@ -409,6 +409,32 @@ def test_axes_put_singlets_first_and_pairs_by_their_members(spark):
     assert got[2][:3] == ["y", "x", "z"] and got[2][3:] == ["x+y", "y+z", "x+z"]
 
 
+def test_binomial_fold_against_plain_sums(spark):
+    rng = random.Random(6)
+    cases = [(0, 1, 0.5), (1, 1, 0.5), (0, 40, 0.01), (40, 40, 0.99), (39, 40, 0.3), (3000, 6000, 0.49)]
+    cases += [(rng.randrange(n + 1), n, rng.uniform(0.01, 0.99)) for n in (rng.randrange(1, 200) for _ in range(40))]
+    df = spark.createDataFrame([(i, float(k), float(n), q) for i, (k, n, q) in enumerate(cases)], "c INT, k DOUBLE, n DOUBLE, q DOUBLE")
+    for x in df.withColumn("p", sites.binomial_two_sided("k", "n", "q")).collect():
+        k, n, q = cases[x.c]
+        low = math.fsum(math.exp(math.lgamma(n + 1) - math.lgamma(i + 1) - math.lgamma(n - i + 1) + i * math.log(q) + (n - i) * math.log(1 - q))
+                        for i in range(k + 1))
+        assert abs(x.p - 2 * min(low, 1 - low)) < 1e-8
+
+
+def test_new_genotypes_of_planted_members(spark):
+    geno = {0: 0, 1: 1, 2: 2}
+    ident = [(0, 0), (1, 1), (2, 2), (0, 2), (1, 2)]
+    rows_ = []
+    for i, j in ident:
+        a = int(400 * (geno[i] + geno[j]) / 4)
+        rows_ += [(i, j, 1, (400 - a) * 1000000, a * 1000000), (i, j, 2, 400000000, 0)]  # nobody differs at site 2
+        rows_.append((i, j, 3, *((400000000, 0) if (i, j) == (0, 0) else (240000000, 160000000))))
+    got = rows(sites.regenotype(spark.createDataFrame(rows_, "i INT, j INT, site_id INT, ref_w BIGINT, alt_w BIGINT"), 0.01)
+               .select("site_id", "sample", "nalt"))
+    assert got == [(1, 0, 0), (1, 1, 1), (1, 2, 2)]  # the reads at site 3 fit no genotypes
+    assert sites.regenotype(spark.createDataFrame([], "i INT, j INT, site_id INT, ref_w BIGINT, alt_w BIGINT")).count() == 0
+
+
 def test_guides_may_have_no_tag(spark):
     fits = spark.createDataFrame([("a", 0.8, 3.0, 5.0, 60.0), ("b", 0.8, 3.0, 5.0, 60.0), ("c", 0.8, 3.0, 5.0, 60.0)], "tag STRING, w DOUBLE, lo DOUBLE, phi DOUBLE, hi DOUBLE")
     c = spark.createDataFrame([(1, "a", 60), (1, "b", 3), (1, "c", 2), (2, "a", 3), (2, "b", 3), (2, "c", 3), (3, "a", 70), (3, "b", 65), (3, "c", 2)], "barcode INT, tag STRING, cnt BIGINT")
