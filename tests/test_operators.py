@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from poolcall import scaling as S
-from poolcall.functions import cdf
+from poolcall.functions import cdf, expr
 from poolcall.operators import contam, homology, joins, labels, likelihood as L, mito, pool, sites, species, tags
 
 
@@ -537,3 +537,13 @@ def test_empty_tables_give_empty_results(spark):
     some = spark.createDataFrame([(1, "S1", "S", 1.0), (2, "S2", "S", 100.0)], "barcode BIGINT, id STRING, type STRING, llr DOUBLE")
     full, none = labels.cutoff_curves(some), labels.cutoff_curves(some.limit(0))
     assert none.schema == full.schema and none.count() == 0 and full.count() > 0
+
+
+def test_consensus_of_clusters_with_thousands_of_cells(spark):
+    """The products behind log-gamma leave 64 bits from about 235 cells on."""
+    cells = spark.range(5000).select(F.col("id").alias("barcode"), (F.col("id") % 2).alias("cluster"))
+    haps = cells.filter("barcode % 10 <> 3").select("barcode", F.lit(7).alias("pos"), (F.col("cluster") == 1).cast("int").alias("allele"))
+    got = rows(mito.consensus(haps, cells).select("cluster", "pos", "tot", "cells", "allele"))
+    assert got == [(0, 7, 2500, 2500, 0), (1, 7, 2000, 2500, 1)]
+    big = spark.range(1).select(*[F.round(expr.log_gamma(F.lit(x)), 6).alias(str(x)) for x in (1, 234, 235, 10**5, 10**8)]).first()
+    assert list(big) == pytest.approx([math.lgamma(x) for x in (1, 234, 235, 10**5, 10**8)], rel=1e-12, abs=1e-6)
