@@ -547,3 +547,42 @@ def test_consensus_of_clusters_with_thousands_of_cells(spark):
     assert got == [(0, 7, 2500, 2500, 0), (1, 7, 2000, 2500, 1)]
     big = spark.range(1).select(*[F.round(expr.log_gamma(F.lit(x)), 6).alias(str(x)) for x in (1, 234, 235, 10**5, 10**8)]).first()
     assert list(big) == pytest.approx([math.lgamma(x) for x in (1, 234, 235, 10**5, 10**8)], rel=1e-12, abs=1e-6)
+
+
+def test_scanned_kmers_equal_those_cut_out_one_by_one(spark, monkeypatch):
+    rng = random.Random(12)
+    letters = ["ACGT", "ACGTN", "ACGTNacé"]
+    seqs = [(i, i % 7, rng.choice(["x", "y", None]), "".join(rng.choice(letters[i % 3]) for _ in range(rng.choice([0, 3, 5, 40, 300])))) for i in range(400)]
+    df = spark.createDataFrame([*seqs, (400, 1, "x", None)], "read_id INT, barcode INT, species STRING, seq STRING").repartition(3)
+    monkeypatch.setattr(species.kc, "PIECE", 64)  # texts reach over many pieces
+
+    def plain(s, k, canonical):
+        return [min(w, w[::-1].translate(species.kc.TURN)) if canonical else w for w in (s[p:p + k] for p in range(len(s) - k + 1)) if "N" not in w]
+
+    for k, canonical in ((5, True), (9, False), (18, True)):
+        want = {}
+        for _, _, sp, s in seqs:
+            for w in plain(s, k, canonical):
+                want[(sp, w)] = want.get((sp, w), 0) + 1
+        assert {(r.species, r.kmer): r.cnt for r in species.species_kmer_counts(df, k, canonical).collect()} == want
+    for k in (5, 11):
+        known = {w: rng.choice("xyz") for _, _, _, s in seqs for w in plain(s, k, True) if rng.random() < 0.02}
+        want = [(i, b, next(known[w] for w in plain(s, k, True) if w in known)) for i, b, _, s in seqs if any(w in known for w in plain(s, k, True))]
+        uniq = spark.createDataFrame(list(known.items()), "kmer STRING, species STRING")
+        assert any(set(w) - set("ACGT") for w in known) and len(want) > 50
+        got = species.scan_votes(df, uniq, k, ("barcode",)).collect()
+        assert sorted((r.read_id, r.barcode, r.species) for r in got) == sorted(want)
+        assert sorted((r.read_id, r.species) for r in species.first_hits(df, uniq, k).collect()) == sorted((i, s) for i, _, s in want)
+    monkeypatch.setattr(species, "VOTE_TABLE", 3)
+    assert species.scan_votes(df, uniq, 11) is None and species.first_hits(df, uniq, 11).count() == len(want)
+
+
+def test_letters_are_recoded_one_by_one(spark):
+    import pyarrow as pa
+    texts = ["", "abc", None, "Aé b", "x\U0001f9ecy", "ÿ", "a\nb\x00"]
+    table = bytes(c if chr(c) in "abxy" else ord("N") for c in range(128))
+    want = [None if t is None else "".join(c if c in "abxy" else "N" for c in t) for t in texts]
+    for kind in (pa.string(), pa.large_string()):
+        column = pa.array(texts, kind)
+        assert species.kc.recoded(column, table, b"N").to_pylist() == want
+        assert species.kc.recoded(column[2:5], table, b"N").to_pylist() == want[2:5]
