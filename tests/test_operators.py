@@ -586,3 +586,16 @@ def test_letters_are_recoded_one_by_one(spark):
         column = pa.array(texts, kind)
         assert species.kc.recoded(column, table, b"N").to_pylist() == want
         assert species.kc.recoded(column[2:5], table, b"N").to_pylist() == want[2:5]
+
+
+def test_sums_of_read_ids_may_leave_64_bits(spark, tmp_path):
+    from poolcall.plans import catalog
+    d11 = catalog.queries()["d11_first_hits"]
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    found = {}
+    for shift in (0, 9 * 10 ** 12):
+        docs.withColumn("doc_id", F.col("doc_id") + shift).write.parquet(f"{tmp_path}/{shift}/documents.parquet")
+        found[shift] = d11(spark, f"{tmp_path}/{shift}")
+    assert dict(found[0].dtypes)["id_sum"] == "bigint" and dict(found[9 * 10 ** 12].dtypes)["id_sum"].startswith("decimal")
+    small, large = ({r.species: (r.reads, int(r.id_sum)) for r in f.collect()} for f in found.values())
+    assert small and large == {s: (n, t + n * 9 * 10 ** 18) for s, (n, t) in small.items()}
