@@ -118,7 +118,8 @@ class Model:
             left = still
         return out, left
 
-    def predict(self, text: str | None, unseen: Unseen) -> tuple[str, float]:
+    def predict(self, text: str | None, unseen: Unseen | None = None) -> tuple[str, float]:
+        """Language and posterior; ``unseen`` keeps scores from text to text, without it each text has a table of its own."""
         words = letter_words(text)
         if not words or not self.languages:
             return UNKNOWN, 0.0
@@ -128,7 +129,7 @@ class Model:
         known = ids >= 0
         total = times[known] @ self.word_logs[ids[known]]
         if not known.all():
-            total = total + unseen.total(list(compress(counts, ~known)), times[~known])
+            total = total + (unseen or Unseen(self)).total(list(compress(counts, ~known)), times[~known])
         if not total.any():
             return self.languages[self.prior], 1 / len(self.languages)
         p = np.exp(total - total.max())
