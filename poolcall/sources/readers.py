@@ -28,15 +28,16 @@ def read_counts_wide(spark: SparkSession, path: str) -> DataFrame:
     return wide.unpivot([names[0]], names[1:], "tag", "cnt").filter("cnt > 0").withColumnRenamed(names[0], "barcode")
 
 
-def text_lines(spark: SparkSession, path: str) -> DataFrame:
-    """Lines with their 1-based number inside their file: (file, idx, value).
+def text_lines(spark: SparkSession, path: str, one_list: bool = False) -> DataFrame:
+    """Lines with their 1-based number inside their file: (file, idx, value). With ``one_list`` the files of a folder, by
+    name, are one list and numbered through.
 
     A task numbers the lines of each split it reads; the table of lines per split (small) gives the number
     of lines before it in the file. Nothing is sorted and files are read in parallel splits."""
     d = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("b_"),
                                      F.monotonically_increasing_id().alias("m_"))
     per = d.groupBy("file", "b_").agg(F.count(F.lit(1)).alias("n_"), F.min("m_").alias("f_"))
-    before = W.partitionBy("file").orderBy("b_").rowsBetween(W.unboundedPreceding, -1)
+    before = (W.orderBy("file", "b_") if one_list else W.partitionBy("file").orderBy("b_")).rowsBetween(W.unboundedPreceding, -1)  # one row per split
     off = per.select("file", "b_", "f_", F.coalesce(F.sum("n_").over(before), F.lit(0)).alias("o_"))
     return d.join(off, ["file", "b_"]).select("file", (F.col("m_") - F.col("f_") + F.col("o_") + 1).alias("idx"), "value")
 
@@ -52,9 +53,9 @@ def paired_lists(spark: SparkSession, path_a: str, path_b: str) -> DataFrame:
 
 def read_mex(spark: SparkSession, path: str, feature_type: str | None = None) -> DataFrame:
     """(barcode, feature, cnt) from a barcodes/features/matrix triple; orientation comes from the size line."""
-    bc = text_lines(spark, f"{path}/barcodes").select("idx", F.col("value").alias("barcode"))
+    bc = text_lines(spark, f"{path}/barcodes", one_list=True).select("idx", F.col("value").alias("barcode"))
     f = F.split("value", "\t")
-    ft = text_lines(spark, f"{path}/features").select("idx", f[0].alias("feature"), F.get(f, F.lit(2)).alias("feature_type"))
+    ft = text_lines(spark, f"{path}/features", one_list=True).select("idx", f[0].alias("feature"), F.get(f, F.lit(2)).alias("feature_type"))
     lines = text_lines(spark, f"{path}/matrix")
     head = lines.filter(F.col("value").startswith("%")).agg(F.max_by("file", "idx").alias("file"), F.max("idx").alias("idx")).first()
     sizes = (F.col("file") == head.file) & (F.col("idx") == head.idx + 1)

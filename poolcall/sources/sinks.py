@@ -62,8 +62,9 @@ def write_mex(mtx: DataFrame, path: str) -> None:
     rows = mtx.filter("cnt > 0")
     bc, ft = cut(dense_index(rows, "barcode", "bi")), cut(dense_index(rows, "feature", "fi"))
     types = rows.groupBy("feature").agg(F.max("feature_type").alias("feature_type"))
-    bc.coalesce(1).sortWithinPartitions("bi").select("barcode").write.text(f"{path}/barcodes")  # axis lists are single files by format
-    ft.join(types, "feature").coalesce(1).sortWithinPartitions("fi").select(
+    # an axis list is its part files one after the other: no task holds the whole axis
+    bc.repartitionByRange("bi").sortWithinPartitions("bi").select("barcode").write.text(f"{path}/barcodes")
+    ft.join(types, "feature").repartitionByRange("fi").sortWithinPartitions("fi").select(
         F.concat_ws("\t", "feature", "feature", "feature_type")).write.text(f"{path}/features")
     body = rows.join(bc, "barcode").join(ft, "feature").select(F.concat_ws(" ", "fi", "bi", "cnt").alias("value"))
     n = rows.agg(F.count(F.lit(1)).alias("n")).join(F.broadcast(bc.agg(F.count(F.lit(1)).alias("b")))).join(F.broadcast(ft.agg(F.count(F.lit(1)).alias("f"))))

@@ -599,3 +599,19 @@ def test_sums_of_read_ids_may_leave_64_bits(spark, tmp_path):
     assert dict(found[0].dtypes)["id_sum"] == "bigint" and dict(found[9 * 10 ** 12].dtypes)["id_sum"].startswith("decimal")
     small, large = ({r.species: (r.reads, int(r.id_sum)) for r in f.collect()} for f in found.values())
     assert small and large == {s: (n, t + n * 9 * 10 ** 18) for s, (n, t) in small.items()}
+
+
+def test_axes_of_a_matrix_are_written_and_read_in_parts(spark, tmp_path):
+    from poolcall.sources import readers, sinks
+    cells = [(f"c{i:05d}", f"g{(i * 7 + j) % 3000:05d}", "Gene Expression" if (i * 7 + j) % 2 else "Antibody Capture", 1 + j) for i in range(2000) for j in range(3)]
+    mtx = spark.createDataFrame(cells, "barcode STRING, feature STRING, feature_type STRING, cnt BIGINT")
+    was = spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        sinks.write_mex(mtx, f"{tmp_path}/m")
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", was)
+    for axis, n in (("barcodes", 2000), ("features", 3000)):
+        sizes = [sum(1 for _ in open(p)) for p in sorted((tmp_path / "m" / axis).glob("part-*"))]
+        assert sum(sizes) == n and max(sizes) < n / 2  # before, one task wrote all of it
+    assert rows(readers.read_mex(spark, f"{tmp_path}/m")) == sorted(cells)
