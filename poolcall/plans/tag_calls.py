@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from poolcall.functions import expr as X
 from poolcall.operators import counts as C, joins as J, tags as T
 from poolcall.plans.fixtures import VIEWS, acgt, add_view
 from poolcall.plans.registry import r, register, rq
@@ -219,7 +220,7 @@ add_view("fx_seq_reads", f"""
     SELECT read_id, barcode, concat(substr('ACG', 1, 3), CASE WHEN bad THEN concat(substr(t, 1, pos - 1), other, substr(t, pos + 1, 12)) ELSE t END, 'TT') AS seq FROM (
       SELECT l_orderkey * 8 + l_linenumber AS read_id, l_suppkey AS barcode, l_orderkey % 3 = 0 AS bad, l_linenumber + 1 AS pos,
              substr('ACGT', CAST(l_orderkey % 4 AS INT) + 1, 1) AS other, {acgt('(l_suppkey % 25) * 40503 + 977', 12)} AS t FROM lineitem) q""",
-         lambda fx: fx.spread_sql(VIEWS["fx_seq_reads"], "lineitem", "l_orderkey", "l_linenumber"))
+         lambda fx: X.pin(fx.spread_sql(VIEWS["fx_seq_reads"], "lineitem", "l_orderkey", "l_linenumber"), seq=F.col("seq")))
 
 
 @register("d5_match_tags", """
@@ -250,7 +251,7 @@ add_view("fx_raw_barcodes", f"""
     SELECT read_id, cell, CASE WHEN read_id % 4 = 0 THEN concat(substr(b, 1, pos - 1), other, substr(b, pos + 1, 16)) ELSE b END AS barcode FROM (
       SELECT l_orderkey * 8 + l_linenumber AS read_id, l_suppkey AS cell, CAST(l_orderkey % 16 AS INT) + 1 AS pos,
              substr('ACGT', CAST(l_partkey % 4 AS INT) + 1, 1) AS other, {acgt('l_suppkey * 77747 + 13', 16)} AS b FROM lineitem) q""",
-         lambda fx: fx.spread_sql(VIEWS["fx_raw_barcodes"], "lineitem", "l_orderkey", "l_linenumber"))
+         lambda fx: X.pin(fx.spread_sql(VIEWS["fx_raw_barcodes"], "lineitem", "l_orderkey", "l_linenumber"), barcode=F.col("barcode")))
 CORRECT = """
     SELECT d.barcode, coalesce(max(a.barcode) FILTER (WHERE a.barcode = d.barcode), CASE WHEN count(*) = 1 THEN max(a.barcode) END) AS corrected,
            CASE WHEN bool_or(a.barcode = d.barcode) THEN 0 ELSE 1 END AS mismatches

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from poolcall.plans.fixtures import acgt, add_view
+from poolcall.plans.fixtures import SPARK_FORMS, acgt, add_view
 from poolcall.plans.registry import r, register, rq
 from poolcall.session import fresh_path
 from poolcall.sources import readers as R, sinks
@@ -51,9 +51,12 @@ def a1s(fx):
 
 CIGARS = ["20M", "3S17M", "8M2I10M", "9M5D11M", "6M100N14M", "4H20M", "10M10S"]
 CIGAR = "CASE l_linenumber " + " ".join(f"WHEN {k + 1} THEN '{c}'" for k, c in enumerate(CIGARS)) + " END"
+_TAIL = acgt("(read_id * 48271 + 11) % 2147483647", 15)
+ALN_SEQ = _TAIL.replace("concat(", "concat('ACGTA', ", 1)
+SPARK_FORMS[ALN_SEQ] = f"concat('ACGTA', {SPARK_FORMS[_TAIL]})"
 add_view("fx_aln", f"""
     SELECT read_id, concat('r', CAST(read_id AS STRING)) AS name, flag, chrom, rstart + 1000 AS rstart, mapq, {CIGAR} AS cigar,
-           {acgt('(read_id * 48271 + 11) % 2147483647', 15).replace("concat(", "concat('ACGTA', ", 1)} AS seq, barcode, gene FROM fx_reads""")
+           {ALN_SEQ} AS seq, barcode, gene FROM fx_reads""")
 
 
 def _sam(fx) -> str:

@@ -615,3 +615,24 @@ def test_axes_of_a_matrix_are_written_and_read_in_parts(spark, tmp_path):
         sizes = [sum(1 for _ in open(p)) for p in sorted((tmp_path / "m" / axis).glob("part-*"))]
         assert sum(sizes) == n and max(sizes) < n / 2  # before, one task wrote all of it
     assert rows(readers.read_mex(spark, f"{tmp_path}/m")) == sorted(cells)
+
+
+def test_one_mismatch_may_be_any_letter(spark):
+    allow = spark.createDataFrame([("GGNG",), ("TTTTT",), ("",)], "barcode STRING")
+    reads = spark.createDataFrame([("GGGG",), ("TTTT",), ("NTTTT",), ("A",)], "barcode STRING")
+    assert rows(joins.match_allow_list(reads, allow).select("barcode", "corrected", "mismatches")) == [("GGGG", "GGNG", 1), ("NTTTT", "TTTTT", 1)]
+
+
+def test_base_texts_are_made_once_a_row(spark):
+    """A barcode of n bases is one change of base in Spark, and a filter on it does not make it again."""
+    from poolcall.plans import catalog
+    from poolcall.plans.fixtures import SPARK_FORMS, Fixtures, acgt
+    catalog.queries()
+    fx = Fixtures(spark, "/root/testdata/sf0.001")
+    for view, col in (("fx_raw_barcodes", "barcode"), ("fx_seq_reads", "seq")):
+        d = fx.view(view).filter(f"{col} IS NOT NULL")
+        assert d._jdf.queryExecution().executedPlan().toString().count("conv(") == 1
+    keys = [0, 1, 3, 4, 977, 4**16 - 1, 4**16 + 5]
+    got = fx.spark.createDataFrame([(k,) for k in keys], "k BIGINT").selectExpr(SPARK_FORMS[acgt("k", 16)]).collect()
+    assert [x[0] for x in got] == ["".join("ACGT"[k // 4**i % 4] for i in range(15, -1, -1)) for k in keys]
+
