@@ -636,3 +636,39 @@ def test_base_texts_are_made_once_a_row(spark):
     got = fx.spark.createDataFrame([(k,) for k in keys], "k BIGINT").selectExpr(SPARK_FORMS[acgt("k", 16)]).collect()
     assert [x[0] for x in got] == ["".join("ACGT"[k // 4**i % 4] for i in range(15, -1, -1)) for k in keys]
 
+
+
+def plain_allocation(ids, tol):
+    """Passes over one site's identities, written plainly."""
+    f = {m: 0.5 for i, j, _, _ in ids for m in (i, j)}
+    while True:
+        a, n = dict.fromkeys(f, 0.0), dict.fromkeys(f, 0.0)
+        for i, j, ref, alt in ids:
+            p, q = f[i], f[j]
+            ka, kr = (1.0, 1.0) if i == j else (p / (p + q) if p + q > 0 else 0.5, (1 - p) / (2 - p - q) if p + q < 2 else 0.5)
+            for m, x, y in ((i, ka, kr), (j, 1 - ka, 1 - kr)):
+                a[m], n[m] = a[m] + alt * x, n[m] + alt * x + ref * y
+        new = {m: round(a[m] / n[m], 9) if n[m] > 0 else 0.5 for m in f}
+        if max(abs(new[m] - f[m]) for m in f) < tol:
+            return new
+        f = new
+
+
+def test_sites_of_a_batch_settle_each_by_itself(spark, monkeypatch):
+    rng = random.Random(8)
+    pairs = [(0, 0), (1, 1), (2, 2), (0, 1), (1, 2), (0, 2), (3, 4)]
+    given = {s: [(i, j, float(rng.randrange(30)), float(rng.randrange(30) * rng.randrange(2))) for i, j in rng.sample(pairs, rng.randrange(1, 8))] for s in range(200)}
+    given[7] = [(0, 0, 0.0, 0.0), (1, 2, 0.0, 5.0)]
+    rows_ = [(i, j, s, int(r * 1e6), int(a * 1e6)) for s, ids in given.items() for i, j, r, a in ids]
+    df = spark.createDataFrame(rows_, "i INT, j INT, site_id INT, ref_w BIGINT, alt_w BIGINT")
+    for size in (500_000, 10):
+        monkeypatch.setattr(sites, "IDS_A_STEP", size)
+        got = {}
+        for x in sites.member_allocation(df).collect():
+            got.setdefault(x.site_id, {})[x.sample] = x.rate
+        for s, ids in given.items():
+            want = plain_allocation(ids, 1e-6)
+            assert set(got[s]) == set(want) and all(abs(got[s][m] - want[m]) < 1e-6 for m in want)
+    assert "transform(" not in sites.settled_sites(df)._jdf.queryExecution().executedPlan().toString()  # no pass is a column fold
+    with pytest.raises(Exception, match="did not settle in 3 passes"):
+        sites.settled_sites(df, limit=3).collect()
