@@ -672,3 +672,14 @@ def test_sites_of_a_batch_settle_each_by_itself(spark, monkeypatch):
     assert "transform(" not in sites.settled_sites(df)._jdf.queryExecution().executedPlan().toString()  # no pass is a column fold
     with pytest.raises(Exception, match="did not settle in 3 passes"):
         sites.settled_sites(df, limit=3).collect()
+
+
+def test_sketched_counts_of_small_and_large_groups(spark):
+    d = spark.range(60_000).selectExpr("IF(id < 50000, 0, id % 500 + 1) AS barcode", "'t' AS tag", "CAST(id % 40000 AS STRING) AS umi")
+    d = d.unionByName(spark.createDataFrame([(900, "t", None), (901, "t", ""), (901, "t", "a")], "barcode BIGINT, tag STRING, umi STRING"))
+    from poolcall.operators.counts import umi_counts_approx
+    g = umi_counts_approx(d)
+    got = {x.barcode: x.cnt for x in g.collect()}
+    assert abs(got[0] - 40_000) < 0.06 * 40_000 and all(got[k] == 20 for k in range(1, 501)) and got[900] == 0 and got[901] == 2
+    plan = g._jdf.queryExecution().executedPlan().toString()
+    assert "ObjectHashAggregate" in plan and "approx_count_distinct" not in plan  # no buffer of all registers for a group of few
