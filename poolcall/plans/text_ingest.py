@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from poolcall.functions.expr import pin
 from poolcall.plans.fixtures import SPARK_FORMS, acgt, add_view
 from poolcall.plans.registry import r, register, rq
 from poolcall.session import fresh_path
@@ -87,8 +88,7 @@ BLOCKS = [("20M", 0, 0, 20), ("3S17M", 0, 3, 17), ("8M2I10M", 0, 0, 8), ("8M2I10
       SELECT chrom, rstart + b.r + i AS pos, substr(seq, CAST(b.q + i + 1 AS BIGINT), 1) AS base FROM fx_aln JOIN (VALUES {", ".join(map(str, BLOCKS))}) b(c, r, q, n) ON b.c = cigar,
       LATERAL (SELECT unnest(range(0, b.n)) AS i) z) q GROUP BY chrom, pos, base""")
 def a3(fx):
-    b = R.aligned_bases(fx.fx_aln.withColumn("key", F.struct("chrom", "name")), "key")
-    return b.groupBy("key.chrom", "pos", "base").agg(F.count(F.lit(1)).alias("n"))
+    return R.base_counts(fx.fx_aln)
 
 
 READS_PER_CHUNK = 50_000
@@ -100,16 +100,17 @@ READS_PER_CHUNK = 50_000
 def a4(fx):
     """Three mates written to three or more chunk files each, in one order, read back and paired by chunk and record."""
     chunks = max(3, fx.lineitem.count() // READS_PER_CHUNK)
-    base = fx.fx_aln.select(F.pmod(F.col("read_id"), F.lit(chunks)).alias("chunk"), "name", "seq")
+    order = fx.fx_reads.select("read_id", F.pmod(F.col("read_id"), F.lit(chunks)).alias("chunk"))
+    order = order.repartition("chunk").sortWithinPartitions("chunk", "read_id")  # numbers alone are moved; texts are made in place
 
     def written(mate, seq, q):
+        rows = pin(order.withColumn("name", F.expr("concat('r', read_id)")), seq=F.expr(SPARK_FORMS[ALN_SEQ]))
         record = F.concat(F.lit("@"), "name", F.lit(f"/{mate}\n"), seq, F.lit("\n+\n"), F.repeat(F.lit(q), F.length(seq)))
         path = fresh_path(fx.spark, f"fq{mate}")
-        rows = base.select("chunk", "name", record.alias("value")).repartition("chunk").sortWithinPartitions("chunk", "name")
-        rows.select("chunk", "value").write.partitionBy("chunk").text(path)
-        return R.read_fastq(fx.spark, path, f"R{mate}")
+        rows.select("chunk", record.alias("value")).write.partitionBy("chunk").text(path, compression="gzip")
+        return path
 
-    return R.pair_mates(written(1, F.col("seq"), "F"), written(2, F.reverse("seq"), "#"), written(3, F.substring("seq", 1, 8), ":"))
+    return R.read_mates(fx.spark, written(1, F.col("seq"), "F"), written(2, F.reverse("seq"), "#"), written(3, F.substring("seq", 1, 8), ":"))
 
 
 # --- matrices ----------------------------------------------------------------------------------------

@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
 
+from poolcall.scaling import hot_keys
+
 
 def read_pair_counts(spark: SparkSession, path: str, allowed: DataFrame | None = None) -> DataFrame:
     """Stored pair-class counts, optionally only of allowed members (rows of totals keep j = -1)."""
@@ -34,12 +38,21 @@ def text_lines(spark: SparkSession, path: str, one_list: bool = False) -> DataFr
 
     A task numbers the lines of each split it reads; the table of lines per split (small) gives the number
     of lines before it in the file. Nothing is sorted and files are read in parallel splits."""
-    d = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("b_"),
-                                     F.monotonically_increasing_id().alias("m_"))
-    per = d.groupBy("file", "b_").agg(F.count(F.lit(1)).alias("n_"), F.min("m_").alias("f_"))
+    off = split_starts(spark, path, one_list)
+    return split_lines(spark, path).join(off, ["file", "b_"]).select("file", (F.col("m_") - F.col("f_") + F.col("o_") + 1).alias("idx"), "value")
+
+
+def split_lines(spark: SparkSession, path: str) -> DataFrame:
+    """(value, file, b_, m_): lines with the start of their split and a number that rises within it."""
+    return spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("b_"),
+                                        F.monotonically_increasing_id().alias("m_"))
+
+
+def split_starts(spark: SparkSession, path: str, one_list: bool = False) -> DataFrame:
+    """(file, b_, f_, o_): first number of each split and the lines before it, of its file or, with ``one_list``, of the folder."""
+    per = split_lines(spark, path).groupBy("file", "b_").agg(F.count(F.lit(1)).alias("n_"), F.min("m_").alias("f_"))
     before = (W.orderBy("file", "b_") if one_list else W.partitionBy("file").orderBy("b_")).rowsBetween(W.unboundedPreceding, -1)  # one row per split
-    off = per.select("file", "b_", "f_", F.coalesce(F.sum("n_").over(before), F.lit(0)).alias("o_"))
-    return d.join(off, ["file", "b_"]).select("file", (F.col("m_") - F.col("f_") + F.col("o_") + 1).alias("idx"), "value")
+    return per.select("file", "b_", "f_", F.coalesce(F.sum("n_").over(before), F.lit(0)).alias("o_"))
 
 
 def paired_lists(spark: SparkSession, path_a: str, path_b: str) -> DataFrame:
@@ -147,14 +160,69 @@ def aligned_bases(alignments: DataFrame, key: str = "name") -> DataFrame:
     return d.select(key, F.explode(rows).alias("x")).select(key, "x.pos", "x.base")
 
 
+BASE_BIN = 4096  # positions whose bases are counted together
+
+
+def base_counts(alignments: DataFrame, bin_size: int = BASE_BIN) -> DataFrame:
+    """(chrom, pos, base, n): reads that place a base on a position.
+
+    Runs of placed bases are moved as texts to the bin they lie in, cut at its bounds, and fall apart only there. Bins in which a
+    large share of the reads starts are counted before they are moved instead: they have many reads a position."""
+    def start(c):
+        return F.floor(F.col(c) / bin_size)
+
+    hot = [(x.chrom, x.bin_) for x in hot_keys(alignments.select("chrom", start("rstart").alias("bin_")), ["chrom", "bin_"])]
+    d = placed_blocks(alignments).select("chrom", "seq", F.explode("blocks").alias("b")).select("chrom", "seq", "b.*").filter("n > 0")
+    d = d.withColumn("bin_", F.explode(F.sequence(start("r"), F.floor((F.col("r") + F.col("n") - 1) / bin_size))))
+    lo = F.greatest(F.col("r"), F.col("bin_") * bin_size)
+    size = (F.least(F.col("r") + F.col("n"), (F.col("bin_") + 1) * bin_size) - lo).cast("int")
+    runs = d.select("chrom", "bin_", (lo - F.col("bin_") * bin_size).cast("int").alias("at"), size.alias("size"),
+                    F.substring("seq", (F.col("q") + lo - F.col("r") + 1).cast("int"), size).alias("text"))
+
+    def counted(runs):
+        base = F.substring("text", F.col("i") + 1, F.lit(1))  # none where the text is shorter than its alignment
+        one = runs.select("chrom", "bin_", "at", "text", F.explode(F.sequence(F.lit(0), F.col("size") - 1)).alias("i"))
+        one = one.select("chrom", "bin_", (F.col("at") + F.col("i")).alias("at"), F.when(base != "", base).alias("base"))
+        return one.groupBy("chrom", "bin_", "at", "base").agg(F.count(F.lit(1)).alias("n"))
+
+    if hot:
+        is_hot = reduce(lambda a, b: a | b, [F.col("chrom").eqNullSafe(F.lit(c)) & F.col("bin_").eqNullSafe(F.lit(k)) for c, k in hot])
+        out = counted(runs.filter(is_hot)).unionByName(counted(runs.filter(~is_hot).repartition("chrom", "bin_")))
+    else:
+        out = counted(runs.repartition("chrom", "bin_"))
+    return out.select("chrom", (F.col("bin_") * bin_size + F.col("at")).alias("pos"), "base", "n")
+
+
+HEAD = "^@(\\S+?)(?:/[123])?(?:\\s|$)"  # read name in the first line of a record
+
+
 def read_fastq(spark: SparkSession, path: str, mate: str) -> DataFrame:
     """Four-line records of every file under ``path``: (chunk, record, mate, read_id, seq, qual); ``chunk`` is the file's path under ``path``."""
     d = text_lines(spark, path).withColumn("record", F.floor((F.col("idx") - 1) / 4)).withColumn("k", (F.col("idx") - 1) % 4)
-    name = F.regexp_extract("head", "^@(\\S+?)(?:/[123])?(?:\\s|$)", 1)
+    name = F.regexp_extract("head", HEAD, 1)
     g = d.groupBy("file", "record").agg(*[F.max(F.when(F.col("k") == k, F.col("value"))).alias(c) for k, c in ((0, "head"), (1, "seq"), (3, "qual"))])
     return g.select(F.substring_index("file", f"{path.rstrip('/')}/", -1).alias("chunk"), "record", F.lit(mate).alias("mate"), name.alias("read_id"), "seq", "qual")
 
 
+def _numbered_pairs(spark: SparkSession, chunks: DataFrame, k: int, files: list[tuple[str, ...]] | None) -> DataFrame:
+    """``chunks(chunk, ...)`` of mate ``k`` with ``pair``, the number of the chunk; one that is not listed is an error."""
+    if files is None:
+        pairs = chunks.select("chunk").distinct().withColumn("pair", F.row_number().over(W.orderBy("chunk")))  # one row per file
+    else:
+        pairs = spark.createDataFrame([(f[k - 1], n) for n, f in enumerate(files, 1)], "chunk string, pair int")
+    d = chunks.join(F.broadcast(pairs), "chunk", "left")  # one row per file, which the driver has listed
+    return d.withColumn("pair", F.coalesce("pair", F.raise_error(F.concat(F.lit("no mates are listed for "), "chunk")).cast("int")))
+
+
+def _same_names(joined: DataFrame, n: int) -> DataFrame:
+    same = F.lit(True)
+    for k in range(2, n + 1):
+        same = same & F.col("read_id1").eqNullSafe(F.col(f"read_id{k}"))
+    where = F.concat(F.lit("mates out of order at record "), "record", F.lit(" of chunk "), "pair")
+    rid = F.when(same, F.col("read_id1")).otherwise(F.raise_error(where))
+    return joined.select(rid.alias("read_id"), *[f"{c}{k}" for k in range(1, n + 1) for c in ("seq", "qual")])
+
+
 def pair_mates(*mates: DataFrame, files: list[tuple[str, ...]] | None = None) -> DataFrame:
     """Record n of a chunk with record n of its mates' chunks: (read_id, seq1, qual1, seq2, qual2, ...), two mates or more.
 
@@ -162,20 +230,25 @@ def pair_mates(*mates: DataFrame, files: list[tuple[str, ...]] | None = None) ->
     Different read names, a missing record, a chunk without its mates and a chunk that is not listed are errors."""
     joined = None
     for k, m in enumerate(mates, 1):
-        if files is None:
-            pairs = m.select("chunk").distinct().withColumn("pair", F.row_number().over(W.orderBy("chunk")))  # one row per file
-        else:
-            pairs = m.sparkSession.createDataFrame([(f[k - 1], n) for n, f in enumerate(files, 1)], "chunk string, pair int")
-        d = m.join(F.broadcast(pairs), "chunk", "left")  # one row per file, which the driver has listed
-        pair = F.coalesce("pair", F.raise_error(F.concat(F.lit("no mates are listed for "), "chunk")).cast("int"))
-        d = d.select(pair.alias("pair"), "record", *[F.col(c).alias(f"{c}{k}") for c in ("read_id", "seq", "qual")])
+        d = _numbered_pairs(m.sparkSession, m, k, files).select("pair", "record", *[F.col(c).alias(f"{c}{k}") for c in ("read_id", "seq", "qual")])
         joined = d if joined is None else joined.join(d, ["pair", "record"], "full")
-    same = F.lit(True)
-    for k in range(2, len(mates) + 1):
-        same = same & F.col("read_id1").eqNullSafe(F.col(f"read_id{k}"))
-    where = F.concat(F.lit("mates out of order at record "), "record", F.lit(" of chunk "), "pair")
-    rid = F.when(same, F.col("read_id1")).otherwise(F.raise_error(where))
-    return joined.select(rid.alias("read_id"), *[f"{c}{k}" for k in range(1, len(mates) + 1) for c in ("seq", "qual")])
+    return _same_names(joined, len(mates))
+
+
+def read_mates(spark: SparkSession, *paths: str, files: list[tuple[str, ...]] | None = None) -> DataFrame:
+    """:func:`pair_mates` of the files under each of ``paths``, in one grouping of all mates' lines by (pair, record): the lines
+    of a record are put together where they are read, and each record is moved once."""
+    lines = []
+    for k, path in enumerate(paths, 1):
+        at = split_starts(spark, path).withColumn("chunk", F.substring_index("file", f"{path.rstrip('/')}/", -1))
+        at = _numbered_pairs(spark, at, k, files).select("file", "b_", "f_", "o_", "pair")
+        row = F.col("m_") - F.col("f_") + F.col("o_")
+        lines.append(split_lines(spark, path).join(F.broadcast(at), ["file", "b_"]).filter(row % 4 != 2).select(
+            "pair", F.floor(row / 4).alias("record"), (k * 4 + row % 4).cast("int").alias("k_"), "value"))
+    name = F.regexp_extract("value", HEAD, 1)
+    d = reduce(DataFrame.unionByName, lines).select("pair", "record", "k_", F.when(F.col("k_") % 4 == 0, name).otherwise(F.col("value")).alias("value"))
+    parts = [F.max(F.when(F.col("k_") == 4 * k + line, F.col("value"))).alias(f"{c}{k}") for k in range(1, len(paths) + 1) for line, c in ((0, "read_id"), (1, "seq"), (3, "qual"))]
+    return _same_names(d.groupBy("pair", "record").agg(*parts), len(paths))
 
 
 # --- small text tables --------------------------------------------------------------------------------

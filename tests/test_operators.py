@@ -683,3 +683,39 @@ def test_sketched_counts_of_small_and_large_groups(spark):
     assert abs(got[0] - 40_000) < 0.06 * 40_000 and all(got[k] == 20 for k in range(1, 501)) and got[900] == 0 and got[901] == 2
     plan = g._jdf.queryExecution().executedPlan().toString()
     assert "ObjectHashAggregate" in plan and "approx_count_distinct" not in plan  # no buffer of all registers for a group of few
+
+
+def test_base_counts_are_those_of_the_bases(spark, monkeypatch):
+    from poolcall.sources import readers as R
+    rng = random.Random(9)
+    cigars = ["20M", "3S17M", "8M2I10M", "9M5D11M", "6M100N14M", "10M10S"]
+    rows_ = [(f"r{k}", rng.choice("ab"), rng.randrange(-40, 200), rng.choice(cigars), "".join(rng.choice("ACGT") for _ in range(20 if k % 9 else 6))) for k in range(300)]
+    d = spark.createDataFrame(rows_, "name STRING, chrom STRING, rstart BIGINT, cigar STRING, seq STRING")
+    b = R.aligned_bases(d.withColumn("key", F.struct("chrom", "name")), "key")
+    want = sorted(map(repr, b.groupBy("key.chrom", "pos", "base").count().collect()))
+    got = R.base_counts(d, 16).withColumnRenamed("n", "count")
+    assert sorted(map(repr, got.collect())) == want
+    monkeypatch.setattr(R, "hot_keys", lambda df, keys: df.distinct().orderBy(*keys).limit(3).collect())
+    assert sorted(map(repr, R.base_counts(d, 16).withColumnRenamed("n", "count").collect())) == want
+
+
+def test_mates_are_moved_once(spark, tmp_path):
+    from poolcall.sources import readers as R
+
+    def put(mate, order):
+        for c in range(2):
+            text = "".join(f"@{n}/{mate} x\n{n}AC\n+\n@{mate}F\n" for n in order[c])
+            (tmp_path / f"m{mate}").mkdir(exist_ok=True)
+            (tmp_path / f"m{mate}" / f"c{c}.txt").write_text(text)
+        return str(tmp_path / f"m{mate}")
+
+    names = [["p", "q", "r"], ["s", "t"]]
+    one, two, bad = put(1, names), put(2, names), put(3, [["p", "q", "r"], ["s", "u"]])
+    got = R.read_mates(spark, one, two)
+    assert got._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning(pair") == 1
+    assert rows(got) == rows(R.pair_mates(R.read_fastq(spark, one, "R1"), R.read_fastq(spark, two, "R2"))) and got.count() == 5
+    assert R.read_mates(spark, one, two, files=[("c0.txt", "c0.txt"), ("c1.txt", "c1.txt")]).count() == 5
+    with pytest.raises(Exception, match="no mates are listed"):
+        R.read_mates(spark, one, two, files=[("c0.txt", "c0.txt")]).collect()
+    with pytest.raises(Exception, match="mates out of order"):
+        R.read_mates(spark, one, bad).collect()
