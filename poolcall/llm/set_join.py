@@ -12,7 +12,7 @@ import zstandard
 from pyspark.sql import DataFrame, functions as F
 
 from poolcall.llm.common import arrow_schema, map_texts, mixed, partitions_of, record_batch, slices, window_hashes, word_hashes
-from poolcall.llm.components import components
+from poolcall.llm.components import components, in_few
 from poolcall.session import cut
 
 NUM, DEN = 4, 5  # similarity as a fraction: shared / all >= NUM / DEN
@@ -258,7 +258,7 @@ def list_links(sets: DataFrame) -> DataFrame | None:
     A set is filed in the list of each element of its prefix in that order: elements found nowhere else come first, so
     ``p`` and ``q`` of them are used up before a list is made. Linked sets meet in a list, the larger with its first
     n - ceil(0.8 n) + 1 elements and the smaller with its first n - ceil(8 n / 9) + 1. Each round compares one member
-    of each list, another each time, with those not yet connected with it. When a round finds little, the lists that are
+    of each list, another each time, with those not yet connected with it, and goes on from the stars of what is connected. When a round finds little, the lists that are
     still open (three members or more) are scanned in cells of bounded size, in which all members are compared without
     any list of pairs."""
     n, alone = F.col("n"), F.col("n") - F.size("shared")
@@ -267,20 +267,22 @@ def list_links(sets: DataFrame) -> DataFrame | None:
     packed = cut(ranked.select("node", "n", "p", "q", "shared").mapInArrow(_pack_sets, "node long, n long, prefix array<long>, q long, packed binary"))
     filed = packed.select("node", "n", "q", F.posexplode("prefix").alias("at", "key")).select("key", "node", "n", (F.col("at") < F.col("q")).alias("filed"))
     lists = filed.join(filed.groupBy("key").agg(F.count(F.lit(1)).alias("k"), F.max("filed").alias("any")).filter("k > 1 AND any").select("key"), "key", "left_semi")
-    at, links, roots, turn = cut(lists.withColumn("label", F.col("node"))), None, None, 0
+    at, links, turn = cut(lists.withColumn("label", F.col("node"))), None, 0
+    rows = at.count()
     fits = lambda a, b: ((NUM * F.greatest(f"{a}n", f"{b}n") <= DEN * F.least(f"{a}n", f"{b}n"))
                          & F.when(F.col(f"{a}n") >= F.col(f"{b}n"), F.col(f"{b}filed")).otherwise(F.col(f"{a}filed")))
     while True:
         turned = F.struct(F.xxhash64("node", F.lit(turn)).alias("h"), "node", "n", "filed", "label")
         chosen = at.groupBy("key").agg(F.min(turned).alias("c"), F.min("label").alias("low"), F.max("label").alias("high")).filter("low <> high")
-        chosen = chosen.select("key", F.col("c.node").alias("x"), F.col("c.n").alias("x_n"), F.col("c.filed").alias("x_filed"), F.col("c.label").alias("x_label"))
+        chosen = in_few(chosen, rows).select("key", F.col("c.node").alias("x"), F.col("c.n").alias("x_n"), F.col("c.filed").alias("x_filed"), F.col("c.label").alias("x_label"))
         met = at.select("key", F.col("node").alias("y"), F.col("n").alias("y_n"), F.col("filed").alias("y_filed"), "label").join(chosen, "key")
-        pairs = cut(met.filter(F.expr("label <> x_label") & fits("x_", "y_")).select("x", "y").distinct())
+        pairs = cut(in_few(met.filter(F.expr("label <> x_label") & fits("x_", "y_")).select("x", "y").distinct(), rows))
         found = cut(_linked(pairs, packed))
         new, tried = found.count(), pairs.count()
         if new:
-            links = found if links is None else links.unionAll(found)
-            roots, turn = cut(components(links)), turn + 1
+            linked = found if links is None else links.unionAll(found)
+            roots, turn = cut(components(linked, linked.count())), turn + 1
+            links = roots.select(F.col("node").alias("a"), F.col("root").alias("b"))
             at = cut(lists.join(roots, "node", "left").select("key", "node", "n", "filed", F.coalesce("root", "node").alias("label")))
         if new < ENOUGH * tried or not new:
             break
@@ -334,7 +336,8 @@ def shingle_classes(docs: DataFrame, shingle: int = 5) -> tuple[DataFrame, DataF
               .groupBy("bucket").applyInArrow(_shared_elements, "node long, df long, h long")
               .groupBy("node").agg(F.array_sort(F.collect_list(F.struct("df", "h"))).alias("shared")))
     found = list_links(cut(shared.join(sets.select("node", "n"), "node").filter(NUM * F.col("n") <= DEN * F.size("shared"))))
-    roots = components(links if found is None else links.unionAll(found))
+    links = links if found is None else links.unionAll(found)
+    roots = components(links, links.count())
     return rows.select("doc_id", "key", "n", "row"), nodes.join(roots, "node", "left").select("key", F.coalesce("root", "node").alias("root"))
 
 

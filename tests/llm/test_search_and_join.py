@@ -14,6 +14,7 @@ from poolcall.llm import infilling, ranking, set_join
 from poolcall.llm.infilling import SkipList, fill_in_middle, restore, transform
 from poolcall.llm.ranking import rank_documents, terms_of
 from poolcall.llm.set_join import boundary, jaccard_components, least_shared, scan_lists, subset_count
+from poolcall.session import cut
 
 DDL = "doc_id bigint, text string, lang string, n string, row string, key int, node int, score int"
 
@@ -222,3 +223,24 @@ def test_least_shared_and_scans():
         old, new = root[i], root[j]
         root = {k: new if r == old else r for k, r in root.items()}
     assert all(root[i] == root[j] for i, j in near) and near
+
+
+def test_rounds_over_few_links_take_few_tasks(spark):
+    """A chain and a star, with many shuffle partitions that are not merged: the roots are right, and the tasks follow the links."""
+    from poolcall.llm.components import components
+    sc, own = spark.sparkContext, {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")}
+    links = cut(spark.createDataFrame([(k, k + 1) for k in range(40)] + [(100, 101 + k) for k in range(40)], "a long, b long"))
+    try:
+        for k, v in zip(own, ("64", "false")):
+            spark.conf.set(k, v)
+        sc.setJobGroup("few", "few")
+        got = {(r["node"], r["root"]) for r in components(links, links.count()).collect()}
+        seen = sc.statusTracker()
+        jobs = [seen.getJobInfo(j) for j in seen.getJobIdsForGroup("few")]
+        ran = [info.numCompletedTasks for j in jobs for s in j.stageIds if (info := seen.getStageInfo(s))]
+    finally:
+        sc.setLocalProperty("spark.jobGroup.id", None)
+        for k, v in own.items():
+            spark.conf.set(k, v)
+    assert got == {(k, 0) for k in range(41)} | {(k, 100) for k in range(100, 141)}
+    assert ran and max(ran) < 64
