@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from poolcall.llm.common import arrow_schema, map_texts, mixed, partitions_of, record_batch, slices, window_hashes, word_hashes
 from poolcall.llm.components import components, in_few
+from poolcall.llm.simhash import fingerprint, near_links, signed
 from poolcall.session import cut
 
 NUM, DEN = 4, 5  # similarity as a fraction: shared / all >= NUM / DEN
@@ -74,12 +75,13 @@ def lead(n: int) -> int:
 LEAST_MET = f"({NUM} * n + {DEN - 1}) div {DEN} div 10 + 1"  # in SQL; leading elements that a set with a linked one finds elsewhere
 
 
-def _read(shingle: int):
+def _read(shingle: int, prints: bool = False):
     def one(text):
         words = content(text)
         found = shingle_set(text, shingle)
         n = len(found)
-        return (xxhash.xxh3_128_digest(b" ".join(words)), n, found[:lead(n)].tobytes(), found.view(np.int64).tolist() if n <= SMALL else None)
+        return (xxhash.xxh3_128_digest(b" ".join(words)), n, found[:lead(n)].tobytes(), found.view(np.int64).tolist() if n <= SMALL else None,
+                *([signed(fingerprint(text, shingle))] if prints else []))
 
     return one
 
@@ -251,9 +253,18 @@ def _linked(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return both.select("x", "y", "x_set", "y_set", F.expr("x_n + y_n").alias("total")).mapInArrow(run, "a long, b long")
 
 
-def list_links(sets: DataFrame) -> DataFrame | None:
+def print_pairs(nodes: DataFrame) -> DataFrame:
+    """Of ``nodes(node, fp)`` the pairs (x, y) by which fingerprints link them: nodes of one fingerprint with the first of
+    them, and the first ones of fingerprints that differ in three bits or fewer, found by pigeonhole blocks."""
+    first = cut(nodes.groupBy("fp").agg(F.min("node").alias("first")))
+    same = nodes.join(first, "fp").filter("node <> first").select(F.col("first").alias("x"), F.col("node").alias("y"))
+    of = lambda c, name: first.select(F.col("fp").alias(c), F.col("first").alias(name))
+    return same.unionAll(near_links(first.select("fp")).join(of("a", "x"), "a").join(of("b", "y"), "b").select("x", "y"))
+
+
+def list_links(sets: DataFrame, given: DataFrame | None = None) -> DataFrame | None:
     """Links among ``sets(node, n, shared)`` that connect what all links connect; ``shared`` holds the elements (df, h)
-    found in several sets, rarest first.
+    found in several sets, rarest first. A written table of ``given`` pairs (x, y) is checked before any list is looked at.
 
     A set is filed in the list of each element of its prefix in that order: elements found nowhere else come first, so
     ``p`` and ``q`` of them are used up before a list is made. Linked sets meet in a list, the larger with its first
@@ -272,11 +283,13 @@ def list_links(sets: DataFrame) -> DataFrame | None:
     fits = lambda a, b: ((NUM * F.greatest(f"{a}n", f"{b}n") <= DEN * F.least(f"{a}n", f"{b}n"))
                          & F.when(F.col(f"{a}n") >= F.col(f"{b}n"), F.col(f"{b}filed")).otherwise(F.col(f"{a}filed")))
     while True:
-        turned = F.struct(F.xxhash64("node", F.lit(turn)).alias("h"), "node", "n", "filed", "label")
-        chosen = at.groupBy("key").agg(F.min(turned).alias("c"), F.min("label").alias("low"), F.max("label").alias("high")).filter("low <> high")
-        chosen = in_few(chosen, rows).select("key", F.col("c.node").alias("x"), F.col("c.n").alias("x_n"), F.col("c.filed").alias("x_filed"), F.col("c.label").alias("x_label"))
-        met = at.select("key", F.col("node").alias("y"), F.col("n").alias("y_n"), F.col("filed").alias("y_filed"), "label").join(chosen, "key")
-        pairs = cut(in_few(met.filter(F.expr("label <> x_label") & fits("x_", "y_")).select("x", "y").distinct(), rows))
+        pairs = given
+        if pairs is None:
+            turned = F.struct(F.xxhash64("node", F.lit(turn)).alias("h"), "node", "n", "filed", "label")
+            chosen = at.groupBy("key").agg(F.min(turned).alias("c"), F.min("label").alias("low"), F.max("label").alias("high")).filter("low <> high")
+            chosen = in_few(chosen, rows).select("key", F.col("c.node").alias("x"), F.col("c.n").alias("x_n"), F.col("c.filed").alias("x_filed"), F.col("c.label").alias("x_label"))
+            met = at.select("key", F.col("node").alias("y"), F.col("n").alias("y_n"), F.col("filed").alias("y_filed"), "label").join(chosen, "key")
+            pairs = cut(in_few(met.filter(F.expr("label <> x_label") & fits("x_", "y_")).select("x", "y").distinct(), rows))
         found = cut(_linked(pairs, packed))
         new, tried = found.count(), pairs.count()
         if new:
@@ -284,8 +297,9 @@ def list_links(sets: DataFrame) -> DataFrame | None:
             roots, turn = cut(components(linked, linked.count())), turn + 1
             links = roots.select(F.col("node").alias("a"), F.col("root").alias("b"))
             at = cut(lists.join(roots, "node", "left").select("key", "node", "n", "filed", F.coalesce("root", "node").alias("label")))
-        if new < ENOUGH * tried or not new:
+        if given is None and (new < ENOUGH * tried or not new):
             break
+        given = None
     found = cut(_cells(at, packed))
     return links if found.isEmpty() else found if links is None else links.unionAll(found)
 
@@ -318,12 +332,17 @@ def _cells(at: DataFrame, packed: DataFrame) -> DataFrame:
     return member.join(packed.select("node", "n", "packed"), "node").groupBy("key", "cell").applyInArrow(_cell_links, "a long, b long")
 
 
-def shingle_classes(docs: DataFrame, shingle: int = 5) -> tuple[DataFrame, DataFrame]:
+def shingle_classes(docs: DataFrame, shingle: int = 5, prints: bool = False) -> tuple[DataFrame, DataFrame]:
     """``docs(doc_id, text)`` to ``rows(doc_id, key, n, row)`` and ``classes(key, root)``: texts of the same words share a
-    key, and keys have the same root if links lead from one to the other. A text without words has a key but no root."""
+    key, and keys have the same root if links lead from one to the other. A text without words has a key but no root.
+
+    With ``prints`` the lists start from the pairs that fingerprints of the texts link, as far as those are linked by
+    their sets; the classes are the same."""
     buckets = BUCKETS_PER_PARTITION * partitions_of(docs.sparkSession)
-    rows = cut(map_texts(docs, _read(shingle), "key binary, n bigint, lead binary, small array<bigint>", "doc_id").withColumn("row", F.monotonically_increasing_id()))
-    nodes = cut(rows.filter("n > 0").groupBy("key").agg(F.min("row").alias("node"), F.first("n").alias("n"), F.first("small").alias("small")))
+    ddl = "key binary, n bigint, lead binary, small array<bigint>" + ", fp bigint" * prints
+    rows = cut(map_texts(docs, _read(shingle, prints), ddl, "doc_id").withColumn("row", F.monotonically_increasing_id()))
+    nodes = cut(rows.filter("n > 0").groupBy("key").agg(F.min("row").alias("node"), F.first("n").alias("n"), F.first("small").alias("small"), *[F.first("fp").alias("fp")] * prints))
+    given = cut(print_pairs(nodes.select("node", "fp"))) if prints else None
     x = boundary({r["n"]: r["count"] for r in nodes.filter(F.col("n") <= DEN * SMALL // NUM + 1).groupBy("n").count().collect()})
     links = cut(small_links(nodes, x))
     listed = F.col("n") >= _ceil(x + 1, NUM, DEN)
@@ -335,7 +354,7 @@ def shingle_classes(docs: DataFrame, shingle: int = 5) -> tuple[DataFrame, DataF
     shared = (sets.select("node", "packed").mapInArrow(_element_entries(buckets, shingle), "bucket int, hashes binary, nodes binary")
               .groupBy("bucket").applyInArrow(_shared_elements, "node long, df long, h long")
               .groupBy("node").agg(F.array_sort(F.collect_list(F.struct("df", "h"))).alias("shared")))
-    found = list_links(cut(shared.join(sets.select("node", "n"), "node").filter(NUM * F.col("n") <= DEN * F.size("shared"))))
+    found = list_links(cut(shared.join(sets.select("node", "n"), "node").filter(NUM * F.col("n") <= DEN * F.size("shared"))), given)
     links = links if found is None else links.unionAll(found)
     roots = components(links, links.count())
     return rows.select("doc_id", "key", "n", "row"), nodes.join(roots, "node", "left").select("key", F.coalesce("root", "node").alias("root"))

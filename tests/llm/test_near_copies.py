@@ -79,3 +79,19 @@ def test_passages_go_from_rows_without_id_or_of_the_same_id(spark):
     assert [r["doc_id"] for r in got if len(r["text"].split()) == 101] == [5]
     nothing = spark.createDataFrame([], DDL)
     assert all(stage(spark, nothing, "/root/testdata/sf0.001").count() == 0 for _, stage in corpus_pipeline.STAGES)
+
+
+def test_fingerprints_name_pairs_and_sets_settle_them(spark, monkeypatch):
+    """Near copies pass through fingerprints and blocks; of the pairs named, only those at least 0.8 alike are linked."""
+    from poolcall.llm import set_join
+    rng = random.Random(5)
+    bases = [[f"w{rng.randrange(20_000)}" for _ in range(300)] for _ in range(20)]
+    texts = [" ".join(w) for base in bases for w in (base, edited(rng, base, 1), edited(rng, base, 12))]
+    checked, linked = [], set_join._linked
+    monkeypatch.setattr(set_join, "_linked", lambda pairs, sets: checked.append({(r["x"], r["y"]) for r in pairs.collect()}) or linked(pairs, sets))
+    named, pairs_of = [], set_join.print_pairs
+    monkeypatch.setattr(set_join, "print_pairs", lambda nodes: named.append(pairs_of(nodes)) or named[0])
+    got = {r["doc_id"] for r in one_of_near_copies(spark.createDataFrame([(k, t, "en", "s1", len(t)) for k, t in enumerate(texts)], DDL)).collect()}
+    gone = {k for k in range(60) if k % 3 and alike(texts[k - k % 3], texts[k]) >= 0.8}
+    assert got == set(range(60)) - gone and len(gone) >= 20
+    assert named and checked[0] and len(checked) > 1
